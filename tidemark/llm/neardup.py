@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import clean_name
+from tidemark.llm.arrays import chunks, summed
 from tidemark.storage import written
 
 TERM = re.compile("[a-z0-9]+|[一-鿿]")
@@ -35,7 +36,6 @@ FILTER_BITS = 23
 GROUP_CAP = 20_000
 #: Vertical fragments in the final count.
 FRAGMENTS = 4
-CHUNK = 1 << 14
 _EPS = 1e-9
 _terms: dict[str, int] = {}
 
@@ -107,32 +107,6 @@ def gram_table(df: DataFrame, key: str, group: str, text: str) -> DataFrame:
     return rows.mapInArrow(parse, f"id {kind}, grp string, cls binary, n int, grams binary")
 
 
-def _summed(rows: DataFrame, bits: int, width: str, fold) -> np.ndarray:
-    """Fold the fixed-size arrays that tasks return in chunks, then fetch the one array."""
-    size = 1 << bits
-    chunk = min(size, CHUNK)
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for c, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                a = np.frombuffer(v, width)
-                sums[c] = fold(sums[c], a) if c in sums else a
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["chunk", "part"])
-
-    out = np.zeros(size, width)
-    for c, part in rows.repartition("chunk").mapInArrow(join, "chunk int, part binary").collect():
-        out[c * chunk : (c + 1) * chunk] = np.frombuffer(part, width)
-    return out
-
-
-def _chunks(a: np.ndarray) -> pa.RecordBatch:
-    parts = [(i, a[i * CHUNK : (i + 1) * CHUNK]) for i in range(-(-len(a) // CHUNK))]
-    parts = [(i, p) for i, p in parts if p.any()]
-    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([p.tobytes() for _, p in parts], pa.binary())], names=["chunk", "part"])
-
-
 def global_order(table: DataFrame, bits: int = ORDER_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Rank of every hash bucket, rarest first, and the share of all n-grams before its end.
 
@@ -145,9 +119,9 @@ def global_order(table: DataFrame, bits: int = ORDER_BITS) -> tuple[np.ndarray,
         for b in batches:
             grams, _ = _unpack(b.column(0))
             n += np.bincount((grams & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
-        yield _chunks(np.minimum(n, 2**32 - 1).astype(np.uint32))
+        yield chunks(np.minimum(n, 2**32 - 1).astype(np.uint32))
 
-    counts = _summed(table.select("grams").mapInArrow(count, "chunk int, part binary"), bits, "<u4", lambda a, b: np.minimum(a.astype(np.int64) + b, 2**32 - 1).astype(np.uint32))
+    counts = summed(table.select("grams").mapInArrow(count, "chunk int, part binary"), bits, "<u4", lambda a, b: np.minimum(a.astype(np.int64) + b, 2**32 - 1).astype(np.uint32))
     order = np.argsort(counts, kind="stable")
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
@@ -267,15 +241,15 @@ def candidate_pairs(table: DataFrame, rank: np.ndarray, load: np.ndarray, t: flo
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        tb = pa.Table.from_batches(got).combine_chunks()
-        keys = pa.compute.binary_join_element_wise(tb.column("grp"), tb.column("part").cast(pa.string()), "\x00").combine_chunks()
+        tb = pa.Table.from_batches(got).combinechunks()
+        keys = pa.compute.binary_join_element_wise(tb.column("grp"), tb.column("part").cast(pa.string()), "\x00").combinechunks()
         gid = keys.dictionary_encode().indices.to_numpy().astype(np.int64)
-        cls = tb.column("cls").combine_chunks()
+        cls = tb.column("cls").combinechunks()
         code = cls.dictionary_encode().indices.to_numpy().astype(np.int64)
         _, one = np.unique(gid * (code.max() + 1) + code, return_index=True)
         one.sort()
         take = pa.array(one)
-        grams, sizes = _unpack(tb.column("grams").combine_chunks().take(take))
+        grams, sizes = _unpack(tb.column("grams").combinechunks().take(take))
         names = cls.take(take).to_pylist()
         x, y = _pairs_in(gid[one], names, tb.column("n").to_numpy()[one].astype(np.int64), tb.column("start").to_numpy()[one].astype(np.int64), grams, sizes, t)
         a, b = [], []
@@ -300,9 +274,9 @@ def _class_filter(pairs: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
             for c in (0, 1):
                 v = b.column(c).to_pylist()
                 on[np.frombuffer(b"".join(x[:8] for x in v), "<u8") & np.uint64((1 << bits) - 1)] = True
-        yield _chunks(np.packbits(on))
+        yield chunks(np.packbits(on))
 
-    return _summed(pairs.mapInArrow(mark, "chunk int, part binary"), bits - 3, "u1", np.bitwise_or)
+    return summed(pairs.mapInArrow(mark, "chunk int, part binary"), bits - 3, "u1", np.bitwise_or)
 
 
 def overlaps(table: DataFrame, pairs: DataFrame, rank: np.ndarray, load: np.ndarray, t: float, fragments: int = FRAGMENTS) -> DataFrame:

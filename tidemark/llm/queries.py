@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, neardup, neighbours, packing, pieces, topn
+from tidemark.llm import mixing, neardup, neighbours, packing, pieces, topn, truncation
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -75,7 +75,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_report(spark, d).where("short").select("source")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(_t(spark, d, "documents")).select("doc_id")
+
+
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_rates(_t(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_top_fragments, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_containers, p5_report, p6_found, p6_mix, p6_report)
+    for f in (p1_found, p1_top_fragments, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_containers, p5_report, p6_found, p6_mix, p6_report, p7_found, p7_rates)
 }
