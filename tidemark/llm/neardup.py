@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -241,15 +242,15 @@ def candidate_pairs(table: DataFrame, rank: np.ndarray, load: np.ndarray, t: flo
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        tb = pa.Table.from_batches(got).combinechunks()
-        keys = pa.compute.binary_join_element_wise(tb.column("grp"), tb.column("part").cast(pa.string()), "\x00").combinechunks()
+        tb = pa.Table.from_batches(got).combine_chunks()
+        keys = pc.binary_join_element_wise(tb.column("grp"), tb.column("part").cast(pa.string()), "\x00").combine_chunks()
         gid = keys.dictionary_encode().indices.to_numpy().astype(np.int64)
-        cls = tb.column("cls").combinechunks()
+        cls = tb.column("cls").combine_chunks()
         code = cls.dictionary_encode().indices.to_numpy().astype(np.int64)
         _, one = np.unique(gid * (code.max() + 1) + code, return_index=True)
         one.sort()
         take = pa.array(one)
-        grams, sizes = _unpack(tb.column("grams").combinechunks().take(take))
+        grams, sizes = _unpack(tb.column("grams").combine_chunks().take(take))
         names = cls.take(take).to_pylist()
         x, y = _pairs_in(gid[one], names, tb.column("n").to_numpy()[one].astype(np.int64), tb.column("start").to_numpy()[one].astype(np.int64), grams, sizes, t)
         a, b = [], []

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -215,7 +216,7 @@ def nearest_vectors(df: DataFrame, k: int = 5, key: str = "fragment_id", group:
         if not got:
             return
         tb = pa.Table.from_batches(got).combine_chunks()
-        names = pa.compute.binary_join_element_wise(tb.column("grp"), *(tb.column(c).cast(pa.string()) for c in ("part", "lo", "hi")), "\x00").combine_chunks()
+        names = pc.binary_join_element_wise(tb.column("grp"), *(tb.column(c).cast(pa.string()) for c in ("part", "lo", "hi")), "\x00").combine_chunks()
         gid = names.dictionary_encode().indices.to_numpy()
         order = np.argsort(gid, kind="stable")
         bounds = np.flatnonzero(np.r_[True, np.diff(gid[order]) != 0, True])
