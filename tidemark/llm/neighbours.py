@@ -150,13 +150,14 @@ def _answers(ids: list[list[str]], best: np.ndarray, cos: np.ndarray, k: int) ->
                 yield i, None, y, -c
 
 
-def nearest_vectors(df: DataFrame, k: int = 5, key: str = "fragment_id", group: str = "namespace", vector: str = "embedding", width: int = 128, settings: IndexSettings | None = None) -> DataFrame:
+def nearest_vectors(df: DataFrame, k: int = 5, key: str = "fragment_id", group: str = "namespace", vector: str = "embedding", width: int = 128, settings: IndexSettings | None = None, with_rank: bool = True) -> DataFrame:
     """``id, neighbour, cosine, rank``: up to ``k`` most similar other vectors of the group.
 
     Cosine is computed in double and rounded to 6 decimals; equal ones are
     ordered by id. Unusable vectors (see ``vector_table``) neither ask nor
     answer. Equal vectors of one group are indexed once. A group of one vector
-    gives no rows; an empty table an empty result.
+    gives no rows; an empty table an empty result. Without ``with_rank``, ranks
+    that would need a shuffle of their own are null.
     """
     s = settings or IndexSettings()
     spark = df.sparkSession
@@ -248,14 +249,20 @@ def nearest_vectors(df: DataFrame, k: int = 5, key: str = "fragment_id", group:
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(table.count() * (1 + s.posts / 4) / 25_000))
     found = written(posted.repartition(tasks, "grp", "part", "lo", "hi").mapInArrow(search, "cls binary, id string, neighbour string, cosine double, large boolean"), "neighbours")
-    asked = found.where("id is not null").select("id", "neighbour", "cosine")
+    # a query of a whole group has its answer from one list; the others are merged over their lists
+    single = found.where("id is not null and not large").select("id", "neighbour", "cosine")
+    several = found.where("id is not null and large").select("id", "neighbour", "cosine")
     # members of a class beyond the ids its list knew
-    rest = found.where("id is null").select("cls", F.col("neighbour"), "cosine").distinct()
+    rest = found.where("id is null").select("cls", "neighbour", "cosine").distinct()
     known = found.where("id is not null").select("id").distinct()
     more = table.join(rest.select("cls").distinct(), "cls", "left_semi").select("id", "cls").distinct().join(known, "id", "left_anti")
-    every = asked.unionByName(more.join(rest, "cls").select("id", "neighbour", "cosine")).distinct()
+    several = several.unionByName(more.join(rest, "cls").select("id", "neighbour", "cosine"))
     order = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "neighbour")
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    merged = several.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k).dropDuplicates(["id", "neighbour"])
+    ranked = single.withColumn("rank", F.lit(None).cast("int"))
+    if with_rank:
+        ranked = single.withColumn("rank", F.row_number().over(order))
+    return ranked.unionByName(merged)
 
 
 def neighbour_pairs(found: DataFrame) -> DataFrame:

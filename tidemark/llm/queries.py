@@ -46,7 +46,7 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = neighbours.neighbour_pairs(p4_neighbours(spark, d))
+    pairs = neighbours.neighbour_pairs(neighbours.nearest_vectors(_t(spark, d, "warm_vectors"), with_rank=False))
     return pairs.select(F.col("id_a").alias("fragment_a"), F.col("id_b").alias("fragment_b"))
 
 
