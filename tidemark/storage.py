@@ -34,7 +34,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return it as read from there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
