@@ -312,7 +312,9 @@ def overlaps(table: DataFrame, pairs: DataFrame, rank: np.ndarray, load: np.ndar
     seg = seg.dropDuplicates(["cls", "part"])
     left = seg.select(F.col("cls").alias("a"), F.col("n").alias("na"), "part", F.col("seg").alias("sa"))
     right = seg.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "part", F.col("seg").alias("sb"))
-    each = pairs.join(left, "a").join(right, ["b", "part"])
+    # keyed by class and fragment throughout, so that the segments shuffle once
+    asked = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("part"))
+    each = asked.join(left, ["a", "part"]).join(right, ["b", "part"])
     partial = each.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))
     whole = partial.groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     share = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
@@ -322,7 +324,7 @@ def overlaps(table: DataFrame, pairs: DataFrame, rank: np.ndarray, load: np.ndar
 def class_links(df: DataFrame, key: str = "fragment_id", group: str = "namespace", text: str = "content", threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """Links between classes (``a, b, similarity``) and membership (``cls, id``).
 
-    Together they hold every pair of records of one group whose sets have a
+    A repeated record repeats its membership. Together they hold every pair of records of one group whose sets have a
     Jaccard similarity of ``threshold`` or more: two members of one class have
     1, two members of linked classes the link's. A repeated id is one record.
     Null, blank and one-term texts have an empty set and take no part, nor do
@@ -333,7 +335,7 @@ def class_links(df: DataFrame, key: str = "fragment_id", group: str = "namespace
     table = written(gram_table(df, key, group, text), "grams")
     rank, load = global_order(table)
     pairs = written(candidate_pairs(table, rank, load, threshold), "candidates")
-    return overlaps(table, pairs, rank, load, threshold), table.select("cls", "id").distinct()
+    return overlaps(table, pairs, rank, load, threshold), table.select("cls", "id")
 
 
 def similar_pairs(df: DataFrame, key: str = "fragment_id", group: str = "namespace", text: str = "content", threshold: float = 0.6) -> DataFrame:
@@ -378,7 +380,7 @@ def similar_groups(df: DataFrame, key: str = "fragment_id", group: str = "namesp
     ``n_links`` counts the record's classes' links, copies not expanded.
     """
     links, members = class_links(df, key, group, text, threshold)
-    links = written(links, "links")
+    links, members = written(links, "links"), members.distinct()
     roots = _components(df.sparkSession, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     out = members.join(roots.withColumnRenamed("v", "cls"), "cls", "left").join(degree, "cls", "left")
