@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,18 +41,20 @@ FILTER_BITS = 24
 SUPPORT = 5
 #: Below this share of ends, a context lies inside a sentence.
 INSIDE = 0.04
-_memo: dict[str, tuple[int, int, int, int]] = {}
-_words: list[str] = []
-
-
 def _hash(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s)
 
 
-def _class(t: str) -> tuple[int, int, int, int]:
-    """Hash of a token, hash of its shape, kind, and number of its trie word."""
-    c = _memo.get(t)
-    if c is None:
+class _Classes(dict):
+    """Number of every token met, with what is known of it by number."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.rows: list[tuple[int, int, int]] = []
+        self.words: list[str] = []
+        self.table = np.empty((0, 3), np.uint64)
+
+    def __missing__(self, t: str) -> int:
         word = ""
         if t[0] == "\n":
             name = shape = "\n"
@@ -70,13 +73,23 @@ def _class(t: str) -> tuple[int, int, int, int]:
         else:
             name = shape = t
             kind = BREAK if t in END else OTHER
-        _words.append(word)
-        c = _memo[t] = (_hash(name), _hash(shape + "\0"), kind, len(_words) - 1)
-    return c
+        self.words.append(word)
+        self.rows.append((_hash(name), _hash(shape + "\0"), kind))
+        self[t] = n = len(self.rows) - 1
+        return n
+
+    def known(self) -> np.ndarray:
+        """Hash, shape hash and kind by number."""
+        if len(self.table) < len(self.rows):
+            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], np.uint64).reshape(-1, 3)])
+        return self.table
+
+
+_classes = _Classes()
 
 
 def _word(number: int) -> str:
-    return _words[number]
+    return _classes.words[number]
 
 
 def _mix(seed: int, *parts: np.ndarray) -> np.ndarray:
@@ -102,15 +115,15 @@ LEVELS = 6
 
 def _arrays(texts: list[list[str]]) -> tuple[np.ndarray, ...]:
     """Hashes, shapes, kinds, word numbers, place in the text and text number of all tokens."""
-    if len(_memo) > 1_000_000:
-        _memo.clear()
-        _words.clear()
+    global _classes
+    if len(_classes) > 1_000_000:
+        _classes = _Classes()
     lengths = np.array([len(t) for t in texts], np.int64)
-    flat = [c for t in texts for c in map(_class, t)]
-    a = np.array(flat, np.uint64).reshape(-1, 4) if flat else np.empty((0, 4), np.uint64)
+    number = np.fromiter(map(_classes.__getitem__, chain.from_iterable(texts)), np.int64, int(lengths.sum()))
+    known = _classes.known()[number]
     doc = np.repeat(np.arange(len(texts)), lengths)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return a[:, 0], a[:, 1], a[:, 2].astype(np.int64), a[:, 3].astype(np.int64), place, doc
+    place = np.arange(len(number)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return known[:, 0], known[:, 1], known[:, 2].astype(np.int64), number, place, doc
 
 
 def _body(text: str) -> tuple[str, str, bool]:
