@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import q_recall, q_stores  # noqa: F401
+from tidemark.plans import q_evaluate, q_recall, q_stores  # noqa: F401
 from tidemark.plans.registry import ORACLE, QUERIES, Query
 
 
