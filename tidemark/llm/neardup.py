@@ -1,8 +1,10 @@
 """Near-duplicate texts by set overlap, counted in vertical fragments.
 
-The n-grams of all texts get one global order, rarest first. The order is cut
-into consecutive ranges, the vertical fragments. Overlaps are counted in each
-fragment by itself and summed for each pair.
+The n-grams of all texts get one global order, rarest first. Pairs that could
+reach the threshold must share an n-gram in their prefixes of that order; these
+are the candidates. The order is cut into consecutive ranges of equal load, the
+vertical fragments. The overlap of the candidates is counted in each fragment
+by itself and summed for each pair.
 
 A text's terms are the runs of a-z and 0-9 and the single Han characters of
 its lower-cased form; its set holds the distinct ordered pairs of adjacent
@@ -33,9 +35,9 @@ WIDTH = 6
 ORDER_BITS = 20
 #: Bits of the filter that spares classes without partner a shuffle; 1 MB.
 FILTER_BITS = 23
-#: Records of one group that a task takes in one vertical fragment.
-GROUP_CAP = 20_000
-#: Vertical fragments in the final count.
+#: Records of one group that a task takes; larger groups are cut into blocks.
+GROUP_CAP = 50_000
+#: Vertical fragments the global order is cut into.
 FRAGMENTS = 4
 _EPS = 1e-9
 _terms: dict[str, int] = {}
@@ -149,19 +151,20 @@ def needed(a, b, t: float):
     return np.ceil(t / (1 + t) * (a + b) - _EPS)
 
 
-def _pairs_in(gid: np.ndarray, cls: list[bytes], n: np.ndarray, start: np.ndarray, grams: np.ndarray, sizes: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of equal ``gid`` that this fragment can't rule out.
+def _pairs_in(gid: np.ndarray, side: np.ndarray, n: np.ndarray, grams: np.ndarray, sizes: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of equal ``gid`` that the prefixes can't rule out.
 
-    A pair stays if it shares an n-gram that lies in the prefix both sides need
-    at their sizes, and if the partial overlap here, with all that lies outside
-    on the longer remainder, could reach the threshold.
+    ``side`` is -1 where a row may meet any other; rows of sides 0 and 1 only
+    meet the other side. A pair stays if it shares an n-gram in the prefix that
+    both need at their sizes, and if the overlap of the prefixes, with all that
+    follows the longer remainder, could reach the threshold.
     """
     row = np.repeat(np.arange(len(sizes)), sizes)
-    pos = np.repeat(start, sizes) + _spread(np.zeros(len(sizes), np.int64), sizes)
+    pos = _spread(np.zeros(len(sizes), np.int64), sizes)
     with np.errstate(over="ignore"):
         key = (gid[row].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (grams * np.uint64(0xD6E8FEB86659FD93))
     o = np.lexsort((n[row], key))
-    key, row, pos = key[o], row[o], pos[o]
+    key, row, pos = key[o], row[o].astype(np.int32), pos[o].astype(np.int32)
     cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, np.int64)
     end = np.repeat(cut[1:], np.diff(cut))
     size = n[row].astype(np.float64)
@@ -170,9 +173,10 @@ def _pairs_in(gid: np.ndarray, cls: list[bytes], n: np.ndarray, start: np.ndarra
     def lags() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at, lag = np.flatnonzero(np.arange(len(key)) + 1 < end), 1
         while len(at):
-            # n-grams are sorted by the size of their row: past the bound no later one fits
-            at = at[(size[at] >= t * size[at + lag] - _EPS)]
-            ok = at[gid[row[at]] == gid[row[at + lag]]]
+            # occurrences are sorted by the size of their row: past the bound no later one fits
+            at = at[size[at] >= t * size[at + lag] - _EPS]
+            x, y = row[at], row[at + lag]
+            ok = at[(gid[x] == gid[y]) & (x != y) & ((side[x] < 0) | (side[x] != side[y]))]
             yield ok, ok + lag
             lag += 1
             at = at[at + lag < end[at]]
@@ -180,8 +184,8 @@ def _pairs_in(gid: np.ndarray, cls: list[bytes], n: np.ndarray, start: np.ndarra
     found, some, held = np.empty(0, np.int64), [], 0
     for x, y in lags():
         least = needed(size[x], size[y], t)
-        ok = (pos[x] <= size[x] - least) & (pos[y] <= size[y] - least) & (row[x] != row[y])
-        x, y = row[x[ok]], row[y[ok]]
+        ok = (pos[x] <= size[x] - least) & (pos[y] <= size[y] - least)
+        x, y = row[x[ok]].astype(np.int64), row[y[ok]].astype(np.int64)
         some.append(np.minimum(x, y) * total + np.maximum(x, y))
         held += len(x)
         if held > 4_000_000:
@@ -189,61 +193,68 @@ def _pairs_in(gid: np.ndarray, cls: list[bytes], n: np.ndarray, start: np.ndarra
     found = np.unique(np.concatenate([found, *some]))
     if not len(found):
         return found, found
-    overlap = np.zeros(len(found), np.int64)
+    overlap = np.zeros(len(found), np.int32)
     for x, y in lags():
-        x, y = row[x], row[y]
+        x, y = row[x].astype(np.int64), row[y].astype(np.int64)
         k = np.minimum(x, y) * total + np.maximum(x, y)
         i = np.searchsorted(found, k)
         i[i == len(found)] = 0
-        np.add.at(overlap, i[found[i] == k], 1)
+        i = i[found[i] == k]
+        # a row has an n-gram once, so a pair occurs once at a lag and n-gram, but with several n-grams
+        overlap += np.bincount(i, minlength=len(found)).astype(np.int32) if len(i) > len(found) // 8 else 0
+        if len(i) <= len(found) // 8:
+            np.add.at(overlap, i, 1)
     x, y = found // total, found % total
     least = needed(n[x].astype(np.float64), n[y].astype(np.float64), t)
     ok = overlap + np.maximum(n[x] - sizes[x], n[y] - sizes[y]) >= least
     return x[ok], y[ok]
 
 
-def candidate_pairs(table: DataFrame, rank: np.ndarray, load: np.ndarray, t: float, cap: int = GROUP_CAP) -> DataFrame:
-    """Distinct class pairs ``a < b`` that some vertical fragment of the prefixes can't rule out.
+def candidate_pairs(table: DataFrame, rank: np.ndarray, t: float, cap: int = GROUP_CAP) -> DataFrame:
+    """Distinct class pairs ``a < b`` that their prefixes in the global order can't rule out.
 
-    A group of more than ``cap`` records is cut into as many vertical fragments
-    as it holds caps, each counted by another task; the others stay whole.
+    A group of more than ``cap`` records is cut into blocks by class hash, and
+    every two blocks meet in a task of their own; the others stay whole.
     """
     spark = table.sparkSession
-    many = table.groupBy("grp").count().where(F.col("count") > cap).select("grp", F.ceil(F.col("count") / cap).cast("int").alias("cuts"))
+    many = table.groupBy("grp").count().where(F.col("count") > cap).select("grp", F.ceil(F.col("count") / cap).cast("int").alias("blocks"))
     many = written(many, "large-groups")
     few = many.count()
-    wide = spark.sparkContext.broadcast((rank, load))
-    rows = table.join(F.broadcast(many) if few <= 50_000 else many, "grp", "left") if few else table.withColumn("cuts", F.lit(None).cast("int"))
-    rows = rows.select("grp", "cls", "n", "grams", F.coalesce("cuts", F.lit(1)).alias("cuts"))
+    wide = spark.sparkContext.broadcast(rank)
+    rows = table.join(F.broadcast(many) if few <= 50_000 else many, "grp", "left") if few else table.withColumn("blocks", F.lit(None).cast("int"))
+    rows = rows.select("grp", "cls", "n", "grams", F.coalesce("blocks", F.lit(1)).alias("blocks"))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, load = wide.value
+        rank = wide.value
         for b in batches:
             grams, sizes = _unpack(b.column("grams"))
             if not len(sizes):
                 continue
-            grams, r = _ordered(grams, sizes, rank)
-            starts = np.cumsum(sizes) - sizes
+            grams, _ = _ordered(grams, sizes, rank)
             keep = (sizes - np.ceil(t * sizes - _EPS) + 1).astype(np.int64)
-            at = _spread(starts, keep)
-            row = np.repeat(np.arange(len(sizes)), keep)
-            cuts = b.column("cuts").to_numpy(zero_copy_only=False)
-            part = np.minimum((load[r[at]] * cuts[row]).astype(np.int64), cuts[row] - 1)
-            edge = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1]), True])
-            first, length = edge[:-1], np.diff(edge)
-            own = row[first]
+            at = _spread(np.cumsum(sizes) - sizes, keep)
             raw = np.ascontiguousarray(grams[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH])
-            offsets = np.r_[0, np.cumsum(length) * WIDTH].astype(np.int32)
-            seg = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
-            take = pa.array(own)
-            yield pa.RecordBatch.from_arrays([b.column("grp").take(take), pa.array(part[first].astype(np.int32)), b.column("cls").take(take), b.column("n").take(take), pa.array((at[first] - starts[own]).astype(np.int32)), seg], names=["grp", "part", "cls", "n", "start", "grams"])
+            offsets = np.r_[0, np.cumsum(keep) * WIDTH].astype(np.int32)
+            seg = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
+            blocks = b.column("blocks").to_numpy(zero_copy_only=False).astype(np.int64)
+            own = np.frombuffer(b"".join(c[8:] for c in b.column("cls").to_pylist()), "<u8") % blocks.astype(np.uint64)
+            own = own.astype(np.int64)
+            line = np.repeat(np.arange(len(blocks)), blocks)
+            other = _spread(np.zeros(len(blocks), np.int64), blocks)
+            lo, hi = np.minimum(own[line], other), np.maximum(own[line], other)
+            side = np.where(lo == hi, -1, (own[line] == hi).astype(np.int64))
+            take = pa.array(line)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("grp").take(take), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(side.astype(np.int32)), b.column("cls").take(take), b.column("n").take(take), seg.take(take)],
+                names=["grp", "lo", "hi", "side", "cls", "n", "grams"],
+            )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         tb = pa.Table.from_batches(got).combine_chunks()
-        keys = pc.binary_join_element_wise(tb.column("grp"), tb.column("part").cast(pa.string()), "\x00").combine_chunks()
+        keys = pc.binary_join_element_wise(tb.column("grp"), tb.column("lo").cast(pa.string()), tb.column("hi").cast(pa.string()), "\x00").combine_chunks()
         gid = keys.dictionary_encode().indices.to_numpy().astype(np.int64)
         cls = tb.column("cls").combine_chunks()
         code = cls.dictionary_encode().indices.to_numpy().astype(np.int64)
@@ -251,19 +262,21 @@ def candidate_pairs(table: DataFrame, rank: np.ndarray, load: np.ndarray, t: flo
         one.sort()
         take = pa.array(one)
         grams, sizes = _unpack(tb.column("grams").combine_chunks().take(take))
-        names = cls.take(take).to_pylist()
-        x, y = _pairs_in(gid[one], names, tb.column("n").to_numpy()[one].astype(np.int64), tb.column("start").to_numpy()[one].astype(np.int64), grams, sizes, t)
-        a, b = [], []
-        for i, j in zip(x.tolist(), y.tolist()):
-            p, q = names[i], names[j]
-            a.append(min(p, q))
-            b.append(max(p, q))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    parts = rows.mapInArrow(prefixes, "grp string, part int, cls binary, n int, start int, grams binary")
+        side, n = tb.column("side").to_numpy()[one], tb.column("n").to_numpy()[one].astype(np.int64)
+        names = cls.take(take)
+        del tb, got, cls, code, keys
+        x, y = _pairs_in(gid[one], side, n, grams, sizes, t)
+        for lo in range(0, max(len(x), 1), 100_000):
+            a, b = [], []
+            for p, q in zip(names.take(pa.array(x[lo : lo + 100_000])).to_pylist(), names.take(pa.array(y[lo : lo + 100_000])).to_pylist()):
+                a.append(min(p, q))
+                b.append(max(p, q))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    parts = rows.mapInArrow(prefixes, "grp string, lo int, hi int, side int, cls binary, n int, grams binary")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(float(table.agg(F.sum("n")).first()[0] or 0) / 2e6))
-    pairs = parts.repartition(tasks, "grp", "part").mapInArrow(join, "a binary, b binary")
-    return pairs.distinct()
+    # a pair of classes meets in one task only, so there is nothing to make distinct
+    return parts.repartition(tasks, "grp", "lo", "hi").mapInArrow(join, "a binary, b binary")
 
 
 def _class_filter(pairs: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -334,7 +347,7 @@ def class_links(df: DataFrame, key: str = "fragment_id", group: str = "namespace
         raise ValueError("threshold must be above 0 and at most 1")
     table = written(gram_table(df, key, group, text), "grams")
     rank, load = global_order(table)
-    pairs = written(candidate_pairs(table, rank, load, threshold), "candidates")
+    pairs = written(candidate_pairs(table, rank, threshold), "candidates")
     return overlaps(table, pairs, rank, load, threshold), table.select("cls", "id")
 
 
