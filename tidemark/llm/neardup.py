@@ -36,7 +36,7 @@ ORDER_BITS = 20
 #: Bits of the filter that spares classes without partner a shuffle; 1 MB.
 FILTER_BITS = 23
 #: Records of one group that a task takes; larger groups are cut into blocks.
-GROUP_CAP = 50_000
+GROUP_CAP = 20_000
 #: Vertical fragments the global order is cut into.
 FRAGMENTS = 4
 _EPS = 1e-9
