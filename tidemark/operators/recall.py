@@ -106,14 +106,14 @@ def nearest_peer(df: DataFrame, group: str = "namespace", block: int = 4096) ->
     n = df.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_b"))
     rows = df.select("id", group, "embedding").join(n, group)
     rows = rows.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_b")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
-    rows = rows.select("id", "embedding", F.concat_ws("\x00", group, F.least("_own", "_other"), F.greatest("_own", "_other")).alias("_g"))
+    rows = rows.select("id", "embedding", F.col(group).alias("_g"), F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"))
 
     def peers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [b for b in batches if len(b)]
         if not got:
             return
         t = pd.concat(got)
-        for _, g in t.groupby("_g", sort=False):
+        for _, g in t.groupby(["_g", "_lo", "_hi"], sort=False):
             x = np.stack(g["embedding"].to_numpy()).astype(np.float64)
             norm = np.sqrt((x * x).sum(1))
             x = x / np.where(norm > 0, norm, 1)[:, None]
@@ -128,7 +128,7 @@ def nearest_peer(df: DataFrame, group: str = "namespace", block: int = 4096) ->
             alone = len(x) == 1
             yield pd.DataFrame({"id": g["id"].to_numpy(), "sim": [None if alone else v for v in high], "least_sim": [None if alone else v for v in low]}).astype({"sim": "float64", "least_sim": "float64"})
 
-    each = rows.repartition("_g").mapInPandas(peers, "id string, sim double, least_sim double")
+    each = rows.repartition("_g", "_lo", "_hi").mapInPandas(peers, "id string, sim double, least_sim double")
     high = F.max(F.when(~F.isnan("sim"), F.col("sim")))
     return each.groupBy("id").agg(high.alias("sim"), F.min(F.when(~F.isnan("least_sim"), F.col("least_sim"))).alias("least_sim"))
 
