@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import q_evaluate, q_recall, q_stores, q_tasks, q_text, q_stream  # noqa: F401
+from tidemark.plans import q_evaluate, q_more, q_recall, q_stores, q_stream, q_tasks, q_text  # noqa: F401
 from tidemark.plans.registry import ORACLE, QUERIES, Query
 
 

@@ -224,9 +224,9 @@ def u4_tag_merge(spark: SparkSession, d: str) -> DataFrame:
   LEFT JOIN case_results r USING (case_id, fragment_id, mode) GROUP BY 1, 2""")
 def u5_subset_test(spark: SparkSession, d: str) -> DataFrame:
     want = v.pool(spark, d).where("relevant").groupBy(F.col("recall_id").alias("case_id")).agg(F.collect_set("fragment_id").alias("expected"))
-    modes = spark.createDataFrame([(m,) for m in v.MODES], "mode string")
+    each = want.select("case_id", "expected", F.explode(F.array(*map(F.lit, v.MODES))).alias("mode"))
     got = v.case_results(spark, d).groupBy("case_id", "mode").agg(F.collect_list("fragment_id").alias("returned"))
-    out = want.join(F.broadcast(modes)).join(got, ["case_id", "mode"], "left")
+    out = each.join(got, ["case_id", "mode"], "left")
     return out.select("case_id", "mode", (F.size(F.array_except("expected", F.coalesce("returned", F.array().cast("array<string>")))) == 0).alias("all_expected"))
 
 
