@@ -46,7 +46,7 @@ _terms: dict[str, int] = {}
 def _term_hash(t: str) -> int:
     h = _terms.get(t)
     if h is None:
-        if len(_terms) > 1_000_000:
+        if len(_terms) > 300_000:
             _terms.clear()
         h = _terms[t] = xxhash.xxh3_64_intdigest(t)
     return h

@@ -60,6 +60,8 @@ class _Classes(dict):
             name = shape = "\n"
             kind = BREAK
         elif t.isdigit():
+            if t != "9":
+                return self["9"]  # numbers are endless, so only one is kept
             name = shape = "9"
             kind = NUMBER
         elif len(t) == 1 and "一" <= t <= "鿿":
@@ -68,8 +70,11 @@ class _Classes(dict):
             name = word = t.lower()
             shape, kind = "W", WORD
         elif t.isalnum():
+            like = "0" + "x" * (min(len(t), 40) - 1)
+            if t != like:
+                return self[like]  # as are hashes
             name = shape = f"x{len(t)}"
-            word, kind = "#" * min(len(t), 40), MIXED
+            word, kind = "#" * len(t), MIXED
         else:
             name = shape = t
             kind = BREAK if t in END else OTHER
@@ -116,7 +121,7 @@ LEVELS = 6
 def _arrays(texts: list[list[str]]) -> tuple[np.ndarray, ...]:
     """Hashes, shapes, kinds, word numbers, place in the text and text number of all tokens."""
     global _classes
-    if len(_classes) > 1_000_000:
+    if len(_classes) > 300_000:
         _classes = _Classes()
     lengths = np.array([len(t) for t in texts], np.int64)
     number = np.fromiter(map(_classes.__getitem__, chain.from_iterable(texts)), np.int64, int(lengths.sum()))
@@ -298,7 +303,8 @@ def judged(documents: DataFrame) -> DataFrame:
     each = doubtful.select("doc_id", F.posexplode("grams").alias("level", "g")).where("g is not null")
     each = each.join(final, "g").join(context, "g", "left").na.fill(0, ["t", "n_end"])
     others = F.col("f") - 1
-    known = each.where(F.col("t") + others >= SUPPORT)
+    # few occurrences do if none of them is inside a text: random cuts hardly ever meet in such a place
+    known = each.where((F.col("t") + others >= SUPPORT) | ((F.col("t") == 0) & (others >= F.when(F.col("level") <= 3, 1).otherwise(2)) & (F.col("level") < LEVELS - 1)))
     share = ((F.col("n_end") + others) / (F.col("t") + others)).alias("ends")
     only = (others / (F.col("t") + others)).alias("closer")
     best = known.groupBy("doc_id").agg(F.min_by(F.struct(share, only), "level").alias("c"))
