@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.folding import folded
+
 HOUR_MS = 3_600_000
 
 
@@ -58,20 +62,20 @@ def evict_with_floor(groups: DataFrame, target: int, floor: int) -> DataFrame:
     """``namespace, grp, released``: groups in density order until the target, never under the floor.
 
     A group whose release would leave its namespace below ``floor`` tokens is
-    skipped. Namespaces are independent. The fold runs inside one ordered array
-    of a namespace's groups.
+    skipped. Namespaces are independent.
     """
-    rows = F.sort_array(F.collect_list(F.struct("density", "grp", F.col("group_tokens").alias("t"))))
-    per = groups.groupBy("namespace").agg(rows.alias("rows"), F.sum("group_tokens").alias("left"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("done"), F.array().cast("array<struct<grp:string,released:bigint>>").alias("out"))
+    total = groups.groupBy("namespace").agg(F.sum("group_tokens").alias("left"))
 
-    def step(s: Column, x: Column, left: Column) -> Column:
-        done = s["done"] + x["t"]
-        ok = (s["done"] < target) & (left - done >= floor)
-        return F.when(ok, F.struct(done.alias("done"), F.concat(s["out"], F.array(F.struct(x["grp"].alias("grp"), x["t"].alias("released")))).alias("out"))).otherwise(s)
+    def step(key: str, s: dict, g: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for grp, t, left in zip(g["grp"], g["group_tokens"], g["left"]):
+            if s["done"] < target and left - s["done"] - t >= floor:
+                s["done"] += int(t)
+                out.append((key, grp, int(t)))
+        return pd.DataFrame(out, columns=["namespace", "grp", "released"])
 
-    out = per.select("namespace", F.aggregate("rows", zero, lambda s, x: step(s, x, F.col("left")))["out"].alias("out"))
-    return out.select("namespace", F.inline("out"))
+    rows = groups.join(total, "namespace").select("namespace", "grp", "density", "group_tokens", "left")
+    return folded(rows, "namespace", ["density", "grp"], "namespace string, grp string, released bigint", lambda: {"done": 0}, step)
 
 
 def admissions(requests: DataFrame, capacity: int, quota: int) -> DataFrame:
@@ -82,22 +86,24 @@ def admissions(requests: DataFrame, capacity: int, quota: int) -> DataFrame:
     quota go before the others. Columns: ``key, seq, tokens, pinned``.
     """
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("seq")
-        held: list[list] = []
-        out = []
+    def step(key: str, s: dict, g: pd.DataFrame) -> pd.DataFrame:
+        held, out = s["held"], []
         for seq, tokens, pinned in zip(g["seq"], g["tokens"], g["pinned"]):
-            fixed = sum(t for _, t, p in held if p)
-            if tokens > capacity or fixed + tokens > capacity:
-                out.append((seq, "REJECTED", 0))
+            if tokens > capacity or s["fixed"] + tokens > capacity:
+                out.append((key, seq, "REJECTED", 0))
                 continue
             evicted = 0
-            while sum(t for _, t, _ in held) + tokens > (quota if not pinned else capacity) and any(not p for _, _, p in held):
-                oldest = next(i for i, h in enumerate(held) if not h[2])
-                evicted += held.pop(oldest)[1]
-            held.append([seq, tokens, pinned])
-            out.append((seq, "ADMITTED" if not evicted else "ADMITTED_AFTER_RECLAIM", evicted))
-        key = g["key"].iloc[0]
-        return pd.DataFrame([(key, s, d, e) for s, d, e in out], columns=["key", "seq", "decision", "evicted"])
-
-    return requests.groupBy("key").applyInPandas(fold, "key string, seq bigint, decision string, evicted bigint")
+            while held and s["fixed"] + s["loose"] + tokens > (capacity if pinned else quota):
+                t = held.popleft()
+                s["loose"] -= t
+                evicted += t
+            if pinned:
+                s["fixed"] += int(tokens)
+            else:
+                held.append(int(tokens))
+                s["loose"] += int(tokens)
+            out.append((key, seq, "ADMITTED_AFTER_RECLAIM" if evicted else "ADMITTED", evicted))
+        return pd.DataFrame(out, columns=["key", "seq", "decision", "evicted"])
+
+    # what is held has at most ``capacity`` tokens
+    return folded(requests, "key", ["seq"], "key string, seq bigint, decision string, evicted bigint", lambda: {"held": deque(), "fixed": 0, "loose": 0}, step)

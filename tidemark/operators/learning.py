@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.folding import folded
+
 
 def arms(spark: SparkSession) -> DataFrame:
     """Grid of weight triples on the simplex, numbered in order."""
@@ -44,30 +46,32 @@ def exp3(pulls: DataFrame, n_arms: int, rate: float = 0.5, warm: int = 100) -> D
 
     Exploration stays at .30 for the first ``warm`` pulls, then shrinks by 3 %
     a pull to .05, and grows by 10 % up to .30 after 40 pulls without a better
-    mean reward. A scenario's state is one vector of arm weights, so its pulls
-    are folded in one pass.
+    mean reward. A scenario's state is one vector of arm weights.
     """
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts_ms", "n"])
-        w, eps, best, still, mean = np.ones(n_arms), 0.3, -np.inf, 0, 0.0
-        for i, (arm, reward) in enumerate(zip(g["arm"].to_numpy(), g["reward"].to_numpy())):
-            p = (1 - eps) * w / w.sum() + eps / n_arms
-            w[arm] *= np.exp(rate / np.sqrt(i + 1) * (reward / p[arm]) / n_arms)
+    def start() -> dict:
+        return {"w": np.ones(n_arms), "eps": 0.3, "best": -np.inf, "still": 0, "mean": 0.0, "n": 0}
+
+    def step(_: str, s: dict, g: pd.DataFrame) -> None:
+        for arm, reward in zip(g["arm"].to_numpy(), g["reward"].to_numpy()):
+            w = s["w"]
+            p = (1 - s["eps"]) * w[arm] / w.sum() + s["eps"] / n_arms
+            w[arm] *= np.exp(rate / np.sqrt(s["n"] + 1) * (reward / p) / n_arms)
             w /= w.max()
-            mean += (reward - mean) / (i + 1)
-            if mean > best + 1e-12:
-                best, still = mean, 0
-            else:
-                still += 1
-            if i >= warm:
-                eps = max(0.05, eps * 0.97)
-                if still >= 40:
-                    eps, still = min(0.3, eps * 1.1), 0
-        p = (1 - eps) * w / w.sum() + eps / n_arms
-        return pd.DataFrame([(g["scenario"].iloc[0], len(g), eps, int(p.argmax()), float(p.max()))], columns=["scenario", "recalls", "epsilon", "best_arm", "best_p"])
-
-    return pulls.groupBy("scenario").applyInPandas(fold, "scenario string, recalls bigint, epsilon double, best_arm int, best_p double")
+            s["n"] += 1
+            s["mean"] += (reward - s["mean"]) / s["n"]
+            better = s["mean"] > s["best"] + 1e-12
+            s["best"], s["still"] = (s["mean"], 0) if better else (s["best"], s["still"] + 1)
+            if s["n"] > warm:
+                s["eps"] = max(0.05, s["eps"] * 0.97)
+                if s["still"] >= 40:
+                    s["eps"], s["still"] = min(0.3, s["eps"] * 1.1), 0
+
+    def finish(key: str, s: dict) -> pd.DataFrame:
+        p = (1 - s["eps"]) * s["w"] / s["w"].sum() + s["eps"] / n_arms
+        return pd.DataFrame([(key, s["n"], s["eps"], int(p.argmax()), float(p.max()))], columns=["scenario", "recalls", "epsilon", "best_arm", "best_p"])
+
+    return folded(pulls, "scenario", ["ts_ms", "n"], "scenario string, recalls bigint, epsilon double, best_arm int, best_p double", start, step, finish)
 
 
 def simplex(alpha: float, beta: float, gamma: float, low: float = 0.05, high: float = 0.90) -> tuple[float, float, float]:

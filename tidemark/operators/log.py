@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.folding import folded
 from tidemark.storage import written
 
 TERMINAL = ("COMPLETED", "FAILED", "CANCELLED")
@@ -121,18 +124,17 @@ def executions(requests: DataFrame, ttl_ms: int = EXECUTION_TTL_MS) -> DataFrame
     the record's life the same hash is a replay and another a conflict.
     """
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts_ms", "n"])
-        start, held, out = None, None, []
+    def step(key: str, s: dict, g: pd.DataFrame) -> pd.DataFrame:
+        out = []
         for t, h in zip(g["ts_ms"], g["hash"]):
-            if start is None or t - start >= ttl_ms:
-                start, held = t, h
+            if "start" not in s or t - s["start"] >= ttl_ms:
+                s["start"], s["held"] = t, h
                 out.append("NEW")
             else:
-                out.append("REPLAY" if h == held else "CONFLICT")
-        return pd.DataFrame({"key": g["key"], "n": g["n"], "outcome": out})
+                out.append("REPLAY" if h == s["held"] else "CONFLICT")
+        return pd.DataFrame({"key": key, "n": g["n"], "outcome": out})
 
-    return requests.groupBy("key").applyInPandas(fold, "key string, n bigint, outcome string")
+    return folded(requests, "key", ["ts_ms", "n"], "key string, n bigint, outcome string", dict, step)
 
 
 def replay(log: DataFrame) -> DataFrame:
@@ -141,15 +143,13 @@ def replay(log: DataFrame) -> DataFrame:
     Entries may come in any order and more than once.
     """
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        import json
+    def start() -> dict:
+        return {"ctx": {}, "tool": {}, "status": "RUNNING", "n": 0}
 
-        g = g.sort_values("seq").drop_duplicates("entry_id")
-        ctx: dict[str, str] = {}
-        tool: dict[str, str] = {}
-        state, n = "RUNNING", 0
+    def step(_: str, s: dict, g: pd.DataFrame) -> None:
+        ctx, tool = s["ctx"], s["tool"]
+        s["n"] += len(g)
         for op, key, value in zip(g["operation"], g["key"], g["value"]):
-            n += 1
             if op == "UPDATE_CONTEXT":
                 if value:
                     ctx[key] = value
@@ -162,11 +162,13 @@ def replay(log: DataFrame) -> DataFrame:
             elif op == "FAIL_TOOL_EXECUTION" and key in tool:
                 tool[key] = "FAILED"
             elif op == "SET_STATUS":
-                state = value or state
+                s["status"] = value or s["status"]
+
+    def finish(task: str, s: dict) -> pd.DataFrame:
         dump = lambda d: json.dumps(dict(sorted(d.items())), separators=(",", ":"))
-        return pd.DataFrame([(g["task_id"].iloc[0], n, dump(ctx), dump(tool), state)], columns=["task_id", "applied", "context", "tools", "status"])
+        return pd.DataFrame([(task, s["n"], dump(s["ctx"]), dump(s["tool"]), s["status"])], columns=["task_id", "applied", "context", "tools", "status"])
 
-    return log.groupBy("task_id").applyInPandas(fold, "task_id string, applied bigint, context string, tools string, status string")
+    return folded(first_of_each_entry(log), "task_id", ["seq"], "task_id string, applied bigint, context string, tools string, status string", start, step, finish)
 
 
 def apply_delta(base: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:
