@@ -326,7 +326,7 @@ def judged(documents: DataFrame) -> DataFrame:
     hit = r.join(piles, F.col("source").eqNullSafe(F.col("ps")) & ((F.col("size") == F.col("limit")) | (F.col("octets") == F.col("limit"))), "left_semi").select("doc_id", F.lit(True).alias("piled")).distinct()
     r = r.join(hit, "doc_id", "left")
     closed, closer = F.col("c.ends"), F.coalesce(F.col("c.closer"), F.lit(0.0))
-    prefix = (F.col("below") >= 2) & (F.col("n_word") <= F.col("below") / 1000) & (F.col("f_word") <= 3 + F.col("below") / 100)
+    prefix = (F.col("below") >= 2) & (F.col("n_word") <= F.col("below") / 1000) & (F.col("f_word") <= 3 + F.col("below") / 20)
     piled = F.coalesce("piled", F.lit(False))
     reason = (
         F.when(F.col("mark").rlike(r"^(\[|\(|--)") & (prefix | F.coalesce(closed < 0.5, F.lit(True))), "mark")
