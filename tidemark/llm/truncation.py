@@ -18,7 +18,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import clean_name
@@ -39,6 +39,8 @@ OTHER, BREAK, HAN, WORD, MIXED, NUMBER = range(6)
 FILTER_BITS = 24
 #: Occurrences that a context needs to be judged by.
 SUPPORT = 5
+#: More cuts than this at a place, for each time it occurs, are no random cuts.
+CUT_RATE = 0.0005
 #: Below this share of ends, a context lies inside a sentence.
 INSIDE = 0.04
 def _hash(s: str) -> int:
@@ -151,6 +153,8 @@ def open_structure(text: str) -> str | None:
     t = text.strip()
     if t.count("```") % 2:
         return "open"
+    if t.endswith("```"):
+        return "closed"
     inner = t.strip("`").strip()
     inner = inner[4:].strip() if inner.startswith("json") else inner
     if inner.startswith("{"):
@@ -177,6 +181,8 @@ def open_structure(text: str) -> str | None:
                     return "open"
                 if all(e[0].isdigit() and e[-1].isalpha() and not _hex.fullmatch(e) for e in ends) and not (tokens[-1][0].isdigit() and tokens[-1][-2:] == ends[0][-2:]):
                     return "open"
+                if all(len(e) == w for e in ends) and len(tokens[-1]) == w:
+                    return "closed"
     return None
 
 
@@ -303,11 +309,17 @@ def judged(documents: DataFrame) -> DataFrame:
     each = doubtful.select("doc_id", F.posexplode("grams").alias("level", "g")).where("g is not null")
     each = each.join(final, "g").join(context, "g", "left").na.fill(0, ["t", "n_end"])
     others = F.col("f") - 1
-    # few occurrences do if none of them is inside a text: random cuts hardly ever meet in such a place
-    known = each.where((F.col("t") + others >= SUPPORT) | ((F.col("t") == 0) & (others >= F.when(F.col("level") <= 3, 1).otherwise(2)) & (F.col("level") < LEVELS - 1)))
-    share = ((F.col("n_end") + others) / (F.col("t") + others)).alias("ends")
-    only = (others / (F.col("t") + others)).alias("closer")
-    best = known.groupBy("doc_id").agg(F.min_by(F.struct(share, only), "level").alias("c"))
+    # a closing phrase ends far more texts than random cuts would at places of its shape
+    at = lambda k: F.coalesce(F.max(F.when(F.col("level") == k, F.col("t"))), F.lit(0))
+    per = each.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("level", "t", "n_end", others.alias("o")))).alias("c"), at(2).alias("long"), at(4).alias("short"))
+
+    def closing(x: Column) -> Column:
+        shape = F.when(x["level"] <= 1, F.col("long")).when(x["level"] == 3, F.col("short")).otherwise(x["t"])
+        return (x["level"] < LEVELS - 1) & (x["o"] > CUT_RATE * shape) & (x["o"] >= F.when(x["level"] <= 3, 1).otherwise(2)) & (x["o"] > x["t"])
+
+    first = lambda keep: F.get(F.filter("c", keep), F.lit(0))
+    per = per.withColumn("closing", first(closing)).withColumn("x", F.coalesce("closing", first(lambda x: x["t"] >= SUPPORT))).where("x is not null")
+    best = per.select("doc_id", F.struct(((F.col("x.n_end") + F.col("x.o")) / (F.col("x.t") + F.col("x.o"))).alias("ends"), F.col("closing").isNotNull().alias("closer")).alias("c"))
     single = each.where(f"level = {LEVELS - 1}").groupBy("doc_id").agg(F.max("f").alias("f_word"))
 
     words = counts.where("word is not null").select("word", F.col("n").alias("n_word"))
@@ -325,13 +337,13 @@ def judged(documents: DataFrame) -> DataFrame:
     r = doubtful.join(best, "doc_id", "left").join(single, "doc_id", "left").join(looked, "word", "left")
     hit = r.join(piles, F.col("source").eqNullSafe(F.col("ps")) & ((F.col("size") == F.col("limit")) | (F.col("octets") == F.col("limit"))), "left_semi").select("doc_id", F.lit(True).alias("piled")).distinct()
     r = r.join(hit, "doc_id", "left")
-    closed, closer = F.col("c.ends"), F.coalesce(F.col("c.closer"), F.lit(0.0))
+    closed, closer = F.col("c.ends"), F.coalesce(F.col("c.closer"), F.lit(False))
     prefix = (F.col("below") >= 2) & (F.col("n_word") <= F.col("below") / 1000) & (F.col("f_word") <= 3 + F.col("below") / 20)
     piled = F.coalesce("piled", F.lit(False))
     reason = (
         F.when(F.col("mark").rlike(r"^(\[|\(|--)") & (prefix | F.coalesce(closed < 0.5, F.lit(True))), "mark")
         .when(prefix, "word")
-        .when(closer > 0.5, F.lit(None))
+        .when(closer, F.lit(None))
         .when(F.col("mark") != "", "mark")
         .when(closed < INSIDE, "sentence")
         .when(piled & ~F.col("item") & F.coalesce(closed < 0.9, F.lit(True)), "length")
