@@ -120,6 +120,11 @@ def test_peers_in_blocks(spark):
     df = spark.createDataFrame(rows, "id string, namespace string, embedding array<double>")
     a, b = ({x.id: x.sim and round(x.sim, 9) for x in recall.nearest_peer(df, block=n).collect()} for n in (1000, 13))
     assert a == b and a["alone"] is None
+    c, e = ({(x.id, x.peer, x.place) for x in recall.peer_groups(df, 3, block=n).collect()} for n in (1000, 13))
+    assert c == e and len(c) == 180
+    f = df.withColumn("fresh", F.col("id") >= "i4")
+    up = recall.add_peers(recall.nearest_peer(f.where("not fresh")), f, "fresh")
+    assert {x.id: x.sim and round(x.sim, 9) for x in up.collect()} == a
 
 
 def test_graphs(spark):

@@ -96,41 +96,82 @@ def document_tokens(content: Column, tags: Column) -> Column:
     return F.array_distinct(F.concat(text.keywords(content), F.flatten(F.transform(tags, text.keywords))))
 
 
-def nearest_peer(df: DataFrame, group: str = "namespace", block: int = 4096) -> DataFrame:
-    """``id, sim, least_sim``: highest and lowest cosine to another vector of the group.
+def _in_blocks(df: DataFrame, group: str, block: int, work, schema: str, *extra: str) -> DataFrame:
+    """Run ``work`` on the rows of every two hash blocks of each group.
 
     Groups are cut into blocks by id hash; every two blocks of a group meet in
-    one task as matrices, so no pair is ever a row. Ids alone in their group
-    get null.
+    one task as matrices, so no pair is ever a row.
     """
     n = df.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_b"))
-    rows = df.select("id", group, "embedding").join(n, group)
+    rows = df.select("id", group, "embedding", *extra).join(n, group)
     rows = rows.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_b")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
-    rows = rows.select("id", "embedding", F.col(group).alias("_g"), F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"))
+    rows = rows.select("id", "embedding", *extra, F.col(group).alias("_g"), F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"))
 
-    def peers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [b for b in batches if len(b)]
         if not got:
             return
-        t = pd.concat(got)
-        for _, g in t.groupby(["_g", "_lo", "_hi"], sort=False):
+        for _, g in pd.concat(got).groupby(["_g", "_lo", "_hi"], sort=False):
             x = np.stack(g["embedding"].to_numpy()).astype(np.float64)
             norm = np.sqrt((x * x).sum(1))
-            x = x / np.where(norm > 0, norm, 1)[:, None]
-            high, low = np.full(len(x), -np.inf), np.full(len(x), np.inf)
-            for lo in range(0, len(x), 1024):
-                s = x[lo : lo + 1024] @ x.T
-                own = np.arange(lo, lo + len(s))
-                s[own - lo, own] = -np.inf
-                high[own] = s.max(1)
-                s[own - lo, own] = np.inf
-                low[own] = s.min(1)
-            alone = len(x) == 1
-            yield pd.DataFrame({"id": g["id"].to_numpy(), "sim": [None if alone else v for v in high], "least_sim": [None if alone else v for v in low]}).astype({"sim": "float64", "least_sim": "float64"})
-
-    each = rows.repartition("_g", "_lo", "_hi").mapInPandas(peers, "id string, sim double, least_sim double")
-    high = F.max(F.when(~F.isnan("sim"), F.col("sim")))
-    return each.groupBy("id").agg(high.alias("sim"), F.min(F.when(~F.isnan("least_sim"), F.col("least_sim"))).alias("least_sim"))
+            yield work(g, x / np.where(norm > 0, norm, 1)[:, None])
+
+    return rows.repartition("_g", "_lo", "_hi").mapInPandas(run, schema)
+
+
+def nearest_peer(df: DataFrame, group: str = "namespace", block: int = 4096, fresh: str | None = None) -> DataFrame:
+    """``id, sim, least_sim``: highest and lowest cosine to another vector of the group.
+
+    Ids alone in their group get null. With the boolean column ``fresh``, only
+    pairs with a fresh row count; ids without such a pair get null.
+    """
+
+    def work(g: pd.DataFrame, x: np.ndarray) -> pd.DataFrame:
+        high, low = np.full(len(x), -np.inf), np.full(len(x), np.inf)
+        new = g[fresh].to_numpy(bool) if fresh else np.ones(len(x), bool)
+        for lo in range(0, len(x), 1024):
+            own = np.arange(lo, min(lo + 1024, len(x)))
+            s = x[own] @ x.T
+            off = ~(new[own][:, None] | new[None, :])
+            off[own - lo, own] = True
+            high[own] = np.where(off, -np.inf, s).max(1)
+            low[own] = np.where(off, np.inf, s).min(1)
+        clean = lambda v: np.where(np.isfinite(v), v, np.nan)
+        return pd.DataFrame({"id": g["id"].to_numpy(), "sim": clean(high), "least_sim": clean(low)})
+
+    each = _in_blocks(df, group, block, work, "id string, sim double, least_sim double", *([fresh] if fresh else []))
+    known = lambda c: F.when(~F.isnan(c), F.col(c))
+    return each.groupBy("id").agg(F.max(known("sim")).alias("sim"), F.min(known("least_sim")).alias("least_sim"))
+
+
+def add_peers(peers: DataFrame, df: DataFrame, fresh: str, group: str = "namespace") -> DataFrame:
+    """``peers`` of the old rows, brought up to date with the fresh rows of ``df``."""
+    new = nearest_peer(df, group, fresh=fresh).select("id", F.col("sim").alias("_s"), F.col("least_sim").alias("_l"))
+    out = peers.join(new, "id", "full_outer")
+    return out.select("id", F.greatest("sim", "_s").alias("sim"), F.least("least_sim", "_l").alias("least_sim"))
+
+
+def peer_groups(df: DataFrame, k: int, group: str = "namespace", block: int = 4096) -> DataFrame:
+    """``id, peer, sim, place``: the ``k`` most similar others of the group, by rounded cosine, then id."""
+
+    def work(g: pd.DataFrame, x: np.ndarray) -> pd.DataFrame:
+        ids = g["id"].to_numpy(dtype=object)
+        order = np.argsort(ids)
+        ids, x = ids[order], x[order]
+        most = min(k, len(x) - 1)
+        out = []
+        for lo in range(0, len(x) if most else 0, 1024):
+            own = np.arange(lo, min(lo + 1024, len(x)))
+            s = np.round(x[own] @ x.T, 6)
+            s[own - lo, own] = -np.inf
+            top = np.argsort(-s, axis=1, kind="stable")[:, :most]
+            out.append((np.repeat(ids[own], most), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel()))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
+        return pd.DataFrame({"id": pd.Series(cols[0], dtype="object"), "peer": pd.Series(cols[1], dtype="object"), "sim": np.asarray(cols[2], np.float64)})
+
+    each = _in_blocks(df, group, block, work, "id string, peer string, sim double").distinct()
+    w = Window.partitionBy("id").orderBy(F.col("sim").desc(), "peer")
+    return each.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= k)
 
 
 def first_source(sources: list[DataFrame], key: list[str]) -> DataFrame:

@@ -54,6 +54,32 @@ def j4_redundancy_theta(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", F.round(F.coalesce("sim", F.lit(0.0)), 6).alias("sim"), F.round(pen, 6).alias("penalty"), F.round(nov, 6).alias("novelty"))
 
 
+@query(using("fragments", "vec").rstrip() + _PEERS + "SELECT id, round(sim, 6) AS sim FROM fragments JOIN vec USING (id) LEFT JOIN peers USING (id)")
+def j5_incremental_redundancy(spark: SparkSession, d: str) -> DataFrame:
+    f = v.fragments(spark, d, vectors=True).where("embedding is not null").withColumn("fresh", F.col("id") >= "c")
+    old = recall.nearest_peer(f.where("not fresh"))
+    return recall.add_peers(old, f, "fresh").select("id", F.round("sim", 6).alias("sim"))
+
+
+@query(using("pages", "vec") + """, v AS (SELECT p.id, namespace, state, embedding::DOUBLE[] AS e FROM pages p JOIN vec USING (id))
+SELECT id, peer, place FROM (SELECT a.id, b.id AS peer, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.e, b.e), 6) DESC, b.id) AS place FROM v a JOIN v b ON a.namespace = b.namespace AND a.id <> b.id) JOIN (SELECT id FROM v WHERE state = 'EVICTED') USING (id) WHERE place <= 9""")
+def j10_neighbour_group(spark: SparkSession, d: str) -> DataFrame:
+    p = v.pages(spark, d)
+    f = p.select("id", "namespace").join(v.embeddings(spark, d), "id")
+    return recall.peer_groups(f, 9).join(p.where("state = 'EVICTED'").select("id"), "id", "left_semi").select("id", "peer", "place")
+
+
+@query()
+def j9_nearest_page(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine distance of each fragment to the centroid of the page it was assigned to, within reach of .30 on arrival."""
+    from tidemark.operators import graph
+
+    f = v.fragments(spark, d, vectors=True).where("embedding is not null")
+    own = graph.incremental_pages(f, "namespace", "created_ms").join(f.select("id", "embedding"), "id")
+    c = graph.centroids(own, "page_id", "embedding").select("page_id", F.col("values").alias("centre"), "n")
+    return own.join(c, "page_id").select("id", "page_id", "n", F.round(1 - scalar.cosine(F.col("embedding"), F.col("centre")), 6).alias("distance"))
+
+
 @query(using("ev") + """SELECT e.event_id AS evict_id, min(c.ts_ms) AS recall_ms, count(*) AS recalls FROM ev e JOIN ev c ON c.user_id = e.user_id AND c.ts_ms >= e.ts_ms AND c.ts_ms - e.ts_ms <= 3600000
   WHERE e.event_type = 'error' AND c.event_type = 'click' GROUP BY 1""")
 def j7_regret_interval(spark: SparkSession, d: str) -> DataFrame:
