@@ -37,6 +37,8 @@ ORDER_BITS = 20
 FILTER_BITS = 23
 #: Records of one group that a task takes; larger groups are cut into blocks.
 GROUP_CAP = 20_000
+#: N-grams that a task pairs at once, unless one group has more.
+BATCH_GRAMS = 1_500_000
 #: Vertical fragments the global order is cut into.
 FRAGMENTS = 4
 _EPS = 1e-9
@@ -260,18 +262,28 @@ def candidate_pairs(table: DataFrame, rank: np.ndarray, t: float, cap: int = GRO
         code = cls.dictionary_encode().indices.to_numpy().astype(np.int64)
         _, one = np.unique(gid * (code.max() + 1) + code, return_index=True)
         one.sort()
-        take = pa.array(one)
-        grams, sizes = _unpack(tb.column("grams").combine_chunks().take(take))
-        side, n = tb.column("side").to_numpy()[one], tb.column("n").to_numpy()[one].astype(np.int64)
-        names = cls.take(take)
-        del tb, got, cls, code, keys
-        x, y = _pairs_in(gid[one], side, n, grams, sizes, t)
-        for lo in range(0, max(len(x), 1), 100_000):
-            a, b = [], []
-            for p, q in zip(names.take(pa.array(x[lo : lo + 100_000])).to_pylist(), names.take(pa.array(y[lo : lo + 100_000])).to_pylist()):
-                a.append(min(p, q))
-                b.append(max(p, q))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        one = one[np.argsort(gid[one], kind="stable")]
+        all_sides, all_sizes = tb.column("side").to_numpy(), tb.column("n").to_numpy()
+        grams_of = tb.column("grams").combine_chunks()
+        # whole groups at a time, so that memory follows the largest group, not the partition
+        held = np.cumsum(all_sizes[one])
+        edge = np.flatnonzero(np.r_[np.diff(gid[one]) != 0, True]) + 1
+        lo = 0
+        while lo < len(one):
+            fits = edge[(edge > lo) & (held[edge - 1] - (held[lo - 1] if lo else 0) <= BATCH_GRAMS)]
+            hi = int(fits[-1]) if len(fits) else int(edge[edge > lo][0])
+            part = one[lo:hi]
+            lo = hi
+            take = pa.array(part)
+            grams, sizes = _unpack(grams_of.take(take))
+            x, y = _pairs_in(gid[part], all_sides[part], all_sizes[part].astype(np.int64), grams, sizes, t)
+            names = cls.take(take)
+            for at in range(0, len(x), 100_000):
+                a, b = [], []
+                for p, q in zip(names.take(pa.array(x[at : at + 100_000])).to_pylist(), names.take(pa.array(y[at : at + 100_000])).to_pylist()):
+                    a.append(min(p, q))
+                    b.append(max(p, q))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     parts = rows.mapInArrow(prefixes, "grp string, lo int, hi int, side int, cls binary, n int, grams binary")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(float(table.agg(F.sum("n")).first()[0] or 0) / 2e6))
