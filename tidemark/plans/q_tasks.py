@@ -40,7 +40,7 @@ def a3_eviction_priority(spark: SparkSession, d: str) -> DataFrame:
 
 _SCORED = f"""scored AS (SELECT *, round(0.3::DOUBLE / (1 + ln(1 + greatest(0, ({NOW} - last_access_ms) / 86400000.0::DOUBLE))) + 0.2::DOUBLE * importance, 9) AS score,
   coalesce(reasoning_chain_id, concat('__self__:', id)) AS grp FROM fragments WHERE NOT coalesce(pinned_until_ms > {NOW}, false)),
-groups AS (SELECT namespace, grp, sum(token_count) AS group_tokens, round(avg(score), 9) AS group_score, max(last_access_ms) AS last_ms, round(avg(importance), 9) AS importance, round(avg(score) / greatest(1, sum(token_count)), 9) AS density FROM scored GROUP BY 1, 2) """
+groups AS (SELECT namespace, grp, sum(token_count) AS group_tokens, round(avg(score), 9) AS group_score, max(last_access_ms) AS last_ms, round(avg(importance), 9) AS importance, round(avg(score) / greatest(1, sum(token_count)), 12) AS density FROM scored GROUP BY 1, 2) """
 _S = using("fragments").rstrip() + ", " + _SCORED
 
 
@@ -52,7 +52,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 def _groups(spark: SparkSession, d: str) -> DataFrame:
     g = eviction.group_totals(_scored(spark, d), scalar.group_key(F.col("reasoning_chain_id"), F.col("id")))
-    return g.withColumn("density", F.round("density", 9)).withColumn("group_score", F.round("group_score", 9)).withColumn("group_tokens", F.col("group_tokens").cast("bigint"))
+    return g.withColumn("density", F.round("density", 12)).withColumn("group_score", F.round("group_score", 9)).withColumn("group_tokens", F.col("group_tokens").cast("bigint"))
 
 
 @query(_S + "SELECT namespace, grp, CAST(group_tokens AS BIGINT) AS group_tokens, group_score, density FROM groups")
