@@ -255,3 +255,10 @@ def test_engine(spark):
     assert e.eviction_plan(1).count() >= 1 and e.quota(100).count() == 1
     assert e.forget(spark.createDataFrame([("a",)], "id string")).fragments.count() == 2
     assert e.store(f.where("id = 'a'")).fragments.count() == 3
+
+
+def test_summary_is_cut_at_a_space(spark):
+    long = " ".join(f"word{i:03d}" for i in range(300))
+    r = one(spark, a=text.summary(F.lit(long)), b=text.summary(F.lit("x" * 2000)), c=text.summary(F.lit("- one.\n- two.")), d=text.summary(F.lit(None).cast("string")))
+    assert 600 <= len(r.a) <= 1200 and long.startswith(r.a) and long[len(r.a)] == " "
+    assert r.b == "x" * 1200 and r.c == "one.\ntwo." and r.d == ""
