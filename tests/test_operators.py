@@ -145,6 +145,28 @@ def test_pages(spark):
         assert len(of) == 20 and not {of[f"i{k}"] for k in range(0, 20, 2)} & {of[f"i{k}"] for k in range(1, 20, 2)}
 
 
+def test_incremental_pages_beyond_a_block_equal_brute_force(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    x = r.normal(size=(150, 4))[r.integers(0, 150, 6000)] + 0.2 * r.normal(size=(6000, 4))
+    df = spark.createDataFrame([(f"i{k:04d}", "g", k * 7919 % 6000 // 2 if k % 50 else None, v.tolist()) for k, v in enumerate(x)], "id string, namespace string, t int, embedding array<double>")
+    of = {row.id: row.page_id for row in graph.incremental_pages(df, "namespace", "t").collect()}
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    centre, held, want = np.zeros((0, 4)), [], {}
+    for k in sorted(range(6000), key=lambda k: (k % 50 == 0, k * 7919 % 6000 // 2 if k % 50 else 0, k)):
+        far = np.where(np.array(held) < 10, 1 - centre @ u[k], np.inf) if held else np.array([np.inf])
+        at = int(far.argmin())
+        if far[at] > 0.30:
+            at, centre = len(held), np.vstack([centre, u[k]])
+            held.append(1)
+        else:
+            m = (centre[at] * held[at] + u[k]) / (held[at] + 1)
+            centre[at], held[at] = m / np.sqrt(m @ m), held[at] + 1
+        want[f"i{k:04d}"] = at
+    assert len(of) == 6000 and {i: int(p.rpartition("-i")[2]) for i, p in of.items()} == want
+
+
 def test_replay_ignores_repeats_and_order(spark):
     ops = [(1, "a", "UPDATE_CONTEXT", "k", "v"), (2, "b", "START_TOOL_EXECUTION", "x", ""), (3, "c", "UPDATE_CONTEXT", "k", ""), (4, "d", "COMPLETE_TOOL_EXECUTION", "x", ""), (5, "e", "FAIL_TOOL_EXECUTION", "none", ""), (6, "f", "SET_STATUS", "", "PAUSED")]
     df = spark.createDataFrame([("t", *o) for o in ops], "task_id string, seq bigint, entry_id string, operation string, key string, value string")

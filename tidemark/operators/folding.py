@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 
-def folded(df: DataFrame, key: str, order: list[str], schema: str, start: Callable[[], dict], step: Callable[[str, dict, pd.DataFrame], pd.DataFrame | None], finish: Callable[[str, dict], pd.DataFrame] | None = None) -> DataFrame:
+def folded(df: DataFrame, key: str, order: list[str | Column], schema: str, start: Callable[[], dict], step: Callable[[str, dict, pd.DataFrame], pd.DataFrame | None], finish: Callable[[str, dict], pd.DataFrame] | None = None) -> DataFrame:
     """Fold each key's rows in order, batch by batch.
 
     Rows are shuffled by key and sorted on disk as far as needed. A task sees a

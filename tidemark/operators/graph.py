@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.folding import folded
 from tidemark.storage import written
 
 GRAPH = "task_id"
@@ -204,38 +205,49 @@ def cosine_pages(vectors: DataFrame, group: str, size: int = 10, rounds: int = 1
     return rows.select("_g", "id", "embedding").groupBy("_g").applyInPandas(cluster, "id string, page_id string")
 
 
-def incremental_pages(vectors: DataFrame, group: str, order: str, size: int = 10, reach: float = 0.30, block: int = 5_000) -> DataFrame:
+def incremental_pages(vectors: DataFrame, group: str, order: str, size: int = 10, reach: float = 0.30) -> DataFrame:
     """``id, page_id``: vectors join the nearest page in reach that has room, else open one; in order.
 
-    Pages keep a running unit centroid. A group beyond ``block`` vectors is cut
-    into blocks by id hash, each assigned by itself.
+    Pages keep a running unit centroid. The rule is sequential, so a group is
+    one fold of its rows in order; its state is the pages that still have room.
     """
 
-    def assign(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([order, "id"])
-        x = np.stack(g["embedding"].to_numpy()).astype(np.float64)
+    def start() -> dict:
+        return {"c": None, "count": np.zeros(0, np.int64), "page": np.zeros(0, np.int64), "held": 0, "full": 0, "pages": 0}
+
+    def step(key: str, s: dict, rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
         n = np.sqrt((x * x).sum(1))
         x = x / np.where(n > 0, n, 1)[:, None]
-        c = np.zeros_like(x)
-        count = np.zeros(len(x), np.int64)
-        pages, own = 0, []
+        own = []
         for v in x:
-            at = -1
-            if pages:
-                d = 1 - c[:pages] @ v
-                d[count[:pages] >= size] = np.inf
+            at, held = -1, s["held"]
+            if held:
+                d = 1 - s["c"][:held] @ v
+                d[s["count"][:held] >= size] = np.inf
                 at = int(d.argmin()) if d.min() <= reach else -1
             if at < 0:
-                at, pages = pages, pages + 1
-                c[at] = v
+                if held == len(s["page"]):
+                    more = max(64, held)
+                    s["c"] = np.concatenate([np.zeros((0, x.shape[1])) if s["c"] is None else s["c"], np.zeros((more, x.shape[1]))])
+                    s["count"], s["page"] = (np.concatenate([s[c], np.zeros(more, np.int64)]) for c in ("count", "page"))
+                at, s["held"] = held, held + 1
+                s["c"][at], s["count"][at], s["page"][at] = v, 0, s["pages"]
+                s["pages"] += 1
             else:
-                m = (c[at] * count[at] + v) / (count[at] + 1)
-                s = np.sqrt(m @ m)
-                c[at] = m / s if s > 1e-12 else m
-            count[at] += 1
-            own.append(at)
-        return pd.DataFrame({"id": g["id"], "page_id": [f"{g['_g'].iloc[0]}-i{i}" for i in own]})
-
-    n = vectors.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_b"))
-    rows = vectors.join(n, group).withColumn("_g", F.concat_ws("/", group, F.pmod(F.xxhash64("id"), F.col("_b")).cast("string")))
-    return rows.select("_g", "id", order, "embedding").groupBy("_g").applyInPandas(assign, "id string, page_id string")
+                m = (s["c"][at] * s["count"][at] + v) / (s["count"][at] + 1)
+                z = np.sqrt(m @ m)
+                s["c"][at] = m / z if z > 1e-12 else m
+            s["count"][at] += 1
+            own.append(s["page"][at])
+            s["full"] += int(s["count"][at] >= size)
+            # full pages leave the state, in batches; the others keep their order
+            if s["full"] > 64 and 2 * s["full"] > s["held"]:
+                k = np.flatnonzero(s["count"][: s["held"]] < size)
+                for c in ("c", "count", "page"):
+                    s[c] = s[c][k]
+                s["held"], s["full"] = len(k), 0
+        return pd.DataFrame({"id": rows["id"], "page_id": [f"{key}-i{i}" for i in own]})
+
+    rows = vectors.select(F.col(group).alias("_g"), "id", order, "embedding")
+    return folded(rows, "_g", [F.col(order).asc_nulls_last(), "id"], "id string, page_id string", start, step)
