@@ -167,6 +167,32 @@ def test_incremental_pages_beyond_a_block_equal_brute_force(spark):
     assert len(of) == 6000 and {i: int(p.rpartition("-i")[2]) for i, p in of.items()} == want
 
 
+def test_cosine_pages_beyond_a_block_equal_brute_force(spark):
+    import numpy as np
+
+    n = 21_000
+    x = np.random.default_rng(6).normal(size=(n, 3))
+    df = spark.createDataFrame([(f"i{k:05d}", "g", v.tolist()) for k, v in enumerate(x)], "id string, namespace string, embedding array<double>")
+    of = {row.id: int(row.page_id.rpartition("-p")[2]) for row in graph.cosine_pages(df, "namespace", size=50, rounds=3).collect()}
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    seeds, near = [0], u @ u[0]
+    while len(seeds) < n // 50:
+        seeds.append(int(near.argmin()))
+        near = np.maximum(near, u @ u[seeds[-1]])
+    c = u[seeds]
+    for _ in range(3):
+        own = (u @ c.T).argmax(1)
+        mean = np.array([u[own == j].sum(0) if (own == j).any() else c[j] for j in range(len(c))])
+        mean /= np.sqrt((mean * mean).sum(1, keepdims=True))
+        settled = (1 - (mean * c).sum(1)).max() <= 1e-3
+        c = mean
+        if settled:
+            break
+    want = (u @ c.T).argmax(1)
+    assert len(of) == n and len(set(of.values())) == len(set(want.tolist()))
+    assert sum(of[f"i{k:05d}"] == w for k, w in enumerate(want)) >= 0.999 * n
+
+
 def test_replay_ignores_repeats_and_order(spark):
     ops = [(1, "a", "UPDATE_CONTEXT", "k", "v"), (2, "b", "START_TOOL_EXECUTION", "x", ""), (3, "c", "UPDATE_CONTEXT", "k", ""), (4, "d", "COMPLETE_TOOL_EXECUTION", "x", ""), (5, "e", "FAIL_TOOL_EXECUTION", "none", ""), (6, "f", "SET_STATUS", "", "PAUSED")]
     df = spark.createDataFrame([("t", *o) for o in ops], "task_id string, seq bigint, entry_id string, operation string, key string, value string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -167,18 +168,31 @@ def centroids(members: DataFrame, page: str, vector: str) -> DataFrame:
     return part.repartition(page).mapInPandas(whole, f"{page} string, values array<{width}>, n bigint")
 
 
-def cosine_pages(vectors: DataFrame, group: str, size: int = 10, rounds: int = 10, settle: float = 1e-3, block: int = 20_000) -> DataFrame:
+def cosine_pages(vectors: DataFrame, group: str, size: int = 10, rounds: int = 10, settle: float = 1e-3) -> DataFrame:
     """``id, page_id``: cosine k-means of each group into about ``n / size`` pages.
 
-    Seeds go farthest first from the least id. A group beyond ``block`` vectors
-    is cut into blocks by id hash, each paged by itself.
+    Seeds go farthest first from the least id, one after the other over the
+    whole group, so a group is the work of one task. Its unit vectors lie in a
+    file mapped into memory; similarities are made for some rows at a time.
     """
 
-    def cluster(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("id")
-        x = np.stack(g["embedding"].to_numpy()).astype(np.float64)
+    def start() -> dict:
+        return {"ids": [], "file": tempfile.TemporaryFile(), "width": 0}
+
+    def step(key: str, s: dict, rows: pd.DataFrame) -> None:
+        x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
         n = np.sqrt((x * x).sum(1))
-        x = x / np.where(n > 0, n, 1)[:, None]
+        s["file"].write((x / np.where(n > 0, n, 1)[:, None]).tobytes())
+        s["ids"] += rows["id"].tolist()
+        s["width"] = x.shape[1]
+
+    def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        rows = max(1, 4_000_000 // len(c))
+        return np.concatenate([(x[lo : lo + rows] @ c.T).argmax(1) for lo in range(0, len(x), rows)])
+
+    def finish(key: str, s: dict) -> pd.DataFrame:
+        s["file"].flush()
+        x = np.asarray(np.memmap(s["file"], np.float64, "r", shape=(len(s["ids"]), s["width"])))
         k = -(-len(x) // size)
         chosen, near = [0], x @ x[0]
         while len(chosen) < k:
@@ -187,22 +201,20 @@ def cosine_pages(vectors: DataFrame, group: str, size: int = 10, rounds: int = 1
             near = np.maximum(near, x @ x[far])
         c = x[chosen]
         for _ in range(rounds):
-            own = (x @ c.T).argmax(1)
             new = np.zeros_like(c)
-            np.add.at(new, own, x)
+            np.add.at(new, nearest(x, c), x)
             norm = np.sqrt((new * new).sum(1))
             new = np.where(norm[:, None] > 1e-12, new / np.where(norm > 1e-12, norm, 1)[:, None], c)
             moved = 1 - (new * c).sum(1)
             c = new
             if moved.max() <= settle:
                 break
-        own = (x @ c.T).argmax(1)
-        tag = f"{g['_g'].iloc[0]}"
-        return pd.DataFrame({"id": g["id"], "page_id": [f"{tag}-p{i}" for i in own]})
+        own = nearest(x, c)
+        s["file"].close()
+        return pd.DataFrame({"id": s["ids"], "page_id": [f"{key}-p{i}" for i in own]})
 
-    n = vectors.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_b"))
-    rows = vectors.join(n, group).withColumn("_g", F.concat_ws("/", group, F.pmod(F.xxhash64("id"), F.col("_b")).cast("string")))
-    return rows.select("_g", "id", "embedding").groupBy("_g").applyInPandas(cluster, "id string, page_id string")
+    rows = vectors.select(F.col(group).alias("_g"), "id", "embedding")
+    return folded(rows, "_g", ["id"], "id string, page_id string", start, step, finish)
 
 
 def incremental_pages(vectors: DataFrame, group: str, order: str, size: int = 10, reach: float = 0.30) -> DataFrame:
