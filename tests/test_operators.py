@@ -127,6 +127,22 @@ def test_peers_in_blocks(spark):
     assert {x.id: x.sim and round(x.sim, 9) for x in up.collect()} == a
 
 
+def test_vector_search_in_blocks(spark):
+    import numpy as np
+
+    x = np.random.default_rng(7).normal(size=(90, 4))
+    ids = [f"i{k:02d}" for k in range(90)]
+    df = spark.createDataFrame([(i, "g" if k < 70 else "h", v.tolist()) for k, (i, v) in enumerate(zip(ids, x))], "id string, namespace string, embedding array<double>")
+    got = {(r.query_id, r["rank"]): r.id for r in recall.vector_search(df, df.where("substr(id, 3) in ('0', '5')"), 3, block=7).collect()}
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    want = {}
+    for k in range(0, 90, 5):
+        own = range(70) if k < 70 else range(70, 90)
+        for place, j in enumerate(sorted(own, key=lambda j: (-round(float(u[k] @ u[j]), 6), j))[:3]):
+            want[ids[k], place + 1] = ids[j]
+    assert got == want
+
+
 def test_graphs(spark):
     e = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 1, 3), (2, 1, 2), (2, 2, 1)], "task_id bigint, src bigint, dst bigint")
     n = spark.createDataFrame([(1, k) for k in (1, 2, 3)] + [(2, 1), (2, 2)], "task_id bigint, node bigint")

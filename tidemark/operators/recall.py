@@ -174,6 +174,39 @@ def peer_groups(df: DataFrame, k: int, group: str = "namespace", block: int = 40
     return each.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= k)
 
 
+def vector_search(df: DataFrame, queries: DataFrame, k: int, group: str = "namespace", block: int = 4096) -> DataFrame:
+    """``query_id, id, score, rank``: the ``k`` most similar rows of each query's group, by rounded cosine, then id.
+
+    Every block of a group's rows meets every block of its queries in a task.
+    """
+    rows, asks = df.select("id", group, "embedding"), queries.select("id", group, "embedding")
+    size = lambda t, c: t.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias(c))
+    n = size(rows, "_r").join(size(asks, "_q"), group)
+    place = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    a = rows.join(n, group).withColumn("_lo", place("_r")).withColumn("_hi", each("_q")).withColumn("_ask", F.lit(False))
+    b = asks.join(n, group).withColumn("_hi", place("_q")).withColumn("_lo", each("_r")).withColumn("_ask", F.lit(True))
+    both = a.select(F.col(group).alias("_g"), "_lo", "_hi", "_ask", "id", "embedding").unionByName(b.select(F.col(group).alias("_g"), "_lo", "_hi", "_ask", "id", "embedding"))
+
+    def work(g: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(g["embedding"].to_numpy()).astype(np.float64)
+        norm = np.sqrt((x * x).sum(1))
+        x, ids, ask = x / np.where(norm > 0, norm, 1)[:, None], g["id"].to_numpy(dtype=object), g["_ask"].to_numpy(dtype=bool)
+        own = np.flatnonzero(~ask)
+        own = own[np.argsort(ids[own])]
+        out = []
+        for lo in range(0, int(ask.sum()), 512):
+            q = np.flatnonzero(ask)[lo : lo + 512]
+            s = np.round(x[q] @ x[own].T, 6)
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            out.append(pd.DataFrame({"query_id": np.repeat(ids[q], top.shape[1]), "id": ids[own][top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    found = both.groupBy("_g", "_lo", "_hi").applyInPandas(work, "query_id string, id string, score double")
+    return found.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+
+
 def first_source(sources: list[DataFrame], key: list[str]) -> DataFrame:
     """Union in which the first source of a key wins; ``source`` numbers it, ``offered`` counts all."""
     both = None

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar, text
 from tidemark.functions.names import clean_name
-from tidemark.operators import stores
+from tidemark.operators import recall, stores
 from tidemark.plans import views as v
 from tidemark.plans.registry import query
-from tidemark.plans.sqlviews import NOW, using
+from tidemark.plans.sqlviews import ASKS, NOW, using
 
 HOT_NS = "atlas-frontdesk"
 
@@ -47,6 +47,19 @@ def s4_vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "id")).cast("bigint"))
 
 
+_VEC_EACH = f""", v AS (SELECT id, namespace, token_count, embedding::DOUBLE[] AS e FROM fragments JOIN vec USING (id)),
+s AS (SELECT q.id AS query_id, v.id, v.token_count, round(list_cosine_similarity(v.e, q.e), 6) AS score FROM v JOIN v q USING (namespace) WHERE {ASKS.format("q.id")})
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 20"""
+
+
+@query(using("fragments", "vec").rstrip() + _VEC_EACH)
+def s4_vector_topk_each(spark: SparkSession, d: str) -> DataFrame:
+    """The search of ``s4_vector_topk`` for one id in twenty of every namespace."""
+    f = v.fragments(spark, d, vectors=True).where("embedding is not null")
+    found = recall.vector_search(f, f.where(v.asks(F.col("id"))), 20)
+    return found.join(f.select("id", "token_count"), "id").select("query_id", "id", "token_count", "score", "rank")
+
+
 @query(using("fragments") + "SELECT namespace, id, rank FROM (SELECT namespace, id, row_number() OVER (PARTITION BY namespace ORDER BY id) AS rank FROM fragments) WHERE rank <= 3")
 def s6_namespace_listing(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("namespace").orderBy("id")

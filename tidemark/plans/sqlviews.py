@@ -4,6 +4,8 @@ from tidemark.plans.views import MODES, NOW_MS
 
 _MODE_LIST = ", ".join(f"'{m}'" for m in MODES)
 NOW = str(NOW_MS)
+#: One id in twenty, as in ``views.asks``.
+ASKS = "('0x' || substr(md5({0}), 1, 6))::INT % 20 = 0"
 
 DEFINITIONS: dict[str, tuple[list[str], str]] = {
     "vec": ([], """SELECT fragment_id AS id, any_value(embedding) AS embedding FROM warm_vectors

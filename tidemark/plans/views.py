@@ -50,6 +50,11 @@ def embeddings(spark: SparkSession, d: str) -> DataFrame:
     return v.select(F.col("fragment_id").alias("id"), "embedding").where("id is not null").dropDuplicates(["id"])
 
 
+def asks(key) -> F.Column:
+    """True for one id in twenty, by its MD5: the rows that searches take as queries."""
+    return F.conv(F.substring(F.md5(key), 1, 6), 16, 10).cast("int") % 20 == 0
+
+
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """Scored offers of a fragment in a recall, each candidate once.
 
