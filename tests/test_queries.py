@@ -37,13 +37,14 @@ def test_query(spark, sf, con, name):
         assert rows
 
 
-def test_searches_cover_every_namespace(spark, sf):
+def test_searches_and_norm_cover_every_namespace_and_tier(spark, sf):
     from tidemark.plans import views as v
 
     f = v.fragments(spark, sf, vectors=True).where("embedding is not null").select("id", "namespace")
     asked = {r.id: r.namespace for r in f.where(v.asks(f.id)).collect()}
     found = {r.query_id for r in QUERIES["s4_vector_topk_each"](spark, sf).select("query_id").distinct().collect()}
     assert found == set(asked) and len(set(asked.values())) > 1
+    assert QUERIES["f_norm_all"](spark, sf).select("id").distinct().count() == f.count()
 
 
 def test_names_leave_the_problem_queries_alone():

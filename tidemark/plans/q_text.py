@@ -88,6 +88,13 @@ def f_norm(spark: SparkSession, d: str) -> DataFrame:
     return f.select("id", F.posexplode(scalar.unit(F.col("embedding"))).alias("pos", "value")).select("id", F.col("pos").cast("bigint").alias("pos"), F.round("value", 6).alias("value"))
 
 
+@query(using("fragments", "vec") + "SELECT id, pos, round(x / n, 6) AS value FROM (SELECT id, unnest(embedding::DOUBLE[]) AS x, unnest(range(128)) AS pos, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))) AS n FROM fragments JOIN vec USING (id))")
+def f_norm_all(spark: SparkSession, d: str) -> DataFrame:
+    """``f_norm`` over the vectors of every tier."""
+    f = v.fragments(spark, d, vectors=True).where("embedding is not null")
+    return f.select("id", F.posexplode(scalar.unit(F.col("embedding"))).alias("pos", "value")).select("id", F.col("pos").cast("bigint").alias("pos"), F.round("value", 6).alias("value"))
+
+
 @query(using("pages") + f"""SELECT page_id, round(0.25::DOUBLE / (1 + ln(1 + greatest(0, ({NOW} - last_ms) / 86400000.0::DOUBLE))) + 0.3::DOUBLE * (1 - dist), 6) AS score, dist FROM (SELECT page_id, max(last_access_ms) AS last_ms,
   CASE WHEN substr(page_id, 1, 15) = 'atlas-frontdesk' THEN 0.0::DOUBLE WHEN substr(page_id, 1, 8) = 'tenant-1' THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END AS dist FROM pages GROUP BY 1)""")
 def f_page_distance(spark: SparkSession, d: str) -> DataFrame:
