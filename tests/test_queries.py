@@ -2,6 +2,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.plans import catalogue
 
@@ -47,6 +48,17 @@ def test_searches_and_norm_cover_every_namespace_and_tier(spark, sf):
     assert QUERIES["f_norm_all"](spark, sf).select("id").distinct().count() == f.count()
 
 
+def test_keyword_searches_follow_the_size_of_namespaces(spark, sf):
+    from tidemark.plans import views as v
+
+    f = v.fragments(spark, sf).select("id", "namespace", v.asks(F.col("id")).alias("asks"))
+    asked = {r.id for r in f.where("asks").collect()}
+    first = {r.id for r in f.groupBy("namespace").agg(F.min("id").alias("id")).collect()}
+    found = {r.query_id for r in QUERIES["j6_term_posting_join_each"](spark, sf).collect()}
+    assert found <= asked and len(found) > 0.9 * len(asked)
+    assert found - first
+
+
 def test_names_leave_the_problem_queries_alone():
     import re
 

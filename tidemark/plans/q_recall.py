@@ -9,7 +9,7 @@ from tidemark.functions import scalar, text
 from tidemark.operators import recall, stores
 from tidemark.plans import views as v
 from tidemark.plans.registry import query
-from tidemark.plans.sqlviews import NOW, using
+from tidemark.plans.sqlviews import ASKS, NOW, using
 
 _TIERS = "CASE tier WHEN 'L1' THEN 0 WHEN 'L3' THEN 1 ELSE 2 END"
 
@@ -305,3 +305,21 @@ def f_keyword_search(spark: SparkSession, d: str) -> DataFrame:
 @query(using("fragments").rstrip() + _DOCS + ", q AS (SELECT namespace, min(id) AS query_id FROM docs GROUP BY 1) SELECT query_id, count(DISTINCT id) AS hits FROM (SELECT q.query_id, d.namespace, unnest(d.tokens) AS term FROM q JOIN docs d ON d.id = q.query_id) JOIN (SELECT id, namespace, unnest(tokens) AS term FROM docs) USING (namespace, term) GROUP BY 1")
 def j6_term_posting_join(spark: SparkSession, d: str) -> DataFrame:
     return f_keyword_search(spark, d).groupBy("query_id").agg(F.countDistinct("id").alias("hits"))
+
+
+_ASKED = f"SELECT namespace, id AS query_id, tokens FROM docs WHERE {ASKS.format('id')}"
+_KW_EACH = _DOCS + f""", q AS ({_ASKED}), terms AS (SELECT id, namespace, unnest(tokens) AS term FROM docs), n AS (SELECT namespace, count(*) AS n FROM docs GROUP BY 1), df AS (SELECT namespace, term, count(*) AS df FROM terms GROUP BY 1, 2)
+SELECT query_id, id, round(sum(ln(1 + n / df)) + count(*) / any_value(nq), 6) AS score, count(*) AS matched FROM (SELECT namespace, query_id, len(tokens) AS nq, unnest(tokens) AS term FROM q) JOIN terms USING (namespace, term) JOIN df USING (namespace, term) JOIN n USING (namespace) GROUP BY 1, 2"""
+
+
+@query(using("fragments").rstrip() + _KW_EACH)
+def f_keyword_search_each(spark: SparkSession, d: str) -> DataFrame:
+    """The search of ``f_keyword_search`` for one id in twenty of every namespace."""
+    docs = v.fragments(spark, d).select("id", "namespace", recall.document_tokens(F.col("content"), F.col("tags")).alias("tokens"))
+    q = docs.where(v.asks(F.col("id"))).withColumnRenamed("id", "query_id")
+    return recall.keyword_scores(docs, q).select("query_id", "id", F.round("score", 6).alias("score"), "matched")
+
+
+@query(using("fragments").rstrip() + _DOCS + f", q AS ({_ASKED}) SELECT query_id, count(DISTINCT id) AS hits FROM (SELECT query_id, namespace, unnest(tokens) AS term FROM q) JOIN (SELECT id, namespace, unnest(tokens) AS term FROM docs) USING (namespace, term) GROUP BY 1")
+def j6_term_posting_join_each(spark: SparkSession, d: str) -> DataFrame:
+    return f_keyword_search_each(spark, d).groupBy("query_id").agg(F.count("*").alias("hits"))
