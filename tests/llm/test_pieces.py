@@ -86,3 +86,10 @@ def test_rows(spark):
     assert all(len(by[k]) == 1 and by[k][0].piece == 0 and by[k][0].content is None for k in "bcd")
     assert by["e"][0].n_pieces == 1 and by["e"][0].content == "short"
     assert p.pieces(df.limit(0), "k", "content", "note").count() == 0
+
+
+def test_the_deepest_of_all_gaps_is_taken():
+    # no mark in the text; its topic changes at token 405, which is not one of every eighth gap
+    words = [f"{'a' if k < 405 else 'b'}{k % 7}" for k in range(900)]
+    text = " ".join(words)
+    assert p.cut_text(text)[0] == (0, text.index("b"))

@@ -94,7 +94,7 @@ def depths(sim: np.ndarray) -> np.ndarray:
     return (climb(sim) - sim) + (climb(sim[::-1])[::-1] - sim)
 
 
-def cut_text(text: str, limit: int = 512, overlap: int = 64, block: int = 32, step: int = 8) -> list[tuple[int, int]]:
+def cut_text(text: str, limit: int = 512, overlap: int = 64, block: int = 32, step: int = 1) -> list[tuple[int, int]]:
     """Character spans of the pieces.
 
     Every piece has at most ``limit`` tokens. The first starts at 0, each later
