@@ -59,6 +59,10 @@ def test_keyword_searches_follow_the_size_of_namespaces(spark, sf):
     assert found - first
 
 
+def test_every_predicate_is_registered():
+    assert all(any(n.startswith(f"pred{k}_") for n in QUERIES) for k in range(1, 13))
+
+
 def test_names_leave_the_problem_queries_alone():
     import re
 

@@ -177,6 +177,13 @@ def pred2_tag_and_filter(spark: SparkSession, d: str) -> DataFrame:
     return v.fragments(spark, d).where(text.matches_all(F.col("tags"), ["task:gaxgolun"])).select("id")
 
 
+@query(using("candidates", "fragments") + "SELECT candidate_id, id FROM candidates JOIN fragments ON id = fragment_id AND fragments.namespace = candidates.namespace")
+def pred3_namespace_isolation(spark: SparkSession, d: str) -> DataFrame:
+    """Offers of a fragment that lies in the namespace of the recall."""
+    c = v.candidates(spark, d).select("candidate_id", "namespace", F.col("fragment_id").alias("id"))
+    return c.join(v.fragments(spark, d).select("id", "namespace"), ["id", "namespace"]).select("candidate_id", "id")
+
+
 @query(using("fragments") + f"SELECT id, coalesce(pinned_until_ms > {NOW}, false) AS pinned, CASE WHEN pinned_until_ms > {NOW} THEN pinned_until_ms END AS pinned_until_ms FROM fragments")
 def pred4_pin_expiry(spark: SparkSession, d: str) -> DataFrame:
     pinned = scalar.is_pinned(F.col("pinned_until_ms"), F.lit(v.NOW_MS))
