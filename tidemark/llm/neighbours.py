@@ -1,8 +1,11 @@
 """Most similar vectors of every vector, through a permutation index.
 
-Every vector is represented by its nearest pivots in order. Vectors are posted
-in the inverted files of their pivots, candidates are ranked by the footrule
-distance between the pivot orders, and the best are reranked by exact cosine.
+The index has two levels. The vectors of a group are posted in the inverted
+files of their nearest file pivots; the number of files, and the length of one,
+grow with the square root of the group. In a file every vector is represented
+by the order in which it sees the file's own pivots. The other members are
+ranked by the footrule distance of these orders, and the best are reranked by
+exact cosine. A group that one file holds is a group with one file pivot.
 """
 
 from __future__ import annotations
@@ -13,31 +16,41 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import clean_name
 from tidemark.storage import written
 
+#: File pivots of large groups are broadcast up to this many bytes; beyond, they are shuffled to the rows.
+BROADCAST_BYTES = 64 << 20
+#: Distinct vectors a task holds before it posts them.
+HELD = 16_384
+
 
 @dataclass(frozen=True)
 class IndexSettings:
-    """``pivots`` are drawn from all usable vectors, those of least id hash.
+    """A file of a group of n vectors has about ``spread`` times the root of n members.
 
-    A vector's permutation has ``length`` pivots. A group of up to ``whole``
-    distinct vectors is one list; in a larger one each vector is posted under
-    its ``posts`` nearest pivots, and a list beyond ``whole`` is cut into blocks
-    that are compared two by two. ``candidates`` of each list are reranked.
+    Each vector is posted in ``posts`` files; a group no larger than one file has
+    one. A file's members are ordered against ``pivots`` of them, and places are
+    compared in ``bands`` bands. Of a file of L members, ``candidates``, or four
+    times the root of L where that is more, are reranked.
     """
 
+    spread: float = 30.0
+    posts: int = 4
     pivots: int = 128
-    length: int = 16
-    posts: int = 6
+    bands: int = 8
     candidates: int = 100
-    whole: int = 4096
 
+    def files(self, n: Column) -> Column:
+        """Number of file pivots of a group of ``n`` vectors."""
+        return F.when(n <= self.spread * F.sqrt(n), 1).otherwise(F.ceil(self.posts * F.sqrt(n) / self.spread)).cast("int")
+
+    def reranked(self, n: int) -> int:
+        return max(self.candidates, math.ceil(4 * math.sqrt(n)))
 
 def vector_table(df: DataFrame, key: str, group: str, vector: str, width: int) -> DataFrame:
     """``id, grp, cls, vec`` of the usable rows; ``cls`` is a hash of group and values.
@@ -63,91 +76,217 @@ def vector_table(df: DataFrame, key: str, group: str, vector: str, width: int) -
     return rows.mapInArrow(parse, "id string, grp string, cls binary, vec binary")
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, width)
+def _answers(ids: list[list[str]], best: np.ndarray, cos: np.ndarray, k: int) -> Iterator[tuple[int, str | None, str, float]]:
+    """Item-level neighbours: each row is a class with its least ``k + 1`` ids.
+
+    Yields ``row, query id, neighbour id, cosine``. A class that may have more
+    members than the ids known gets rows without query id for the rest.
+    """
+    for i, own in enumerate(ids):
+        items = [(-1.0, y) for y in own]
+        for j, c in zip(best[i].tolist(), cos[i].tolist()):
+            if j < 0:
+                break
+            items += [(-c, y) for y in ids[j]]
+        items.sort()
+        items = items[: k + 1]
+        for q in own:
+            for c, y in [t for t in items if t[1] != q][:k]:
+                yield i, q, y, -c
+        if len(own) > k:
+            for c, y in items[:k]:
+                yield i, None, y, -c
 
 
-def permutations(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
-    """The ``length`` nearest pivots of every row, nearest first; equal ones by number."""
+def orders(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Place of every pivot in the order in which each row sees them; equal ones by number."""
     near = (x @ pivots.T).round(6)
-    length = min(length, pivots.shape[0])
-    return np.argsort(-near, axis=1, kind="stable")[:, :length]
+    places = np.empty(near.shape, np.int16)
+    np.put_along_axis(places, np.argsort(-near, axis=1, kind="stable"), np.arange(near.shape[1], dtype=np.int16)[None, :], 1)
+    return places
 
 
-def footrule_top(perm: np.ndarray, m: int, c: int, block: int = 512) -> Iterator[tuple[int, np.ndarray]]:
-    """For blocks of rows, the ``c`` other rows of least footrule distance.
+def order_codes(x: np.ndarray, pivots: np.ndarray, bands: int) -> np.ndarray:
+    """Orders as bits: the Hamming distance of two rows is their footrule distance.
 
-    With a missing pivot counted at place ``length``, the distance of two
-    permutations is a constant less twice the sum, over shared pivots, of the
-    smaller of ``length - place``. That sum is gathered from the inverted
-    files: only rows that share a pivot are touched. Equal distances go by row.
+    Places are cut into bands; band ``b`` of a pivot is written as ``b`` ones, so
+    that two codes differ in as many bits as their bands lie apart. With a band
+    for every place this is the footrule distance itself.
     """
-    n, length = perm.shape
-    flat = perm.ravel()
-    order = np.argsort(flat, kind="stable")
-    bounds = np.searchsorted(flat[order], np.arange(m + 1))
-    rows, weight = order // length, (length - order % length).astype(np.int16)
+    m = len(pivots)
+    out = np.zeros((len(x), -(-m * bands // 64) * 8), np.uint8)
+    for lo in range(0, len(x), 4096):
+        band = orders(x[lo : lo + 4096], pivots).astype(np.int32) * bands // m
+        ones = (band[:, :, None] > np.arange(bands)).reshape(len(band), -1)
+        packed = np.packbits(ones, axis=1)
+        out[lo : lo + 4096, : packed.shape[1]] = packed
+    return out.view(np.uint64)
+
+
+def footrule_top(codes: np.ndarray, c: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For blocks of rows, the ``c`` other rows of least footrule distance; equal ones by row."""
+    n = len(codes)
+    words = np.ascontiguousarray(codes.T)
+    block = max(1, 131_072 // n)
     for lo in range(0, n, block):
         hi = min(n, lo + block)
-        near = np.zeros((hi - lo, n), np.int32)
-        for p in range(m):
-            r, w = rows[bounds[p] : bounds[p + 1]], weight[bounds[p] : bounds[p + 1]]
-            mine = (r >= lo) & (r < hi)
-            if mine.any():
-                near[np.ix_(r[mine] - lo, r)] += np.minimum(w[mine][:, None], w[None, :])
-        near = near.astype(np.int64) * n + (n - 1 - np.arange(n))
-        near[np.arange(hi - lo), np.arange(lo, hi)] = -1
-        yield lo, np.argpartition(-near, c - 1, axis=1)[:, :c]
-
-
-def _nearest(x: np.ndarray, first: np.ndarray, pivots: np.ndarray, k: int, s: IndexSettings) -> tuple[np.ndarray, np.ndarray]:
-    """Per row, up to ``k`` other rows by rounded cosine, then by ``first``; -1 fills up.
-
-    Rows come ordered by ``first``. A list of at most ``candidates`` others is
-    reranked whole, as every one of them is a candidate.
+        far = np.zeros((hi - lo, n), np.int64)
+        for w in words:
+            far += np.bitwise_count(w[lo:hi, None] ^ w[None, :])
+        far = far * n + np.arange(n)
+        far[np.arange(hi - lo), np.arange(lo, hi)] = np.iinfo(np.int64).max
+        yield lo, np.argpartition(far, c - 1, axis=1)[:, :c]
+
+
+def _nearest(x: np.ndarray, hashes: np.ndarray, k: int, s: IndexSettings) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of a file, up to ``k`` other rows by rounded cosine, then by row; -1 fills up.
+
+    The pivots are the rows of least hash. Where every other row is among the
+    candidates whatever its distance, the distances are left out.
     """
     n = len(x)
     d = x.astype(np.float64)
     norm = np.sqrt((d * d).sum(1))
     k_here = min(k, n - 1)
     best, cos = np.full((n, k), -1, np.int64), np.full((n, k), -2.0)
-    if n - 1 <= s.candidates:
+    c = s.reranked(n)
+    if n - 1 <= c:
         sim = np.round(d @ d.T / norm[:, None] / norm[None, :], 6)
         np.fill_diagonal(sim, -9)
         o = np.argsort(-sim, axis=1, kind="stable")[:, :k_here]
         best[:, :k_here], cos[:, :k_here] = o, np.take_along_axis(sim, o, 1)
         return best, cos
-    perm = permutations((d / norm[:, None]).astype(np.float32), pivots, s.length)
-    for lo, c in footrule_top(perm, len(pivots), s.candidates):
-        c = np.sort(c, axis=1)
-        rows = np.arange(lo, lo + len(c))
-        sim = np.einsum("ik,ijk->ij", d[rows], d[c])
-        sim = np.round(sim / norm[rows][:, None] / norm[c], 6)
-        o = np.argsort(-sim, axis=1, kind="stable")[:, :k_here]
-        best[rows, :k_here], cos[rows, :k_here] = np.take_along_axis(c, o, 1), np.take_along_axis(sim, o, 1)
+    unit = (d / norm[:, None]).astype(np.float32)
+    codes = order_codes(unit, unit[np.argsort(hashes, kind="stable")[: s.pivots]], s.bands)
+    step = max(1, 4_000_000 // (c * x.shape[1]))
+    for first, each in footrule_top(codes, c):
+        for lo in range(0, len(each), step):
+            near = np.sort(each[lo : lo + step], axis=1)
+            rows = np.arange(first + lo, first + lo + len(near))
+            sim = np.matmul(d[near], d[rows][:, :, None])[:, :, 0]
+            sim = np.round(sim / norm[rows][:, None] / norm[near], 6)
+            o = np.argsort(-sim, axis=1, kind="stable")[:, :k_here]
+            best[rows, :k_here], cos[rows, :k_here] = np.take_along_axis(near, o, 1), np.take_along_axis(sim, o, 1)
     return best, cos
 
 
-def _answers(ids: list[list[str]], best: np.ndarray, cos: np.ndarray, k: int) -> Iterator[tuple[int, str | None, str, float]]:
-    """Item-level neighbours: each row is a class with its least ``k + 1`` ids.
+def file_pivots(table: DataFrame, groups: DataFrame) -> DataFrame:
+    """``grp, files, bucket, vec``: the file pivots of ``groups`` (``grp, files``).
 
-    Yields ``row, query id, neighbour id, cosine``. A class that may have more
-    members than the ids known gets rows without query id for the rest.
+    The distinct vectors of a group fall into as many buckets as it has files,
+    by hash; the one of least hash in each is a pivot. Every task sends at most
+    one vector for each bucket it meets.
     """
-    for i, own in enumerate(ids):
-        items = [(-1.0, y) for y in own]
-        for j, c in zip(best[i].tolist(), cos[i].tolist()):
-            if j < 0:
-                break
-            items += [(-c, y) for y in ids[j]]
-        items.sort()
-        items = items[: k + 1]
-        for q in own:
-            for c, y in [t for t in items if t[1] != q][:k]:
-                yield i, q, y, -c
-        if len(own) > k:
-            for c, y in items[:k]:
-                yield i, None, y, -c
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple[str, int], tuple[int, bytes, int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            keys, values = list(kept), list(kept.values())
+            kept.clear()
+            a = [pa.array([g for g, _ in keys], pa.string()), pa.array([v[2] for v in values], pa.int32()), pa.array([b for _, b in keys], pa.int32())]
+            return pa.RecordBatch.from_arrays([*a, pa.array([v[0] - 2**63 for v in values], pa.int64()), pa.array([v[1] for v in values], pa.binary())], names=["grp", "files", "bucket", "h", "vec"])
+
+        for b in batches:
+            cls = np.frombuffer(b"".join(c[:8] for c in b.column("cls").to_pylist()), "<u8")
+            for g, m, h, i in zip(b.column("grp").to_pylist(), b.column("files").to_pylist(), cls.tolist(), range(b.num_rows)):
+                e = kept.get((g, h % m))
+                if e is None or h < e[0]:
+                    kept[g, h % m] = h, b.column("vec")[i].as_py(), m
+            if len(kept) > HELD:
+                yield flush()
+        yield flush()
+
+    rows = table.join(groups, "grp").select("grp", "files", "cls", "vec").mapInArrow(least, "grp string, files int, bucket int, h bigint, vec binary")
+    return rows.groupBy("grp", "files", "bucket").agg(F.min_by("vec", "h").alias("vec"))
+
+
+def posted(table: DataFrame, k: int, width: int, s: IndexSettings) -> tuple[DataFrame, int]:
+    """``grp, part, cls, ids, vec``: every distinct vector under its files, and a number of tasks for the files.
+
+    ``part`` is -1 in a group of one file. ``ids`` are the least ``k + 1`` of the
+    vector's ids that the task met.
+    """
+    spark = table.sparkSession
+    sizes = table.groupBy("grp").agg(F.count("*").alias("n")).withColumn("files", s.files(F.col("n")))
+    sizes = written(sizes, "groups")
+    single = F.col("files") == 1
+    total = sizes.agg(
+        F.coalesce(F.sum(F.when(~single, F.col("files"))), F.lit(0)), F.coalesce(F.sum(F.when(single, F.col("n")).otherwise(s.posts * F.col("n"))), F.lit(0)),
+        F.coalesce(F.sum(F.when(single, F.col("n") * F.col("n")).otherwise(s.posts * s.spread * F.col("n") * F.sqrt("n"))), F.lit(0.0)),
+    ).first()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total[1] / 25_000), math.ceil(float(total[2]) / 2e8))
+    large = sizes.where(~single).select("grp", "files")
+    pivots = written(file_pivots(table, large), "file-pivots")
+    held = None
+    if total[0] * 4 * width <= BROADCAST_BYTES:
+        by: dict[str, list[bytes]] = {}
+        for r in pivots.orderBy("grp", "bucket").collect():
+            by.setdefault(r.grp, []).append(bytes(r.vec))
+        held = spark.sparkContext.broadcast({g: _unit(v, width) for g, v in by.items()})
+        rows = table.select("grp", F.lit(0).alias("salt"), F.lit(1).alias("kind"), F.lit(0).alias("bucket"), "id", "cls", "vec")
+    else:
+        # the rows of a large group are spread over shares, and its pivots sent to each share ahead of them
+        shares = sizes.select("grp", F.ceil(F.col("n") / 50_000).cast("int").alias("shares"), "files")
+        rows = table.join(shares, "grp").select("grp", F.pmod(F.xxhash64("cls"), "shares").cast("int").alias("salt"), F.lit(1).alias("kind"), F.lit(0).alias("bucket"), "id", "cls", "vec")
+        ahead = pivots.join(shares.drop("files"), "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.lit(0).alias("kind"), "bucket", F.lit(None).cast("string").alias("id"), F.lit(None).cast("binary").alias("cls"), "vec")
+        rows = rows.unionByName(ahead).repartition(tasks, "grp", "salt").sortWithinPartitions("grp", "salt", "kind", "bucket")
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[bytes, list] = {}
+        own, ahead = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            by: dict[str, list[bytes]] = {}
+            for c, e in kept.items():
+                by.setdefault(e[1], []).append(c)
+            cls, part = [], []
+            for g, each in by.items():
+                pivots = held.value.get(g) if held is not None else own[1] if own is not None and own[0] == g else None
+                if pivots is None:
+                    cls += each
+                    part += [-1] * len(each)
+                    continue
+                m = min(s.posts, len(pivots))
+                near = (_unit([kept[c][2] for c in each], width) @ pivots.T).round(6)
+                part += np.argsort(-near, axis=1, kind="stable")[:, :m].ravel().tolist()
+                cls += [c for c in each for _ in range(m)]
+            for lo in range(0, len(cls), 8192):
+                e = [kept[c] for c in cls[lo : lo + 8192]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[1] for x in e], pa.string()), pa.array(part[lo : lo + 8192], pa.int32()), pa.array(cls[lo : lo + 8192], pa.binary()), pa.array([x[0] for x in e], pa.list_(pa.string())), pa.array([x[2] for x in e], pa.binary())],
+                    names=["grp", "part", "cls", "ids", "vec"],
+                )
+            kept.clear()
+
+        for b in batches:
+            for g, kind, i, c, v in zip(*(b.column(n).to_pylist() for n in ("grp", "kind", "id", "cls", "vec"))):
+                if held is None:
+                    # pivots come ahead of their group's rows
+                    if kind == 0:
+                        if ahead and ahead[0][0] != g:
+                            ahead = []
+                        if kept:
+                            yield from flush()
+                        ahead.append((g, v))
+                        continue
+                    if ahead:
+                        own, ahead = (ahead[0][0], _unit([x for _, x in ahead], width)), []
+                e = kept.get(c)
+                if e is None:
+                    kept[c] = [[i], g, v]
+                    if len(kept) >= HELD:
+                        yield from flush()
+                elif i not in e[0]:
+                    e[0] = sorted([*e[0], i])[: k + 1]
+        yield from flush()
+
+    return rows.mapInArrow(post, "grp string, part int, cls binary, ids array<string>, vec binary"), tasks
+
+
+def _unit(vectors: list[bytes], width: int) -> np.ndarray:
+    d = np.frombuffer(b"".join(vectors), "<f4").reshape(-1, width).astype(np.float64)
+    return (d / np.sqrt((d * d).sum(1, keepdims=True))).astype(np.float32)
 
 
 def nearest_vectors(df: DataFrame, k: int = 5, key: str = "fragment_id", group: str = "namespace", vector: str = "embedding", width: int = 128, settings: IndexSettings | None = None, with_rank: bool = True) -> DataFrame:
@@ -160,99 +299,48 @@ def nearest_vectors(df: DataFrame, k: int = 5, key: str = "fragment_id", group:
     that would need a shuffle of their own are null.
     """
     s = settings or IndexSettings()
-    spark = df.sparkSession
     table = written(vector_table(df, key, group, vector, width), "vectors")
-    drawn = table.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(4 * s.pivots).collect()
-    seen = dict.fromkeys(bytes(r.vec) for r in drawn)
-    pivots = np.array([np.frombuffer(v, "<f4") for v in list(seen)[: s.pivots]], np.float64).reshape(-1, width)
-    pivots = (pivots / np.sqrt((pivots * pivots).sum(1, keepdims=True))).astype(np.float32) if len(pivots) else pivots.astype(np.float32)
-    wide = spark.sparkContext.broadcast(pivots)
-    posts = min(s.posts, max(len(pivots), 1))
-
-    many = written(table.groupBy("grp").count().where(F.col("count") > s.whole).select("grp", F.lit(True).alias("large")), "large-groups")
-    few = many.count()
-    rows = table.join(F.broadcast(many) if few <= 50_000 else many, "grp", "left") if few else table.withColumn("large", F.lit(None).cast("boolean"))
-    rows = rows.select("id", "grp", "cls", "vec", F.coalesce("large", F.lit(False)).alias("large"))
+    files, tasks = posted(table, k, width, s)
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each distinct vector of the task and list it is posted in."""
-        kept: dict[bytes, list] = {}
-        for b in batches:
-            for i, g, c, v, large in zip(*(b.column(n).to_pylist() for n in ("id", "grp", "cls", "vec", "large"))):
-                e = kept.get(c)
-                if e is None:
-                    kept[c] = [[i], g, v, large]
-                elif i not in e[0]:
-                    e[0] = sorted([*e[0], i])[: k + 1]
-        for lo in range(0, len(kept), 4096):
-            cls = list(kept)[lo : lo + 4096]
-            e = [kept[c] for c in cls]
-            x = np.frombuffer(b"".join(t[2] for t in e), "<f4").reshape(-1, width)
-            large = np.array([t[3] for t in e])
-            at, part = np.flatnonzero(~large), np.full((~large).sum(), -1)
-            if large.any():
-                d = x[large].astype(np.float64)
-                p = permutations((d / np.sqrt((d * d).sum(1, keepdims=True))).astype(np.float32), wide.value, posts)
-                at, part = np.r_[at, np.repeat(np.flatnonzero(large), p.shape[1])], np.r_[part, p.ravel()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([e[j][1] for j in at]), pa.array(part.astype(np.int32)), pa.array([cls[j] for j in at], pa.binary()), pa.array([e[j][0] for j in at], pa.list_(pa.string())), pa.array([e[j][2] for j in at], pa.binary())],
-                names=["grp", "part", "cls", "ids", "vec"],
-            )
-
-    kind = "grp string, part int, cls binary, ids array<string>, vec binary"
-    if few:
-        lists = rows.where("large").mapInArrow(post, kind).groupBy("grp", "part").agg(F.ceil(F.count("*") / s.whole).cast("int").alias("blocks")).where("blocks > 1")
-        lists = written(lists, "long-lists")
-        long = lists.count()
-        posted = rows.mapInArrow(post, kind)
-        posted = posted.join(F.broadcast(lists) if long <= 50_000 else lists, ["grp", "part"], "left") if long else posted.withColumn("blocks", F.lit(None).cast("int"))
-        own = F.pmod(F.xxhash64("cls"), F.coalesce("blocks", F.lit(1))).cast("int")
-        posted = posted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-        posted = posted.select("grp", "part", "cls", "ids", "vec", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    else:
-        posted = rows.mapInArrow(post, kind).select("grp", "part", "cls", "ids", "vec", F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+    def answers(g: str, part: int, own: dict[bytes, list]) -> list[tuple]:
+        if len(own) == 1 and len(next(iter(own.values()))[0]) == 1:
+            return []
+        each = sorted(own.items(), key=lambda t: t[1][0][0])
+        x = np.frombuffer(b"".join(t[1][1] for t in each), "<f4").reshape(-1, width)
+        best, cos = _nearest(x, np.frombuffer(b"".join(c[:8] for c, _ in each), "<u8"), k, s)
+        return [(each[i][0], q, y, c, part >= 0) for i, q, y, c in _answers([t[1][0] for t in each], best, cos, k)]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        tb = pa.Table.from_batches(got).combine_chunks()
-        names = pc.binary_join_element_wise(tb.column("grp"), *(tb.column(c).cast(pa.string()) for c in ("part", "lo", "hi")), "\x00").combine_chunks()
-        gid = names.dictionary_encode().indices.to_numpy()
-        order = np.argsort(gid, kind="stable")
-        bounds = np.flatnonzero(np.r_[True, np.diff(gid[order]) != 0, True])
-        cls, ids, vec = (tb.column(c).to_pylist() for c in ("cls", "ids", "vec"))
-        large = tb.column("part").to_numpy() >= 0
-        out: list[tuple] = []
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            at = order[lo:hi].tolist()
-            own: dict[bytes, list] = {}
-            for j in at:
-                if cls[j] in own:
-                    own[cls[j]][0] = sorted({*own[cls[j]][0], *ids[j]})[: k + 1]
+        """The files of a task, one after the other; only one is held."""
+        now, own, out = None, {}, []
+        for b in batches:
+            for g, part, c, ids, v in zip(*(b.column(n).to_pylist() for n in ("grp", "part", "cls", "ids", "vec"))):
+                if now != (g, part):
+                    if own:
+                        out += answers(*now, own)
+                    now, own = (g, part), {}
+                    if len(out) > 50_000:
+                        yield batch(out)
+                        out = []
+                if c in own:
+                    own[c][0] = sorted({*own[c][0], *ids})[: k + 1]
                 else:
-                    own[cls[j]] = [ids[j], vec[j]]
-            if len(own) == 1 and len(next(iter(own.values()))[0]) == 1:
-                continue
-            each = sorted(own.items(), key=lambda t: t[1][0][0])
-            x = np.frombuffer(b"".join(t[1][1] for t in each), "<f4").reshape(-1, width)
-            best, cos = _nearest(x, np.arange(len(x)), wide.value, k, s)
-            out += [(each[i][0], q, y, c, bool(large[at[0]])) for i, q, y, c in _answers([t[1][0] for t in each], best, cos, k)]
-            if len(out) > 50_000:
-                yield batch(out)
-                out = []
-        yield batch(out)
+                    own[c] = [ids, v]
+        if own:
+            out += answers(*now, own)
+        for lo in range(0, max(len(out), 1), 50_000):
+            yield batch(out[lo : lo + 50_000])
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
         a = list(zip(*out)) if out else [[]] * 5
         return pa.RecordBatch.from_arrays([pa.array(a[0], pa.binary()), pa.array(a[1], pa.string()), pa.array(a[2], pa.string()), pa.array(a[3], pa.float64()), pa.array(a[4], pa.bool_())], names=["cls", "id", "neighbour", "cosine", "large"])
 
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(table.count() * (1 + s.posts / 4) / 25_000))
-    found = written(posted.repartition(tasks, "grp", "part", "lo", "hi").mapInArrow(search, "cls binary, id string, neighbour string, cosine double, large boolean"), "neighbours")
-    # a query of a whole group has its answer from one list; the others are merged over their lists
+    listed = files.repartition(tasks, "grp", "part").sortWithinPartitions("grp", "part")
+    found = written(listed.mapInArrow(search, "cls binary, id string, neighbour string, cosine double, large boolean"), "neighbours")
+    # a query of a group of one file has its answer; the others are merged over their files
     single = found.where("id is not null and not large").select("id", "neighbour", "cosine")
     several = found.where("id is not null and large").select("id", "neighbour", "cosine")
-    # members of a class beyond the ids its list knew
+    # members of a class beyond the ids its file knew
     rest = found.where("id is null").select("cls", "neighbour", "cosine").distinct()
     known = found.where("id is not null").select("id").distinct()
     more = table.join(rest.select("cls").distinct(), "cls", "left_semi").select("id", "cls").distinct().join(known, "id", "left_anti")
