@@ -18,7 +18,8 @@ def test_plan_covers_every_item_once(sizes):
     count = np.zeros(41, np.int64)
     for s, n in sizes.items():
         count[s] = n
-    plan = k.solve(count, 40, rounds=40)
+    plan, placed, value = k.solve(count, 40)
+    assert 0 <= placed <= sum(m for _, m in plan) and value >= (count * np.arange(41)).sum() / 40 - 1e-9
     assert all((c * np.arange(41)).sum() <= 40 and m > 0 for c, m in plan)
     assert (sum((c * m for c, m in plan), np.zeros(41, np.int64)) == count).all()
 
@@ -26,9 +27,27 @@ def test_plan_covers_every_item_once(sizes):
 def test_little_room_left():
     r = np.random.default_rng(1)
     count = np.bincount(np.minimum(np.maximum(r.lognormal(5.5, 0.7, 20_000).astype(int), 20), 2048), minlength=2049)
-    plan = k.solve(count, 2048)
+    plan, placed, value = k.solve(count, 2048)
     used, n = (count * np.arange(2049)).sum(), sum(m for _, m in plan)
-    assert used / (n * 2048) > 0.985
+    assert used / (n * 2048) > 0.997
+    # nearly all containers come from the program, which is close to the bound by volume
+    assert placed / n > 0.95 and value <= 1.003 * used / 2048
+
+
+def test_program_covers_every_length():
+    r = np.random.default_rng(2)
+    count = np.bincount(r.integers(1, 300, 3000), minlength=513)
+    cover = k.program(count, 512)
+    assert np.allclose(sum(x * c for c, x in cover), count) and all((c * np.arange(513)).sum() <= 512 for c, _ in cover)
+
+
+def test_a_frequent_length_is_numbered_in_shares(spark, monkeypatch):
+    monkeypatch.setattr(k, "SHARE", 7)
+    out = k.pack(spark.range(100).selectExpr("id", "if(id < 90, 5, id - 88) n"), "id", "n", 16).collect()
+    box = {}
+    for x in out:
+        box[x.container] = box.get(x.container, 0) + x.n_tokens
+    assert len(out) == len({x.id for x in out}) == 100 and max(box.values()) <= 16
 
 
 def test_items(spark):
@@ -43,7 +62,7 @@ def test_items(spark):
     assert sum(r.n_tokens for r in out) == sum(n or 0 for _, n in rows)
     assert k.pack(spark.createDataFrame([], "id bigint, total int"), "id", "total", 10).count() == 0
     report = k.container_report(k.pack(spark.createDataFrame(rows, "id bigint, total int"), "id", "total", 10), 10).first()
-    assert report.tokens == 70 and report.containers >= 7
+    assert report.tokens == 70 and report.containers >= 7 and 0 <= report.program_share <= 1
 
 
 def test_whole_texts_are_counted():

@@ -34,26 +34,9 @@ def encoder(path: str):
     return _encoders[path]
 
 
-#: Longest stretch given to the encoder at once. Its time is not linear in the
-#: length of a run without a break, so such runs are cut here.
-STRETCH = 20_000
-
-
 def count_tokens(encode, text: str | None) -> int:
     """Subword tokens of a whole text; 0 for null."""
-    if not text:
-        return 0
-    if len(text) <= STRETCH:
-        return len(encode(text))
-    total, at = 0, 0
-    while at < len(text):
-        end = min(len(text), at + STRETCH)
-        if end < len(text):
-            cut = text.rfind(" ", at + STRETCH // 2, end)
-            end = cut if cut > at else end
-        total += len(encode(text[at:end]))
-        at = end
-    return total
+    return len(encode(text)) if text else 0
 
 
 def with_token_counts(df: DataFrame, text: str, out: str, vocabulary: str | None = None) -> DataFrame:
