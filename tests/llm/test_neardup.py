@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -44,23 +45,36 @@ def test_equals_brute_force(spark):
     assert found(spark, rows) == brute(rows) != []
 
 
-def test_blocks_change_nothing(spark, monkeypatch):
+def links(spark, rows, t=0.6):
+    out, members = nd.class_links(spark.createDataFrame(rows, SCHEMA), threshold=t)
+    return sorted((bytes(r.a), bytes(r.b), round(r.similarity, 9)) for r in out.collect())
+
+
+@pytest.mark.parametrize("grams", [10**6, 400, 40])
+def test_fragments_change_nothing(spark, monkeypatch, grams):
     rows = texts(200, 2)
-    whole = found(spark, rows)
-    table = nd.written(nd.gram_table(spark.createDataFrame(rows, SCHEMA), "fragment_id", "namespace", "content"), "t")
-    rank, load = nd.global_order(table)
-    pairs = [nd.candidate_pairs(table, rank, 0.6, cap) for cap in (10**6, 7)]
-    a, b = (sorted((bytes(r.a), bytes(r.b)) for r in p.collect()) for p in pairs)
-    assert a == b and whole
-
-
-def test_fragments_change_nothing(spark):
-    rows = texts(120, 3)
-    table = nd.written(nd.gram_table(spark.createDataFrame(rows, SCHEMA), "fragment_id", "namespace", "content"), "t")
-    rank, load = nd.global_order(table)
-    pairs = nd.written(nd.candidate_pairs(table, rank, 0.6), "p")
-    one, many = (sorted((bytes(r.a), bytes(r.b), round(r.similarity, 9)) for r in nd.overlaps(table, pairs, rank, load, 0.6, f).collect()) for f in (1, 9))
-    assert one == many != []
+    whole = links(spark, rows)
+    monkeypatch.setattr(nd, "SMALL_GROUP", 0)
+    monkeypatch.setattr(nd, "FRAGMENT_GRAMS", grams)
+    monkeypatch.setattr(nd, "BATCH_GRAMS", 100)
+    assert links(spark, rows) == whole != []
+    assert found(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("t", [0.3, 0.8, 1.0])
+def test_other_thresholds(spark, monkeypatch, t):
+    rows = texts(160, 4)
+    monkeypatch.setattr(nd, "SMALL_GROUP", 300)
+    monkeypatch.setattr(nd, "FRAGMENT_GRAMS", 250)
+    assert found(spark, rows, t) == brute(rows, t)
+
+
+def test_found_pairs_of_a_whole_table_are_similar(spark):
+    """Every pair of a table, recomputed from its texts."""
+    df = spark.read.parquet("/root/testdata/sf0.01/memory_fragments.parquet")
+    rows = [tuple(r) for r in df.select("fragment_id", "namespace", "content").collect()]
+    got = {(r.id_a, r.id_b) for r in nd.similar_pairs(df).collect()}
+    assert got == set(brute(rows))
 
 
 def test_dirty_and_repeated_rows(spark):

@@ -1,10 +1,10 @@
 """Near-duplicate texts by set overlap, counted in vertical fragments.
 
-The n-grams of all texts get one global order, rarest first. Pairs that could
-reach the threshold must share an n-gram in their prefixes of that order; these
-are the candidates. The order is cut into consecutive ranges of equal load, the
-vertical fragments. The overlap of the candidates is counted in each fragment
-by itself and summed for each pair.
+The n-grams of all texts get one global order, rarest first. The order is cut
+into consecutive ranges of equal load, the vertical fragments, as many as the
+size of a group asks for. Each fragment joins the segments of the group's sets
+that lie in its range, by the n-grams of their prefixes, and counts the partial
+overlaps; these are summed for each pair, and the sum decides.
 
 A text's terms are the runs of a-z and 0-9 and the single Han characters of
 its lower-cased form; its set holds the distinct ordered pairs of adjacent
@@ -35,12 +35,12 @@ WIDTH = 6
 ORDER_BITS = 20
 #: Bits of the filter that spares classes without partner a shuffle; 1 MB.
 FILTER_BITS = 23
-#: Records of one group that a task takes; larger groups are cut into blocks.
-GROUP_CAP = 20_000
-#: N-grams that a task pairs at once, unless one group has more.
-BATCH_GRAMS = 1_500_000
-#: Vertical fragments the global order is cut into.
-FRAGMENTS = 4
+#: N-grams of a group that are one fragment; a group with more has two at least.
+SMALL_GROUP = 2_000
+#: N-grams of a group for each further fragment.
+FRAGMENT_GRAMS = 500_000
+#: N-grams that a task joins at once, unless one fragment has more.
+BATCH_GRAMS = 1_000_000
 _EPS = 1e-9
 _terms: dict[str, int] = {}
 
@@ -153,142 +153,179 @@ def needed(a, b, t: float):
     return np.ceil(t / (1 + t) * (a + b) - _EPS)
 
 
-def _pairs_in(gid: np.ndarray, side: np.ndarray, n: np.ndarray, grams: np.ndarray, sizes: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of equal ``gid`` that the prefixes can't rule out.
+def _prefix(n, t: float):
+    """How many n-grams of the order a set can't do without: a set that is similar shares one of them."""
+    return (n - np.ceil(t * n - _EPS) + 1).astype(np.int64)
 
-    ``side`` is -1 where a row may meet any other; rows of sides 0 and 1 only
-    meet the other side. A pair stays if it shares an n-gram in the prefix that
-    both need at their sizes, and if the overlap of the prefixes, with all that
-    follows the longer remainder, could reach the threshold.
+
+def _joined(gid: np.ndarray, whole: np.ndarray, n: np.ndarray, head: np.ndarray, grams: np.ndarray, sizes: np.ndarray, t: float) -> tuple[np.ndarray, ...]:
+    """Row pairs of equal ``gid`` with their overlap in the fragment, and the part of it inside both prefixes.
+
+    A row is a segment: ``sizes`` n-grams of a set of ``n``, after ``head`` others
+    in the order; ``whole`` marks segments that are all of their set. Two
+    segments are a pair if they share an n-gram of both prefixes, and if the
+    overlap, with the shorter head and the shorter tail, could reach the
+    threshold. The sizes of the sets must allow it as well.
     """
     row = np.repeat(np.arange(len(sizes)), sizes)
-    pos = _spread(np.zeros(len(sizes), np.int64), sizes)
+    starts = np.cumsum(sizes) - sizes
+    pos = _spread(head, sizes)
     with np.errstate(over="ignore"):
         key = (gid[row].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (grams * np.uint64(0xD6E8FEB86659FD93))
-    o = np.lexsort((n[row], key))
-    key, row, pos = key[o], row[o].astype(np.int32), pos[o].astype(np.int32)
-    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, np.int64)
+    keys, code = np.unique(key, return_inverse=True)
+    prefix = _prefix(n, t)
+    # the join proper reads the prefixes, as inverted lists sorted by the size of the set
+    inside = np.flatnonzero(pos < prefix[row])
+    inside = inside[np.lexsort((n[row[inside]], code[inside]))]
+    c, r, p = code[inside], row[inside], pos[inside]
+    size = n[r].astype(np.float64)
+    cut = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True]) if len(c) else np.zeros(1, np.int64)
     end = np.repeat(cut[1:], np.diff(cut))
-    size = n[row].astype(np.float64)
     total = len(n)
-
-    def lags() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        at, lag = np.flatnonzero(np.arange(len(key)) + 1 < end), 1
-        while len(at):
-            # occurrences are sorted by the size of their row: past the bound no later one fits
-            at = at[size[at] >= t * size[at + lag] - _EPS]
-            x, y = row[at], row[at + lag]
-            ok = at[(gid[x] == gid[y]) & (x != y) & ((side[x] < 0) | (side[x] != side[y]))]
-            yield ok, ok + lag
-            lag += 1
-            at = at[at + lag < end[at]]
-
+    at, lag = np.flatnonzero(np.arange(len(c)) + 1 < end), 1
     found, some, held = np.empty(0, np.int64), [], 0
-    for x, y in lags():
-        least = needed(size[x], size[y], t)
-        ok = (pos[x] <= size[x] - least) & (pos[y] <= size[y] - least)
-        x, y = row[x[ok]].astype(np.int64), row[y[ok]].astype(np.int64)
+    while len(at):
+        # past the bound no later set is small enough
+        at = at[size[at] >= t * size[at + lag] - _EPS]
+        x, y = r[at], r[at + lag]
+        least = needed(size[at], size[at + lag], t)
+        ok = (gid[x] == gid[y]) & (x != y)
+        # with whole sets the pair's own prefixes do
+        ok &= ~whole[x] | ((p[at] <= size[at] - least) & (p[at + lag] <= size[at + lag] - least))
+        ok &= np.minimum(p[at], p[at + lag]) + 1 + np.minimum(size[at] - p[at], size[at + lag] - p[at + lag]) - 1 >= least
+        x, y = x[ok].astype(np.int64), y[ok].astype(np.int64)
         some.append(np.minimum(x, y) * total + np.maximum(x, y))
         held += len(x)
         if held > 4_000_000:
             found, some, held = np.unique(np.concatenate([found, *some])), [], 0
+        lag += 1
+        at = at[at + lag < end[at]]
     found = np.unique(np.concatenate([found, *some]))
-    if not len(found):
-        return found, found
-    overlap = np.zeros(len(found), np.int32)
-    for x, y in lags():
-        x, y = row[x].astype(np.int64), row[y].astype(np.int64)
-        k = np.minimum(x, y) * total + np.maximum(x, y)
-        i = np.searchsorted(found, k)
-        i[i == len(found)] = 0
-        i = i[found[i] == k]
-        # a row has an n-gram once, so a pair occurs once at a lag and n-gram, but with several n-grams
-        overlap += np.bincount(i, minlength=len(found)).astype(np.int32) if len(i) > len(found) // 8 else 0
-        if len(i) <= len(found) // 8:
-            np.add.at(overlap, i, 1)
-    x, y = found // total, found % total
-    least = needed(n[x].astype(np.float64), n[y].astype(np.float64), t)
-    ok = overlap + np.maximum(n[x] - sizes[x], n[y] - sizes[y]) >= least
-    return x[ok], y[ok]
-
-
-def candidate_pairs(table: DataFrame, rank: np.ndarray, t: float, cap: int = GROUP_CAP) -> DataFrame:
-    """Distinct class pairs ``a < b`` that their prefixes in the global order can't rule out.
-
-    A group of more than ``cap`` records is cut into blocks by class hash, and
-    every two blocks meet in a task of their own; the others stay whole.
+    x, y = found // max(total, 1), found % max(total, 1)
+    flip = sizes[x] > sizes[y]
+    x, y = np.where(flip, y, x), np.where(flip, x, y)
+    # the n-grams of the shorter segment are looked up in the longer
+    order = np.lexsort((code, row))
+    code, place = code[order], pos[order]
+    occurs = row * np.int64(len(keys)) + code
+    common, both = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    step = max(1, 2_000_000 // int(max(sizes.max(initial=1), 1)))
+    for lo in range(0, len(x), step):
+        u, w = x[lo : lo + step], y[lo : lo + step]
+        i = _spread(starts[u], sizes[u])
+        pair = np.repeat(np.arange(len(u)), sizes[u])
+        target = w[pair] * np.int64(len(keys)) + code[i]
+        j = np.minimum(np.searchsorted(occurs, target), len(occurs) - 1)
+        hit = occurs[j] == target
+        i, j, pair = i[hit], j[hit], pair[hit]
+        common[lo : lo + step] = np.bincount(pair, minlength=len(u))
+        inner = (place[i] < prefix[u[pair]]) & (place[j] < prefix[w[pair]])
+        both[lo : lo + step] = np.bincount(pair[inner], minlength=len(u))
+    tail = n - head - sizes
+    reach = np.minimum(head[x], head[y]) + common + np.minimum(tail[x], tail[y])
+    ok = reach >= needed(n[x].astype(np.float64), n[y].astype(np.float64), t)
+    return x[ok], y[ok], common[ok], both[ok]
+
+
+def with_fragments(table: DataFrame) -> DataFrame:
+    """The gram table with ``frags``, the number of vertical fragments of each row's group, by its n-grams."""
+    size = F.sum("n").alias("size")
+    frags = F.greatest(F.lit(2), F.ceil(F.col("size") / FRAGMENT_GRAMS)).cast("int")
+    many = written(table.groupBy("grp").agg(size).where(F.col("size") > SMALL_GROUP).select("grp", frags.alias("frags")), "group-fragments")
+    rows = table.join(F.broadcast(many) if many.count() <= 50_000 else many, "grp", "left")
+    return rows.withColumn("frags", F.coalesce("frags", F.lit(1)))
+
+
+def _segments(b: pa.RecordBatch, rank: np.ndarray, load: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Segments of the sets of a batch: row, fragment, head, edges into the n-grams, n-grams."""
+    grams, sizes = _unpack(b.column("grams"))
+    frags = b.column("frags").to_numpy(zero_copy_only=False).astype(np.int64)
+    grams, r = _ordered(grams, sizes, rank)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    part = np.minimum((load[r] * frags[row]).astype(np.int64), frags[row] - 1)
+    edge = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1]), True]) if len(row) else np.zeros(1, np.int64)
+    own = row[edge[:-1]]
+    return own, part[edge[:-1]], edge[:-1] - (np.cumsum(sizes) - sizes)[own], edge, grams
+
+
+def partial_overlaps(table: DataFrame, rank: np.ndarray, load: np.ndarray, t: float) -> DataFrame:
+    """``a, b, na, nb, frags, part, common, both, sa, sb``: what each fragment knows of the pairs it forms.
+
+    The order is cut into ranges of equal load, as many as the group has
+    fragments. A fragment holds the segments of a group in one range and joins
+    them with each other: ``common`` n-grams, ``both`` of them in both prefixes,
+    of segments of ``sa`` and ``sb``. ``table`` has ``frags``.
     """
     spark = table.sparkSession
-    many = table.groupBy("grp").count().where(F.col("count") > cap).select("grp", F.ceil(F.col("count") / cap).cast("int").alias("blocks"))
-    many = written(many, "large-groups")
-    few = many.count()
-    wide = spark.sparkContext.broadcast(rank)
-    rows = table.join(F.broadcast(many) if few <= 50_000 else many, "grp", "left") if few else table.withColumn("blocks", F.lit(None).cast("int"))
-    rows = rows.select("grp", "cls", "n", "grams", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = wide.value
+    wide = spark.sparkContext.broadcast((rank, load))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, load = wide.value
         for b in batches:
-            grams, sizes = _unpack(b.column("grams"))
-            if not len(sizes):
+            if not b.num_rows:
                 continue
-            grams, _ = _ordered(grams, sizes, rank)
-            keep = (sizes - np.ceil(t * sizes - _EPS) + 1).astype(np.int64)
-            at = _spread(np.cumsum(sizes) - sizes, keep)
-            raw = np.ascontiguousarray(grams[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH])
-            offsets = np.r_[0, np.cumsum(keep) * WIDTH].astype(np.int32)
-            seg = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
-            blocks = b.column("blocks").to_numpy(zero_copy_only=False).astype(np.int64)
-            own = np.frombuffer(b"".join(c[8:] for c in b.column("cls").to_pylist()), "<u8") % blocks.astype(np.uint64)
-            own = own.astype(np.int64)
-            line = np.repeat(np.arange(len(blocks)), blocks)
-            other = _spread(np.zeros(len(blocks), np.int64), blocks)
-            lo, hi = np.minimum(own[line], other), np.maximum(own[line], other)
-            side = np.where(lo == hi, -1, (own[line] == hi).astype(np.int64))
-            take = pa.array(line)
+            own, part, head, edge, grams = _segments(b, rank, load)
+            raw = np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH])
+            seg = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((edge * WIDTH).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+            take = pa.array(own)
             yield pa.RecordBatch.from_arrays(
-                [b.column("grp").take(take), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(side.astype(np.int32)), b.column("cls").take(take), b.column("n").take(take), seg.take(take)],
-                names=["grp", "lo", "hi", "side", "cls", "n", "grams"],
+                [b.column("grp").take(take), pa.array(part.astype(np.int32)), b.column("frags").take(take), b.column("cls").take(take), b.column("n").take(take), pa.array(head.astype(np.int32)), seg],
+                names=["grp", "part", "frags", "cls", "n", "head", "grams"],
             )
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
+    def match(got: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tb = pa.Table.from_batches(got).combine_chunks()
-        keys = pc.binary_join_element_wise(tb.column("grp"), tb.column("lo").cast(pa.string()), tb.column("hi").cast(pa.string()), "\x00").combine_chunks()
-        gid = keys.dictionary_encode().indices.to_numpy().astype(np.int64)
-        cls = tb.column("cls").combine_chunks()
-        code = cls.dictionary_encode().indices.to_numpy().astype(np.int64)
+        gid = pc.binary_join_element_wise(tb.column("grp"), tb.column("part").cast(pa.string()), "\x00").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        code = tb.column("cls").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        # copies of a set are one row
         _, one = np.unique(gid * (code.max() + 1) + code, return_index=True)
-        one.sort()
-        one = one[np.argsort(gid[one], kind="stable")]
-        all_sides, all_sizes = tb.column("side").to_numpy(), tb.column("n").to_numpy()
-        grams_of = tb.column("grams").combine_chunks()
-        # whole groups at a time, so that memory follows the largest group, not the partition
-        held = np.cumsum(all_sizes[one])
-        edge = np.flatnonzero(np.r_[np.diff(gid[one]) != 0, True]) + 1
-        lo = 0
-        while lo < len(one):
-            fits = edge[(edge > lo) & (held[edge - 1] - (held[lo - 1] if lo else 0) <= BATCH_GRAMS)]
-            hi = int(fits[-1]) if len(fits) else int(edge[edge > lo][0])
-            part = one[lo:hi]
-            lo = hi
-            take = pa.array(part)
-            grams, sizes = _unpack(grams_of.take(take))
-            x, y = _pairs_in(gid[part], all_sides[part], all_sizes[part].astype(np.int64), grams, sizes, t)
-            names = cls.take(take)
-            for at in range(0, len(x), 100_000):
-                a, b = [], []
-                for p, q in zip(names.take(pa.array(x[at : at + 100_000])).to_pylist(), names.take(pa.array(y[at : at + 100_000])).to_pylist()):
-                    a.append(min(p, q))
-                    b.append(max(p, q))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    parts = rows.mapInArrow(prefixes, "grp string, lo int, hi int, side int, cls binary, n int, grams binary")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(float(table.agg(F.sum("n")).first()[0] or 0) / 2e6))
-    # a pair of classes meets in one task only, so there is nothing to make distinct
-    return parts.repartition(tasks, "grp", "lo", "hi").mapInArrow(join, "a binary, b binary")
+        tb = tb.take(pa.array(one)).combine_chunks()
+        gid = gid[one]
+        grams, sizes = _unpack(tb.column("grams").combine_chunks())
+        n, head, frags, part = (tb.column(c).to_numpy().astype(np.int64) for c in ("n", "head", "frags", "part"))
+        x, y, common, both = _joined(gid, frags == 1, n, head, grams, sizes, t)
+        cls = tb.column("cls").combine_chunks()
+        for lo in range(0, len(x), 100_000):
+            u, w = x[lo : lo + 100_000], y[lo : lo + 100_000]
+            p, q = cls.take(pa.array(u)).to_pylist(), cls.take(pa.array(w)).to_pylist()
+            flip = np.array([i > j for i, j in zip(p, q)], bool)
+            u, w = np.where(flip, w, u), np.where(flip, u, w)
+            ints = (n[u], n[w], frags[u], part[u], common[lo : lo + 100_000], both[lo : lo + 100_000], sizes[u], sizes[w])
+            yield pa.RecordBatch.from_arrays([pa.array([min(i, j) for i, j in zip(p, q)], pa.binary()), pa.array([max(i, j) for i, j in zip(p, q)], pa.binary()), *(pa.array(v.astype(np.int32)) for v in ints)], names=names)
+
+    def grams_in(b: pa.RecordBatch) -> int:
+        return pc.sum(pc.binary_length(b.column("grams"))).as_py() // WIDTH
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Fragments come one after the other; some are joined at once, none is cut."""
+        held: list[pa.RecordBatch] = []
+        size, last = 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = list(zip(b.column("grp").to_pylist(), b.column("part").to_pylist()))
+            at = len(keys) - 1
+            while at and keys[at - 1] == keys[-1]:
+                at -= 1
+            if at or keys[0] != last:
+                # what is held, with the rows before the last key, is whole
+                if at:
+                    held.append(b.slice(0, at))
+                    size += grams_in(held[-1])
+                if size > BATCH_GRAMS:
+                    yield from match(held)
+                    held, size = [], 0
+            rest = b.slice(at) if at else b
+            held.append(rest)
+            size += grams_in(rest)
+            last = keys[-1]
+        if held:
+            yield from match(held)
+
+    names = ["a", "b", "na", "nb", "frags", "part", "common", "both", "sa", "sb"]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(float(table.agg(F.sum("n")).first()[0] or 0) / 1e6))
+    cuts = table.select("grp", "cls", "n", "grams", "frags").mapInArrow(cut, "grp string, part int, frags int, cls binary, n int, head int, grams binary")
+    return cuts.repartition(tasks, "grp", "part").sortWithinPartitions("grp", "part").mapInArrow(join, "a binary, b binary, " + ", ".join(f"{c} int" for c in names[2:]))
 
 
 def _class_filter(pairs: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -305,14 +342,23 @@ def _class_filter(pairs: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return summed(pairs.mapInArrow(mark, "chunk int, part binary"), bits - 3, "u1", np.bitwise_or)
 
 
-def overlaps(table: DataFrame, pairs: DataFrame, rank: np.ndarray, load: np.ndarray, t: float, fragments: int = FRAGMENTS) -> DataFrame:
-    """``a, b, similarity`` of the pairs at ``t`` or more.
+def overlaps(table: DataFrame, partial: DataFrame, rank: np.ndarray, load: np.ndarray, t: float) -> DataFrame:
+    """``a, b, similarity`` of the pairs at ``t`` or more, from the sums of their partial overlaps.
 
-    The order is cut into ``fragments`` ranges of equal load. The overlap of a
-    pair is counted in each range by itself, and these counts are summed.
+    The sum over the fragments that formed a pair bounds its overlap: outside of
+    them it shares nothing inside both prefixes. Pairs that can still reach the
+    threshold are asked for in their other fragments, and these counts are added.
     """
     spark = table.sparkSession
-    wide = spark.sparkContext.broadcast((rank, load, np.unpackbits(_class_filter(pairs)).astype(bool)))
+    prefix = lambda n: F.col(n) - F.ceil(t * F.col(n) - _EPS) + 1
+    least = F.ceil(t / (1 + t) * (F.col("na") + F.col("nb")) - _EPS)
+    share = (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("similarity")
+    one = partial.where("frags = 1").select("a", "b", share)
+    sums = partial.where("frags > 1").groupBy("a", "b", "na", "nb", "frags").agg(F.collect_set("part").alias("parts"), *(F.sum(c).alias(c) for c in ("common", "both", "sa", "sb")))
+    can = (F.col("common") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb")) >= least) & (F.col("both") + F.greatest(F.col("na") - prefix("na"), F.col("nb") - prefix("nb")) >= least)
+    pairs = written(sums.where(can).select("a", "b", "na", "nb", "common", F.array_except(F.sequence(F.lit(0), F.col("frags") - 1), "parts").alias("rest")), "open-pairs")
+    asked = pairs.where(F.size("rest") > 0).select("a", "b", "na", "nb", F.explode("rest").alias("part"))
+    wide = spark.sparkContext.broadcast((rank, load, np.unpackbits(_class_filter(asked.select("a", "b"))).astype(bool)))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, load, on = wide.value
@@ -322,28 +368,19 @@ def overlaps(table: DataFrame, pairs: DataFrame, rank: np.ndarray, load: np.ndar
                 continue
             k = np.frombuffer(b"".join(x[:8] for x in cls.to_pylist()), "<u8") & np.uint64(len(on) - 1)
             b = b.take(pa.array(np.flatnonzero(on[k])))
-            grams, sizes = _unpack(b.column("grams"))
-            if not len(grams):
+            if not b.num_rows:
                 continue
-            grams, r = _ordered(grams, sizes, rank)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            part = np.minimum((load[r] * fragments).astype(np.int64), fragments - 1)
-            edge = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1]), True])
-            own = pa.array(row[edge[:-1]])
+            own, part, _, edge, grams = _segments(b, rank, load)
             seg = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(grams.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("cls").take(own), b.column("n").take(own), pa.array(part[edge[:-1]].astype(np.int32)), seg], names=["cls", "n", "part", "seg"])
+            yield pa.RecordBatch.from_arrays([b.column("cls").take(pa.array(own)), pa.array(part.astype(np.int32)), seg], names=["cls", "part", "seg"])
 
-    seg = table.select("cls", "n", "grams").mapInArrow(segments, "cls binary, n int, part int, seg array<bigint>")
+    seg = table.where("frags > 1").select("cls", "grams", "frags").mapInArrow(segments, "cls binary, part int, seg array<bigint>")
     seg = seg.dropDuplicates(["cls", "part"])
-    left = seg.select(F.col("cls").alias("a"), F.col("n").alias("na"), "part", F.col("seg").alias("sa"))
-    right = seg.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "part", F.col("seg").alias("sb"))
+    left, right = seg.select(F.col("cls").alias("a"), "part", F.col("seg").alias("sa")), seg.select(F.col("cls").alias("b"), "part", F.col("seg").alias("sb"))
     # keyed by class and fragment throughout, so that the segments shuffle once
-    asked = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("part"))
-    each = asked.join(left, ["a", "part"]).join(right, ["b", "part"])
-    partial = each.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))
-    whole = partial.groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    share = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    return whole.select("a", "b", share.alias("similarity")).where(F.col("similarity") >= t - _EPS)
+    more = asked.join(left, ["a", "part"]).join(right, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("bigint").alias("common"))
+    total = pairs.select("a", "b", "na", "nb", "common").unionByName(more).groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+    return one.unionByName(total.select("a", "b", share)).where(F.col("similarity") >= t - _EPS)
 
 
 def class_links(df: DataFrame, key: str = "fragment_id", group: str = "namespace", text: str = "content", threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
@@ -359,8 +396,9 @@ def class_links(df: DataFrame, key: str = "fragment_id", group: str = "namespace
         raise ValueError("threshold must be above 0 and at most 1")
     table = written(gram_table(df, key, group, text), "grams")
     rank, load = global_order(table)
-    pairs = written(candidate_pairs(table, rank, threshold), "candidates")
-    return overlaps(table, pairs, rank, load, threshold), table.select("cls", "id")
+    cut = with_fragments(table)
+    partial = written(partial_overlaps(cut, rank, load, threshold), "partial-overlaps")
+    return overlaps(cut, partial, rank, load, threshold), table.select("cls", "id")
 
 
 def similar_pairs(df: DataFrame, key: str = "fragment_id", group: str = "namespace", text: str = "content", threshold: float = 0.6) -> DataFrame:
