@@ -38,7 +38,7 @@ FILTER_BITS = 23
 #: N-grams of a group that are one fragment; a group with more has two at least.
 SMALL_GROUP = 2_000
 #: N-grams of a group for each further fragment.
-FRAGMENT_GRAMS = 500_000
+FRAGMENT_GRAMS = 1_000_000
 #: N-grams that a task joins at once, unless one fragment has more.
 BATCH_GRAMS = 1_000_000
 _EPS = 1e-9
@@ -153,29 +153,24 @@ def needed(a, b, t: float):
     return np.ceil(t / (1 + t) * (a + b) - _EPS)
 
 
-def _prefix(n, t: float):
-    """How many n-grams of the order a set can't do without: a set that is similar shares one of them."""
-    return (n - np.ceil(t * n - _EPS) + 1).astype(np.int64)
-
-
-def _joined(gid: np.ndarray, whole: np.ndarray, n: np.ndarray, head: np.ndarray, grams: np.ndarray, sizes: np.ndarray, t: float) -> tuple[np.ndarray, ...]:
-    """Row pairs of equal ``gid`` with their overlap in the fragment, and the part of it inside both prefixes.
+def _joined(gid: np.ndarray, n: np.ndarray, head: np.ndarray, grams: np.ndarray, sizes: np.ndarray, t: float) -> tuple[np.ndarray, ...]:
+    """Row pairs of equal ``gid`` with their overlap in the fragment.
 
     A row is a segment: ``sizes`` n-grams of a set of ``n``, after ``head`` others
-    in the order; ``whole`` marks segments that are all of their set. Two
-    segments are a pair if they share an n-gram of both prefixes, and if the
-    overlap, with the shorter head and the shorter tail, could reach the
-    threshold. The sizes of the sets must allow it as well.
+    in the order. Two segments are a pair if they share an n-gram in the
+    prefixes that their sets need at the threshold, and if the overlap, with the
+    shorter head and the shorter tail, could reach it; for that, they share one
+    in the prefixes of the segments as well. The sizes of the sets must allow it.
     """
     row = np.repeat(np.arange(len(sizes)), sizes)
     starts = np.cumsum(sizes) - sizes
     pos = _spread(head, sizes)
+    tail = n - head - sizes
     with np.errstate(over="ignore"):
         key = (gid[row].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (grams * np.uint64(0xD6E8FEB86659FD93))
     keys, code = np.unique(key, return_inverse=True)
-    prefix = _prefix(n, t)
-    # the join proper reads the prefixes, as inverted lists sorted by the size of the set
-    inside = np.flatnonzero(pos < prefix[row])
+    # inverted lists of the prefixes that the least partner asks for, sorted by the size of the set
+    inside = np.flatnonzero(pos <= (n - np.ceil(t * n - _EPS))[row])
     inside = inside[np.lexsort((n[row[inside]], code[inside]))]
     c, r, p = code[inside], row[inside], pos[inside]
     size = n[r].astype(np.float64)
@@ -187,12 +182,11 @@ def _joined(gid: np.ndarray, whole: np.ndarray, n: np.ndarray, head: np.ndarray,
     while len(at):
         # past the bound no later set is small enough
         at = at[size[at] >= t * size[at + lag] - _EPS]
-        x, y = r[at], r[at + lag]
+        x, y, u, w = r[at], r[at + lag], p[at], p[at + lag]
         least = needed(size[at], size[at + lag], t)
-        ok = (gid[x] == gid[y]) & (x != y)
-        # with whole sets the pair's own prefixes do
-        ok &= ~whole[x] | ((p[at] <= size[at] - least) & (p[at + lag] <= size[at + lag] - least))
-        ok &= np.minimum(p[at], p[at + lag]) + 1 + np.minimum(size[at] - p[at], size[at + lag] - p[at + lag]) - 1 >= least
+        asked = np.maximum(least - np.minimum(head[x], head[y]) - np.minimum(tail[x], tail[y]), 1)
+        ok = (gid[x] == gid[y]) & (x != y) & (u <= size[at] - least) & (w <= size[at + lag] - least)
+        ok &= (u - head[x] <= sizes[x] - asked) & (w - head[y] <= sizes[y] - asked)
         x, y = x[ok].astype(np.int64), y[ok].astype(np.int64)
         some.append(np.minimum(x, y) * total + np.maximum(x, y))
         held += len(x)
@@ -205,26 +199,19 @@ def _joined(gid: np.ndarray, whole: np.ndarray, n: np.ndarray, head: np.ndarray,
     flip = sizes[x] > sizes[y]
     x, y = np.where(flip, y, x), np.where(flip, x, y)
     # the n-grams of the shorter segment are looked up in the longer
-    order = np.lexsort((code, row))
-    code, place = code[order], pos[order]
+    code = code[np.lexsort((code, row))]
     occurs = row * np.int64(len(keys)) + code
-    common, both = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    common = np.zeros(len(x), np.int64)
     step = max(1, 2_000_000 // int(max(sizes.max(initial=1), 1)))
     for lo in range(0, len(x), step):
         u, w = x[lo : lo + step], y[lo : lo + step]
-        i = _spread(starts[u], sizes[u])
         pair = np.repeat(np.arange(len(u)), sizes[u])
-        target = w[pair] * np.int64(len(keys)) + code[i]
-        j = np.minimum(np.searchsorted(occurs, target), len(occurs) - 1)
-        hit = occurs[j] == target
-        i, j, pair = i[hit], j[hit], pair[hit]
-        common[lo : lo + step] = np.bincount(pair, minlength=len(u))
-        inner = (place[i] < prefix[u[pair]]) & (place[j] < prefix[w[pair]])
-        both[lo : lo + step] = np.bincount(pair[inner], minlength=len(u))
-    tail = n - head - sizes
+        target = w[pair] * np.int64(len(keys)) + code[_spread(starts[u], sizes[u])]
+        hit = occurs[np.minimum(np.searchsorted(occurs, target), len(occurs) - 1)] == target
+        common[lo : lo + step] = np.bincount(pair[hit], minlength=len(u))
     reach = np.minimum(head[x], head[y]) + common + np.minimum(tail[x], tail[y])
     ok = reach >= needed(n[x].astype(np.float64), n[y].astype(np.float64), t)
-    return x[ok], y[ok], common[ok], both[ok]
+    return x[ok], y[ok], common[ok]
 
 
 def with_fragments(table: DataFrame) -> DataFrame:
@@ -249,12 +236,12 @@ def _segments(b: pa.RecordBatch, rank: np.ndarray, load: np.ndarray) -> tuple[np
 
 
 def partial_overlaps(table: DataFrame, rank: np.ndarray, load: np.ndarray, t: float) -> DataFrame:
-    """``a, b, na, nb, frags, part, common, both, sa, sb``: what each fragment knows of the pairs it forms.
+    """``a, b, na, nb, frags, part, common, sa, sb``: what each fragment knows of the pairs it forms.
 
     The order is cut into ranges of equal load, as many as the group has
     fragments. A fragment holds the segments of a group in one range and joins
-    them with each other: ``common`` n-grams, ``both`` of them in both prefixes,
-    of segments of ``sa`` and ``sb``. ``table`` has ``frags``.
+    them with each other: ``common`` n-grams of segments of ``sa`` and ``sb``.
+    ``table`` has ``frags``.
     """
     spark = table.sparkSession
     wide = spark.sparkContext.broadcast((rank, load))
@@ -283,14 +270,14 @@ def partial_overlaps(table: DataFrame, rank: np.ndarray, load: np.ndarray, t: fl
         gid = gid[one]
         grams, sizes = _unpack(tb.column("grams").combine_chunks())
         n, head, frags, part = (tb.column(c).to_numpy().astype(np.int64) for c in ("n", "head", "frags", "part"))
-        x, y, common, both = _joined(gid, frags == 1, n, head, grams, sizes, t)
+        x, y, common = _joined(gid, n, head, grams, sizes, t)
         cls = tb.column("cls").combine_chunks()
         for lo in range(0, len(x), 100_000):
             u, w = x[lo : lo + 100_000], y[lo : lo + 100_000]
             p, q = cls.take(pa.array(u)).to_pylist(), cls.take(pa.array(w)).to_pylist()
             flip = np.array([i > j for i, j in zip(p, q)], bool)
             u, w = np.where(flip, w, u), np.where(flip, u, w)
-            ints = (n[u], n[w], frags[u], part[u], common[lo : lo + 100_000], both[lo : lo + 100_000], sizes[u], sizes[w])
+            ints = (n[u], n[w], frags[u], part[u], common[lo : lo + 100_000], sizes[u], sizes[w])
             yield pa.RecordBatch.from_arrays([pa.array([min(i, j) for i, j in zip(p, q)], pa.binary()), pa.array([max(i, j) for i, j in zip(p, q)], pa.binary()), *(pa.array(v.astype(np.int32)) for v in ints)], names=names)
 
     def grams_in(b: pa.RecordBatch) -> int:
@@ -322,7 +309,7 @@ def partial_overlaps(table: DataFrame, rank: np.ndarray, load: np.ndarray, t: fl
         if held:
             yield from match(held)
 
-    names = ["a", "b", "na", "nb", "frags", "part", "common", "both", "sa", "sb"]
+    names = ["a", "b", "na", "nb", "frags", "part", "common", "sa", "sb"]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(float(table.agg(F.sum("n")).first()[0] or 0) / 1e6))
     cuts = table.select("grp", "cls", "n", "grams", "frags").mapInArrow(cut, "grp string, part int, frags int, cls binary, n int, head int, grams binary")
     return cuts.repartition(tasks, "grp", "part").sortWithinPartitions("grp", "part").mapInArrow(join, "a binary, b binary, " + ", ".join(f"{c} int" for c in names[2:]))
@@ -345,17 +332,17 @@ def _class_filter(pairs: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 def overlaps(table: DataFrame, partial: DataFrame, rank: np.ndarray, load: np.ndarray, t: float) -> DataFrame:
     """``a, b, similarity`` of the pairs at ``t`` or more, from the sums of their partial overlaps.
 
-    The sum over the fragments that formed a pair bounds its overlap: outside of
-    them it shares nothing inside both prefixes. Pairs that can still reach the
-    threshold are asked for in their other fragments, and these counts are added.
+    A similar pair is formed in the fragment of its first common n-gram at least.
+    The sum over the fragments that formed a pair, with the shorter of the sets'
+    other parts, bounds its overlap. Pairs that can still reach the threshold are
+    asked for in their other fragments, and these counts are added.
     """
     spark = table.sparkSession
-    prefix = lambda n: F.col(n) - F.ceil(t * F.col(n) - _EPS) + 1
     least = F.ceil(t / (1 + t) * (F.col("na") + F.col("nb")) - _EPS)
     share = (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("similarity")
     one = partial.where("frags = 1").select("a", "b", share)
-    sums = partial.where("frags > 1").groupBy("a", "b", "na", "nb", "frags").agg(F.collect_set("part").alias("parts"), *(F.sum(c).alias(c) for c in ("common", "both", "sa", "sb")))
-    can = (F.col("common") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb")) >= least) & (F.col("both") + F.greatest(F.col("na") - prefix("na"), F.col("nb") - prefix("nb")) >= least)
+    sums = partial.where("frags > 1").groupBy("a", "b", "na", "nb", "frags").agg(F.collect_set("part").alias("parts"), *(F.sum(c).alias(c) for c in ("common", "sa", "sb")))
+    can = F.col("common") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb")) >= least
     pairs = written(sums.where(can).select("a", "b", "na", "nb", "common", F.array_except(F.sequence(F.lit(0), F.col("frags") - 1), "parts").alias("rest")), "open-pairs")
     asked = pairs.where(F.size("rest") > 0).select("a", "b", "na", "nb", F.explode("rest").alias("part"))
     wide = spark.sparkContext.broadcast((rank, load, np.unpackbits(_class_filter(asked.select("a", "b"))).astype(bool)))
