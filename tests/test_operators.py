@@ -251,6 +251,19 @@ def test_judge(answer, want):
 def test_judge_ranges():
     assert judge.mentions("monday from 09:00 to 10:00 utc", "call on monday 09:00 until 10:00 utc")
     assert judge.mentions("bullet points", "use bullet-point lists") and not judge.mentions("", "x")
+    assert judge.mentions("port 8080", "on port 8080.") and not judge.mentions("8080", "on port 18080")
+
+
+@pytest.mark.parametrize(
+    "text, stated",
+    [
+        ("ship it in red", True), ("not only red but blue", True), ("not one of the six red ones", False), ("not one of these very many old and quite red ones", True), ("not there. red it is", True),
+        ("the red tier note is explicitly from before the move", False), ("red was only a former choice", False), ("they previously asked for red", False), ("red is a pre-launch value", False),
+        ("it was no longer red", False), ("red, but the current setting is blue", False), ("red-ish", True), ("use blue instead of kim's red", False), ("red is new", True),
+    ],
+)
+def test_judge_reads_what_stands_around_a_term(text, stated):
+    assert judge.asserts("red", text) is stated
 
 
 def test_model_surfaces(spark):

@@ -1,101 +1,146 @@
-"""Rule-based check of generated answers."""
+"""Rule-based check of generated answers.
+
+Answer and facts are read as tokens: words, clock times and single marks. A
+fact is a run of tokens. What stands around the run decides whether the answer
+states it, denies it or speaks of the past.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Cue words and phrases that the results depend on.
-INSUFFICIENT = [
-    r"\b(insufficient|unknown)\b",
-    r"\b(?:cannot|can not|can't|cant|could not|couldn't)\s+(?:determine|answer|tell|identify|infer|say)\b",
-    r"\b(?:do not|don't|dont|did not|didn't)\s+have\b",
-    r"\bno\s+(?:memory|fragments|information|details|context)\b",
-    r"\bnone\s+were\s+(?:supplied|provided|given)\b",
-    r"\bwithout\s+additional\s+(?:context|information|memory)\b",
-]
-NEGATED_BEFORE = [r"not\s+(?!only\b)", r"instead\s+of\s+", r"rather\s+than\s+"]
-OBSOLETE_BEFORE = [
-    r"(?:previously|formerly|historically)\s+",
-    r"(?:was|were|is|are|had\s+been)\s+(?:previously|formerly|historically)\s+",
-    r"(?:is|are|was|were)\s+no\s+longer\s+",
-    r"no\s+longer\s+",
-    r"used\s+to\s+be\s+",
-]
-OBSOLETE_WORDS = "previous|prior|old|former|outdated|deprecated|obsolete"
-OBSOLETE_AFTER = [
-    rf"\s*(?:(?:was|were|is|are)\s+)?(?:only\s+)?(?:a\s+|an\s+|the\s+)?(?:{OBSOLETE_WORDS})\b",
-    r"\s*(?:was|were|is|are)\s+no\s+longer\b",
-    r"\s*(?:was|were)\s+(?:previously|formerly)\b",
-    rf"\s+(?:tier\s+)?(?:reference\s+|note\s+)?(?:is|was)?\s*(?:explicitly\s+)?(?:a\s+|an\s+|the\s+)?(?:{OBSOLETE_WORDS}|historical|pre-[a-z0-9-]+)\b",
-    rf"\s+(?:tier\s+)?(?:is|was)?\s*(?:explicitly\s+)?described\s+as\s+(?:a\s+|an\s+|the\s+)?(?:{OBSOLETE_WORDS}|historical|pre-[a-z0-9-]+)\b",
-    r"\s+(?:tier\s+)?(?:reference\s+|note\s+)?(?:is|was)?\s*(?:explicitly\s+)?from\s+before\b",
-    r"\s+(?:tier\s+)?was\s+only\s+noted\s+as\b",
-    r"\s+was\s+(?:explicitly\s+)?from\s+(?:last\s+week|before|the\s+previous|the\s+prior|the\s+old)\b",
-    r"\s*(?:alerts?\s+)?[,;:]?\s*but\s+(?:the\s+)?current\s+(?:preference|state|status|setting|value)\b",
-]
-WEEKDAYS = "monday|tuesday|wednesday|thursday|friday|saturday|sunday"
-RANGE_WORDS = "to|through|until|-"
-# End of the fixed values. A negation reaches 6 words, an obsolete mark 8.
-
-_insufficient = re.compile("|".join(INSUFFICIENT))
-_negated = re.compile(rf"(?:^|[^A-Za-z0-9])(?:{'|'.join(NEGATED_BEFORE)})(?:[A-Za-z0-9'-]+\s+){{0,6}}$")
-_was = re.compile(rf"(?:^|[^A-Za-z0-9])(?:{'|'.join(OBSOLETE_BEFORE)})(?:[A-Za-z0-9'-]+\s+){{0,8}}$")
-_now = re.compile("|".join(f"^{p}" for p in OBSOLETE_AFTER))
-_clock = r"\d{1,2}:\d{2}"
-_day_range = re.compile(rf"\b((?:{WEEKDAYS})\s+)from\s+({_clock}(?:\s+utc)?)\s+(?:{RANGE_WORDS})\s+({_clock}\s+utc)\b")
-_range = re.compile(rf"\b(?:from\s+)?({_clock}(?:\s+utc)?)\s+(?:{RANGE_WORDS})\s+({_clock}\s+utc)\b")
+Tokens = list[str]
+_token = re.compile(r"\d{1,2}:\d{2}(?![0-9])|[a-z0-9]+|\S")
 
 
-def normalized(text: str | None) -> str:
-    """Lower case, plain apostrophes, single spaces."""
-    return re.sub(r"\s+", " ", re.sub("[‘’‛′]", "'", (text or "").lower())).strip()
+def tokens(text: str | None) -> Tokens:
+    return _token.findall(re.sub("[‘’‛′]", "'", (text or "").lower()))
 
 
-def _spans(term: str, text: str) -> Iterable[tuple[int, int]]:
-    """Places of a term that no letter or digit touches."""
-    return (m.span() for m in re.finditer(rf"(?<![A-Za-z0-9]){re.escape(term)}(?![A-Za-z0-9])", text))
+def _phrases(*slots: str) -> list[Tokens]:
+    """All phrases that take one alternative from every slot."""
+    return [tokens(" ".join(p)) for p in product(*(s.split("|") for s in slots))]
 
 
-def _ranges(text: str) -> str:
-    return _range.sub(r"\1 to \2", _day_range.sub(r"\1\2 to \3", text))
+# Words and phrases that the results depend on.
+UNSURE = [
+    *_phrases("insufficient|unknown"),
+    *_phrases("cannot|can not|can't|cant|could not|couldn't", "determine|answer|tell|identify|infer|say"),
+    *_phrases("do not|don't|dont|did not|didn't", "have"),
+    *_phrases("no", "memory|fragments|information|details|context"),
+    *_phrases("none were", "supplied|provided|given"),
+    *_phrases("without additional", "context|information|memory"),
+]
+DENIED = _phrases("not|instead of|rather than")
+NOT_DENIED = _phrases("not only")
+DENIED_WORDS = 6
+PAST = _phrases("previously|formerly|historically|no longer|used to be")
+PAST_WORDS = 8
+STALE = set("previous prior old former outdated deprecated obsolete historical".split())
+STALE_PHRASES = [
+    *_phrases("no longer|previously|formerly|from before|from last week|noted as|pre -"),
+    *_phrases("from the", "previous|prior|old"),
+    *_phrases("but|but the", "current", "preference|state|status|setting|value"),
+]
+LINKING = set("tier reference note alert alerts is are was were only explicitly described as a an the , ; :".split())
+RANGE_WORDS = {"to", "through", "until", "-"}
+SAME = [(tokens(a), tokens("bullet point")) for a in ("bullet-points", "bullet-point", "bullet points")]
+# End of the fixed values.
+
+
+def canonical(t: Tokens) -> Tokens:
+    """One spelling of time ranges (``09:00 to 10:00 utc``) and of bullet points."""
+    out: Tokens = []
+    i = 0
+    while i < len(t):
+        same = next(((a, b) for a, b in SAME if t[i : i + len(a)] == a), None)
+        if same:
+            out += same[1]
+            i += len(same[0])
+            continue
+        if ":" in t[i] and len(t[i]) > 1:
+            k = i + 2 if t[i + 1 : i + 2] == ["utc"] else i + 1
+            if t[k : k + 1] and t[k] in RANGE_WORDS and ":" in "".join(t[k + 1 : k + 2])[1:] and t[k + 2 : k + 3] == ["utc"]:
+                if out[-1:] == ["from"]:
+                    out.pop()
+                out += [*t[i:k], "to", t[k + 1], "utc"]
+                i = k + 3
+                continue
+        out.append(t[i])
+        i += 1
+    return out
+
+
+def runs(term: Tokens, t: Tokens) -> Iterator[int]:
+    """Places at which a run of tokens starts."""
+    n = len(term)
+    return (i for i in range(len(t) - n + 1) if n and t[i] == term[0] and t[i : i + n] == term)
+
+
+def _reaches(cues: list[Tokens], words: int, t: Tokens, at: int, but: list[Tokens] = []) -> bool:  # noqa: B006
+    """Whether a cue ends before ``at``, with at most ``words`` words and no mark but joined ones between."""
+    left, i = words, at
+    while True:
+        for c in cues:
+            if i >= len(c) and t[i - len(c) : i] == c and not any(t[i - len(c) : i - len(c) + len(b)] == b for b in but):
+                return True
+        joined = i >= 2 and t[i - 1] in "'-"
+        if not joined:
+            if not i or not t[i - 1][0].isalnum() or ":" in t[i - 1]:
+                return False
+            # words that a mark joins count as one
+            if not (i < at and t[i] in "'-"):
+                left -= 1
+                if left < 0:
+                    return False
+        i -= 1
+
+
+def _past_after(t: Tokens, at: int) -> bool:
+    """Whether what follows calls the run a thing of the past, after words that only link."""
+    while at < len(t):
+        if t[at] in STALE or any(t[at : at + len(p)] == p for p in STALE_PHRASES):
+            return True
+        if t[at] not in LINKING:
+            return False
+        at += 1
+    return False
 
 
 def mentions(term: str, text: str) -> bool:
-    """Whether the normalised text has the term, time ranges and bullet points in any spelling."""
-    if not term:
-        return False
-    forms = [(term, text), (_ranges(term), _ranges(text))]
-    if term == "bullet points":
-        forms.append(("bullet point", text.replace("bullet-point", "bullet point").replace("bullet points", "bullet point")))
-    return any(True for t, x in forms for _ in _spans(t, x))
+    """Whether the text has the term, in any spelling of time ranges and bullet points."""
+    return any(True for _ in runs(canonical(tokens(term)), canonical(tokens(text))))
 
 
 def asserts(term: str, text: str) -> bool:
-    """Whether the text states a term, neither negated nor as something of the past."""
-    if not term:
-        return False
-    safe = lambda a, b: _negated.search(text[max(0, a - 80) : a]) or _was.search(text[max(0, a - 120) : a]) or _now.search(text[b : b + 80])
-    return any(not safe(a, b) for a, b in _spans(term, text))
+    """Whether the text states a term, neither denied nor as something of the past."""
+    run, t = canonical(tokens(term)), canonical(tokens(text))
+    return any(not (_reaches(DENIED, DENIED_WORDS, t, i, NOT_DENIED) or _reaches(PAST, PAST_WORDS, t, i) or _past_after(t, i + len(run))) for i in runs(run, t))
+
+
+def unsure(text: str) -> bool:
+    """Whether the text says that it can't tell."""
+    t = tokens(text)
+    return any(True for p in UNSURE for _ in runs(p, t))
 
 
 def verdict(expected: str | None, must: Iterable[str] | None, must_not: Iterable[str] | None, answer: str | None) -> str:
     """``correct`` or the first reason against the answer."""
-    want, got = normalized(expected), normalized(answer)
-    if not want or not got:
+    wanted = [expected, *(must if must is not None else ())]
+    if not tokens(expected) or not tokens(answer):
         return "answer_missing_fact"
-    if any(asserts(normalized(t), got) for t in (must_not if must_not is not None else ())):
+    if any(asserts(t, answer) for t in (must_not if must_not is not None else ()) if t):
         return "hallucinated_forbidden_fact"
-    if _insufficient.search(got):
+    if unsure(answer):
         return "insufficient_answer"
-    if all(mentions(normalized(t), got) for t in (must if must is not None else ())) and (want == got or mentions(want, got)):
-        return "correct"
-    return "answer_missing_fact"
+    return "correct" if all(mentions(t or "", answer) for t in wanted) else "answer_missing_fact"
 
 
 @F.pandas_udf(StringType())
