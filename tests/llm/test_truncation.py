@@ -65,3 +65,33 @@ def test_trie(spark):
     words = spark.createDataFrame([("recall", 3), ("recap", 2)], "word string, n bigint")
     nodes = {r.node: r.below for r in t.trie(words).collect()}
     assert nodes["rec"] == 5 and nodes["recal"] == 3 and "recall" not in nodes
+
+
+def test_long_tails_are_read_whole(spark):
+    texts, _ = corpus(60)
+    row = "| " + "cell " * 3000 + "| b |"
+    good = row + "\n" + row
+    reason = judged(spark, [*texts, good, good + "\n| " + "cell " * 3000, '{"name": "abc\\u4e'])
+    n = len(texts)
+    assert reason[n] is None and reason[n + 1] == "structure" and reason[n + 2] == "debris"
+
+
+def test_planted_cuts(spark):
+    """Random cuts of a corpus of its own, beside texts that end on purpose in many ways."""
+    r = random.Random(11)
+    whole, _ = corpus(1500, 5)
+    ends = ["", "", "", "\n\nBest, Kim", "\n- done", "\n\nsent from the field desk"]
+    whole = [x + r.choice(ends) for x in whole]
+    cut = []
+    for x in r.sample(whole, 120):
+        at = r.randrange(20, len(x) - 30)
+        # a cut right after a sentence can't be told from an end
+        if x[:at].rstrip()[-1].isalnum():
+            cut.append(x[:at])
+    df = spark.createDataFrame([(i, x, "n", None, "") for i, x in enumerate(whole + cut)], SCHEMA)
+    rows = {x.doc_id: x for x in t.judged(df).collect()}
+    found = [rows[len(whole) + i].reason is not None for i in range(len(cut))]
+    wrong = [whole[i][-40:] for i in range(len(whole)) if rows[i].reason is not None]
+    assert sum(found) / len(found) >= 0.95 and len(wrong) <= 5
+    # the tries of words and of contexts carry what is found
+    assert all(x.evidence in ("word", "context") for x in rows.values() if x.reason)

@@ -27,7 +27,7 @@ from tidemark.storage import written
 
 _tok = re.compile(r"[一-鿿]|[^\W_一-鿿]+|\n+|[^\w\s]|_")
 _mark = re.compile(r"\s*(?:…+|\.{3}|\[[a-z]{2,12}\]|\([a-z]{2,12}\)|--[a-z ]{3,30}--)$")
-_debris = re.compile(r"(?:�+|&(?:[a-z]{1,6}|#\d*)|</?[a-z]{0,5}|\\)$")
+_debris = re.compile(r"(?:�+|&(?:[a-z]{1,6}|#\d*)|</?[a-z]{0,5}|\\(?:u[0-9a-fA-F]{0,3})?)$")
 _term = re.compile(r"[.!?。！？]['\"”’)）»」]*$")
 _item = re.compile(r"\s*(?:[-*•]|\d+[.)]|\w+ \d+[.)])\s")
 _rule = re.compile(r"[|\s:-]+")
@@ -39,10 +39,20 @@ OTHER, BREAK, HAN, WORD, MIXED, NUMBER = range(6)
 FILTER_BITS = 24
 #: Occurrences that a context needs to be judged by.
 SUPPORT = 5
-#: More cuts than this at a place, for each time it occurs, are no random cuts.
-CUT_RATE = 0.0005
-#: Below this share of ends, a context lies inside a sentence.
-INSIDE = 0.04
+#: What each kind of evidence adds; a text is cut at 1 or more. The trie of words
+#: (``word``) and a context that hardly ever ends anything (``inside``) do alone,
+#: as does a cutting program's mark. An open structure, debris, prose before the
+#: end, a length at which its source piles up and a larger declared length need a
+#: context that doesn't end there, or that the corpus does not know. A closing
+#: phrase outweighs all but a word cut short or a bracketed mark inside a line.
+WEIGHTS = {
+    "word": 4.0, "closer": -2.0, "inside": 1.0, "seldom": 0.5, "often": 0.3, "always": -0.5, "unknown": 0.35,
+    "bracket": 2.5, "mark": 1.5, "structure": 0.7, "debris": 0.7, "prose": 0.7, "piled": 1.0, "more": 0.65,
+}
+#: Shares of a context's occurrences that end something, up to which it is inside, seldom and often an end.
+INSIDE, SELDOM, OFTEN = 0.04, 0.5, 0.9
+
+
 def _hash(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s)
 
@@ -136,13 +146,34 @@ def _arrays(texts: list[list[str]]) -> tuple[np.ndarray, ...]:
 def _body(text: str) -> tuple[str, str, bool]:
     """The text without the mark at its end, the mark, and whether debris follows."""
     t = text.rstrip()
-    m = _mark.search(t, max(0, len(t) - 60))
+    m = _mark.search(t, max(0, len(t) - 60))  # a mark is shorter
     mark = m.group(0).strip() if m else ""
     t = t[: m.start()].rstrip() if m else t
-    d = _debris.search(t, max(0, len(t) - 20))
+    bare = t.rstrip("\ufffd")
+    if len(bare) < len(t):
+        return bare.rstrip(), mark, True
+    d = _debris.search(t, max(0, len(t) - 20))  # as are broken entities and tags
     return (t[: d.start()].rstrip() if d else t), mark, bool(d)
 
 
+def _lines_back(t: str) -> Iterator[str]:
+    """Lines that aren't blank, stripped, the last one first."""
+    end = len(t)
+    while end >= 0:
+        at = t.rfind("\n", 0, end)
+        line = t[at + 1 : end].strip()
+        if line:
+            yield line
+        end = at
+
+
+def _tail_of(t: str, size: int, enough) -> str:
+    """The least tail of doubling size that is enough, or the whole text."""
+    while size < len(t) and not enough(t[-size:]):
+        size *= 2
+    return t[-size:]
+
+
 def _shape(line: str) -> tuple[list[str], list[str]]:
     tokens = _tok.findall(line)
     return tokens, ["A" if t[0].isalnum() else t for t in tokens]
@@ -159,13 +190,13 @@ def open_structure(text: str) -> str | None:
     inner = inner[4:].strip() if inner.startswith("json") else inner
     if inner.startswith("{"):
         return "open" if inner.count("{") != inner.count("}") else "closed"
-    lines = [x.strip() for x in t[-6000:].split("\n") if x.strip()]
-    last = lines[-1] if lines else ""
+    back = _lines_back(t)
+    last = next(back, "")
     if last.startswith("|"):
-        rows = [x for x in lines if x.startswith("|")]
-        whole = last.endswith("|") and (len(rows) < 2 or last.count("|") == rows[-2].count("|"))
+        row = next((x for x in back if x.startswith("|")), None)
+        whole = last.endswith("|") and (row is None or last.count("|") == row.count("|"))
         return "closed" if whole and not _rule.fullmatch(last) else "open"
-    before = lines[-7:-1]
+    before = [x for x, _ in zip(back, range(6))][::-1]
     if len(before) >= 3 and not _item.match(last):
         tokens, shape = _shape(last)
         shapes = [_shape(x) for x in before]
@@ -199,13 +230,15 @@ def tails(documents: DataFrame) -> DataFrame:
                 if not t.strip():
                     continue
                 body, mark, debris = _body(t)
-                tokens = _tok.findall(body[-300:])[-5:]
+                # six tokens, the first of which may be a part
+                tokens = _tok.findall(_tail_of(body, 300, lambda x: len(_tok.findall(x)) > 6))[-5:]
                 ends.append(tokens)
                 size, octets = len(t), len(t.encode("utf-8", "surrogatepass"))
                 r = t.rstrip()
                 line = r[r.rfind("\n") + 1 :]
                 item = bool(_item.match(line))
-                parts = [x for x in _sentence.split(r[-1500:]) if x and x.strip()]
+                split = lambda x: [y for y in _sentence.split(x) if y and y.strip()]
+                parts = split(_tail_of(r, 1500, lambda x: len(split(x)) > 2))
                 prose = not item and len(parts) > 1 and bool(_term.search(parts[-2].strip()))
                 more = said is not None and said > size + max(3, size // 50) and said != octets
                 out.append((i, src, xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63, size, octets, debris, open_structure(r) if not debris else None, bool(_term.search(r)), mark, item, prose, more))
@@ -290,73 +323,92 @@ def trie(words: DataFrame) -> DataFrame:
 
 
 def judged(documents: DataFrame) -> DataFrame:
-    """``doc_id, source, reason`` of every text that isn't blank; ``reason`` is null for whole texts.
-
-    Reasons: ``debris`` (broken character, entity, tag or escape), ``structure``
-    (unfinished object, fence, table or log line), ``mark`` (a cutting
-    program's mark), ``word`` (stops inside a word), ``sentence`` (stops
-    inside a sentence), ``length`` (an unfinished end where the source piles
-    up, or where more was declared). Rows with null ids drop out; copies of a
-    text are judged alike; an empty table gives an empty result.
+    """``doc_id, source, reason, evidence`` of every text that isn't blank; ``reason`` is null for whole texts.
+
+    Every kind of evidence adds to a score (``WEIGHTS``). Reasons tell where a text
+    stops: ``debris`` (a broken character, entity, tag or escape), ``structure``
+    (an unfinished object, fence, table or log line), ``mark`` (a cutting
+    program's mark), ``word`` (inside a word), ``sentence`` (inside a sentence) and
+    ``length`` (an unfinished end where the source piles up, or where more was
+    declared). ``evidence`` tells what the corpus knows of the end: ``word`` (an
+    unknown prefix of known words in the trie), ``context`` (one that does not end
+    there), ``length``, ``unknown context``, or ``mark`` alone. Rows with null ids drop out; copies
+    of a text are judged alike; an empty table gives an empty result.
     """
     ends = written(tails(documents), "tails")
-    asked = "not debris and structure is null and (not term or mark <> '')"
-    doubtful = ends.where(asked)
+    asked = "debris or structure = 'open' or (structure is null and (not term or mark <> ''))"
+    doubtful = ends.where(f"coalesce({asked}, false)")
     counts = written(corpus_counts(documents, doubtful), "counts")
     context = counts.where("gram is not null").select(F.col("gram").alias("g"), F.col("n").alias("t"), "n_end")
+    single = F.col("level") == LEVELS - 1
     # how many different texts end with a context
     final = doubtful.dropDuplicates(["text_hash"]).select(F.explode("grams").alias("g")).where("g is not null").groupBy("g").agg(F.count("*").alias("f"))
     each = doubtful.select("doc_id", F.posexplode("grams").alias("level", "g")).where("g is not null")
     each = each.join(final, "g").join(context, "g", "left").na.fill(0, ["t", "n_end"])
+
+    words = counts.where("word is not null").select("word", F.col("n").alias("n_word"))
+    nodes = trie(words.select("word", F.col("n_word").alias("n"))).withColumnRenamed("node", "word")
+    asked_words = doubtful.select("word").where("word is not null").distinct()
+    looked = asked_words.join(words, "word", "left").join(nodes, "word", "left").na.fill(0, ["n_word", "below"])
+    # an unknown, or all but unknown, proper prefix of known words, that few texts end with
+    prefix = (F.col("below") >= 2) & (F.col("n_word") <= F.col("below") / 1000) & (F.col("f_word") <= 3 + F.col("below") / 20)
+    ended = each.where(single).groupBy("doc_id").agg(F.max("f").alias("f_word"))
+    known = written(doubtful.select("doc_id", "text_hash", "word").join(looked, "word", "left").join(ended, "doc_id", "left").select("doc_id", "text_hash", F.coalesce(prefix, F.lit(False)).alias("prefix")), "words")
+    # cuts inside words tell how often a random cut falls on a place: three times that is no chance
+    cuts = known.where("prefix").agg(F.countDistinct("text_hash").alias("cuts")).join(words.agg(F.sum("n_word").alias("places")))
+    rate = cuts.select((3 * F.col("cuts") / F.greatest(F.coalesce("places", F.lit(0)), F.lit(1))).alias("rate"))
+
     others = F.col("f") - 1
-    # a closing phrase ends far more texts than random cuts would at places of its shape
     at = lambda k: F.coalesce(F.max(F.when(F.col("level") == k, F.col("t"))), F.lit(0))
     per = each.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("level", "t", "n_end", others.alias("o")))).alias("c"), at(2).alias("long"), at(4).alias("short"))
+    per = per.join(F.broadcast(rate))
 
     def closing(x: Column) -> Column:
+        """A closing phrase ends far more texts than random cuts would at places of its shape."""
         shape = F.when(x["level"] <= 1, F.col("long")).when(x["level"] == 3, F.col("short")).otherwise(x["t"])
-        return (x["level"] < LEVELS - 1) & (x["o"] > CUT_RATE * shape) & (x["o"] >= F.when(x["level"] <= 3, 1).otherwise(2)) & (x["o"] > x["t"])
+        return (x["level"] < LEVELS - 1) & (x["o"] > F.col("rate") * shape) & (x["o"] >= F.when(x["level"] <= 3, 1).otherwise(2)) & (x["o"] > x["t"])
 
     first = lambda keep: F.get(F.filter("c", keep), F.lit(0))
     per = per.withColumn("closing", first(closing)).withColumn("x", F.coalesce("closing", first(lambda x: x["t"] >= SUPPORT))).where("x is not null")
-    best = per.select("doc_id", F.struct(((F.col("x.n_end") + F.col("x.o")) / (F.col("x.t") + F.col("x.o"))).alias("ends"), F.col("closing").isNotNull().alias("closer")).alias("c"))
-    single = each.where(f"level = {LEVELS - 1}").groupBy("doc_id").agg(F.max("f").alias("f_word"))
-
-    words = counts.where("word is not null").select("word", F.col("n").alias("n_word"))
-    nodes = trie(words.select("word", F.col("n_word").alias("n"))).withColumnRenamed("node", "word")
-    asked_words = doubtful.select("word").where("word is not null").distinct()
-    looked = asked_words.join(words, "word", "left").join(nodes, "word", "left").na.fill(0, ["n_word", "below"])
+    total = F.col("x.t") + F.col("x.o")
+    best = per.select("doc_id", ((F.col("x.n_end") + F.col("x.o")) / total).alias("line_ends"), (F.col("x.o") / total).alias("text_ends"), F.col("closing").isNotNull().alias("closer"))
 
     # lengths at which a source piles up, by characters or bytes
     sizes = ends.dropDuplicates(["text_hash"]).select("source", F.explode(F.array_distinct(F.array("size", "octets"))).alias("size"))
     sizes = sizes.groupBy("source", "size").agg(F.count("*").alias("k"))
-    total = ends.groupBy(F.col("source").alias("ps")).agg(F.count("*").alias("texts"))
-    piles = sizes.join(total, F.col("source").eqNullSafe(F.col("ps"))).where("k >= 8 and k >= 0.02 * texts")
+    texts = ends.groupBy(F.col("source").alias("ps")).agg(F.count("*").alias("texts"))
+    piles = sizes.join(texts, F.col("source").eqNullSafe(F.col("ps"))).where("k >= 8 and k >= 0.02 * texts")
     piles = piles.select("ps", F.col("size").alias("limit"))
 
-    r = doubtful.join(best, "doc_id", "left").join(single, "doc_id", "left").join(looked, "word", "left")
+    r = doubtful.join(best, "doc_id", "left").join(known.select("doc_id", "prefix"), "doc_id", "left")
     hit = r.join(piles, F.col("source").eqNullSafe(F.col("ps")) & ((F.col("size") == F.col("limit")) | (F.col("octets") == F.col("limit"))), "left_semi").select("doc_id", F.lit(True).alias("piled")).distinct()
-    r = r.join(hit, "doc_id", "left")
-    closed, closer = F.col("c.ends"), F.coalesce(F.col("c.closer"), F.lit(False))
-    prefix = (F.col("below") >= 2) & (F.col("n_word") <= F.col("below") / 1000) & (F.col("f_word") <= 3 + F.col("below") / 20)
-    piled = F.coalesce("piled", F.lit(False))
+    r = r.join(hit, "doc_id", "left").withColumn("piled", F.coalesce("piled", F.lit(False)) & ~F.col("item"))
+    r = r.withColumn("open", F.coalesce(F.col("structure") == "open", F.lit(False))).withColumn("more", F.col("more") & ~F.col("item"))
+    # inside structures a line's end is no end
+    share = F.when(F.col("open") | F.col("debris"), F.col("text_ends")).otherwise(F.col("line_ends"))
+    r = r.withColumn("share", share).withColumn("known_prose", F.col("prose") & F.col("share").isNotNull())
+    w = {k: F.lit(v) for k, v in WEIGHTS.items()}
+    bracket = F.col("mark").rlike(r"^(\[|\(|--)")
+    parts = [
+        F.when(F.col("prefix"), w["word"]), F.when(F.col("closer"), w["closer"]),
+        F.when(F.col("share").isNull(), w["unknown"]).when(F.col("share") < INSIDE, w["inside"]).when(F.col("share") < SELDOM, w["seldom"]).when(F.col("share") < OFTEN, w["often"]).otherwise(w["always"]),
+        F.when(bracket, w["bracket"]).when(F.col("mark") != "", w["mark"]), F.when(F.col("open"), w["structure"]), F.when(F.col("debris"), w["debris"]),
+        F.when(F.col("known_prose"), w["prose"]), F.when(F.col("piled"), w["piled"]), F.when(F.col("more"), w["more"]),
+    ]
+    score = sum((F.coalesce(x, F.lit(0.0)) for x in parts), F.lit(0.0))
     reason = (
-        F.when(F.col("mark").rlike(r"^(\[|\(|--)") & (prefix | F.coalesce(closed < 0.5, F.lit(True))), "mark")
-        .when(prefix, "word")
-        .when(closer, F.lit(None))
-        .when(F.col("mark") != "", "mark")
-        .when(closed < INSIDE, "sentence")
-        .when(piled & ~F.col("item") & F.coalesce(closed < 0.9, F.lit(True)), "length")
-        .when(F.col("prose") & (closed < 0.9), "sentence")
-        .when(F.col("more") & ~F.col("item") & F.coalesce(closed < 0.5, F.lit(True)), "length")
-    )
-    found = r.select("doc_id", "source", reason.alias("reason"))
-    plain = F.when(F.col("debris"), "debris").when(F.col("structure") == "open", "structure")
-    return ends.where(f"not ({asked})").select("doc_id", "source", plain.alias("reason")).unionByName(found).dropDuplicates(["doc_id"])
+        F.when(F.col("debris"), "debris").when(F.col("open"), "structure").when(bracket, "mark").when(F.col("prefix"), "word").when(F.col("mark") != "", "mark")
+        .when((F.col("share") < INSIDE) | F.col("known_prose"), "sentence").otherwise("length")
+    )
+    evidence = F.when(F.col("prefix"), "word").when(F.col("share") < OFTEN, "context").when(F.col("piled") | F.col("more"), "length").when(F.col("share").isNull(), "unknown context").otherwise("mark")
+    cut = F.round(score, 6) >= 1
+    found = r.select("doc_id", "source", F.when(cut, reason).alias("reason"), F.when(cut, evidence).alias("evidence"))
+    none = F.lit(None).cast("string")
+    return ends.where(f"not coalesce({asked}, false)").select("doc_id", "source", none.alias("reason"), none.alias("evidence")).unionByName(found).dropDuplicates(["doc_id"])
 
 
 def truncated(documents: DataFrame) -> DataFrame:
-    """``doc_id, source, reason`` of the cut texts."""
+    """``doc_id, source, reason, evidence`` of the cut texts."""
     return judged(documents).where("reason is not null")
 
 
