@@ -28,7 +28,7 @@ from tidemark.storage import written
 _tok = re.compile(r"[一-鿿]|[^\W_一-鿿]+|\n+|[^\w\s]|_")
 _mark = re.compile(r"\s*(?:…+|\.{3}|\[[a-z]{2,12}\]|\([a-z]{2,12}\)|--[a-z ]{3,30}--)$")
 _debris = re.compile(r"(?:�+|&(?:[a-z]{1,6}|#\d*)|</?[a-z]{0,5}|\\(?:u[0-9a-fA-F]{0,3})?)$")
-_term = re.compile(r"[.!?。！？]['\"”’)）»」]*$")
+_closers = "'\"”’)）»」"
 _item = re.compile(r"\s*(?:[-*•]|\d+[.)]|\w+ \d+[.)])\s")
 _rule = re.compile(r"[|\s:-]+")
 _sentence = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n")
@@ -174,6 +174,11 @@ def _tail_of(t: str, size: int, enough) -> str:
     return t[-size:]
 
 
+def _term(text: str) -> bool:
+    """Whether a text ends with a sentence, before closing quotes and brackets."""
+    return text.rstrip(_closers)[-1:] in END
+
+
 def _shape(line: str) -> tuple[list[str], list[str]]:
     tokens = _tok.findall(line)
     return tokens, ["A" if t[0].isalnum() else t for t in tokens]
@@ -202,7 +207,7 @@ def open_structure(text: str) -> str | None:
         shapes = [_shape(x) for x in before]
         whole = max((s for _, s in shapes), key=lambda s: sum(s == u for _, u in shapes))
         same = [u for u, s in shapes if s == whole]
-        if len(same) >= 3 and len(whole) > 4 and any(not x[0].isalnum() for x in whole[1:]) and not _term.search(before[-1]):
+        if len(same) >= 3 and len(whole) > 4 and any(not x[0].isalnum() for x in whole[1:]) and not _term(before[-1]):
             if len(shape) < len(whole) and shape == whole[: len(shape)] and shape not in [s for _, s in shapes]:
                 return "open"
             if shape == whole and tokens:
@@ -217,6 +222,13 @@ def open_structure(text: str) -> str | None:
     return None
 
 
+def _after_sentence(t: str) -> bool:
+    """Whether the part before the last one, of sentences and lines, is a whole sentence."""
+    split = lambda x: [y for y in _sentence.split(x) if y and y.strip()]
+    parts = split(_tail_of(t, 1500, lambda x: len(split(x)) > 2))
+    return len(parts) > 1 and _term(parts[-2].strip())
+
+
 def tails(documents: DataFrame) -> DataFrame:
     """What the end of each text shows by itself; null and blank texts drop out."""
     rows = documents.select("doc_id", clean_name(F.col("source")).alias("source"), F.col("n_chars").cast("bigint").alias("declared"), "text")
@@ -230,18 +242,18 @@ def tails(documents: DataFrame) -> DataFrame:
                 if not t.strip():
                     continue
                 body, mark, debris = _body(t)
+                r = t.rstrip()
+                structure = open_structure(r) if not debris else None
+                term = _term(r)
+                asked = debris or structure == "open" or (structure is None and (not term or mark != ""))
                 # six tokens, the first of which may be a part
-                tokens = _tok.findall(_tail_of(body, 300, lambda x: len(_tok.findall(x)) > 6))[-5:]
-                ends.append(tokens)
+                ends.append(_tok.findall(_tail_of(body, 300, lambda x: len(_tok.findall(x)) > 6))[-5:] if asked else [])
                 size, octets = len(t), len(t.encode("utf-8", "surrogatepass"))
-                r = t.rstrip()
                 line = r[r.rfind("\n") + 1 :]
                 item = bool(_item.match(line))
-                split = lambda x: [y for y in _sentence.split(x) if y and y.strip()]
-                parts = split(_tail_of(r, 1500, lambda x: len(split(x)) > 2))
-                prose = not item and len(parts) > 1 and bool(_term.search(parts[-2].strip()))
+                prose = asked and not item and _after_sentence(r)
                 more = said is not None and said > size + max(3, size // 50) and said != octets
-                out.append((i, src, xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63, size, octets, debris, open_structure(r) if not debris else None, bool(_term.search(r)), mark, item, prose, more))
+                out.append((i, src, xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63, size, octets, debris, structure, term, mark, item, prose, more))
             h, s, kind, word, place, doc = _arrays(ends)
             last = np.flatnonzero(np.r_[doc[1:] != doc[:-1], True]) if len(doc) else np.empty(0, np.int64)
             grams: list[list[int | None]] = [[None] * LEVELS for _ in ends]
