@@ -157,13 +157,14 @@ def pieces(df: DataFrame, key: str, text: str, kind: str, limit: int = 512, over
     names = ["record_kind", "record_id", "piece", "n_pieces", "start_char", "end_char", "n_tokens", "text_tokens", "content"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
+        last = None
         for b in batches:
             out: list[tuple] = []
             for i, t in zip(b.column("id").to_pylist(), b.column("txt").to_pylist()):
-                if i in seen:
+                # repeated rows of an id follow each other
+                if i == last:
                     continue
-                seen.add(i)
+                last = i
                 total = 0
                 spans: list[tuple[int, int]] = []
                 if t and not t.isspace():
@@ -179,4 +180,4 @@ def pieces(df: DataFrame, key: str, text: str, kind: str, limit: int = 512, over
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(a, types)], names=names)
 
     schema = "record_kind string, record_id string, piece int, n_pieces int, start_char int, end_char int, n_tokens int, text_tokens int, content string"
-    return rows.repartition("id").mapInArrow(cut, schema)
+    return rows.repartition("id").sortWithinPartitions("id").mapInArrow(cut, schema)
