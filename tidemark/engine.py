@@ -67,13 +67,13 @@ class Engine:
         """``query_id, id, place, used`` of the fragments returned for each query.
 
         ``queries`` has ``query_id, namespace, embedding, text``. Fragments are
-        scored by recency, similarity and importance, ranked alone or fused
-        with keyword scores, and taken in order within the token budget.
+        scored by recency, similarity, importance and redundancy within the pool,
+        ranked alone or fused with keyword scores, and taken in order within the token budget.
         """
-        f = self.fragments.select("id", "content", "importance", "last_access_ms", "tags", F.coalesce("token_count", text.word_count(F.col("content"))).alias("token_count"))
+        f = self.fragments.select("id", "content", "importance", "last_access_ms", "tags", "embedding", F.coalesce("token_count", text.word_count(F.col("content"))).alias("token_count"))
         p = self.candidates(queries, k, mode).join(f, "id").where(text.matches_all(F.col("tags"), tags or []))
-        zero = F.lit(0.0)
-        semantic = scalar.memory_score(scalar.recency(F.col("last_access_ms"), self.now), F.col("cosine"), F.coalesce("importance", F.lit(0.5)), zero, zero)
+        p = recall.pool_redundancy(p, "query_id", "id", "embedding")
+        semantic = scalar.memory_score(scalar.recency(F.col("last_access_ms"), self.now), F.col("cosine"), F.coalesce("importance", F.lit(0.5)), F.col("penalty"), F.col("novelty"))
         p = p.withColumn("semantic", semantic).withColumn("importance", F.coalesce("importance", F.lit(0.5)))
         if rerank:
             p = recall.fused(p, "query_id", recall.tag_profile(F.coalesce("tags", F.array().cast("array<string>"))))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +77,60 @@ def within_budget(df: DataFrame, query: str, rank: str, item: str, tokens: str,
     return taken.select(query, F.posexplode("out").alias("place", "o")).select(query, F.col("o.i").alias(item), (F.col("place") + 1).cast("bigint").alias("place"), F.col("o.used").alias("used"))
 
 
+def pool_redundancy(pool: DataFrame, query: str, item: str, vector: str) -> DataFrame:
+    """Adds ``penalty`` and ``novelty`` of every candidate among the pool of its query, for ``vector``.
+
+    The penalty is the greatest, the novelty the least over the other candidates;
+    both are 0 without any. A null vector has cosine 0 to all. Similarities are
+    rounded to 9 decimals. A pool is bounded by the search limits and is compared
+    as one matrix, whose rows never leave their task.
+    """
+
+    def scored(b: pa.RecordBatch) -> pa.RecordBatch:
+        keys = b.column(query).to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+        v, known = b.column(vector), b.column(vector).is_valid().to_numpy(zero_copy_only=False)
+        flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        x = np.zeros((b.num_rows, len(flat) // max(int(known.sum()), 1)))
+        if known.any():
+            x[known] = flat.reshape(int(known.sum()), -1)
+        norm = np.sqrt((x * x).sum(1))
+        x = np.where(norm[:, None] > 0, x / np.where(norm > 0, norm, 1)[:, None], 0)
+        high = np.full(b.num_rows, np.nan)
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if hi - lo > 1:
+                sim = x[lo:hi] @ x[lo:hi].T
+                np.fill_diagonal(sim, -np.inf)
+                high[lo:hi] = sim.max(1)
+        high = np.round(high, 9)
+        alone = np.isnan(high)
+        # both rules fall with the similarity, so the nearest other decides
+        penalty = np.where(alone | (high < scalar.REDUNDANT_AT), 0.0, np.minimum(scalar.MAX_PENALTY, high - scalar.REDUNDANT_AT))
+        novelty = np.where(alone, 0.0, np.minimum(scalar.MAX_NOVELTY, np.maximum(0.0, 1 - high) * scalar.MAX_NOVELTY))
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(penalty), pa.array(novelty)], names=[*keep, "penalty", "novelty"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(query).to_numpy(zero_copy_only=False)
+            at = int(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[-1])
+            if held and (at or keys[0] != held[-1].column(query)[0].as_py()):
+                whole = pa.Table.from_batches([*held, b.slice(0, at)]).combine_chunks().to_batches()
+                yield from map(scored, whole)
+                held = []
+            elif at:
+                yield scored(b.slice(0, at))
+            held.append(b.slice(at))
+        if held:
+            yield from map(scored, pa.Table.from_batches(held).combine_chunks().to_batches())
+
+    keep = [c for c in pool.columns if c != vector]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pool.drop(vector).schema)
+    return pool.repartition(query).sortWithinPartitions(query, item).mapInArrow(run, kinds + ", penalty double, novelty double")
+
+
 def keyword_scores(docs: DataFrame, queries: DataFrame, pool: str = "namespace") -> DataFrame:
     """``query_id, id, score, matched`` of the documents that share a keyword with a query of their pool.
 

@@ -147,21 +147,29 @@ def j19_split_disjoint(spark: SparkSession, d: str) -> DataFrame:
     return pairs.join(both.groupBy("a", "b").agg(F.count("*").alias("shared")), ["a", "b"], "left").na.fill(0, ["shared"])
 
 
-_W1 = f"""SELECT candidate_id, row_number() OVER (PARTITION BY recall_id ORDER BY a DESC, candidate_id) AS active, row_number() OVER (PARTITION BY recall_id ORDER BY s DESC, candidate_id) AS shadow,
+_W1 = """SELECT candidate_id, row_number() OVER (PARTITION BY recall_id ORDER BY a DESC, candidate_id) AS active, row_number() OVER (PARTITION BY recall_id ORDER BY s DESC, candidate_id) AS shadow,
   row_number() OVER (PARTITION BY recall_id ORDER BY semantic DESC, candidate_id) AS baseline FROM (
-  SELECT *, round(0.3::DOUBLE * rec + 0.5::DOUBLE * semantic + 0.2::DOUBLE * importance, 9) AS a, round(0.1::DOUBLE * rec + 0.3::DOUBLE * semantic + 0.6::DOUBLE * importance, 9) AS s FROM (
-    SELECT *, 1 / (1 + ln(1 + greatest(0, ({NOW} - last_access_ms) / 86400000.0::DOUBLE))) AS rec FROM pool))"""
+  SELECT *, round(0.3::DOUBLE * recency + 0.5::DOUBLE * semantic + 0.2::DOUBLE * importance - penalty + novelty, 9) AS a, round(0.1::DOUBLE * recency + 0.3::DOUBLE * semantic + 0.6::DOUBLE * importance - penalty + novelty, 9) AS s FROM scored_pool)"""
 
 
-@query(using("pool") + _W1)
+def _total(a: float = scalar.ALPHA, b: float = scalar.BETA, g: float = scalar.GAMMA) -> F.Column:
+    return F.round(scalar.memory_score(F.col("recency"), F.col("semantic"), F.col("importance"), F.col("penalty"), F.col("novelty"), a, b, g), 9)
+
+
+@query(using("scored_pool") + _W1)
 def w1_profile_rank(spark: SparkSession, d: str) -> DataFrame:
-    rec, zero = scalar.recency(F.col("last_access_ms"), F.lit(v.NOW_MS)), F.lit(0.0)
-    p = v.pool(spark, d)
-    for name, (a, b, g) in {"active": (0.3, 0.5, 0.2), "shadow": (0.1, 0.3, 0.6)}.items():
-        p = recall.ranked(p, "recall_id", F.round(scalar.memory_score(rec, F.col("semantic"), F.col("importance"), zero, zero, a, b, g), 9), "candidate_id", name)
+    p = v.scored_pool(spark, d)
+    for name, weights in {"active": (0.3, 0.5, 0.2), "shadow": (0.1, 0.3, 0.6)}.items():
+        p = recall.ranked(p, "recall_id", _total(*weights), "candidate_id", name)
     return recall.ranked(p, "recall_id", F.col("semantic"), "candidate_id", "baseline").select("candidate_id", "active", "shadow", "baseline")
 
 
+@query(using("scored_pool") + "SELECT candidate_id, round(penalty, 6)::DOUBLE AS penalty, round(novelty, 6)::DOUBLE AS novelty FROM scored_pool")
+def j4_pool_redundancy(spark: SparkSession, d: str) -> DataFrame:
+    """Redundancy of each candidate among the pool of its recall."""
+    return v.scored_pool(spark, d).select("candidate_id", F.round("penalty", 6).alias("penalty"), F.round("novelty", 6).alias("novelty"))
+
+
 @query(using("pool") + "SELECT candidate_id, row_number() OVER (PARTITION BY recall_id ORDER BY round(greatest(0, semantic) + greatest(0, coalesce(keyword, 0)), 9) DESC, candidate_id) AS rank FROM pool")
 def w2_baseline_fusion(spark: SparkSession, d: str) -> DataFrame:
     s = F.greatest(F.lit(0.0), "semantic") + F.greatest(F.lit(0.0), F.coalesce("keyword", F.lit(0.0)))
@@ -208,7 +216,7 @@ def w5_rerank_effect(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("status", recall.rerank_effect(F.col("changed"), F.col("distinct_scores")))
 
 
-_BUDGET = """, ranked AS (SELECT recall_id, fragment_id, token_count, row_number() OVER (PARTITION BY recall_id ORDER BY semantic DESC, candidate_id) AS r FROM pool),
+_BUDGET = """, ranked AS (SELECT recall_id, fragment_id, token_count, row_number() OVER (PARTITION BY recall_id ORDER BY round(0.3::DOUBLE * recency + 0.5::DOUBLE * semantic + 0.2::DOUBLE * importance - penalty + novelty, 9) DESC, candidate_id) AS r FROM scored_pool),
 fold AS (
   SELECT recall_id, r, fragment_id, (token_count <= 256) AS taken, CASE WHEN token_count <= 256 THEN token_count ELSE 0 END AS used, CASE WHEN token_count <= 256 THEN 1 ELSE 0 END AS n FROM ranked WHERE r = 1
   UNION ALL
@@ -217,9 +225,9 @@ fold AS (
 SELECT recall_id, fragment_id, CAST(n AS BIGINT) AS place, CAST(used AS BIGINT) AS used FROM fold WHERE taken"""
 
 
-@query(using("pool").rstrip() + _BUDGET)
+@query(using("scored_pool").rstrip() + _BUDGET)
 def t1_token_budget_recall(spark: SparkSession, d: str) -> DataFrame:
-    p = recall.ranked(v.pool(spark, d), "recall_id", F.col("semantic"), "candidate_id")
+    p = recall.ranked(v.scored_pool(spark, d), "recall_id", _total(), "candidate_id")
     return recall.within_budget(p, "recall_id", "rank", "fragment_id", "token_count", k=5, budget=256)
 
 

@@ -198,14 +198,10 @@ def pred5_hot_cold(spark: SparkSession, d: str) -> DataFrame:
     return last.join(F.broadcast(now)).select("user_id", "last_ms", scalar.is_hot(F.col("last_ms"), F.col("now_ms")).alias("hot"))
 
 
-_REC = f"1 / (1 + ln(1 + greatest(0, ({NOW} - last_access_ms) / 86400000.0::DOUBLE)))"
-
-
-@query(using("pool") + f"SELECT candidate_id, round({_REC}, 6) AS recency, round(0.3::DOUBLE * {_REC} + 0.5::DOUBLE * semantic + 0.2::DOUBLE * importance, 6) AS score FROM pool")
+@query(using("scored_pool") + "SELECT candidate_id, round(recency, 6) AS recency, round(penalty, 6)::DOUBLE AS penalty, round(novelty, 6)::DOUBLE AS novelty, round(0.3::DOUBLE * recency + 0.5::DOUBLE * semantic + 0.2::DOUBLE * importance - penalty + novelty, 6) AS score FROM scored_pool")
 def pred6_score_breakdown(spark: SparkSession, d: str) -> DataFrame:
-    rec = scalar.recency(F.col("last_access_ms"), F.lit(v.NOW_MS))
-    zero = F.lit(0.0)
-    return v.pool(spark, d).select("candidate_id", F.round(rec, 6).alias("recency"), F.round(scalar.memory_score(rec, F.col("semantic"), F.col("importance"), zero, zero), 6).alias("score"))
+    score = scalar.memory_score(F.col("recency"), F.col("semantic"), F.col("importance"), F.col("penalty"), F.col("novelty"))
+    return v.scored_pool(spark, d).select("candidate_id", *(F.round(c, 6).alias(c) for c in ("recency", "penalty", "novelty")), F.round(score, 6).alias("score"))
 
 
 @query(using("fragments") + "SELECT id, round(least(1.0, importance + (1 - importance) * 0.15), 9) AS importance FROM fragments")

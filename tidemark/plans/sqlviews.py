@@ -25,6 +25,11 @@ DEFINITIONS: dict[str, tuple[list[str], str]] = {
       FROM recall_candidates WHERE fragment_id IS NOT NULL AND trim(coalesce(namespace, ''), ' ') <> '' AND score IS NOT NULL AND NOT isnan(score) AND NOT isinf(score) GROUP BY 1"""),
     "pool": (["fragments", "candidates"], """SELECT c.*, f.importance, f.raw_tags, f.token_count, f.last_access_ms FROM (
         SELECT *, row_number() OVER (PARTITION BY recall_id, fragment_id ORDER BY semantic DESC, candidate_id) AS v FROM candidates) c JOIN fragments f ON f.id = c.fragment_id WHERE v = 1"""),
+    "scored_pool": (["pool", "vec"], f"""SELECT p.*, 1 / (1 + ln(1 + greatest(0, ({NOW} - last_access_ms) / 86400000.0::DOUBLE))) AS recency,
+        CASE WHEN s.sim IS NULL OR s.sim < 0.95 THEN 0 ELSE least(0.25::DOUBLE, s.sim - 0.95::DOUBLE) END AS penalty,
+        CASE WHEN s.sim IS NULL THEN 0 ELSE least(0.15::DOUBLE, greatest(0, 1 - s.sim) * 0.15::DOUBLE) END AS novelty FROM pool p LEFT JOIN (
+        SELECT a.candidate_id, max(round(CASE WHEN x.embedding IS NULL OR y.embedding IS NULL THEN 0 ELSE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) END, 9)) AS sim
+        FROM pool a JOIN pool b ON a.recall_id = b.recall_id AND a.candidate_id <> b.candidate_id LEFT JOIN vec x ON x.id = a.fragment_id LEFT JOIN vec y ON y.id = b.fragment_id GROUP BY 1) s USING (candidate_id)"""),
     "ev": ([], "SELECT event_id, epoch_us(ts) // 1000 AS ts_ms, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events"),
     "log": (["ev"], """SELECT concat('t', user_id) AS task_id, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms, event_id) AS seq, CAST(event_id AS VARCHAR) AS entry_id,
         CASE event_type WHEN 'view' THEN 'UPDATE_CONTEXT' WHEN 'click' THEN 'START_TOOL_EXECUTION' WHEN 'purchase' THEN 'COMPLETE_TOOL_EXECUTION' WHEN 'error' THEN 'FAIL_TOOL_EXECUTION' ELSE 'SET_STATUS' END AS operation, k, value, ts_ms FROM ev"""),

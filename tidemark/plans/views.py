@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalar
 from tidemark.functions.names import clean_name, finite
 from tidemark.functions.text import normalized_tags, word_count
+from tidemark.operators import recall
 
 #: The instant that counts as now.
 NOW_MS = 1_784_800_000_000
@@ -74,6 +76,13 @@ def pool(spark: SparkSession, d: str) -> DataFrame:
     return c.join(f, "fragment_id")
 
 
+def scored_pool(spark: SparkSession, d: str) -> DataFrame:
+    """The pool with ``recency``, ``penalty`` and ``novelty`` of each candidate among its recall's."""
+    p = pool(spark, d).join(embeddings(spark, d).withColumnRenamed("id", "fragment_id"), "fragment_id", "left")
+    p = recall.pool_redundancy(p, "recall_id", "candidate_id", "embedding")
+    return p.withColumn("recency", scalar.recency(F.col("last_access_ms"), F.lit(NOW_MS)))
+
+
 def events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
