@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.engine import HYBRID, KEYWORD_ONLY, Engine
 from tidemark.functions import judge, models, scalar, text
-from tidemark.operators import evaluate, eviction, graph, learning, log, prompts, recall, stores
+from tidemark.operators import evaluate, eviction, graph, learning, log, prompts, recall, stores, ordering
 from tidemark.sources import readers, writers
 
 
@@ -339,3 +339,19 @@ def test_summary_is_cut_at_a_space(spark):
     r = one(spark, a=text.summary(F.lit(long)), b=text.summary(F.lit("x" * 2000)), c=text.summary(F.lit("- one.\n- two.")), d=text.summary(F.lit(None).cast("string")))
     assert 600 <= len(r.a) <= 1200 and long.startswith(r.a) and long[len(r.a)] == " "
     assert r.b == "x" * 1200 and r.c == "one.\ntwo." and r.d == ""
+
+
+def test_numbers_and_sums_of_a_large_group(spark):
+    rows = [("hot" if i % 3 else None if i % 9 == 0 else f"g{i % 5}", (i * 37) % 1000, i, i % 4 if i % 7 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, k int, id int, n int")
+    got = {r.id: (r.rank, r.before) for r in ordering.numbered(df, "g", ["k", "id"], "n").collect()}
+    want, by = {}, {}
+    for g, k, i, n in rows:
+        by.setdefault(g, []).append((k, i, n or 0))
+    for members in by.values():
+        total = 0
+        for place, (_, i, n) in enumerate(sorted(members), 1):
+            want[i] = (place, total)
+            total += n
+    assert got == want
+    assert ordering.numbered(df.limit(0), "g", ["k", "id"]).count() == 0

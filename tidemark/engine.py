@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar, text
 from tidemark.functions.names import clean_name
-from tidemark.operators import evaluate, eviction, graph, log, recall, stores
+from tidemark.operators import evaluate, eviction, graph, log, ordering, recall, stores
 
 VECTOR_ONLY, KEYWORD_ONLY, HYBRID = "VECTOR_ONLY", "KEYWORD_ONLY", "HYBRID"
 #: Query sets up to this many rows are broadcast; larger ones are joined by namespace.
@@ -84,10 +84,10 @@ class Engine:
 
     def eviction_plan(self, target: int) -> DataFrame:
         """Groups of each namespace to release, least dense first, until the target."""
-        f = self.fragments.where(~scalar.is_pinned(F.col("pinned_until_ms"), self.now))
         score = scalar.ALPHA * scalar.recency(F.col("last_access_ms"), self.now) + scalar.GAMMA * F.coalesce("importance", F.lit(0.5))
-        g = eviction.group_totals(f.withColumn("score", score), scalar.group_key(F.col("reasoning_chain_id"), F.col("id")))
-        return eviction.until_target(g, ["namespace"], [F.col("density"), F.col("grp")], "group_tokens", target)
+        pinned = scalar.is_pinned(F.col("pinned_until_ms"), self.now)
+        g = eviction.group_totals(self.fragments.where("namespace is not null").withColumn("score", score), scalar.group_key(F.col("reasoning_chain_id"), F.col("id")), pinned).where("loose").drop("loose")
+        return ordering.numbered(g, "namespace", ["density", "grp"], "group_tokens", before="released_before").where(F.col("released_before") < target).drop("rank")
 
     def quota(self, capacity: int) -> DataFrame:
         return eviction.quotas(eviction.usage(self.fragments, "namespace", "token_count"), capacity)

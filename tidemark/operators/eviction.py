@@ -39,16 +39,10 @@ def quotas(used: DataFrame, capacity: int, hard_share: float = 0.25, soft_share:
     return total.withColumn("borrow_capacity", F.greatest(F.lit(0), capacity - F.col("protected")))
 
 
-def group_members(fragments: DataFrame, group: Column) -> DataFrame:
-    """Token sum, mean score and density of every reasoning group, beside each member."""
-    w = Window.partitionBy("namespace", "grp")
-    out = fragments.withColumn("grp", group)
-    out = out.withColumn("group_tokens", F.sum("token_count").over(w)).withColumn("group_score", F.avg("score").over(w))
-    return out.withColumn("density", F.col("group_score") / F.greatest(F.lit(1), F.col("group_tokens")))
-
-
-def group_totals(fragments: DataFrame, group: Column) -> DataFrame:
-    g = fragments.withColumn("grp", group).groupBy("namespace", "grp").agg(F.sum("token_count").alias("group_tokens"), F.avg("score").alias("group_score"))
+def group_totals(fragments: DataFrame, group: Column, pinned: Column | None = None) -> DataFrame:
+    """Token sum, mean score and density of every group, over all members; ``loose`` if one isn't pinned."""
+    g = fragments.withColumn("grp", group).withColumn("_p", F.lit(False) if pinned is None else pinned)
+    g = g.groupBy("namespace", "grp").agg(F.sum("token_count").cast("bigint").alias("group_tokens"), F.avg("score").alias("group_score"), F.bool_or(~F.col("_p")).alias("loose"))
     return g.withColumn("density", F.col("group_score") / F.greatest(F.lit(1), F.col("group_tokens")))
 
 

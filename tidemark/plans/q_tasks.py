@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
-from tidemark.operators import eviction, graph, learning, log
+from tidemark.operators import eviction, graph, learning, log, ordering
 from tidemark.plans import views as v
 from tidemark.plans.registry import query
 from tidemark.plans.sqlviews import NOW, using
@@ -39,30 +39,35 @@ def a3_eviction_priority(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SCORED = f"""scored AS (SELECT *, round(0.3::DOUBLE / (1 + ln(1 + greatest(0, ({NOW} - last_access_ms) / 86400000.0::DOUBLE))) + 0.2::DOUBLE * importance, 9) AS score,
-  coalesce(reasoning_chain_id, concat('__self__:', id)) AS grp FROM fragments WHERE NOT coalesce(pinned_until_ms > {NOW}, false)),
-groups AS (SELECT namespace, grp, sum(token_count) AS group_tokens, round(avg(score), 9) AS group_score, max(last_access_ms) AS last_ms, round(avg(importance), 9) AS importance, round(avg(score) / greatest(1, sum(token_count)), 12) AS density FROM scored GROUP BY 1, 2) """
+  coalesce(reasoning_chain_id, concat('__self__:', id)) AS grp, coalesce(pinned_until_ms > {NOW}, false) AS pinned FROM fragments),
+groups AS (SELECT namespace, grp, sum(token_count) AS group_tokens, round(avg(score), 9) AS group_score, max(last_access_ms) AS last_ms, round(avg(importance), 9) AS importance, round(avg(score) / greatest(1, sum(token_count)), 12) AS density, bool_or(NOT pinned) AS loose FROM scored GROUP BY 1, 2) """
 _S = using("fragments").rstrip() + ", " + _SCORED
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    f = v.fragments(spark, d).where(~scalar.is_pinned(F.col("pinned_until_ms"), F.lit(v.NOW_MS)))
+    """All fragments with score, group and pin; pinned ones count in their groups but are never released."""
     score = scalar.ALPHA * scalar.recency(F.col("last_access_ms"), F.lit(v.NOW_MS)) + scalar.GAMMA * F.col("importance")
-    return f.withColumn("score", F.round(score, 9))
+    f = v.fragments(spark, d).withColumn("score", F.round(score, 9)).withColumn("grp", scalar.group_key(F.col("reasoning_chain_id"), F.col("id")))
+    return f.withColumn("pinned", scalar.is_pinned(F.col("pinned_until_ms"), F.lit(v.NOW_MS))).select("id", "namespace", "grp", "score", "pinned", "token_count", "importance", "last_access_ms")
 
 
 def _groups(spark: SparkSession, d: str) -> DataFrame:
-    g = eviction.group_totals(_scored(spark, d), scalar.group_key(F.col("reasoning_chain_id"), F.col("id")))
-    return g.withColumn("density", F.round("density", 12)).withColumn("group_score", F.round("group_score", 9)).withColumn("group_tokens", F.col("group_tokens").cast("bigint"))
+    """Groups with their sums; ``loose`` if some member may be released."""
+    g = _scored(spark, d).groupBy("namespace", "grp").agg(
+        F.sum("token_count").cast("bigint").alias("group_tokens"), F.avg("score").alias("_s"), F.max("last_access_ms").alias("last_ms"),
+        F.round(F.avg("importance"), 9).alias("importance"), F.bool_or(~F.col("pinned")).alias("loose"))
+    density = F.round(F.col("_s") / F.greatest(F.lit(1), F.col("group_tokens")), 12)
+    return g.withColumn("density", density).withColumn("group_score", F.round("_s", 9)).drop("_s")
 
 
 @query(_S + "SELECT namespace, grp, CAST(group_tokens AS BIGINT) AS group_tokens, group_score, density FROM groups")
 def a5_group_density(spark: SparkSession, d: str) -> DataFrame:
-    return _groups(spark, d)
+    return _groups(spark, d).select("namespace", "grp", "group_tokens", "group_score", "density")
 
 
 @query(_S + "SELECT namespace, grp, max(last_access_ms) AS last_ms, round(avg(importance), 9) AS importance, max_by(id, (last_access_ms, importance, id)) AS representative FROM scored GROUP BY 1, 2")
 def a6_group_ref(spark: SparkSession, d: str) -> DataFrame:
-    f = _scored(spark, d).withColumn("grp", scalar.group_key(F.col("reasoning_chain_id"), F.col("id")))
+    f = _scored(spark, d)
     return f.groupBy("namespace", "grp").agg(F.max("last_access_ms").alias("last_ms"), F.round(F.avg("importance"), 9).alias("importance"), F.max_by("id", F.struct("last_access_ms", "importance", "id")).alias("representative"))
 
 
@@ -95,27 +100,25 @@ def a8_protection(spark: SparkSession, d: str) -> DataFrame:
     return g.select("user_id", "hits", F.round(fresh * F.greatest(F.lit(0.34), F.least(F.lit(1.0), F.col("hits") / 3)), 6).alias("protection"))
 
 
-@query(_S + "SELECT s.namespace, id, row_number() OVER (PARTITION BY s.namespace ORDER BY g.density, s.score, id) AS rank FROM scored s JOIN groups g USING (namespace, grp)")
+@query(_S + "SELECT s.namespace, id, row_number() OVER (PARTITION BY s.namespace ORDER BY g.density, s.score, id) AS rank FROM scored s JOIN groups g USING (namespace, grp) WHERE NOT pinned")
 def w7_eviction_rank(spark: SparkSession, d: str) -> DataFrame:
-    key = scalar.group_key(F.col("reasoning_chain_id"), F.col("id"))
-    f = _scored(spark, d).withColumn("grp", key).join(_groups(spark, d).select("namespace", "grp", "density"), ["namespace", "grp"])
-    w = Window.partitionBy("namespace").orderBy("density", "score", "id")
-    return f.select("namespace", "id", F.row_number().over(w).cast("bigint").alias("rank"))
+    f = _scored(spark, d).where("not pinned").join(_groups(spark, d).select("namespace", "grp", "density"), ["namespace", "grp"])
+    return ordering.numbered(f.select("namespace", "id", "density", "score"), "namespace", ["density", "score", "id"]).select("namespace", "id", "rank")
 
 
-@query(_S + "SELECT namespace, grp, row_number() OVER (PARTITION BY namespace ORDER BY importance > 0.5, density, grp) AS rank FROM groups")
+@query(_S + "SELECT namespace, grp, row_number() OVER (PARTITION BY namespace ORDER BY importance > 0.5, density, grp) AS rank FROM groups WHERE loose")
 def w8_regret_order(spark: SparkSession, d: str) -> DataFrame:
-    imp = _scored(spark, d).withColumn("grp", scalar.group_key(F.col("reasoning_chain_id"), F.col("id"))).groupBy("namespace", "grp").agg(F.round(F.avg("importance"), 9).alias("importance"))
-    w = Window.partitionBy("namespace").orderBy(F.col("importance") > 0.5, "density", "grp")
-    return _groups(spark, d).join(imp, ["namespace", "grp"]).select("namespace", "grp", F.row_number().over(w).cast("bigint").alias("rank"))
+    g = _groups(spark, d).where("loose").select("namespace", "grp", "density", (F.col("importance") > 0.5).alias("kept"))
+    return ordering.numbered(g, "namespace", ["kept", "density", "grp"]).select("namespace", "grp", "rank")
 
 
-@query(_S + """SELECT namespace, grp, place FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY last_ms, importance, grp) AS place, coalesce(sum(group_tokens) OVER (PARTITION BY namespace ORDER BY last_ms, importance, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM groups) WHERE place <= 64 AND before < 500""")
+@query(_S + """SELECT namespace, grp, place FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY last_ms, importance, grp) AS place, coalesce(sum(group_tokens) OVER (PARTITION BY namespace ORDER BY last_ms, importance, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM groups WHERE loose) WHERE place <= 64 AND before < 500""")
 def w9_cold_first(spark: SparkSession, d: str) -> DataFrame:
-    ref = a6_group_ref(spark, d).join(_groups(spark, d).select("namespace", "grp", "group_tokens"), ["namespace", "grp"])
     order = [F.col("last_ms"), F.col("importance"), F.col("grp")]
+    # the first 64 of a namespace are cut before and after the shuffle; only they are summed
     w = Window.partitionBy("namespace").orderBy(*order)
-    return eviction.until_target(ref.withColumn("place", F.row_number().over(w).cast("bigint")), ["namespace"], order, "group_tokens", 500).where("place <= 64").select("namespace", "grp", "place")
+    g = _groups(spark, d).where("loose").withColumn("place", F.row_number().over(w).cast("bigint")).where("place <= 64")
+    return eviction.until_target(g, ["namespace"], order, "group_tokens", 500).select("namespace", "grp", "place")
 
 
 @query(using("ev") + "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY k DESC, ts_ms, event_id) AS r FROM ev) WHERE r <= 500")
@@ -124,15 +127,21 @@ def w10_prefetch_queue(spark: SparkSession, d: str) -> DataFrame:
     return v.events(spark, d).withColumn("r", F.row_number().over(w)).where("r <= 500").select("event_type", "event_id")
 
 
-@query(_S + "SELECT namespace, grp, before FROM (SELECT *, CAST(coalesce(sum(group_tokens) OVER (PARTITION BY namespace ORDER BY density, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM groups) WHERE before < 300")
+@query(_S + "SELECT namespace, grp, before FROM (SELECT *, CAST(coalesce(sum(group_tokens) OVER (PARTITION BY namespace ORDER BY density, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM groups WHERE loose) WHERE before < 300")
 def t2_release_target(spark: SparkSession, d: str) -> DataFrame:
-    out = eviction.until_target(_groups(spark, d), ["namespace"], [F.col("density"), F.col("grp")], "group_tokens", 300)
-    return out.select("namespace", "grp", F.col("released_before").cast("bigint").alias("before"))
+    g = _groups(spark, d).where("loose").select("namespace", "grp", "density", "group_tokens")
+    return ordering.numbered(g, "namespace", ["density", "grp"], "group_tokens").where("before < 300").select("namespace", "grp", "before")
 
 
-@query()
+_FLOOR = """, o AS (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY density, grp) AS r, sum(group_tokens) OVER (PARTITION BY namespace) AS total FROM groups WHERE loose),
+f AS (SELECT namespace, r, grp, group_tokens, total, total - group_tokens >= 200 AS taken, CASE WHEN total - group_tokens >= 200 THEN group_tokens ELSE 0 END AS done FROM o WHERE r = 1
+  UNION ALL SELECT o.namespace, o.r, o.grp, o.group_tokens, o.total, f.done < 300 AND o.total - f.done - o.group_tokens >= 200, f.done + CASE WHEN f.done < 300 AND o.total - f.done - o.group_tokens >= 200 THEN o.group_tokens ELSE 0 END FROM f JOIN o ON o.namespace = f.namespace AND o.r = f.r + 1)
+SELECT namespace, grp, CAST(group_tokens AS BIGINT) AS released FROM f WHERE taken"""
+
+
+@query(_S.rstrip() + _FLOOR)
 def t3_group_evict(spark: SparkSession, d: str) -> DataFrame:
-    return eviction.evict_with_floor(_groups(spark, d), target=300, floor=200)
+    return eviction.evict_with_floor(_groups(spark, d).where("loose"), target=300, floor=200)
 
 
 @query(using("pages") + "SELECT namespace, page_id FROM (SELECT *, sum(50 * n) OVER (PARTITION BY namespace ORDER BY last_ms, page_id ROWS UNBOUNDED PRECEDING) - 50 * n AS before FROM (SELECT namespace, page_id, count(*) AS n, max(last_access_ms) AS last_ms FROM pages GROUP BY 1, 2)) WHERE before < 400")
@@ -153,10 +162,10 @@ def t9_status_bound(spark: SparkSession, d: str) -> DataFrame:
     return v.events(spark, d).withColumn("r", F.row_number().over(w)).where("r <= 40").select("user_id", "event_id")
 
 
-@query(_S + "SELECT id, namespace, score, density, dense_rank() OVER (PARTITION BY namespace ORDER BY density, grp) AS group_rank FROM scored JOIN groups g USING (namespace, grp)")
+@query(_S + "SELECT id, namespace, score, density, dense_rank() OVER (PARTITION BY namespace ORDER BY density, grp) AS group_rank FROM scored s JOIN groups g USING (namespace, grp) WHERE NOT pinned")
 def l18_eviction_log(spark: SparkSession, d: str) -> DataFrame:
-    f = _scored(spark, d).withColumn("grp", scalar.group_key(F.col("reasoning_chain_id"), F.col("id"))).join(_groups(spark, d).select("namespace", "grp", "density"), ["namespace", "grp"])
-    return f.select("id", "namespace", "score", "density", F.dense_rank().over(Window.partitionBy("namespace").orderBy("density", "grp")).cast("bigint").alias("group_rank"))
+    g = ordering.numbered(_groups(spark, d).where("loose").select("namespace", "grp", "density"), "namespace", ["density", "grp"], rank="group_rank")
+    return _scored(spark, d).where("not pinned").join(g, ["namespace", "grp"]).select("id", "namespace", "score", "density", "group_rank")
 
 
 # graphs
