@@ -209,11 +209,57 @@ def test_cosine_pages_beyond_a_block_equal_brute_force(spark):
     assert sum(of[f"i{k:05d}"] == w for k, w in enumerate(want)) >= 0.999 * n
 
 
-def test_replay_ignores_repeats_and_order(spark):
-    ops = [(1, "a", "UPDATE_CONTEXT", "k", "v"), (2, "b", "START_TOOL_EXECUTION", "x", ""), (3, "c", "UPDATE_CONTEXT", "k", ""), (4, "d", "COMPLETE_TOOL_EXECUTION", "x", ""), (5, "e", "FAIL_TOOL_EXECUTION", "none", ""), (6, "f", "SET_STATUS", "", "PAUSED")]
-    df = spark.createDataFrame([("t", *o) for o in ops], "task_id string, seq bigint, entry_id string, operation string, key string, value string")
+LOG = "task_id string, seq bigint, entry_id string, operation string, payload map<string,string>, ts_ms bigint"
+
+
+def replayed(spark, *ops):
+    rows = [("t", i, f"e{i}", op, p, i * 1000) for i, (op, p) in enumerate(ops, 1)]
+    df = spark.createDataFrame(rows, LOG)
     a, b = log.replay(df).first(), log.replay(df.unionByName(df).orderBy(F.col("seq").desc())).first()
-    assert a == b and (json.loads(a.context), json.loads(a.tools), a.status) == ({}, {"x": "SUCCEEDED"}, "PAUSED")
+    assert a == b
+    return a
+
+
+def node(i, **more):
+    return "APPEND_NODE", {"nodeId": i, "type": "thought", **more}
+
+
+def test_replay_of_values_and_lifecycles(spark):
+    r = replayed(
+        spark, ("UPDATE_CONTEXT", {"key": "k", "value": "v"}), ("START_TOOL_EXECUTION", {"executionId": "x"}), ("UPDATE_CONTEXT", {"key": "k", "value": ""}), ("COMPLETE_TOOL_EXECUTION", {"executionId": "x"}),
+        ("START_LLM_CALL", {"callId": "l"}), ("TIMEOUT_LLM_CALL", {"callId": "l"}), ("MARK_LLM_CALL_RETRY", {"callId": "l"}), ("APPEND_CONVERSATION_MESSAGE", {"conversationId": "c", "content": "hi"}), ("SET_STATUS", {"status": "COMPLETED"}),
+    )
+    assert (json.loads(r.context), json.loads(r.tools), json.loads(r.calls), json.loads(r.conversations)) == ({}, {"x": "SUCCEEDED"}, {"l": "RETRY_PENDING 2 retryable"}, {"c": 1})
+    assert (r.applied, r.last_seq, r.status, r.finalization, r.error) == (9, 9, "COMPLETED", "PENDING_FINALIZATION", None)
+    assert replayed(spark, ("SET_STATUS", {"status": "RECOVERING"})).status == "RUNNING"
+
+
+def test_replay_of_nodes_and_edges(spark):
+    r = replayed(spark, node("a"), node("b", targetNodeId="a", edgeType="DATA"), node("c", targetNodeId="b", edgeType="DATA"), ("ADD_EDGE", {"sourceNodeId": "a", "targetNodeId": "c", "dependencyType": "DATA"}), ("COMPLETE_NODE", {"nodeId": "a", "result": "r"}), ("DELETE_NODE", {"nodeId": "c"}))
+    assert (json.loads(r.nodes), json.loads(r.edges), r.current_node) == ({"a": "COMPLETED", "b": "PENDING"}, ["a>b DATA"], "b")
+
+
+@pytest.mark.parametrize(
+    "op, payload, error",
+    [
+        ("COMPLETE_NODE", {"nodeId": "z"}, "UNKNOWN_NODE"), ("ADD_EDGE", {"sourceNodeId": "b", "targetNodeId": "a", "dependencyType": "DATA"}, "CYCLE"), ("APPEND_NODE", {"nodeId": "c", "targetNodeId": "z", "edgeType": "DATA"}, "UNKNOWN_NODE"),
+        ("FAIL_TOOL_EXECUTION", {"executionId": "x"}, "UNKNOWN_EXECUTION"), ("COMPLETE_LLM_CALL", {"callId": "l"}, "UNKNOWN_CALL"), ("DELETE_TASK", {}, "TASK_DELETED"), ("SET_STATUS", None, "NO_PAYLOAD"),
+        ("SWITCH_BRANCH", {"branchId": "q"}, "NO_ACTIVE_BRANCH"), ("CREATE_BRANCH", {"sourceNodeId": "z"}, "UNKNOWN_NODE"), ("SOMETHING", {"a": "b"}, "UNKNOWN_OPERATION"),
+    ],
+)
+def test_a_refused_entry_ends_the_replay(spark, op, payload, error):
+    r = replayed(spark, node("a"), node("b", targetNodeId="a", edgeType="DATA"), (op, payload), ("UPDATE_CONTEXT", {"key": "k", "value": "v"}))
+    assert (r.error, r.error_seq, r.applied, json.loads(r.context), json.loads(r.nodes), json.loads(r.edges)) == (error, 3, 2, {}, {"a": "PENDING", "b": "PENDING"}, ["a>b DATA"])
+
+
+def test_replay_of_branches(spark):
+    create = lambda b: ("CREATE_BRANCH", {"branchId": b, "branchName": b, "sourceNodeId": "a", "forkNodeId": f"f{b}"})
+    r = replayed(spark, node("a"), create("x"), node("n", branchId="x"), create("y"), ("SWITCH_BRANCH", {"branchId": "x"}))
+    assert (json.loads(r.branches), r.current_branch, r.current_node) == ({"x": "ACTIVE", "y": "ACTIVE"}, "x", "n")
+    r = replayed(spark, node("a"), create("x"), create("y"), ("MERGE_BRANCH", {"sourceBranchId": "y", "targetBranchId": "x"}), ("ABANDON_BRANCH", {"branchId": "x"}))
+    assert (json.loads(r.branches), r.current_branch) == ({"x": "ABANDONED", "y": "MERGED"}, "x")
+    r = replayed(spark, node("a"), *(create(f"b{i}") for i in range(11)))
+    assert (r.error, r.error_seq, len(json.loads(r.branches))) == ("TOO_MANY_BRANCHES", 12, 10)
 
 
 def test_full_equals_full_and_deltas(spark):

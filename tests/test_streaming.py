@@ -8,8 +8,8 @@ def rows(df):
 
 
 def test_streamed_replay_equals_batch(spark, sf):
-    cols = ["task_id", "applied", "context", "tools", "status"]
-    assert rows(Q["x4_wal_replay_stream"](spark, sf).select(cols)) == rows(Q["l1_replay_full"](spark, sf).select(cols))
+    key = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    assert key(Q["x4_wal_replay_stream"](spark, sf)) == key(Q["l1_replay_full"](spark, sf)) != []
 
 
 def test_sessions_are_consumed_once(spark, sf):

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.folding import folded
+from tidemark.operators.folding import Rows, folded
 
 HOUR_MS = 3_600_000
 
@@ -60,13 +59,13 @@ def evict_with_floor(groups: DataFrame, target: int, floor: int) -> DataFrame:
     """
     total = groups.groupBy("namespace").agg(F.sum("group_tokens").alias("left"))
 
-    def step(key: str, s: dict, g: pd.DataFrame) -> pd.DataFrame:
+    def step(key: str, s: dict, g: Rows) -> list[tuple]:
         out = []
         for grp, t, left in zip(g["grp"], g["group_tokens"], g["left"]):
             if s["done"] < target and left - s["done"] - t >= floor:
                 s["done"] += int(t)
                 out.append((key, grp, int(t)))
-        return pd.DataFrame(out, columns=["namespace", "grp", "released"])
+        return out
 
     rows = groups.join(total, "namespace").select("namespace", "grp", "density", "group_tokens", "left")
     return folded(rows, "namespace", ["density", "grp"], "namespace string, grp string, released bigint", lambda: {"done": 0}, step)
@@ -80,7 +79,7 @@ def admissions(requests: DataFrame, capacity: int, quota: int) -> DataFrame:
     quota go before the others. Columns: ``key, seq, tokens, pinned``.
     """
 
-    def step(key: str, s: dict, g: pd.DataFrame) -> pd.DataFrame:
+    def step(key: str, s: dict, g: Rows) -> list[tuple]:
         held, out = s["held"], []
         for seq, tokens, pinned in zip(g["seq"], g["tokens"], g["pinned"]):
             if tokens > capacity or s["fixed"] + tokens > capacity:
@@ -97,7 +96,7 @@ def admissions(requests: DataFrame, capacity: int, quota: int) -> DataFrame:
                 held.append(int(tokens))
                 s["loose"] += int(tokens)
             out.append((key, seq, "ADMITTED_AFTER_RECLAIM" if evicted else "ADMITTED", evicted))
-        return pd.DataFrame(out, columns=["key", "seq", "decision", "evicted"])
+        return out
 
     # what is held has at most ``capacity`` tokens
     return folded(requests, "key", ["seq"], "key string, seq bigint, decision string, evicted bigint", lambda: {"held": deque(), "fixed": 0, "loose": 0}, step)

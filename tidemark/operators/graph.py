@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.folding import folded
+from tidemark.operators.folding import Rows, folded
 from tidemark.storage import written
 
 GRAPH = "task_id"
@@ -179,18 +179,18 @@ def cosine_pages(vectors: DataFrame, group: str, size: int = 10, rounds: int = 1
     def start() -> dict:
         return {"ids": [], "file": tempfile.TemporaryFile(), "width": 0}
 
-    def step(key: str, s: dict, rows: pd.DataFrame) -> None:
-        x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+    def step(key: str, s: dict, rows: Rows) -> None:
+        x = np.asarray(rows["embedding"], np.float64)
         n = np.sqrt((x * x).sum(1))
         s["file"].write((x / np.where(n > 0, n, 1)[:, None]).tobytes())
-        s["ids"] += rows["id"].tolist()
+        s["ids"] += rows["id"]
         s["width"] = x.shape[1]
 
     def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
         rows = max(1, 4_000_000 // len(c))
         return np.concatenate([(x[lo : lo + rows] @ c.T).argmax(1) for lo in range(0, len(x), rows)])
 
-    def finish(key: str, s: dict) -> pd.DataFrame:
+    def finish(key: str, s: dict) -> list[tuple]:
         s["file"].flush()
         x = np.asarray(np.memmap(s["file"], np.float64, "r", shape=(len(s["ids"]), s["width"])))
         k = -(-len(x) // size)
@@ -211,7 +211,7 @@ def cosine_pages(vectors: DataFrame, group: str, size: int = 10, rounds: int = 1
                 break
         own = nearest(x, c)
         s["file"].close()
-        return pd.DataFrame({"id": s["ids"], "page_id": [f"{key}-p{i}" for i in own]})
+        return [(v, f"{key}-p{i}") for v, i in zip(s["ids"], own)]
 
     rows = vectors.select(F.col(group).alias("_g"), "id", "embedding")
     return folded(rows, "_g", ["id"], "id string, page_id string", start, step, finish)
@@ -227,8 +227,8 @@ def incremental_pages(vectors: DataFrame, group: str, order: str, size: int = 10
     def start() -> dict:
         return {"c": None, "count": np.zeros(0, np.int64), "page": np.zeros(0, np.int64), "held": 0, "full": 0, "pages": 0}
 
-    def step(key: str, s: dict, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+    def step(key: str, s: dict, rows: Rows) -> list[tuple]:
+        x = np.asarray(rows["embedding"], np.float64)
         n = np.sqrt((x * x).sum(1))
         x = x / np.where(n > 0, n, 1)[:, None]
         own = []
@@ -259,7 +259,7 @@ def incremental_pages(vectors: DataFrame, group: str, order: str, size: int = 10
                 for c in ("c", "count", "page"):
                     s[c] = s[c][k]
                 s["held"], s["full"] = len(k), 0
-        return pd.DataFrame({"id": rows["id"], "page_id": [f"{key}-i{i}" for i in own]})
+        return [(v, f"{key}-i{i}") for v, i in zip(rows["id"], own)]
 
     rows = vectors.select(F.col(group).alias("_g"), "id", order, "embedding")
     return folded(rows, "_g", [F.col(order).asc_nulls_last(), "id"], "id string, page_id string", start, step)

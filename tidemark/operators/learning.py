@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.folding import folded
+from tidemark.operators.folding import Rows, folded
 
 
 def arms(spark: SparkSession) -> DataFrame:
@@ -52,8 +51,8 @@ def exp3(pulls: DataFrame, n_arms: int, rate: float = 0.5, warm: int = 100) -> D
     def start() -> dict:
         return {"w": np.ones(n_arms), "eps": 0.3, "best": -np.inf, "still": 0, "mean": 0.0, "n": 0}
 
-    def step(_: str, s: dict, g: pd.DataFrame) -> None:
-        for arm, reward in zip(g["arm"].to_numpy(), g["reward"].to_numpy()):
+    def step(_: str, s: dict, g: Rows) -> None:
+        for arm, reward in zip(g["arm"], g["reward"]):
             w = s["w"]
             p = (1 - s["eps"]) * w[arm] / w.sum() + s["eps"] / n_arms
             w[arm] *= np.exp(rate / np.sqrt(s["n"] + 1) * (reward / p) / n_arms)
@@ -67,9 +66,9 @@ def exp3(pulls: DataFrame, n_arms: int, rate: float = 0.5, warm: int = 100) -> D
                 if s["still"] >= 40:
                     s["eps"], s["still"] = min(0.3, s["eps"] * 1.1), 0
 
-    def finish(key: str, s: dict) -> pd.DataFrame:
+    def finish(key: str, s: dict) -> list[tuple]:
         p = (1 - s["eps"]) * s["w"] / s["w"].sum() + s["eps"] / n_arms
-        return pd.DataFrame([(key, s["n"], s["eps"], int(p.argmax()), float(p.max()))], columns=["scenario", "recalls", "epsilon", "best_arm", "best_p"])
+        return [(key, s["n"], s["eps"], int(p.argmax()), float(p.max()))]
 
     return folded(pulls, "scenario", ["ts_ms", "n"], "scenario string, recalls bigint, epsilon double, best_arm int, best_p double", start, step, finish)
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.folding import folded
+from tidemark.operators import replaying
+from tidemark.operators.folding import Rows, folded
 from tidemark.storage import written
 
 TERMINAL = ("COMPLETED", "FAILED", "CANCELLED")
@@ -124,51 +122,34 @@ def executions(requests: DataFrame, ttl_ms: int = EXECUTION_TTL_MS) -> DataFrame
     the record's life the same hash is a replay and another a conflict.
     """
 
-    def step(key: str, s: dict, g: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for t, h in zip(g["ts_ms"], g["hash"]):
-            if "start" not in s or t - s["start"] >= ttl_ms:
-                s["start"], s["held"] = t, h
-                out.append("NEW")
+    def step(key: str, s: dict, g: Rows) -> list[tuple]:
+        out, opened, held = [], s.get("opened"), s.get("held")
+        for n, t, h in zip(g["n"], g["ts_ms"], g["hash"]):
+            if opened is None or t - opened >= ttl_ms:
+                opened, held = t, h
+                out.append((key, n, "NEW"))
             else:
-                out.append("REPLAY" if h == s["held"] else "CONFLICT")
-        return pd.DataFrame({"key": key, "n": g["n"], "outcome": out})
+                out.append((key, n, "REPLAY" if h == held else "CONFLICT"))
+        s["opened"], s["held"] = opened, held
+        return out
 
-    return folded(requests, "key", ["ts_ms", "n"], "key string, n bigint, outcome string", dict, step)
+    return folded(requests.select("key", "hash", "ts_ms", "n"), "key", ["ts_ms", "n"], "key string, n bigint, outcome string", dict, step)
 
 
 def replay(log: DataFrame) -> DataFrame:
-    """State of every task after its whole log: context, tools and status, as JSON strings.
+    """State of every task after its whole log, a row of ``replaying.OUTPUT``.
 
-    Entries may come in any order and more than once.
+    ``log`` has ``task_id, seq, entry_id, operation, payload`` (map<string,string>)
+    and ``ts_ms``. Entries may come in any order and more than once. An entry
+    that the state can't take ends the replay of its task with an ``error``.
     """
 
-    def start() -> dict:
-        return {"ctx": {}, "tool": {}, "status": "RUNNING", "n": 0}
-
-    def step(_: str, s: dict, g: pd.DataFrame) -> None:
-        ctx, tool = s["ctx"], s["tool"]
-        s["n"] += len(g)
-        for op, key, value in zip(g["operation"], g["key"], g["value"]):
-            if op == "UPDATE_CONTEXT":
-                if value:
-                    ctx[key] = value
-                else:
-                    ctx.pop(key, None)
-            elif op == "START_TOOL_EXECUTION":
-                tool[key] = "RUNNING"
-            elif op == "COMPLETE_TOOL_EXECUTION" and key in tool:
-                tool[key] = "SUCCEEDED"
-            elif op == "FAIL_TOOL_EXECUTION" and key in tool:
-                tool[key] = "FAILED"
-            elif op == "SET_STATUS":
-                s["status"] = value or s["status"]
-
-    def finish(task: str, s: dict) -> pd.DataFrame:
-        dump = lambda d: json.dumps(dict(sorted(d.items())), separators=(",", ":"))
-        return pd.DataFrame([(task, s["n"], dump(s["ctx"]), dump(s["tool"]), s["status"])], columns=["task_id", "applied", "context", "tools", "status"])
-
-    return folded(first_of_each_entry(log), "task_id", ["seq"], "task_id string, applied bigint, context string, tools string, status string", start, step, finish)
+    def step(_: str, s: dict, g: Rows) -> None:
+        for e in zip(g["seq"], g["operation"], g["payload"], g["ts_ms"]):
+            replaying.apply(s, *e)
+
+    first = first_of_each_entry(log.select("task_id", "seq", "entry_id", "operation", "payload", "ts_ms"))
+    return folded(first, "task_id", ["seq"], replaying.OUTPUT, replaying.new_state, step, lambda task, s: [replaying.result(task, s)])
 
 
 def apply_delta(base: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:

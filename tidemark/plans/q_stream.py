@@ -40,9 +40,9 @@ def x3_execution_id_stream(spark: SparkSession, d: str) -> DataFrame:
     return finished(ops.executions(sliced(q_tasks._requests(spark, d), "ts_ms")))
 
 
-@query()
+@query(ORACLE["l1_replay_full"])
 def x4_wal_replay_stream(spark: SparkSession, d: str) -> DataFrame:
-    return finished(ops.replay(sliced(q_tasks._payload(spark, d), "seq")), "update", ["task_id"])
+    return finished(ops.replay(sliced(q_tasks._payload(spark, d), "seq")), "update", ["task_id"]).select(*q_tasks._STATE)
 
 
 @query(ORACLE["a27_rolling_p95"])

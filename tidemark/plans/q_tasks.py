@@ -418,16 +418,72 @@ def l16_execution_id(spark: SparkSession, d: str) -> DataFrame:
     return log.executions(_requests(spark, d))
 
 
-def _payload(spark: SparkSession, d: str) -> DataFrame:
-    op = F.col("operation")
-    key = F.when(op == "UPDATE_CONTEXT", F.concat(F.lit("c"), F.col("k") % 20)).when(op.contains("TOOL"), F.concat(F.lit("x"), F.col("k") % 25)).otherwise("")
-    value = F.when(op == "UPDATE_CONTEXT", F.when(F.col("k") % 9 == 0, "").otherwise(F.concat(F.lit("v"), "k"))).when(op == "SET_STATUS", F.when(F.col("k") % 2 == 0, "RUNNING").otherwise("PAUSED")).otherwise("")
-    return v.wal(spark, d).select("task_id", "seq", "entry_id", "operation", key.alias("key"), value.alias("value"))
+_REFERS = ("COMPLETE_NODE", "ADD_EDGE", "COMPLETE_TOOL_EXECUTION", "FAIL_TOOL_EXECUTION", "COMPLETE_LLM_CALL", "TIMEOUT_LLM_CALL", "MARK_LLM_CALL_RETRY")
+#: Operations of the replayed log by ``(13 entry + 7 k) % 30``; those that refer to others wait for the 20th entry.
+_OPS = [
+    *["APPEND_NODE"] * 8, *["COMPLETE_NODE"] * 2, *["ADD_EDGE"] * 2, "DELETE_NODE", *["UPDATE_CONTEXT"] * 3, *["SET_STATUS"] * 2, *["APPEND_CONVERSATION_MESSAGE"] * 2,
+    *["START_TOOL_EXECUTION"] * 3, "COMPLETE_TOOL_EXECUTION", "FAIL_TOOL_EXECUTION", *["START_LLM_CALL"] * 2, "COMPLETE_LLM_CALL", "TIMEOUT_LLM_CALL", "MARK_LLM_CALL_RETRY",
+]
+_STATUS4 = ("COMPLETED", "RECOVERING", "RUNNING", "FAILED")
 
 
-@query()
+def _payload(spark: SparkSession, d: str) -> DataFrame:
+    """The log with every kind of entry but those on branches; a few tasks are deleted."""
+    k, entry = F.col("k"), F.col("entry_id").cast("bigint")
+    op = F.element_at(F.array(*map(F.lit, _OPS)), ((entry * 13 + k * 7) % 30 + 1).cast("int"))
+    op = F.when(op.isin(*_REFERS) & (F.col("seq") <= 20), "UPDATE_CONTEXT").when((op == "UPDATE_CONTEXT") & (entry % 97 == 0), "DELETE_TASK").otherwise(op)
+    w = v.wal(spark, d).withColumn("operation", op)
+    op, text = F.col("operation"), lambda p, n: F.concat(F.lit(p), (k % n).cast("string"))
+    fields = lambda *kv: F.map_from_arrays(F.array(*(F.lit(x) for x in kv[::2])), F.array(*kv[1::2]))
+    node, linked = text("n", 4), (k % 3 == 0) & (k % 4 > 0)
+    payload = (
+        F.when((op == "APPEND_NODE") & linked, fields("nodeId", node, "type", F.lit("thought"), "targetNodeId", F.concat(F.lit("n"), (k % 4 - 1).cast("string")), "edgeType", F.lit("DATA")))
+        .when(op == "APPEND_NODE", fields("nodeId", node, "type", F.lit("action"))).when(op.isin("COMPLETE_NODE", "DELETE_NODE"), fields("nodeId", node))
+        .when(op == "ADD_EDGE", fields("sourceNodeId", text("n", 3), "targetNodeId", F.concat(F.lit("n"), (k % 3 + 1).cast("string")), "dependencyType", F.lit("DATA")))
+        .when(op == "UPDATE_CONTEXT", fields("key", text("c", 20), "value", F.when(k % 9 == 0, "").otherwise(text("v", 100))))
+        .when(op == "SET_STATUS", fields("status", F.element_at(F.array(*map(F.lit, _STATUS4)), (k % 4 + 1).cast("int")), "finalizationStatus", F.when(k % 3 == 0, "FINALIZED").otherwise(" ")))
+        .when(op == "APPEND_CONVERSATION_MESSAGE", fields("conversationId", text("v", 3), "messageId", F.col("entry_id"), "role", F.lit("user"), "content", F.lit("text")))
+        .when(op.contains("TOOL"), fields("executionId", text("x", 2))).when(op.contains("LLM"), fields("callId", text("l", 2)))
+    )
+    return w.select("task_id", "seq", "entry_id", "operation", payload.alias("payload"), "ts_ms")
+
+
+_REPLAY_LOG = f""", o AS (SELECT task_id, seq, k, entry_id, CASE WHEN op IN {_REFERS} AND seq <= 20 THEN 'UPDATE_CONTEXT' WHEN op = 'UPDATE_CONTEXT' AND CAST(entry_id AS BIGINT) % 97 = 0 THEN 'DELETE_TASK' ELSE op END AS op
+  FROM (SELECT *, list_extract({_OPS}, CAST((CAST(entry_id AS BIGINT) * 13 + k * 7) % 30 + 1 AS INTEGER)) AS op FROM log)),
+c AS (SELECT *, op = 'UPDATE_CONTEXT' AND seq <= 20 AS early FROM o),
+touch AS (SELECT task_id, seq, concat('n', k % 4) AS node, op = 'APPEND_NODE' AS alive FROM o WHERE op IN ('APPEND_NODE', 'DELETE_NODE')),
+need AS (SELECT task_id, seq, concat('n', k % 4 - 1) AS node FROM o WHERE op = 'APPEND_NODE' AND k % 3 = 0 AND k % 4 > 0 UNION ALL SELECT task_id, seq, concat('n', k % 4) FROM o WHERE op = 'COMPLETE_NODE'
+  UNION ALL SELECT task_id, seq, unnest([concat('n', k % 3), concat('n', k % 3 + 1)]) FROM o WHERE op = 'ADD_EDGE'),
+moves AS (SELECT task_id, seq, op LIKE '%TOOL%' AS tool, k % 2 AS id, op LIKE 'START%' AS starts, op FROM o WHERE op LIKE '%TOOL%' OR op LIKE '%LLM%'),
+bad AS (SELECT task_id, seq, 'TASK_DELETED' AS error FROM o WHERE op = 'DELETE_TASK'
+  UNION ALL SELECT n.task_id, n.seq, 'UNKNOWN_NODE' FROM need n LEFT JOIN touch t ON t.task_id = n.task_id AND t.node = n.node AND t.seq < n.seq GROUP BY n.task_id, n.seq, n.node HAVING NOT coalesce(max_by(t.alive, t.seq), false)
+  UNION ALL SELECT m.task_id, m.seq, CASE WHEN tool THEN 'UNKNOWN_EXECUTION' ELSE 'UNKNOWN_CALL' END FROM moves m WHERE NOT starts AND NOT EXISTS (SELECT 1 FROM moves s WHERE s.task_id = m.task_id AND s.tool = m.tool AND s.id = m.id AND s.starts AND s.seq < m.seq)),
+stop AS (SELECT task_id, min(seq) AS error_seq, min_by(error, seq) AS error FROM bad GROUP BY 1),
+a AS (SELECT o.*, s.error, s.error_seq FROM o LEFT JOIN stop s USING (task_id) WHERE o.seq < coalesce(s.error_seq, 1000000000)),
+base AS (SELECT task_id, count(a.seq) AS applied, coalesce(max(a.seq), 0) AS last_seq, any_value(s.error) AS error, any_value(s.error_seq) AS error_seq FROM (SELECT DISTINCT task_id FROM o) t LEFT JOIN a USING (task_id) LEFT JOIN stop s USING (task_id) GROUP BY 1),
+st AS (SELECT task_id, max_by(list_extract({list(_STATUS4)}, CAST(k % 4 + 1 AS INTEGER)), seq) AS s, max_by(k % 3 = 0, seq) AS f FROM a WHERE op = 'SET_STATUS' GROUP BY 1),
+ctx AS (SELECT task_id, string_agg(concat('"', key, '":"', value, '"'), ',' ORDER BY key) AS j FROM (SELECT task_id, concat('c', k % 20) AS key, max_by(CASE WHEN k % 9 = 0 THEN '' ELSE concat('v', k % 100) END, seq) AS value FROM a WHERE op = 'UPDATE_CONTEXT' GROUP BY 1, 2) WHERE value <> '' GROUP BY 1),
+am AS (SELECT m.* FROM moves m JOIN a USING (task_id, seq)),
+started AS (SELECT task_id, tool, id, max(seq) AS since FROM am WHERE starts GROUP BY ALL),
+run AS (SELECT task_id, tool, id, max_by(op, seq) AS last, 1 + count(*) FILTER (op = 'MARK_LLM_CALL_RETRY') AS attempts FROM am JOIN started USING (task_id, tool, id) WHERE seq >= since GROUP BY ALL),
+tl AS (SELECT task_id, string_agg(concat('"x', id, '":"', CASE last WHEN 'COMPLETE_TOOL_EXECUTION' THEN 'SUCCEEDED' WHEN 'FAIL_TOOL_EXECUTION' THEN 'FAILED' ELSE 'RUNNING' END, '"'), ',' ORDER BY id) AS j FROM run WHERE tool GROUP BY 1),
+cl AS (SELECT task_id, string_agg(concat('"l', id, '":"', CASE last WHEN 'COMPLETE_LLM_CALL' THEN 'COMPLETED' WHEN 'TIMEOUT_LLM_CALL' THEN 'TIMED_OUT' WHEN 'MARK_LLM_CALL_RETRY' THEN 'RETRY_PENDING' ELSE 'RUNNING' END, ' ', attempts, CASE WHEN last IN ('TIMEOUT_LLM_CALL', 'MARK_LLM_CALL_RETRY') THEN ' retryable' ELSE '' END, '"'), ',' ORDER BY id) AS j FROM run WHERE NOT tool GROUP BY 1),
+own AS (SELECT task_id, concat('n', k % 4) AS node, max(seq) FILTER (op = 'APPEND_NODE') AS put, max(seq) FILTER (op = 'DELETE_NODE') AS gone, max(seq) FILTER (op = 'COMPLETE_NODE') AS done FROM a WHERE op IN ('APPEND_NODE', 'DELETE_NODE', 'COMPLETE_NODE') GROUP BY 1, 2),
+nd AS (SELECT task_id, string_agg(concat('"', node, '":"', CASE WHEN done > put THEN 'COMPLETED' ELSE 'PENDING' END, '"'), ',' ORDER BY node) AS j FROM own WHERE put > coalesce(gone, 0) GROUP BY 1),
+link AS (SELECT task_id, seq, CASE op WHEN 'ADD_EDGE' THEN concat('n', k % 3) ELSE concat('n', k % 4 - 1) END AS s, CASE op WHEN 'ADD_EDGE' THEN concat('n', k % 3 + 1) ELSE concat('n', k % 4) END AS d FROM a WHERE op = 'ADD_EDGE' OR op = 'APPEND_NODE' AND k % 3 = 0 AND k % 4 > 0),
+last_link AS (SELECT task_id, s, d, max(seq) AS seq FROM link GROUP BY ALL),
+eg AS (SELECT l.task_id, string_agg(concat('"', s, '>', d, ' DATA"'), ',' ORDER BY s, d) AS j FROM last_link l LEFT JOIN own x ON x.task_id = l.task_id AND x.node = l.s LEFT JOIN own y ON y.task_id = l.task_id AND y.node = l.d
+  WHERE l.seq > greatest(coalesce(x.gone, 0), coalesce(y.gone, 0)) GROUP BY 1),
+tk AS (SELECT task_id, string_agg(concat('"v', id, '":', n), ',' ORDER BY id) AS j FROM (SELECT task_id, k % 3 AS id, count(*) AS n FROM a WHERE op = 'APPEND_CONVERSATION_MESSAGE' GROUP BY 1, 2) GROUP BY 1),
+state AS (SELECT b.*, CASE st.s WHEN 'RECOVERING' THEN 'RUNNING' ELSE coalesce(st.s, 'RUNNING') END AS status, CASE WHEN st.f THEN 'FINALIZED' WHEN st.s IN ('COMPLETED', 'FAILED') THEN 'PENDING_FINALIZATION' ELSE 'NONE' END AS finalization,
+  concat('{{', ctx.j, '}}') AS context, concat('{{', tl.j, '}}') AS tools, concat('{{', cl.j, '}}') AS calls, concat('{{', nd.j, '}}') AS nodes, concat('[', eg.j, ']') AS edges, concat('{{', tk.j, '}}') AS conversations
+  FROM base b LEFT JOIN st USING (task_id) LEFT JOIN ctx USING (task_id) LEFT JOIN tl USING (task_id) LEFT JOIN cl USING (task_id) LEFT JOIN nd USING (task_id) LEFT JOIN eg USING (task_id) LEFT JOIN tk USING (task_id)) """
+_STATE = ["task_id", "applied", "last_seq", "status", "finalization", "context", "tools", "calls", "nodes", "edges", "conversations", "error", "error_seq"]
+
+
+@query(using("log").rstrip() + _REPLAY_LOG + f"SELECT {', '.join(_STATE)} FROM state")
 def l1_replay_full(spark: SparkSession, d: str) -> DataFrame:
-    return log.replay(_payload(spark, d))
+    return log.replay(_payload(spark, d)).select(*_STATE)
 
 
 @query(using("checkpoints").rstrip() + _CHAIN + """, p AS (SELECT c.*, r.root_id, r.depth, row_number() OVER (PARTITION BY task_id ORDER BY created_ms DESC, checkpoint_id DESC) AS place, (SELECT max(created_ms) FROM checkpoints) AS now FROM checkpoints c JOIN root r USING (checkpoint_id)),

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators import replaying
+
 
 def _rows(parts: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
     return pd.concat([p for p in parts if len(p)]).sort_values(list(by))
@@ -48,30 +50,13 @@ def replay(log: DataFrame) -> DataFrame:
     """State of a task after each batch; entries at or below the last sequence are ignored."""
 
     def fold(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        g = _rows(parts, "seq").drop_duplicates("entry_id")
-        last, n, ctx, tool, status = state.get if state.exists else (0, 0, "{}", "{}", "RUNNING")
-        ctx, tool = json.loads(ctx), json.loads(tool)
-        for seq, op, k, v in zip(g["seq"], g["operation"], g["key"], g["value"]):
-            if seq <= last:
-                continue
-            last, n = int(seq), n + 1
-            if op == "UPDATE_CONTEXT":
-                ctx[k] = v
-                if not v:
-                    del ctx[k]
-            elif op == "START_TOOL_EXECUTION":
-                tool[k] = "RUNNING"
-            elif op in ("COMPLETE_TOOL_EXECUTION", "FAIL_TOOL_EXECUTION"):
-                if k in tool:
-                    tool[k] = "SUCCEEDED" if op[0] == "C" else "FAILED"
-            elif op == "SET_STATUS":
-                status = v or status
-        dump = lambda d: json.dumps(dict(sorted(d.items())), separators=(",", ":"))
-        state.update((last, n, dump(ctx), dump(tool), status))
-        yield pd.DataFrame([(key[0], n, dump(ctx), dump(tool), status)], columns=["task_id", "applied", "context", "tools", "status"])
-
-    out = "task_id string, applied bigint, context string, tools string, status string"
-    return log.groupBy("task_id").applyInPandasWithState(fold, out, "last bigint, n bigint, ctx string, tool string, status string", "update", GroupStateTimeout.NoTimeout)
+        s = json.loads(state.get[0]) if state.exists else replaying.new_state()
+        for seq, op, payload, ts in _rows(parts, "seq").drop_duplicates("entry_id")[["seq", "operation", "payload", "ts_ms"]].itertuples(index=False):
+            replaying.apply(s, int(seq), op, payload, int(ts))
+        state.update((json.dumps(s),))
+        yield pd.DataFrame([replaying.result(key[0], s)], columns=[c.split()[0] for c in replaying.OUTPUT.split(", ")]).astype({"error_seq": "Int64"})
+
+    return log.groupBy("task_id").applyInPandasWithState(fold, replaying.OUTPUT, "state string", "update", GroupStateTimeout.NoTimeout)
 
 
 def rolling(samples: DataFrame, key: str, window: int = 512) -> DataFrame:
