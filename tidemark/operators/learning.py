@@ -29,6 +29,19 @@ def best_two(weights: DataFrame, key: str) -> DataFrame:
     return r.groupBy(key).agg(F.max(F.when(F.col("r") == 1, F.col("arm"))).alias("best"), F.max(F.when(F.col("r") == 2, F.col("arm"))).alias("second"))
 
 
+def first_feedback(events: DataFrame, key: str, ttl_ms: int, most: int) -> DataFrame:
+    """``session_id, feedback_id``: the first feedback of every session; a session is used once.
+
+    ``events`` has ``event_id, ts_ms, opens`` (1 for a session, 0 for feedback)
+    and ``opened``, the sessions opened so far. Feedback goes to its key's newest
+    session, if that is no older than ``ttl_ms`` and still among the newest ``most``.
+    """
+    w = Window.partitionBy(key).orderBy("ts_ms", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.last(F.when(F.col("opens") == 1, F.struct("ts_ms", "event_id", "opened")), ignorenulls=True).over(w)
+    f = events.withColumn("s", own).where((F.col("opens") == 0) & F.col("s").isNotNull() & (F.col("ts_ms") - F.col("s.ts_ms") <= ttl_ms) & (F.col("opened") - F.col("s.opened") < most))
+    return f.groupBy(F.col("s.event_id").alias("session_id")).agg(F.min_by("event_id", F.struct("ts_ms", "event_id")).alias("feedback_id"))
+
+
 def eligible(streak_ms: Column, samples: Column, win: Column, lift: Column) -> Column:
     """Whether a shadow profile may take over."""
     return (streak_ms >= 14 * 86_400_000) & (samples >= 20) & (win >= 0.9) & (lift >= 0.2)

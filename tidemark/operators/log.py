@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import replaying
@@ -79,28 +79,31 @@ def next_kind(checkpoints: DataFrame, most: int = 10) -> DataFrame:
     return last.select("task_id", F.when((F.col("i") == 0) | (F.col("deltas") >= most), "FULL").otherwise("DELTA").alias("next_kind"), "deltas")
 
 
-def base_chains(checkpoints: DataFrame, most: int = 40) -> DataFrame:
+def base_chains(checkpoints: DataFrame) -> DataFrame:
     """``checkpoint_id, root_id, depth, root_kind``: where the chain of bases of each checkpoint ends.
 
-    Pointers are doubled each round, so the rounds are logarithmic in the
-    longest chain. A chain that never ends gets root_kind ``CYCLE``.
+    A base that doesn't exist ends the chain at the checkpoint that names it. A
+    chain that never ends has root_kind ``CYCLE`` and no root. Pointers are
+    doubled each round, and checkpoints that have reached their root drop out, so
+    the rounds are logarithmic in the longest chain. Chains have every length up
+    to their longest, so a round in which no checkpoint arrives leaves cycles only.
     """
-    own = checkpoints.select("checkpoint_id", "base_id")
+    own = checkpoints.select("checkpoint_id", "base_id", "kind")
     known = own.select(F.col("checkpoint_id").alias("base_id"), F.lit(True).alias("_k"))
-    # a base that doesn't exist ends the chain at the checkpoint that names it
-    p = own.join(known, "base_id", "left").select("checkpoint_id", F.when(F.col("_k"), F.col("base_id")).alias("to"), F.lit(1).cast("bigint").alias("d"))
-    p = written(p.select("checkpoint_id", F.coalesce("to", "checkpoint_id").alias("to"), F.when(F.col("to").isNull(), 0).otherwise(F.col("d")).alias("d")), "chain")
-    n = -1
-    for _ in range(most):
-        q = p.select(F.col("checkpoint_id").alias("_c"), F.col("to").alias("_t"), F.col("d").alias("_d"))
-        nxt = written(p.join(q, F.col("to") == F.col("_c")).select("checkpoint_id", F.col("_t").alias("to"), (F.col("d") + F.col("_d")).alias("d")), "chain")
-        total = nxt.agg(F.sum("d")).first()[0]
-        p = nxt
-        if total == n:
-            break
-        n = total
-    kind = checkpoints.select(F.col("checkpoint_id").alias("to"), F.col("kind").alias("root_kind"))
-    return p.join(kind, "to").select("checkpoint_id", F.col("to").alias("root_id"), F.col("d").alias("depth"), "root_kind")
+    p = own.join(known, "base_id", "left").select("checkpoint_id", F.when(F.col("_k"), F.col("base_id")).alias("to"), "kind")
+    done = F.col("to").isNull()
+    p = written(p.select("checkpoint_id", F.coalesce("to", "checkpoint_id").alias("to"), F.when(done, 0).otherwise(1).cast("bigint").alias("d"), done.alias("done"), "kind"), "chain")
+    left, before = -1, -2
+    while left != 0 and left != before:
+        before = left
+        q = p.select(F.col("checkpoint_id").alias("_c"), F.col("to").alias("_t"), F.col("d").alias("_d"), F.col("done").alias("_done"), F.col("kind").alias("_kind"))
+        step = p.where("not done").join(q, F.col("to") == F.col("_c")).select("checkpoint_id", F.col("_t").alias("to"), (F.col("d") + F.col("_d")).alias("d"), F.col("_done").alias("done"), F.col("_kind").alias("kind"))
+        seen = Observation()
+        step = written(step.observe(seen, F.count(F.when(~F.col("done"), 1)).alias("left")), "chain")
+        left = seen.get["left"]
+        p = p.where("done").unionByName(step)
+    there = lambda c: F.when(F.col("done"), F.col(c))
+    return p.select("checkpoint_id", there("to").alias("root_id"), there("d").alias("depth"), F.coalesce(there("kind"), F.lit("CYCLE")).alias("root_kind"))
 
 
 def retained(checkpoints: DataFrame, chains: DataFrame, now_ms: Column, days: int = 7, newest: int = 20) -> DataFrame:
@@ -159,6 +162,21 @@ def apply_delta(base: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:
     return both.withColumn("_r", F.row_number().over(w)).where("_r = 1 and not deleted").drop("_r", "_o", "deleted")
 
 
-def triggers(log: DataFrame, every: int = 50) -> DataFrame:
-    """Sequences at which a checkpoint is due by number of actions."""
-    return log.where(F.col("seq") % every == 0).select("task_id", "seq", (F.col("seq") / every).cast("bigint").alias("checkpoint_no"))
+def triggers(log: DataFrame, every: int = 50, wait_ms: int = 60_000) -> DataFrame:
+    """``task_id, seq, checkpoint_no``: entries at which a checkpoint is due.
+
+    Due after ``every`` entries since the last one, or when the first of them is ``wait_ms`` old.
+    """
+
+    def step(task: str, s: dict, g: Rows) -> list[tuple]:
+        out = []
+        for seq, t in zip(g["seq"], g["ts_ms"]):
+            s["n"] += 1
+            s["since"] = t if s["since"] is None else s["since"]
+            if s["n"] >= every or t - s["since"] >= wait_ms:
+                s["done"] += 1
+                out.append((task, seq, s["done"]))
+                s["n"], s["since"] = 0, None
+        return out
+
+    return folded(log.select("task_id", "seq", "ts_ms"), "task_id", ["seq"], "task_id string, seq bigint, checkpoint_no bigint", lambda: {"n": 0, "since": None, "done": 0}, step)

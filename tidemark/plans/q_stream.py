@@ -31,13 +31,13 @@ def x1_regret_stream(spark: SparkSession, d: str) -> DataFrame:
 def x2_session_stream(spark: SparkSession, d: str) -> DataFrame:
     e = v.events(spark, d).where("event_type in ('view', 'purchase')")
     kind = F.when(F.col("event_type") == "view", "open").otherwise("use")
-    s = sliced(e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("n"), "ts_ms", kind.alias("kind")), "ts_ms")
+    s = sliced(e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("n"), "ts_ms", F.timestamp_millis("ts_ms").alias("ts"), kind.alias("kind")), "ts_ms")
     return finished(ops.consumed_once(s))
 
 
 @query(ORACLE["l16_execution_id"])
 def x3_execution_id_stream(spark: SparkSession, d: str) -> DataFrame:
-    return finished(ops.executions(sliced(q_tasks._requests(spark, d), "ts_ms")))
+    return finished(ops.executions(sliced(q_tasks._requests(spark, d).withColumn("ts", F.timestamp_millis("ts_ms")), "ts_ms")))
 
 
 @query(ORACLE["l1_replay_full"])

@@ -326,19 +326,38 @@ def l6_llm_calls(spark: SparkSession, d: str) -> DataFrame:
     return log.llm_calls(_wal(spark, d).select("task_id", F.concat(F.lit("l"), F.col("k") % 12).alias("call_id"), op.alias("operation"), "seq"))
 
 
-@query(using("log") + "SELECT task_id, k AS node, max(seq) AS seq FROM log GROUP BY 1, 2 HAVING max_by(operation, seq) <> 'FAIL_TOOL_EXECUTION'")
-def l7_nodes_edges(spark: SparkSession, d: str) -> DataFrame:
-    w = _wal(spark, d).withColumnRenamed("k", "node")
-    return log.surviving(w, "node", F.col("operation") == "FAIL_TOOL_EXECUTION")
-
-
-@query(using("log") + """SELECT task_id, branch, CASE l WHEN 'COMPLETE_TOOL_EXECUTION' THEN 'MERGED' WHEN 'FAIL_TOOL_EXECUTION' THEN 'ABANDONED' ELSE 'ACTIVE' END AS state,
-  count(*) FILTER (l NOT IN ('COMPLETE_TOOL_EXECUTION', 'FAIL_TOOL_EXECUTION')) OVER (PARTITION BY task_id) < 10 AS may_create FROM (SELECT task_id, k % 15 AS branch, max_by(operation, seq) AS l FROM log GROUP BY 1, 2)""")
+_BRANCH_LOG = """, b AS (SELECT *, CASE WHEN seq = 1 THEN 'APPEND_NODE' WHEN m < 4 THEN 'CREATE_BRANCH' WHEN m < 6 THEN 'MERGE_BRANCH' WHEN m < 8 THEN 'ABANDON_BRANCH' ELSE 'SWITCH_BRANCH' END AS op FROM (SELECT *, (CAST(entry_id AS BIGINT) * 3 + k) % 9 AS m FROM log)),
+c AS (SELECT *, count(*) FILTER (op = 'CREATE_BRANCH') OVER (PARTITION BY task_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS made FROM b),
+f AS (SELECT task_id, seq, []::VARCHAR[] AS active, []::VARCHAR[] AS merged, []::VARCHAR[] AS left_, NULL::VARCHAR AS now, NULL::VARCHAR AS error FROM c WHERE seq = 1
+  UNION ALL SELECT c.task_id, c.seq,
+    CASE WHEN e IS NOT NULL THEN active WHEN op = 'CREATE_BRANCH' THEN list_append(active, concat('b', made)) WHEN op IN ('MERGE_BRANCH', 'ABANDON_BRANCH') THEN list_filter(active, lambda x: x <> a) ELSE active END,
+    CASE WHEN e IS NULL AND op = 'MERGE_BRANCH' THEN list_append(merged, a) WHEN e IS NULL AND op = 'ABANDON_BRANCH' THEN list_filter(merged, lambda x: x <> a) ELSE merged END,
+    CASE WHEN e IS NULL AND op = 'ABANDON_BRANCH' AND NOT list_contains(left_, a) THEN list_append(left_, a) ELSE left_ END,
+    CASE WHEN e IS NOT NULL THEN now WHEN op = 'CREATE_BRANCH' THEN concat('b', made) WHEN op = 'MERGE_BRANCH' THEN t WHEN op = 'SWITCH_BRANCH' THEN a WHEN now = a THEN coalesce(list_filter(active, lambda x: x <> a)[1], now) ELSE now END, e
+  FROM (SELECT f.task_id, c.seq, c.op, c.made, concat('b', c.made - c.k % 3) AS a, concat('b', c.made - (c.k + 1) % 3) AS t, active, merged, left_, now,
+    CASE WHEN op = 'CREATE_BRANCH' THEN CASE WHEN len(active) >= 10 THEN 'TOO_MANY_BRANCHES' END
+      WHEN op = 'MERGE_BRANCH' AND NOT (list_contains(active, concat('b', c.made - c.k % 3)) AND list_contains(active, concat('b', c.made - (c.k + 1) % 3))) THEN 'NO_ACTIVE_BRANCH'
+      WHEN op = 'SWITCH_BRANCH' AND NOT list_contains(active, concat('b', c.made - c.k % 3)) THEN 'NO_ACTIVE_BRANCH'
+      WHEN op = 'ABANDON_BRANCH' AND NOT list_contains(list_concat(active, list_concat(merged, left_)), concat('b', c.made - c.k % 3)) THEN 'NO_ACTIVE_BRANCH' END AS e
+    FROM f JOIN c ON c.task_id = f.task_id AND c.seq = f.seq + 1 WHERE f.error IS NULL) c),
+x AS (SELECT task_id, max(seq) AS seq FROM f GROUP BY 1)
+SELECT task_id, '{' || coalesce((SELECT string_agg(concat('"', i, '":"', s, '"'), ',' ORDER BY i) FROM (SELECT unnest(active) AS i, 'ACTIVE' AS s UNION ALL SELECT unnest(merged), 'MERGED' UNION ALL SELECT unnest(left_), 'ABANDONED')), '') || '}' AS branches, now AS current_branch, error, CASE WHEN error IS NOT NULL THEN seq END AS error_seq FROM f JOIN x USING (task_id, seq)"""
+
+
+@query(using("log").rstrip() + _BRANCH_LOG)
 def l8_branches(spark: SparkSession, d: str) -> DataFrame:
-    b = log.last_by(_wal(spark, d).withColumn("branch", F.col("k") % 15), ["task_id", "branch"], "operation")
-    state = F.when(F.col("operation") == "COMPLETE_TOOL_EXECUTION", "MERGED").when(F.col("operation") == "FAIL_TOOL_EXECUTION", "ABANDONED").otherwise("ACTIVE")
-    active = F.sum((F.col("state") == "ACTIVE").cast("bigint")).over(Window.partitionBy("task_id"))
-    return b.withColumn("state", state).select("task_id", "branch", "state", (active < 10).alias("may_create"))
+    """Replay of a log of branch entries: created, merged into another, switched to, abandoned."""
+    w = _wal(spark, d)
+    m, k = (F.col("entry_id").cast("bigint") * 3 + F.col("k")) % 9, F.col("k")
+    op = F.when(F.col("seq") == 1, "APPEND_NODE").when(m < 4, "CREATE_BRANCH").when(m < 6, "MERGE_BRANCH").when(m < 8, "ABANDON_BRANCH").otherwise("SWITCH_BRANCH")
+    made = F.sum((F.col("operation") == "CREATE_BRANCH").cast("bigint")).over(Window.partitionBy("task_id").orderBy("seq"))
+    w = w.withColumn("operation", op).withColumn("made", made)
+    name = lambda n: F.concat(F.lit("b"), n.cast("string"))
+    own, other = name(F.when(F.col("operation") == "CREATE_BRANCH", F.col("made")).otherwise(F.col("made") - k % 3)), name(F.col("made") - (k + 1) % 3)
+    pairs = {"nodeId": F.lit("root"), "sourceNodeId": F.lit("root"), "type": F.lit("thought"), "branchId": own, "branchName": own, "sourceBranchId": own, "targetBranchId": other}
+    payload = F.map_from_arrays(F.array(*map(F.lit, pairs)), F.array(*pairs.values()))
+    payload = F.when(F.col("seq") == 1, F.map_filter(payload, lambda key, _: key.isin("nodeId", "type"))).otherwise(payload)
+    return log.replay(w.withColumn("payload", payload)).select("task_id", "branches", "current_branch", "error", "error_seq")
 
 
 _SINCE = ", i AS (SELECT *, count(*) FILTER (kind = 'FULL') OVER (PARTITION BY task_id ORDER BY created_ms, checkpoint_id ROWS UNBOUNDED PRECEDING) AS island FROM checkpoints), n AS (SELECT *, count(*) FILTER (kind <> 'FULL') OVER (PARTITION BY task_id, island ORDER BY created_ms, checkpoint_id ROWS UNBOUNDED PRECEDING) AS deltas FROM i) "
@@ -382,13 +401,8 @@ def j16_checkpoint_chain(spark: SparkSession, d: str) -> DataFrame:
 def l12_chain_failure(spark: SparkSession, d: str) -> DataFrame:
     c = v.checkpoints(spark, d).where("not (kind = 'FULL' and checkpoint_id % 2 = 0)")
     named = c.select(F.col("checkpoint_id").alias("root_id"), "base_id")
-    out = F.when(F.col("root_kind") == "FULL", "OK").when(F.col("base_id").isNull(), "NO_BASE").otherwise("BASE_MISSING")
-    return log.base_chains(c).join(named, "root_id").select("checkpoint_id", out.alias("outcome"))
-
-
-@query(using("log") + "SELECT task_id, max_by(operation, seq) = 'SET_STATUS' AS tombstone FROM log GROUP BY 1")
-def l13_tombstone(spark: SparkSession, d: str) -> DataFrame:
-    return log.last_by(_wal(spark, d), ["task_id"], "operation").select("task_id", (F.col("operation") == "SET_STATUS").alias("tombstone"))
+    out = F.when(F.col("root_kind") == "CYCLE", "CYCLE").when(F.col("root_kind") == "FULL", "OK").when(F.col("base_id").isNull(), "NO_BASE").otherwise("BASE_MISSING")
+    return log.base_chains(c).join(named, "root_id", "left").select("checkpoint_id", out.alias("outcome"))
 
 
 @query(using("log") + f"SELECT task_id, max_by({_ST}, seq) AS status, bool_or({_ST} IN ('COMPLETED', 'FAILED')) AS parked FROM log WHERE operation = 'SET_STATUS' GROUP BY 1")
@@ -399,9 +413,15 @@ def l14_terminal_transition(spark: SparkSession, d: str) -> DataFrame:
     return w.groupBy("task_id").agg(F.max_by("status", "seq").alias("status"), F.bool_or(F.col("status").isin(*log.TERMINAL)).alias("parked"))
 
 
-@query(using("log") + "SELECT task_id, seq, seq // 50 AS checkpoint_no FROM log WHERE seq % 50 = 0")
+_TRIGGER = """, r AS (SELECT task_id, seq, ts_ms FROM log), f AS (SELECT task_id, seq, 1 AS n, ts_ms AS since, 0 AS done, false AS fired FROM r WHERE seq = 1
+  UNION ALL SELECT r.task_id, r.seq, CASE WHEN fire THEN 0 ELSE n + 1 END, CASE WHEN fire THEN NULL ELSE coalesce(since, r.ts_ms) END, done + fire::INT, fire FROM (
+    SELECT r.*, f.n, f.since, f.done, f.n + 1 >= 50 OR r.ts_ms - coalesce(f.since, r.ts_ms) >= 60000 AS fire FROM f JOIN r ON r.task_id = f.task_id AND r.seq = f.seq + 1) r)
+SELECT task_id, seq, CAST(done AS BIGINT) AS checkpoint_no FROM f WHERE fired"""
+
+
+@query(using("log").rstrip() + _TRIGGER)
 def l15_checkpoint_trigger(spark: SparkSession, d: str) -> DataFrame:
-    return log.triggers(_wal(spark, d))
+    return log.triggers(_wal(spark, d).select("task_id", "seq", "ts_ms"))
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
@@ -481,6 +501,17 @@ state AS (SELECT b.*, CASE st.s WHEN 'RECOVERING' THEN 'RUNNING' ELSE coalesce(s
 _STATE = ["task_id", "applied", "last_seq", "status", "finalization", "context", "tools", "calls", "nodes", "edges", "conversations", "error", "error_seq"]
 
 
+@query(using("log").rstrip() + _REPLAY_LOG + "SELECT task_id, nodes, edges FROM state")
+def l7_nodes_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes and edges after the whole log: appended, completed, deleted with their edges."""
+    return log.replay(_payload(spark, d)).select("task_id", "nodes", "edges")
+
+
+@query(using("log").rstrip() + _REPLAY_LOG + "SELECT task_id, max_by(op, seq) = 'DELETE_TASK' AS tombstone FROM o GROUP BY 1")
+def l13_tombstone(spark: SparkSession, d: str) -> DataFrame:
+    return log.last_by(log.first_of_each_entry(_payload(spark, d)), ["task_id"], "operation").select("task_id", (F.col("operation") == "DELETE_TASK").alias("tombstone"))
+
+
 @query(using("log").rstrip() + _REPLAY_LOG + f"SELECT {', '.join(_STATE)} FROM state")
 def l1_replay_full(spark: SparkSession, d: str) -> DataFrame:
     return log.replay(_payload(spark, d)).select(*_STATE)
@@ -528,12 +559,17 @@ def b7_eligibility(spark: SparkSession, d: str) -> DataFrame:
     return g.select("scenario", learning.eligible(F.col("streak_ms"), F.col("samples"), F.col("win"), F.col("lift")).alias("eligible"), (F.col("lift") <= -0.05).alias("rollback"))
 
 
-@query(using("ev") + "SELECT s.event_id AS session_id, min(f.event_id) AS feedback_id FROM ev s JOIN ev f ON f.user_id = s.user_id AND f.ts_ms BETWEEN s.ts_ms AND s.ts_ms + 1800000 AND f.event_type = 'click' WHERE s.event_type = 'signup' GROUP BY 1")
+_CACHE = """, o AS (SELECT *, count(*) FILTER (event_type = 'signup') OVER (ORDER BY ts_ms, event_id ROWS UNBOUNDED PRECEDING) AS opened FROM ev WHERE event_type IN ('signup', 'click')),
+s AS (SELECT *, max(CASE WHEN event_type = 'signup' THEN (ts_ms, event_id, opened) END) OVER (PARTITION BY user_id ORDER BY ts_ms, event_id ROWS UNBOUNDED PRECEDING) AS own FROM o)
+SELECT session_id, min_by(event_id, (ts_ms, event_id)) AS feedback_id FROM (SELECT *, own[2] AS session_id FROM s WHERE event_type = 'click' AND own IS NOT NULL AND ts_ms - own[1] <= 1800000 AND opened - own[3] < 10000) GROUP BY 1"""
+
+
+@query(using("ev").rstrip() + _CACHE)
 def b8_session_ttl(spark: SparkSession, d: str) -> DataFrame:
-    e = v.events(spark, d)
-    s = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("session_id"), F.col("ts_ms").alias("evict_ms"))
-    f = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("feedback_id"), F.col("ts_ms").alias("recall_ms"))
-    return eviction.regrets(s, f, "user_id", 1_800_000).groupBy("session_id").agg(F.min("feedback_id").alias("feedback_id"))
+    """First feedback of every session: the user's newest one, no older than 30 minutes, and among the newest 10,000 of all."""
+    e = v.events(spark, d).where("event_type in ('signup', 'click')").select("user_id", "event_id", "ts_ms", (F.col("event_type") == "signup").cast("bigint").alias("opens"))
+    n = ordering.numbered(e.withColumn("all", F.lit(0)), "all", ["ts_ms", "event_id"], "opens")
+    return learning.first_feedback(n.withColumn("opened", F.col("before") + F.col("opens")), "user_id", 1_800_000, 10_000)
 
 
 @query(using("ev") + "SELECT user_id, CASE WHEN n < 8 THEN 3 WHEN h < 0.1 THEN (CASE WHEN h = 0 THEN 0 ELSE 1 END) WHEN h < 0.25 THEN 2 ELSE 3 END AS budget FROM (SELECT user_id, count(*) AS n, count(*) FILTER (k < 20) / count(*) AS h FROM ev GROUP BY 1)")
@@ -557,14 +593,14 @@ def v1_dag_prefetch(spark: SparkSession, d: str) -> DataFrame:
 _CENT = """, cen AS (SELECT namespace, page_id, list(m ORDER BY pos) AS e FROM (SELECT namespace, page_id, pos, avg(x) AS m FROM (SELECT namespace, page_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(128)) AS pos FROM pages JOIN vec USING (id)) GROUP BY 1, 2, 3) GROUP BY 1, 2) """
 
 
-@query(using("pages", "vec").rstrip() + _CENT + "SELECT page_id, other, rank FROM (SELECT a.page_id, b.page_id AS other, row_number() OVER (PARTITION BY a.page_id ORDER BY round(list_cosine_similarity(a.e, b.e), 6) DESC, b.page_id) AS rank FROM cen a JOIN cen b ON a.namespace = b.namespace AND a.page_id <> b.page_id AND round(list_cosine_similarity(a.e, b.e), 6) >= 0.3) WHERE rank <= 3")
+@query(using("pages", "vec").rstrip() + _CENT + "SELECT page_id, other, rank FROM (SELECT a.page_id, b.page_id AS other, row_number() OVER (PARTITION BY a.page_id ORDER BY round(list_cosine_similarity(a.e, b.e), 6) DESC, b.page_id) AS rank FROM cen a JOIN cen b ON a.namespace = b.namespace AND a.page_id <> b.page_id AND round(list_cosine_similarity(a.e, b.e), 6) >= 0.7) WHERE rank <= 3")
 def v2_semantic_prefetch(spark: SparkSession, d: str) -> DataFrame:
     p = v.pages(spark, d).select("id", "page_id", "namespace").join(v.embeddings(spark, d), "id")
     c = graph.centroids(p, "page_id", "embedding").join(p.select("page_id", "namespace").distinct(), "page_id")
     # a namespace has at most 16 pages here, one per first digit
     a = c.select("namespace", "page_id", F.col("values").alias("x"))
     b = c.select("namespace", F.col("page_id").alias("other"), F.col("values").alias("y"))
-    s = a.join(b, "namespace").where("page_id <> other").withColumn("s", F.round(scalar.dot(F.col("x"), F.col("y")), 6)).where("s >= 0.3")
+    s = a.join(b, "namespace").where("page_id <> other").withColumn("s", F.round(scalar.dot(F.col("x"), F.col("y")), 6)).where("s >= 0.7")
     w = Window.partitionBy("page_id").orderBy(F.col("s").desc(), "other")
     return s.select("page_id", "other", F.row_number().over(w).cast("bigint").alias("rank")).where("rank <= 3")
 
@@ -598,10 +634,11 @@ def v6_admission(spark: SparkSession, d: str) -> DataFrame:
     return eviction.admissions(r, 1000, 400)
 
 
-@query(using("fragments") + "SELECT namespace, CAST(sum(token_count) AS BIGINT) AS used, sum(token_count) / 2000 >= 0.85 AS triggered FROM fragments GROUP BY 1")
+@query(using("fragments") + "SELECT namespace, CAST(sum(token_count) AS BIGINT) AS used, sum(token_count) / 2000 >= 0.85 AS triggered, CASE WHEN sum(token_count) / 2000 >= 0.85 THEN 200 ELSE 0 END AS target FROM fragments GROUP BY 1")
 def v7_evict_trigger(spark: SparkSession, d: str) -> DataFrame:
     u = eviction.usage(v.fragments(spark, d), "namespace", "token_count")
-    return u.withColumn("triggered", F.col("used") / 2000 >= 0.85)
+    # a namespace of 2,000 tokens is relieved of a tenth
+    return u.withColumn("triggered", F.col("used") / 2000 >= 0.85).withColumn("target", F.when(F.col("triggered"), 200).otherwise(0))
 
 
 @query(using("fragments") + f"SELECT namespace, count(*) AS pinned, CAST(sum(token_count) AS BIGINT) AS tokens, min(pinned_until_ms) AS first_expiry FROM fragments WHERE pinned_until_ms > {NOW} - 5000000000 GROUP BY 1")

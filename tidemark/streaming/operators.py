@@ -27,10 +27,21 @@ def regrets(evictions: DataFrame, recalls: DataFrame, key: str, window: str = "1
     return e.join(r, on).drop(F.col(f"r.{key}"))
 
 
-def executions(requests: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
-    """NEW, REPLAY or CONFLICT per request, with one open record of state per key."""
+def _expire(state: GroupState, at_ms: int) -> None:
+    """Let the state time out at an event time, or with the next watermark if that has passed."""
+    state.setTimeoutTimestamp(max(at_ms, state.getCurrentWatermarkMs() + 1))
+
+
+def executions(requests: DataFrame, ttl_ms: int = 86_400_000, late: str = "10 minutes") -> DataFrame:
+    """NEW, REPLAY or CONFLICT per request, with one open record of state per key.
+
+    ``ts`` is the event time. A record leaves the state once the watermark has passed its life.
+    """
 
     def fold(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         g = _rows(parts, "ts_ms", "n")
         start, held = state.get if state.exists else (None, None)
         out = []
@@ -41,9 +52,10 @@ def executions(requests: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
             else:
                 out.append("REPLAY" if h == held else "CONFLICT")
         state.update((start, held))
+        _expire(state, start + ttl_ms)
         yield pd.DataFrame({"key": key[0], "n": g["n"], "outcome": out})
 
-    return requests.groupBy("key").applyInPandasWithState(fold, "key string, n bigint, outcome string", "start bigint, held string", "append", GroupStateTimeout.NoTimeout)
+    return requests.withWatermark("ts", late).groupBy("key").applyInPandasWithState(fold, "key string, n bigint, outcome string", "start bigint, held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def replay(log: DataFrame) -> DataFrame:
@@ -73,10 +85,16 @@ def rolling(samples: DataFrame, key: str, window: int = 512) -> DataFrame:
     return samples.groupBy(key).applyInPandasWithState(fold, f"{key} string, samples bigint, p95 double, p99 double", "held array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
-def consumed_once(events: DataFrame, ttl_ms: int = 1_800_000) -> DataFrame:
-    """Sessions (``kind`` open) and the first feedback (``kind`` use) within their life; each is used once."""
+def consumed_once(events: DataFrame, ttl_ms: int = 1_800_000, late: str = "10 minutes") -> DataFrame:
+    """Sessions (``kind`` open) and the first feedback (``kind`` use) within their life; each is used once.
+
+    ``ts`` is the event time. A key without a live session leaves the state.
+    """
 
     def fold(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         g = _rows(parts, "ts_ms", "n")
         live = list(zip(*state.get)) if state.exists else []
         out = []
@@ -87,14 +105,15 @@ def consumed_once(events: DataFrame, ttl_ms: int = 1_800_000) -> DataFrame:
             elif live:
                 out.append((key[0], live.pop(0)[1], int(n)))
         state.update(([s for s, _ in live], [i for _, i in live]))
+        _expire(state, max((s for s, _ in live), default=0) + ttl_ms + 1)
         if out:
             yield pd.DataFrame(out, columns=["key", "session_id", "feedback_id"])
 
-    return events.groupBy("key").applyInPandasWithState(fold, "key string, session_id bigint, feedback_id bigint", "started array<bigint>, ids array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", late).groupBy("key").applyInPandasWithState(fold, "key string, session_id bigint, feedback_id bigint", "started array<bigint>, ids array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def triggers(log: DataFrame, every: int = 50, wait_ms: int | None = None) -> DataFrame:
-    """A row when a task has ``every`` entries since its last checkpoint, or waited ``wait_ms`` with any."""
+def triggers(log: DataFrame, every: int = 50, wait_ms: int = 60_000) -> DataFrame:
+    """A row when a task has ``every`` entries since its last checkpoint, or the first of them is ``wait_ms`` old."""
 
     def fold(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         g = _rows(parts, "seq")
@@ -102,7 +121,7 @@ def triggers(log: DataFrame, every: int = 50, wait_ms: int | None = None) -> Dat
         out = []
         for seq, t in zip(g["seq"], g["ts_ms"]):
             n, since = n + 1, int(t) if since is None else since
-            if n >= every or (wait_ms is not None and t - since >= wait_ms):
+            if n >= every or t - since >= wait_ms:
                 done += 1
                 out.append((key[0], int(seq), done))
                 n, since = 0, None
