@@ -401,3 +401,34 @@ def test_numbers_and_sums_of_a_large_group(spark):
             total += n
     assert got == want
     assert ordering.numbered(df.limit(0), "g", ["k", "id"]).count() == 0
+
+
+def test_chains_that_never_end(spark):
+    rows = [(1, 2, "DELTA"), (2, 3, "DELTA"), (3, 1, "DELTA"), (4, 1, "DELTA"), (5, 5, "DELTA"), (10, None, "FULL"), *[(i, i - 1, "DELTA") for i in range(11, 50)], (60, 99, "DELTA"), (61, 60, "DELTA")]
+    out = {r.checkpoint_id: (r.root_id, r.depth, r.root_kind) for r in log.base_chains(spark.createDataFrame(rows, "checkpoint_id int, base_id int, kind string")).collect()}
+    assert all(out[i] == (None, None, "CYCLE") for i in (1, 2, 3, 4, 5))
+    assert all(out[i] == (10, i - 10, "FULL") for i in range(10, 50)) and out[61] == (60, 1, "DELTA") and len(out) == len(rows)
+    assert log.base_chains(spark.createDataFrame([], "checkpoint_id int, base_id int, kind string")).count() == 0
+
+
+def test_evidence_flags_at_any_depth(spark):
+    texts = ['{"a":[{"b":{"hasAnswer":true}}]}', '{"a":"\\"has_answer\\": true"}', '{"is_evidence": "TRUE"}', '{"isEvidence":false,"x":[1]}', '{"has_answer" : 1}', "{}", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.e for r in df.select("i", text.has_evidence(F.col("t")).alias("e")).orderBy("i").collect()] == [True, False, True, False, True, False, None]
+
+
+def test_page_distance(spark):
+    d = lambda nodes, now: scalar.page_distance(F.array(*map(F.lit, nodes)), F.lit(now))
+    assert one(spark, a=d(["task-0001-a"], "task-0001-a"), b=d(["task-0001-a"], "task-0001-b"), c=d(["short"], "shorts"), d=d(["other-001-a"], "task-0001-a"))[:4] == (0.0, 0.3, 1.0, 1.0)
+
+
+def test_nearest_open_page(spark):
+    vectors = spark.createDataFrame([("a", "n", [1.0, 0.0]), ("b", "n", [0.0, 1.0]), ("c", "m", [1.0, 0.0])], "id string, namespace string, embedding array<float>")
+    pages = spark.createDataFrame([("n", "q", [1.0, 0.1]), ("n", "p", [1.0, 0.1]), ("n", "r", [-1.0, 0.0])], "namespace string, page_id string, centre array<double>")
+    assert [(r.id, r.page_id) for r in graph.nearest_open_page(vectors, pages, 0.3).collect()] == [("a", "p")]
+
+
+def test_pool_redundancy(spark):
+    rows = [(1, "a", [1.0, 0.0]), (1, "b", [1.0, 0.0]), (1, "c", [0.0, 1.0]), (2, "a", [1.0, 0.0]), (3, "a", None), (3, "b", [1.0, 0.0])]
+    out = {(r.q, r.id): (round(r.penalty, 6), round(r.novelty, 6)) for r in recall.pool_redundancy(spark.createDataFrame(rows, "q int, id string, v array<float>"), "q", "id", "v").collect()}
+    assert out == {(1, "a"): (0.05, 0.0), (1, "b"): (0.05, 0.0), (1, "c"): (0.0, 0.15), (2, "a"): (0.0, 0.0), (3, "a"): (0.0, 0.15), (3, "b"): (0.0, 0.15)}

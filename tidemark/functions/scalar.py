@@ -58,6 +58,16 @@ def normalized(s: Column, top: Column) -> Column:
     return F.when(s <= 0, 0.0).when(top <= 0, s).otherwise(F.least(F.lit(1.0), s / top))
 
 
+def page_distance(nodes: Column, current: Column) -> Column:
+    """Distance of a page to the current node: 0 if the page holds it, .3 if it holds one with the same first 8 characters, else 1."""
+    near = F.exists(nodes, lambda n: (F.length(n) > 8) & (F.length(current) > 8) & (F.substring(n, 1, 8) == F.substring(current, 1, 8)))
+    return F.when(F.array_contains(nodes, current), 0.0).when(near, 0.3).otherwise(1.0)
+
+
+def page_score(rec: Column, similarity: Column, distance: Column) -> Column:
+    return 0.25 * rec + 0.5 * similarity + 0.25 * (1 - distance)
+
+
 def is_pinned(pinned_until_ms: Column, now_ms: Column) -> Column:
     return F.coalesce(pinned_until_ms > now_ms, F.lit(False))
 

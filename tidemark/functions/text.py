@@ -16,6 +16,15 @@ def keywords(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), WORD_BREAK)), lambda t: F.length(t) >= 2)
 
 
+# Names of the flags that mark evidence in conversation records.
+EVIDENCE_FLAGS = ("has_answer", "hasAnswer", "is_evidence", "isEvidence")
+
+
+def has_evidence(record: Column) -> Column:
+    """Whether a JSON text sets one of the evidence flags anywhere; a flag inside a string is none."""
+    return record.rlike(r'(?<!\\)"(?:' + "|".join(EVIDENCE_FLAGS) + r')"\s*:\s*(?:true|"(?i:true)"|[1-9])')
+
+
 def word_count(text: Column) -> Column:
     """Words between white space; 0 for blank, at least 1 otherwise."""
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\S+)"), F.lit(1)))

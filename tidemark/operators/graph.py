@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalar
 from tidemark.operators.folding import Rows, folded
 from tidemark.storage import written
 
@@ -168,6 +169,17 @@ def centroids(members: DataFrame, page: str, vector: str) -> DataFrame:
     return part.repartition(page).mapInPandas(whole, f"{page} string, values array<{width}>, n bigint")
 
 
+def nearest_open_page(vectors: DataFrame, pages: DataFrame, reach: float) -> DataFrame:
+    """``id, page_id, distance``: the page of least cosine distance in the vector's namespace, up to ``reach``.
+
+    ``pages`` are those with room (``namespace, page_id, centre``). Each task keeps
+    the best page of a vector before the shuffle. Vectors out of reach drop out.
+    """
+    each = vectors.join(pages, "namespace").withColumn("distance", F.round(1 - scalar.cosine(F.col("embedding"), F.col("centre")), 6)).where(F.col("distance") <= reach)
+    best = each.groupBy("id").agg(F.min(F.struct("distance", "page_id")).alias("b"))
+    return best.select("id", "b.page_id", "b.distance")
+
+
 def cosine_pages(vectors: DataFrame, group: str, size: int = 10, rounds: int = 10, settle: float = 1e-3) -> DataFrame:
     """``id, page_id``: cosine k-means of each group into about ``n / size`` pages.
 

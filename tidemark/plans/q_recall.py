@@ -69,15 +69,18 @@ def j10_neighbour_group(spark: SparkSession, d: str) -> DataFrame:
     return recall.peer_groups(f, 9).join(p.where("state = 'EVICTED'").select("id"), "id", "left_semi").select("id", "peer", "place")
 
 
-@query()
+@query(using("pages", "vec").rstrip() + """, m AS (SELECT namespace, page_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(128)) AS pos FROM pages JOIN vec USING (id) WHERE id < 'c'),
+cen AS (SELECT namespace, page_id, list(m ORDER BY pos) AS e, any_value(n) AS n FROM (SELECT namespace, page_id, pos, avg(x) AS m, count(*) AS n FROM m GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT id, min_by(page_id, (distance, page_id)) AS page_id, min(distance) AS distance FROM (SELECT p.id, c.page_id, round(1 - list_cosine_similarity(v.embedding::DOUBLE[], c.e), 6) AS distance FROM pages p JOIN vec v USING (id) JOIN cen c ON c.namespace = p.namespace WHERE p.id >= 'c' AND c.n < 30)
+WHERE distance <= 0.30 GROUP BY 1""")
 def j9_nearest_page(spark: SparkSession, d: str) -> DataFrame:
-    """Cosine distance of each fragment to the centroid of the page it was assigned to, within reach of .30 on arrival."""
+    """Page of the namespace that a new fragment joins: the nearest one with room, within reach of .30."""
     from tidemark.operators import graph
 
-    f = v.fragments(spark, d, vectors=True).where("embedding is not null")
-    own = graph.incremental_pages(f, "namespace", "created_ms").join(f.select("id", "embedding"), "id")
-    c = graph.centroids(own, "page_id", "embedding").select("page_id", F.col("values").alias("centre"), "n")
-    return own.join(c, "page_id").select("id", "page_id", "n", F.round(1 - scalar.cosine(F.col("embedding"), F.col("centre")), 6).alias("distance"))
+    p = v.pages(spark, d).select("id", "namespace", "page_id").join(v.embeddings(spark, d), "id")
+    old = p.where("id < 'c'")
+    c = graph.centroids(old, "page_id", "embedding").where("n < 30").join(old.select("page_id", "namespace").distinct(), "page_id")
+    return graph.nearest_open_page(p.where("id >= 'c'").select("id", "namespace", "embedding"), c.select("namespace", "page_id", F.col("values").alias("centre")), 0.30)
 
 
 @query(using("ev") + """SELECT e.event_id AS evict_id, min(c.ts_ms) AS recall_ms, count(*) AS recalls FROM ev e JOIN ev c ON c.user_id = e.user_id AND c.ts_ms >= e.ts_ms AND c.ts_ms - e.ts_ms <= 3600000
@@ -117,15 +120,14 @@ def j15_include_exclude(spark: SparkSession, d: str) -> DataFrame:
     return out.join(inc, "n", "left_semi").join(exc, "b", "left_anti").select("p_partkey", "p_name")
 
 
-@query(using("ev") + """SELECT s.event_id AS session_id, min(f.ts_ms) AS feedback_ms FROM ev s JOIN ev f ON f.user_id = s.user_id AND f.ts_ms BETWEEN s.ts_ms AND s.ts_ms + 1800000
-  WHERE s.event_type = 'view' AND f.event_type = 'purchase' GROUP BY 1""")
+@query(using("ev") + """, s AS (SELECT *, max(CASE WHEN event_type = 'view' THEN (ts_ms, event_id) END) OVER (PARTITION BY user_id ORDER BY ts_ms, event_id ROWS UNBOUNDED PRECEDING) AS own FROM ev WHERE event_type IN ('view', 'purchase'))
+SELECT own[2] AS session_id, min_by(event_id, (ts_ms, event_id)) AS feedback_id FROM s WHERE event_type = 'purchase' AND own IS NOT NULL AND ts_ms - own[1] <= 1800000 GROUP BY 1""")
 def j17_feedback_join(spark: SparkSession, d: str) -> DataFrame:
-    from tidemark.operators.eviction import regrets
+    """Feedback to the user's newest session; each session is consumed by its first feedback."""
+    from tidemark.operators.learning import first_feedback
 
-    e = v.events(spark, d)
-    s = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("session_id"), F.col("ts_ms").alias("evict_ms"))
-    f = e.where("event_type = 'purchase'").select("user_id", F.col("ts_ms").alias("recall_ms"))
-    return regrets(s, f, "user_id", 1_800_000).groupBy("session_id").agg(F.min("recall_ms").alias("feedback_ms"))
+    e = v.events(spark, d).where("event_type in ('view', 'purchase')").withColumn("opens", (F.col("event_type") == "view").cast("bigint"))
+    return first_feedback(e.withColumn("opened", F.lit(0).cast("bigint")), "user_id", 1_800_000, 1)
 
 
 @query(using("case_results", "fragments") + "SELECT case_id, mode, rank, coalesce(f.reasoning_chain_id, r.fragment_id) AS logical_id FROM case_results r LEFT JOIN fragments f ON f.id = r.fragment_id")

@@ -86,6 +86,13 @@ def x9_dead_letter_stream(spark: SparkSession, d: str) -> DataFrame:
     return finished(s, transform=lambda b: b.select("event_id", (F.col("k") % 7 + 1).alias("attempts"), retry_outcome(F.col("k") % 3 == 0, F.col("k") % 7).alias("outcome")))
 
 
+@query(using("fragments") + """, c AS (SELECT namespace, max(last_access_ms) AS clock FROM fragments GROUP BY 1)
+SELECT id, CAST((pinned_until_ms + 29999) // 30000 * 30000 AS BIGINT) AS sweep_ms FROM fragments JOIN c USING (namespace) WHERE pinned_until_ms IS NOT NULL AND (pinned_until_ms + 29999) // 30000 * 30000 <= clock AND last_access_ms IS NOT NULL""")
+def x10_pin_sweep_stream(spark: SparkSession, d: str) -> DataFrame:
+    f = v.fragments(spark, d).where("last_access_ms is not null").select(F.col("namespace").alias("key"), "id", F.col("last_access_ms").alias("ts_ms"), F.col("pinned_until_ms").alias("until_ms"))
+    return finished(ops.pin_sweeps(sliced(f, "ts_ms")))
+
+
 @query(using("ev", "nodes") + "SELECT event_id, n.task_id, n.node FROM ev JOIN nodes n ON n.task_id = ev.user_id % 40 AND n.node = ev.k % 50 + 1 WHERE event_type = 'purchase'")
 def x11_dag_change_stream(spark: SparkSession, d: str) -> DataFrame:
     s = sliced(v.events(spark, d).where("event_type = 'purchase'").select("event_id", "ts_ms", (F.col("user_id") % 40).alias("task_id"), (F.col("k") % 50 + 1).cast("bigint").alias("node")), "ts_ms")

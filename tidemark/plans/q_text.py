@@ -95,13 +95,18 @@ def f_norm_all(spark: SparkSession, d: str) -> DataFrame:
     return f.select("id", F.posexplode(scalar.unit(F.col("embedding"))).alias("pos", "value")).select("id", F.col("pos").cast("bigint").alias("pos"), F.round("value", 6).alias("value"))
 
 
-@query(using("pages") + f"""SELECT page_id, round(0.25::DOUBLE / (1 + ln(1 + greatest(0, ({NOW} - last_ms) / 86400000.0::DOUBLE))) + 0.3::DOUBLE * (1 - dist), 6) AS score, dist FROM (SELECT page_id, max(last_access_ms) AS last_ms,
-  CASE WHEN substr(page_id, 1, 15) = 'atlas-frontdesk' THEN 0.0::DOUBLE WHEN substr(page_id, 1, 8) = 'tenant-1' THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END AS dist FROM pages GROUP BY 1)""")
+@query(using("pages").rstrip() + """, nd AS (SELECT page_id, namespace, max(last_access_ms) AS last_ms, list(DISTINCT concat(namespace, ':', substr(id, 1, 2))) AS nodes FROM pages GROUP BY 1, 2),
+now AS (SELECT namespace, CASE WHEN length(namespace) % 3 = 0 THEN 'elsewhere:00' ELSE min(concat(namespace, ':', substr(id, 1, 2))) END AS node FROM pages GROUP BY 1),
+dist AS (SELECT page_id, last_ms, CASE WHEN list_contains(nodes, node) THEN 0.0::DOUBLE WHEN length(node) > 8 AND len(list_filter(nodes, lambda n: length(n) > 8 AND substr(n, 1, 8) = substr(node, 1, 8))) > 0 THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END AS dist FROM nd JOIN now USING (namespace))
+""" + f"SELECT page_id, round(0.25::DOUBLE / (1 + ln(1 + greatest(0, ({NOW} - last_ms) / 86400000.0::DOUBLE))) + 0.25::DOUBLE * (1 - dist), 6) AS score, dist FROM dist")
 def f_page_distance(spark: SparkSession, d: str) -> DataFrame:
-    p = v.pages(spark, d).groupBy("page_id").agg(F.max("last_access_ms").alias("last_ms"))
-    dist = F.when(F.col("page_id").startswith("atlas-frontdesk"), 0.0).when(F.col("page_id").startswith("tenant-1"), 0.3).otherwise(1.0)
+    """Pages by distance to the current node of their namespace; without a query, similarity is 0."""
+    p = v.pages(spark, d).withColumn("node", F.concat_ws(":", "namespace", F.substring("id", 1, 2)))
+    now = p.groupBy("namespace").agg(F.min("node").alias("first")).select("namespace", F.when(F.length("namespace") % 3 == 0, "elsewhere:00").otherwise(F.col("first")).alias("current"))
+    g = p.groupBy("page_id", "namespace").agg(F.max("last_access_ms").alias("last_ms"), F.collect_set("node").alias("nodes")).join(now, "namespace")
+    g = g.withColumn("dist", scalar.page_distance(F.col("nodes"), F.col("current")))
     rec = scalar.recency(F.col("last_ms"), F.lit(v.NOW_MS))
-    return p.withColumn("dist", dist).select("page_id", F.round(0.25 * rec + 0.3 * (1 - F.col("dist")), 6).alias("score"), "dist")
+    return g.select("page_id", F.round(scalar.page_score(rec, F.lit(0.0), F.col("dist")), 6).alias("score"), "dist")
 
 
 @query()
@@ -122,10 +127,14 @@ def f_convert_cases(spark: SparkSession, d: str) -> DataFrame:
     return turns.select(F.concat("request_id", F.lit("-turn-"), F.lpad(F.col("place").cast("string"), 4, "0")).alias("turn_id"), F.concat(F.lit("role-"), F.lower("role")).alias("tag"), F.col("role").isin("A", "agent", "worker").alias("evidence"))
 
 
-@query("SELECT request_id, bool_or(has) AS evidence FROM (SELECT request_id, contains(coalesce(content, ''), 'agent:') AS has FROM store_requests) GROUP BY 1")
+@query("SELECT request_id, bool_or(has) AS evidence FROM (SELECT request_id, contains(coalesce(content, ''), 'agent:') OR coalesce(pin_ttl_millis, 0) % 3 = 1 AS has FROM store_requests) GROUP BY 1")
 def f_evidence(spark: SparkSession, d: str) -> DataFrame:
-    r = v.table(spark, d, "store_requests").select("request_id", F.array(F.struct(F.coalesce("content", F.lit("")).alias("turn"))).alias("session"))
-    return r.groupBy("request_id").agg(F.bool_or(F.exists("session", lambda s: s["turn"].contains("agent:"))).alias("evidence"))
+    """Records of sessions as nested JSON, flagged at two depths, with a flag quoted inside a text."""
+    content = F.coalesce("content", F.lit(""))
+    turn = F.struct(F.concat(F.lit('said "has_answer": true, '), content).alias("text"), F.struct(content.contains("agent:").alias("has_answer")).alias("meta"))
+    record = F.struct(F.array(F.array(turn)).alias("sessions"), F.when(F.coalesce("pin_ttl_millis", F.lit(0)) % 3 == 1, "True").otherwise("no").alias("isEvidence"))
+    r = v.table(spark, d, "store_requests").select("request_id", F.to_json(record).alias("record"))
+    return r.groupBy("request_id").agg(F.bool_or(text.has_evidence(F.col("record"))).alias("evidence"))
 
 
 @query()

@@ -112,6 +112,29 @@ def consumed_once(events: DataFrame, ttl_ms: int = 1_800_000, late: str = "10 mi
     return events.withWatermark("ts", late).groupBy("key").applyInPandasWithState(fold, "key string, session_id bigint, feedback_id bigint", "started array<bigint>, ids array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def pin_sweeps(pins: DataFrame, every_ms: int = 30_000) -> DataFrame:
+    """``id, sweep_ms`` of the pins that a sweep releases, one sweep each ``every_ms``.
+
+    ``pins`` has ``key, id, ts_ms`` and ``until_ms``, null without a pin. A key's
+    clock is its newest row. The state holds the key's live pins.
+    """
+
+    def fold(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        g = _rows(parts, "ts_ms", "id")
+        clock, due, ids = state.get if state.exists else (0, [], [])
+        clock = max(clock, int(g["ts_ms"].max()))
+        new = g[g["until_ms"].notna()]
+        due = [*due, *(-(-int(u) // every_ms) * every_ms for u in new["until_ms"])]
+        ids = [*ids, *new["id"]]
+        gone = [(i, t) for i, t in zip(ids, due) if t <= clock]
+        live = [(i, t) for i, t in zip(ids, due) if t > clock]
+        state.update((clock, [t for _, t in live], [i for i, _ in live]))
+        if gone:
+            yield pd.DataFrame(gone, columns=["id", "sweep_ms"])
+
+    return pins.groupBy("key").applyInPandasWithState(fold, "id string, sweep_ms bigint", "clock bigint, due array<bigint>, ids array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
 def triggers(log: DataFrame, every: int = 50, wait_ms: int = 60_000) -> DataFrame:
     """A row when a task has ``every`` entries since its last checkpoint, or the first of them is ``wait_ms`` old."""
 
