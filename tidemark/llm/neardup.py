@@ -426,12 +426,13 @@ def _components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> Data
 def similar_groups(df: DataFrame, key: str = "fragment_id", group: str = "namespace", text: str = "content", threshold: float = 0.6) -> DataFrame:
     """One row per record with a set: ``id, group_id, n_links``.
 
-    ``group_id`` is the hexadecimal id of the least class reached over links;
-    ``n_links`` counts the record's classes' links, copies not expanded.
+    ``group_id`` is the least id that links and copies reach; ``n_links`` counts
+    the other texts that the record's is linked to, copies not expanded.
     """
     links, members = class_links(df, key, group, text, threshold)
     links, members = written(links, "links"), members.distinct()
     roots = _components(df.sparkSession, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     out = members.join(roots.withColumnRenamed("v", "cls"), "cls", "left").join(degree, "cls", "left")
-    return out.select("id", F.lower(F.hex(F.coalesce("root", "cls"))).alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    out = out.select("id", F.coalesce("root", "cls").alias("root"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return out.join(out.groupBy("root").agg(F.min("id").alias("group_id")), "root").select("id", "group_id", "n_links")

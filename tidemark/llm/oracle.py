@@ -64,3 +64,12 @@ top AS (
 )
 """
 ORACLE["p4_found"] = f"{_NEAR} SELECT DISTINCT least(id, neighbour) AS fragment_a, greatest(id, neighbour) AS fragment_b FROM top WHERE rank <= 5"
+ORACLE["p4_neighbours"] = f"{_NEAR} SELECT id, neighbour, cosine, rank FROM top WHERE rank <= 5"
+ORACLE["p2_groups"] = f"""
+WITH RECURSIVE pairs AS ({ORACLE["p2_found"]}),
+{_GRAMS},
+classes AS (SELECT id, md5(concat(any_value(ns), chr(0), string_agg(g, chr(1) ORDER BY g))) AS cls FROM grams GROUP BY 1),
+edges AS (SELECT fragment_a AS a, fragment_b AS b FROM pairs UNION SELECT fragment_b, fragment_a FROM pairs),
+reach AS (SELECT id, id AS other FROM classes UNION SELECT r.id, e.b FROM reach r JOIN edges e ON e.a = r.other),
+links AS (SELECT a AS id, count(DISTINCT y.cls) AS n FROM edges JOIN classes x ON x.id = a JOIN classes y ON y.id = b WHERE x.cls <> y.cls GROUP BY 1)
+SELECT r.id AS fragment_id, min(other) AS group_id, coalesce(any_value(n), 0) AS n_links FROM reach r LEFT JOIN links l ON l.id = r.id GROUP BY 1"""

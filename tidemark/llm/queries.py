@@ -42,7 +42,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.nearest_vectors(_t(spark, d, "warm_vectors"))
+    return neighbours.nearest_vectors(_t(spark, d, "warm_vectors")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
