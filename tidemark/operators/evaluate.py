@@ -32,6 +32,25 @@ def mode_summary(m: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def series_summary(df: DataFrame, keys: list[str], series: list[str]) -> DataFrame:
+    """One row for each key and series of latencies: samples, mean, extremes and nearest-rank percentiles; nulls are left out."""
+    each = df.select(*keys, F.explode(F.array(*(F.struct(F.lit(s).alias("series"), F.col(s).cast("double").alias("ms")) for s in series))).alias("x")).select(*keys, "x.series", "x.ms").where("ms is not null")
+    disc = lambda q: F.expr(f"percentile_disc({q}) within group (order by ms)")
+    g = each.groupBy(*keys, "series").agg(F.count("*").alias("samples"), F.round(F.avg("ms"), 4).alias("avg_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), disc(0.5).alias("p50_ms"), disc(0.95).alias("p95_ms"), disc(0.99).alias("p99_ms"), F.round(F.expr("percentile(ms, 0.95)"), 4).alias("p95_linear"))
+    return g
+
+
+def result_checks(results: DataFrame, cases: DataFrame, modes: list[str]) -> DataFrame:
+    """``check, n``: results of unknown cases, results listed twice for a case and mode, and cases without a mode."""
+    known = cases.select("case_id").distinct()
+    unknown = results.join(known, "case_id", "left_anti").select("case_id", "mode").distinct()
+    twice = results.groupBy("case_id", "mode", "fragment_id").count().where("count > 1")
+    have = results.select("case_id", "mode").distinct()
+    lacking = known.withColumn("mode", F.explode(F.array(*map(F.lit, modes)))).join(have, ["case_id", "mode"], "left_anti")
+    each = [t.agg(F.count("*").alias("n")).select(F.lit(c).alias("check"), "n") for c, t in (("unknown_case", unknown), ("duplicate_result", twice), ("missing_mode", lacking))]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 def lift(summary: DataFrame, baseline: str, *values: str) -> DataFrame:
     """Absolute and relative difference to the baseline mode; relative is 0 for a baseline of 0."""
     base = summary.where(F.col("mode") == baseline).select(*(F.col(c).alias(f"_{c}") for c in values))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
-from tidemark.operators import evaluate
+from tidemark.operators import evaluate, recall
 from tidemark.plans import views as v
 from tidemark.plans.registry import query
 from tidemark.plans.sqlviews import using
@@ -51,21 +51,46 @@ def a16_answer_summary(spark: SparkSession, d: str) -> DataFrame:
         F.round(F.avg(F.when(~F.col("failed"), F.col("latency_ms"))), 6).alias("avg_ms"), F.sum((F.col("case_id") % 3 == 0).cast("bigint")).alias("feedback"))
 
 
-@query("""SELECT o_orderpriority AS mode, count(*) AS samples, round(avg(o_totalprice), 4) AS avg_ms, min(o_totalprice) AS min_ms, max(o_totalprice) AS max_ms, quantile_disc(o_totalprice, 0.5) AS p50_ms, quantile_disc(o_totalprice, 0.95) AS p95_ms,
-  quantile_disc(o_totalprice, 0.99) AS p99_ms, round(quantile_cont(o_totalprice, 0.95), 4) AS p95_linear, round(1000 / avg(o_totalprice), 9) AS throughput FROM orders GROUP BY 1""")
+_SERIES6 = ["queue", "extract", "embed", "hot", "warm", "cold"]
+_STAGES = """SELECT concat(l_linestatus, l_linenumber % 3) AS mode, l_quantity AS queue, l_extendedprice / 100 AS extract, CASE WHEN l_linenumber < 6 THEN l_discount * 1000 END AS embed, l_tax * 1000 AS hot, CAST(l_partkey % 500 AS DOUBLE) AS warm, CAST(l_suppkey % 300 AS DOUBLE) AS cold,
+  l_returnflag <> 'R' AS ok, greatest(0, l_quantity - 30) AS lag FROM lineitem"""
+
+
+def _stages(spark: SparkSession, d: str) -> DataFrame:
+    li = v.table(spark, d, "lineitem")
+    c = F.col
+    return li.select(
+        F.concat("l_linestatus", (c("l_linenumber") % 3).cast("string")).alias("mode"), c("l_quantity").alias("queue"), (c("l_extendedprice") / 100).alias("extract"), F.when(c("l_linenumber") < 6, c("l_discount") * 1000).alias("embed"), (c("l_tax") * 1000).alias("hot"),
+        (c("l_partkey") % 500).cast("double").alias("warm"), (c("l_suppkey") % 300).cast("double").alias("cold"), (c("l_returnflag") != "R").alias("ok"), F.greatest(F.lit(0), c("l_quantity") - 30).alias("lag"))
+
+
+@query(f"""SELECT mode, series, count(*) AS samples, round(avg(ms), 4) AS avg_ms, min(ms) AS min_ms, max(ms) AS max_ms, quantile_disc(ms, 0.5) AS p50_ms, quantile_disc(ms, 0.95) AS p95_ms, quantile_disc(ms, 0.99) AS p99_ms, round(quantile_cont(ms, 0.95), 4) AS p95_linear
+  FROM (UNPIVOT (SELECT mode, {", ".join(f"{x}::DOUBLE AS {x}" for x in _SERIES6)} FROM ({_STAGES})) ON {", ".join(_SERIES6)} INTO NAME series VALUE ms) GROUP BY 1, 2""")
 def a17_latency_summary(spark: SparkSession, d: str) -> DataFrame:
-    o = v.table(spark, d, "orders")
-    p = "o_totalprice"
-    disc = lambda q: F.expr(f"percentile_disc({q}) within group (order by {p})")
-    return o.groupBy(F.col("o_orderpriority").alias("mode")).agg(
-        F.count("*").alias("samples"), F.round(F.avg(p), 4).alias("avg_ms"), F.min(p).alias("min_ms"), F.max(p).alias("max_ms"), disc(0.5).alias("p50_ms"), disc(0.95).alias("p95_ms"), disc(0.99).alias("p99_ms"),
-        F.round(F.expr(f"percentile({p}, 0.95)"), 4).alias("p95_linear"), F.round(1000 / F.avg(p), 9).alias("throughput"))
+    """Six latency series for each mode."""
+    return evaluate.series_summary(_stages(spark, d), ["mode"], _SERIES6)
+
 
+@query(f"SELECT mode, count(*) AS samples, round(avg(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0 END), 6) AS success_rate, count(embed) AS embedded, round(avg(lag), 6) AS lag, round(1000 / avg(extract), 6) AS throughput FROM ({_STAGES}) GROUP BY 1")
+def a17_mode_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Success rate, stage count, mean lag and throughput for each mode."""
+    g = _stages(spark, d).groupBy("mode").agg(F.count("*").alias("samples"), F.round(F.avg(F.col("ok").cast("double")), 6).alias("success_rate"), F.count("embed").alias("embedded"), F.round(F.avg("lag"), 6).alias("lag"), F.round(1000 / F.avg("extract"), 6).alias("throughput"))
+    return g
 
-@query("SELECT l_shipdate::DATE::VARCHAR AS day, max(l_quantity) AS max_queue, sum(greatest(0, l_quantity - 40)) AS caller_runs, max(l_quantity) >= 50 AS saturated FROM lineitem GROUP BY 1")
+
+_QUEUE = "SELECT *, greatest(0, coalesce(runs - lag(runs) OVER (PARTITION BY day ORDER BY l_orderkey, l_linenumber, runs), 0)) AS grown FROM (SELECT l_shipdate::DATE::VARCHAR AS day, l_quantity, l_orderkey, l_linenumber, l_suppkey % 50 AS runs, l_extendedprice AS p, l_returnflag FROM lineitem)"
+
+
+@query(f"""SELECT day, max(l_quantity) AS max_queue, CAST(coalesce(sum(grown), 0) AS BIGINT) AS caller_runs, max(l_quantity) >= 50 AS saturated,
+  round(CASE WHEN coalesce(avg(p) FILTER (l_returnflag = 'N'), 0) = 0 THEN 0 ELSE (avg(p) FILTER (l_returnflag = 'N') - coalesce(avg(p) FILTER (l_returnflag <> 'N'), 0)) / avg(p) FILTER (l_returnflag = 'N') END, 6)::DOUBLE AS relative_reduction FROM ({_QUEUE}) GROUP BY 1""")
 def a18_backpressure(spark: SparkSession, d: str) -> DataFrame:
-    li = v.table(spark, d, "lineitem")
-    return li.groupBy(F.col("l_shipdate").cast("date").cast("string").alias("day")).agg(F.max("l_quantity").alias("max_queue"), F.sum(F.greatest(F.lit(0.0), F.col("l_quantity") - 40)).alias("caller_runs"), (F.max("l_quantity") >= 50).alias("saturated"))
+    """Longest queue, growth of the caller-runs counter, saturation, and how far one series lies below the other."""
+    li = v.table(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").cast("string").alias("day"), "l_quantity", "l_orderkey", "l_linenumber", (F.col("l_suppkey") % 50).alias("runs"), F.col("l_extendedprice").alias("p"), "l_returnflag")
+    w = Window.partitionBy("day").orderBy("l_orderkey", "l_linenumber", "runs")
+    li = li.withColumn("grown", F.greatest(F.lit(0), F.col("runs") - F.lag("runs").over(w)))
+    mean = lambda c: F.coalesce(F.avg(F.when(c, F.col("p"))), F.lit(0.0))
+    g = li.groupBy("day").agg(F.max("l_quantity").alias("max_queue"), F.coalesce(F.sum("grown"), F.lit(0)).cast("bigint").alias("caller_runs"), mean(F.col("l_returnflag") == "N").alias("a"), mean(F.col("l_returnflag") != "N").alias("b"))
+    return g.select("day", "max_queue", "caller_runs", (F.col("max_queue") >= 50).alias("saturated"), F.round(scalar.ratio(F.col("a") - F.col("b"), F.col("a")), 6).alias("relative_reduction"))
 
 
 @query(using("case_modes") + "SELECT category, count(*) AS cases, count(*) FILTER (NOT failed) AS passed, round(avg(latency_ms), 6) AS avg_ms FROM case_modes GROUP BY 1")
@@ -73,10 +98,14 @@ def a19_category_recovery(spark: SparkSession, d: str) -> DataFrame:
     return v.case_modes(spark, d).groupBy("category").agg(F.count("*").alias("cases"), F.sum((~F.col("failed")).cast("bigint")).alias("passed"), F.round(F.avg("latency_ms"), 6).alias("avg_ms"))
 
 
-@query(_CM + "SELECT mode, quantile_cont(coalesce(first_rank, n_returned + 1), 0.5)::DOUBLE AS median_rank, round(avg(ndcg), 6) AS ndcg, count(*) FILTER (coalesce(first_rank, n_returned + 1) <= 2) AS improved, round(avg(CASE WHEN all_expected THEN 1.0::DOUBLE ELSE 0 END), 6) AS all_relevant_rate FROM m GROUP BY 1")
+@query(_CM + """, x AS (SELECT *, coalesce(first_rank, n_returned + 1) AS r FROM m) SELECT x.mode, quantile_cont(x.r, 0.5)::DOUBLE AS median_rank, round(avg(x.ndcg), 6) AS ndcg, count(*) FILTER (x.r < b.r) AS improved, count(*) FILTER (x.r > b.r) AS worsened,
+  round(avg(CASE WHEN x.all_expected THEN 1.0::DOUBLE ELSE 0 END), 6) AS all_relevant_rate FROM x JOIN (SELECT case_id, r FROM x WHERE mode = 'VECTOR_ONLY') b USING (case_id) GROUP BY 1""")
 def a20_learning_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks of the first relevant item against those of the plain vector mode."""
     m = _metrics(spark, d).withColumn("r", F.coalesce("first_rank", F.col("n_returned") + 1))
-    return m.groupBy("mode").agg(F.expr("percentile(r, 0.5)").alias("median_rank"), F.round(F.avg("ndcg"), 6).alias("ndcg"), F.sum((F.col("r") <= 2).cast("bigint")).alias("improved"), F.round(F.avg(F.col("all_expected").cast("double")), 6).alias("all_relevant_rate"))
+    m = m.withColumn("base", F.max(F.when(F.col("mode") == "VECTOR_ONLY", F.col("r"))).over(Window.partitionBy("case_id"))).where("base is not null")
+    n = lambda c: F.sum(c.cast("bigint"))
+    return m.groupBy("mode").agg(F.expr("percentile(r, 0.5)").alias("median_rank"), F.round(F.avg("ndcg"), 6).alias("ndcg"), n(F.col("r") < F.col("base")).alias("improved"), n(F.col("r") > F.col("base")).alias("worsened"), F.round(F.avg(F.col("all_expected").cast("double")), 6).alias("all_relevant_rate"))
 
 
 @query(_CM + _SUM.format("category, mode,"))
@@ -84,15 +113,18 @@ def a21_category_mode(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.mode_summary(_metrics(spark, d), "category", "mode")
 
 
-@query(using("case_results") + """SELECT mode, count(*) FILTER (c > 0) AS changed, count(*) FILTER (c = 0) AS unchanged, round(avg(CASE WHEN c > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS changed_rate, array_to_string(list_sort(list(DISTINCT concat('cat', case_id % 6))), ',') AS categories FROM (
-  SELECT a.case_id, a.mode, count(*) FILTER (a.fragment_id <> b.fragment_id) AS c FROM case_results a JOIN case_results b ON a.case_id = b.case_id AND a.rank = b.rank AND b.mode = 'VECTOR_ONLY' GROUP BY 1, 2) GROUP BY 1""")
+@query(using("case_results") + """SELECT mode, count(*) FILTER (c > 0) AS order_changed, count(*) FILTER (c = 0 AND scores > 1) AS identifiable, count(*) FILTER (c = 0 AND scores <= 1) AS non_identifiable, sum(c)::BIGINT AS changed_places, round(avg(CASE WHEN c > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS changed_rate,
+  array_to_string(list_sort(list(DISTINCT concat('cat', case_id % 6))), ',') AS categories FROM (
+  SELECT a.case_id, a.mode, count(*) FILTER (a.fragment_id <> b.fragment_id) AS c, count(DISTINCT a.score) AS scores FROM case_results a JOIN case_results b ON a.case_id = b.case_id AND a.rank = b.rank AND b.mode = 'VECTOR_ONLY' GROUP BY 1, 2) GROUP BY 1""")
 def a22_rerank_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     r = v.case_results(spark, d)
-    base = r.where("mode = 'VECTOR_ONLY'").select("case_id", "rank", F.col("fragment_id").alias("base"))
-    c = r.join(base, ["case_id", "rank"]).groupBy("case_id", "mode").agg(F.sum((F.col("fragment_id") != F.col("base")).cast("bigint")).alias("c"))
-    changed = F.col("c") > 0
+    w = Window.partitionBy("case_id", "rank")
+    r = r.withColumn("base", F.max(F.when(F.col("mode") == "VECTOR_ONLY", F.col("fragment_id"))).over(w)).where("base is not null")
+    c = r.groupBy("case_id", "mode").agg(F.sum((F.col("fragment_id") != F.col("base")).cast("bigint")).alias("c"), F.countDistinct("score").alias("scores"))
+    c = c.withColumn("status", recall.rerank_effect(F.col("c"), F.col("scores")))
+    n = lambda x: F.sum((F.col("status") == x).cast("bigint"))
     return c.groupBy("mode").agg(
-        F.sum(changed.cast("bigint")).alias("changed"), F.sum((~changed).cast("bigint")).alias("unchanged"), F.round(F.avg(changed.cast("double")), 6).alias("changed_rate"),
+        n("ORDER_CHANGED").alias("order_changed"), n("IDENTIFIABLE").alias("identifiable"), n("NON_IDENTIFIABLE").alias("non_identifiable"), F.sum("c").alias("changed_places"), F.round(F.avg((F.col("c") > 0).cast("double")), 6).alias("changed_rate"),
         F.concat_ws(",", F.sort_array(F.collect_set(F.concat(F.lit("cat"), F.col("case_id") % 6)))).alias("categories"))
 
 
@@ -111,6 +143,19 @@ def j13_result_dataset(spark: SparkSession, d: str) -> DataFrame:
     return v.case_results(spark, d).join(known, "case_id").groupBy("case_id", "category").agg(F.count("*").alias("n"))
 
 
+_FLAWED = """, cs AS (SELECT DISTINCT recall_id AS case_id FROM candidates WHERE recall_id % 50 <> 0), rs AS (SELECT case_id, mode, fragment_id FROM case_results WHERE NOT (mode = 'HYBRID' AND case_id % 77 = 0) UNION ALL SELECT case_id, mode, fragment_id FROM case_results WHERE case_id % 91 = 0 AND rank = 1) """
+
+
+@query(using("case_results", "candidates").rstrip() + _FLAWED + f"""SELECT 'unknown_case' AS "check", count(*) AS n FROM (SELECT DISTINCT case_id, mode FROM rs WHERE case_id NOT IN (SELECT case_id FROM cs)) UNION ALL
+  SELECT 'duplicate_result', count(*) FROM (SELECT case_id, mode, fragment_id FROM rs GROUP BY ALL HAVING count(*) > 1) UNION ALL
+  SELECT 'missing_mode', count(*) FROM (SELECT case_id, mode FROM cs, (SELECT unnest({v.MODES}) AS mode) EXCEPT SELECT case_id, mode FROM rs)""")
+def j13_result_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What makes a set of results unfit: unknown cases, repeats, missing modes."""
+    r = v.case_results(spark, d).select("case_id", "mode", "fragment_id", "rank")
+    flawed = r.where("not (mode = 'HYBRID' and case_id % 77 = 0)").unionByName(r.where("case_id % 91 = 0 and rank = 1"))
+    return evaluate.result_checks(flawed, v.candidates(spark, d).where("recall_id % 50 <> 0").select(F.col("recall_id").alias("case_id")), v.MODES)
+
+
 @query(_CM + _PAIRED + """SELECT count(*) FILTER (a.recall > b.recall) AS wins, count(*) FILTER (a.recall = b.recall) AS ties, count(*) FILTER (a.recall < b.recall) AS losses, round(avg(a.recall - b.recall), 6) AS recall_delta,
   round(avg(a.ndcg - b.ndcg), 6) AS ndcg_delta, round(avg(a.reciprocal_rank - b.reciprocal_rank), 6) AS mrr_delta FROM a JOIN b USING (case_id)""")
 def a23_win_tie_loss(spark: SparkSession, d: str) -> DataFrame:
@@ -128,12 +173,12 @@ def a25_category_counts(spark: SparkSession, d: str) -> DataFrame:
     return v.case_modes(spark, d).groupBy("category").agg(F.countDistinct("case_id").alias("cases"))
 
 
-@query("SELECT round(count(*) FILTER (o_orderstatus <> 'F') / count(*), 6) AS log_coverage, round(count(*) FILTER (o_orderstatus = 'O') / count(*) FILTER (o_orderpriority = '1-URGENT'), 6) AS checkpoint_success, CASE WHEN count(*) FILTER (o_orderstatus = 'X') = 0 THEN 1.0::DOUBLE ELSE 0 END AS durability FROM orders")
+@query("SELECT round(count(*) FILTER (o_orderstatus <> 'F') / count(*), 6) AS log_coverage, round(count(*) FILTER (o_orderstatus = 'O') / count(*) FILTER (o_orderpriority = '1-URGENT'), 6) AS checkpoint_success, CASE WHEN count(*) FILTER (o_orderstatus = 'X') = 0 THEN 1.0::DOUBLE ELSE 0 END AS durability, round(count(*) FILTER (o_orderstatus <> 'P' AND o_totalprice > 1000) / count(*) FILTER (o_totalprice > 1000), 6) AS persistence FROM orders")
 def a26_slo_rates(spark: SparkSession, d: str) -> DataFrame:
     n = lambda c: F.sum(c.cast("bigint"))
     s = F.col("o_orderstatus")
-    g = v.table(spark, d, "orders").agg(F.count("*").alias("n"), n(s != "F").alias("a"), n(s == "O").alias("b"), n(F.col("o_orderpriority") == "1-URGENT").alias("c"), n(s == "X").alias("x"))
-    return g.select(F.round(scalar.ratio(F.col("a"), F.col("n"), 1.0), 6).alias("log_coverage"), F.round(scalar.ratio(F.col("b"), F.col("c"), 1.0), 6).alias("checkpoint_success"), scalar.ratio(F.lit(0.0), F.col("x"), 1.0).alias("durability"))
+    g = v.table(spark, d, "orders").agg(F.count("*").alias("n"), n(s != "F").alias("a"), n(s == "O").alias("b"), n(F.col("o_orderpriority") == "1-URGENT").alias("c"), n(s == "X").alias("x"), n(F.col("o_totalprice") > 1000).alias("tried"), n((s != "P") & (F.col("o_totalprice") > 1000)).alias("kept"))
+    return g.select(F.round(scalar.ratio(F.col("kept"), F.col("tried"), 1.0), 6).alias("persistence"), F.round(scalar.ratio(F.col("a"), F.col("n"), 1.0), 6).alias("log_coverage"), F.round(scalar.ratio(F.col("b"), F.col("c"), 1.0), 6).alias("checkpoint_success"), scalar.ratio(F.lit(0.0), F.col("x"), 1.0).alias("durability"))
 
 
 @query(using("ev") + "SELECT event_type, count(*) AS samples, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts_ms DESC, event_id DESC) AS r FROM ev) WHERE r <= 512 GROUP BY 1")
@@ -148,9 +193,13 @@ def a28_prefetch_stats(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("hit_rate", F.round(scalar.ratio(F.col("consumed"), F.col("requested")), 6))
 
 
-@query(using("pages") + "SELECT state, count(DISTINCT page_id) AS pages, count(*) AS fragments, round(count(*) / count(DISTINCT page_id), 6) AS per_page FROM pages GROUP BY 1")
+@query(using("pages") + """, o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY last_access_ms NULLS LAST, id) AS r FROM pages)
+SELECT state, count(DISTINCT page_id) AS pages, count(*) AS assignments, count(*) FILTER (r > 1) AS reused, count(*) FILTER (r = 1) AS opened, round(count(*) FILTER (r > 1) / count(*), 6) AS reuse_ratio, round(count(*) FILTER (r = 1) / count(*), 6) AS new_page_ratio FROM o GROUP BY 1""")
 def a29_page_stats(spark: SparkSession, d: str) -> DataFrame:
-    return v.pages(spark, d).groupBy("state").agg(F.countDistinct("page_id").alias("pages"), F.count("*").alias("fragments"), F.round(F.count("*") / F.countDistinct("page_id"), 6).alias("per_page"))
+    """Assignments that opened a page and those that found one, by state of the page."""
+    per = v.pages(spark, d).groupBy("state", "page_id").agg(F.count("*").alias("n"))
+    g = per.groupBy("state").agg(F.count("*").alias("pages"), F.sum("n").alias("assignments"), F.sum(F.col("n") - 1).alias("reused"), F.count("*").alias("opened"))
+    return g.withColumn("reuse_ratio", F.round(scalar.ratio(F.col("reused"), F.col("assignments")), 6)).withColumn("new_page_ratio", F.round(scalar.ratio(F.col("opened"), F.col("assignments")), 6))
 
 
 @query(_CM + ", r AS (SELECT mode, case_id % 5 AS round, avg(recall) AS a FROM m GROUP BY 1, 2) SELECT mode, count(*) AS rounds, round(avg(a), 6) AS mean_accuracy, round(max(a), 6) AS best, count(DISTINCT round(a, 6)) = 1 AS stable, avg(a) + 1e-7 >= 0.3 AS passed FROM r GROUP BY 1")
@@ -180,14 +229,46 @@ def a34_case_failures(spark: SparkSession, d: str) -> DataFrame:
     return m.select("case_id", "mode", (F.col("n_expected") - F.col("matched")).alias("missing"), reason.alias("reason"))
 
 
-@query(using("case_modes") + "SELECT mode, case_id % 5 AS round, round(avg(latency_ms), 6) AS mean_ms, min(latency_ms) AS min_ms, max(latency_ms) AS max_ms FROM case_modes GROUP BY 1, 2")
+@query(_CM + """SELECT case_id // 5 AS case_no, mode, count(*) AS rounds, count(*) FILTER (NOT all_expected) AS failures, sum(n_expected - matched)::BIGINT AS missing, coalesce(array_to_string(list_sort(list(DISTINCT CASE WHEN failed THEN 'error' WHEN matched = 0 THEN 'recall_miss' ELSE 'partial' END) FILTER (NOT all_expected)), ','), '') AS reasons,
+  count(DISTINCT concat(matched, '/', n_returned)) AS outcomes FROM m WHERE mode <> 'VECTOR_ONLY' GROUP BY 1, 2 HAVING count(*) FILTER (NOT all_expected) > 0""")
+def a34_failure_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Failures of a case under a mode over its five rounds."""
+    m = _metrics(spark, d).where("mode <> 'VECTOR_ONLY'").withColumn("bad", ~F.col("all_expected"))
+    reason = F.when(F.col("failed"), "error").when(F.col("matched") == 0, "recall_miss").otherwise("partial")
+    g = m.groupBy(F.floor(F.col("case_id") / 5).alias("case_no"), "mode").agg(
+        F.count("*").alias("rounds"), F.sum(F.col("bad").cast("bigint")).alias("failures"), F.sum(F.col("n_expected") - F.col("matched")).alias("missing"),
+        F.concat_ws(",", F.sort_array(F.collect_set(F.when(F.col("bad"), reason)))).alias("reasons"), F.countDistinct(F.concat_ws("/", "matched", "n_returned")).alias("outcomes"))
+    return g.where("failures > 0")
+
+
+_ROUND = "SELECT mode, case_id % 5 AS round, round(avg(latency_ms), 6) AS mean_ms, min(latency_ms) AS min_ms, max(latency_ms) AS max_ms, sum(latency_ms) AS total FROM case_modes GROUP BY 1, 2"
+
+
+@query(using("case_modes") + f"SELECT * EXCLUDE (total) FROM ({_ROUND})")
 def a35_runtime_telemetry(spark: SparkSession, d: str) -> DataFrame:
     return v.case_modes(spark, d).groupBy("mode", (F.col("case_id") % 5).alias("round")).agg(F.round(F.avg("latency_ms"), 6).alias("mean_ms"), F.min("latency_ms").alias("min_ms"), F.max("latency_ms").alias("max_ms"))
 
 
-@query(using("candidates") + "SELECT recall_id AS case_id, mode FROM (SELECT DISTINCT recall_id FROM candidates), (SELECT unnest(['KEYWORD_ONLY', 'VECTOR_ONLY', 'VECTOR_RERANK', 'HYBRID', 'HYBRID_RERANK']) AS mode)")
+@query(using("case_modes") + f"SELECT mode, count(*) AS rounds, round(avg(total), 4)::DOUBLE AS mean_ms, min(total)::BIGINT AS min_ms, max(total)::BIGINT AS max_ms FROM ({_ROUND}) GROUP BY 1")
+def a35_run_telemetry(spark: SparkSession, d: str) -> DataFrame:
+    """Elapsed time of whole rounds."""
+    r = v.case_modes(spark, d).groupBy("mode", (F.col("case_id") % 5).alias("round")).agg(F.sum("latency_ms").alias("total"))
+    return r.groupBy("mode").agg(F.count("*").alias("rounds"), F.round(F.avg("total"), 4).alias("mean_ms"), F.min("total").alias("min_ms"), F.max("total").alias("max_ms"))
+
+
+# Retrieval and answer modes that an ablation runs.
+RECALL_MODES = ["KEYWORD_ONLY", "VECTOR_ONLY", "VECTOR_RERANK", "VECTOR_CROSS_ENCODER", "HYBRID", "HYBRID_RERANK", "HYBRID_CROSS_ENCODER"]
+ANSWER_MODES = ["NO_MEMORY", "MEMORY", "RECOVERED", "RERANKED"]
+
+
+@query(using("case_results", "candidates") + f"""SELECT g.case_id, g.kind, g.mode, coalesce(r.n, 0) AS returned FROM (SELECT recall_id AS case_id, kind, mode FROM (SELECT DISTINCT recall_id FROM candidates), (SELECT unnest({RECALL_MODES}) AS mode, 'recall' AS kind UNION ALL SELECT unnest({ANSWER_MODES}), 'answer')) g
+  LEFT JOIN (SELECT case_id, mode, count(*) AS n FROM case_results WHERE rank <= 5 GROUP BY 1, 2) r ON r.case_id = g.case_id AND r.mode = g.mode""")
 def a36_ablation_grid(spark: SparkSession, d: str) -> DataFrame:
-    return v.candidates(spark, d).select(F.col("recall_id").alias("case_id")).distinct().select("case_id", F.explode(F.array(*map(F.lit, v.MODES))).alias("mode"))
+    """Every case under seven recall and four answer modes, with what the mode returned among the first 5."""
+    modes = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(m).alias("mode")) for k, ms in (("recall", RECALL_MODES), ("answer", ANSWER_MODES)) for m in ms))).alias("m")
+    g = v.candidates(spark, d).select(F.col("recall_id").alias("case_id")).distinct().select("case_id", modes).select("case_id", "m.kind", "m.mode")
+    n = v.case_results(spark, d).where("rank <= 5").groupBy("case_id", "mode").agg(F.count("*").alias("returned"))
+    return g.join(n, ["case_id", "mode"], "left").select("case_id", "kind", "mode", F.coalesce("returned", F.lit(0)).alias("returned"))
 
 
 _SESS = """, sess AS (SELECT recall_id, concat('s', recall_id % 4) AS scenario, coalesce(sum(1 / log2(a + 1)) FILTER (relevant), 0) / s.i AS active, coalesce(sum(1 / log2(b + 1)) FILTER (relevant), 0) / s.i AS shadow, 1 - count(*) FILTER (relevant AND a > 5) / count(*) AS utility FROM (
@@ -226,11 +307,17 @@ def a11_precision_coverage(spark: SparkSession, d: str) -> DataFrame:
     return _metrics(spark, d).select("case_id", "mode", F.round(F.col("matched") / F.least(F.lit(5), "n_returned"), 6).alias("selection_precision"), F.round(scalar.ratio(F.col("matched"), F.col("n_expected")), 6).alias("coverage"))
 
 
-@query(_CM + "SELECT case_id, mode, round(least(1, greatest(0, 0.15::DOUBLE * (NOT failed)::INT + 0.15::DOUBLE * (1 - (case_id % 10) / 10) + 0.25::DOUBLE * ndcg + 0.1::DOUBLE * recall + 0.1::DOUBLE * recall_hit::INT + 0.15::DOUBLE * precision + 0.1::DOUBLE * recall)), 6) AS reward FROM m")
+@query(_CM + """SELECT case_id, mode, round(least(1, greatest(0, 0.15::DOUBLE * (NOT failed)::INT + 0.15::DOUBLE * (1 - (case_id % 10) / 10) + 0.25::DOUBLE * ndcg + 0.1::DOUBLE * (1 - least(1, (n_expected - matched) / n_returned)) + 0.1::DOUBLE * (matched / n_returned)
+  + 0.15::DOUBLE * (matched / least(5, n_returned)) + 0.1::DOUBLE * recall)), 6) AS reward FROM m""")
 def a12_reward(spark: SparkSession, d: str) -> DataFrame:
-    c, one = F.col, lambda x: F.col(x).cast("double")
-    r = 0.15 * (1 - one("failed")) + 0.15 * (1 - (c("case_id") % 10) / 10) + 0.25 * c("ndcg") + 0.1 * c("recall") + 0.1 * one("recall_hit") + 0.15 * c("precision") + 0.1 * c("recall")
-    return _metrics(spark, d).select("case_id", "mode", F.round(scalar.clamp(r, 0.0, 1.0), 6).alias("reward"))
+    """Answer, regret, gain, eviction utility, grounding, precision and coverage in one score."""
+    c = F.col
+    terms = {
+        0.15: [F.when(c("failed"), 0.0).otherwise(1.0), 1 - (c("case_id") % 10) / 10, c("matched") / F.least(F.lit(5), "n_returned")], 0.25: [c("ndcg")],
+        0.10: [1 - F.least(F.lit(1.0), (c("n_expected") - c("matched")) / c("n_returned")), c("matched") / c("n_returned"), c("recall")],
+    }
+    total = sum((w * t for w, ts in terms.items() for t in ts), F.lit(0.0))
+    return _metrics(spark, d).select("case_id", "mode", F.round(scalar.clamp(total, 0.0, 1.0), 6).alias("reward"))
 
 
 @query(_SE + "SELECT scenario, max(recall_id) FILTER (shadow >= active * 1.05) AS last_win, count(*) FILTER (recall_id > coalesce(l, -1)) AS streak FROM sess JOIN (SELECT scenario, max(recall_id) FILTER (shadow < active * 1.05) AS l FROM sess GROUP BY 1) USING (scenario) GROUP BY 1")
