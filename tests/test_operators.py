@@ -432,3 +432,53 @@ def test_pool_redundancy(spark):
     rows = [(1, "a", [1.0, 0.0]), (1, "b", [1.0, 0.0]), (1, "c", [0.0, 1.0]), (2, "a", [1.0, 0.0]), (3, "a", None), (3, "b", [1.0, 0.0])]
     out = {(r.q, r.id): (round(r.penalty, 6), round(r.novelty, 6)) for r in recall.pool_redundancy(spark.createDataFrame(rows, "q int, id string, v array<float>"), "q", "id", "v").collect()}
     assert out == {(1, "a"): (0.05, 0.0), (1, "b"): (0.05, 0.0), (1, "c"): (0.0, 0.15), (2, "a"): (0.0, 0.0), (3, "a"): (0.0, 0.15), (3, "b"): (0.0, 0.15)}
+
+
+def test_tier_store(spark, tmp_path):
+    from tidemark.sources.tiers import TierStore
+
+    s = TierStore(spark, str(tmp_path / "hot"), "id string, namespace string, token_count bigint")
+    row = lambda *r: spark.createDataFrame(list(r), "id string, namespace string, token_count bigint")
+    assert s.all().count() == 0
+    s.put(row(("a", "n", 1), ("b", "n", 2), ("c", "m", 3)))
+    s.put(row(("a", "n", 5)))
+    s.delete(row(("c", "m", 0)))
+    assert sorted(map(tuple, s.all().collect())) == [("a", "n", 5), ("b", "n", 2)]
+    assert s.get(row(("b", "", 0), ("z", "", 0))).count() == 1 and s.scan("n").count() == 2 and s.usage().first().tokens == 7
+    t = s.compact(str(tmp_path / "new"))
+    s.clear("n")
+    assert s.all().count() == 0 and t.all().count() == 2
+
+
+def test_payload_formats(spark):
+    from tidemark.sources import payloads
+
+    assert payloads.sniff(b'{"a":1}') == ("json", '{"a":1}') and payloads.sniff(b"\x1f\x8bxx") == payloads.sniff(b"\x00\xff") == payloads.sniff(None) == ("unknown", None)
+    df = spark.createDataFrame([(1, '{"a":1}'), (2, None)], "i int, body string")
+    back = {r.i: (r.format, r.body) for r in payloads.unpacked(payloads.packed(df)).collect()}
+    assert back == {1: ("gzip", '{"a":1}'), 2: ("unknown", None)}
+
+
+def test_ingest_stages(spark):
+    from tidemark.operators import ingest
+
+    rows = [("a", " N ", "One two.\n\nThree."), ("a", " N ", "One two.\n\nThree."), ("b", " ", "x"), ("c", "n", " \n"), ("d", "n", None), (None, "n", "x")]
+    done = ingest.staged(spark.createDataFrame(rows, "request_id string, namespace string, content string"), 512, models.hash_embedder(8)("piece"))
+    got = {r.request_id: (r.status, r.stage, r.reason) for r in done.collect()}
+    assert got == {"a": ("COMPLETED", "warm", None), "b": ("FAILED", "validate", "no namespace"), "c": ("FAILED", "validate", "no content"), "d": ("FAILED", "validate", "no content")}
+    f = ingest.fragments(done).collect()
+    assert [(r.namespace, r.place, r.content, len(r.embedding)) for r in sorted(f, key=lambda r: r.place)] == [("n", 0, "One two.", 8), ("n", 1, "Three.", 8)]
+
+
+def test_fallback_embedding(spark):
+    df = spark.createDataFrame([(i, "x" * i) for i in range(1, 9)], "i int, t string")
+    out = {r.i: r.source for r in models.with_fallback(df, "t", models.failing_on_length(4, 16), lambda: models.hash_embedding_of(16), 16).collect()}
+    assert out == {i: "fallback" if i % 4 == 0 else "primary" for i in range(1, 9)}
+    seen = []
+    models.for_retrieval(lambda: lambda texts: seen.extend(texts), "q: ", 3)()(["a b c d"])
+    assert seen == ["q: a b"]
+
+
+def test_failed_attempts_come_back(spark):
+    out = stores.retries(spark.createDataFrame([(1,), (2,)], "id int"), "id", lambda n: (F.col("id") == 1) & (n == 3)).collect()
+    assert sorted((r.id, r.attempt, r.outcome) for r in out) == [(1, 1, "retried"), (1, 2, "retried"), (1, 3, "recovered"), *[(2, i, "retried") for i in range(1, 5)], (2, 5, "discarded")]

@@ -10,8 +10,6 @@ from tidemark.functions.names import clean_name
 from tidemark.operators import evaluate, eviction, graph, log, ordering, recall, stores
 
 VECTOR_ONLY, KEYWORD_ONLY, HYBRID = "VECTOR_ONLY", "KEYWORD_ONLY", "HYBRID"
-#: Query sets up to this many rows are broadcast; larger ones are joined by namespace.
-BROADCAST_QUERIES = 10_000
 
 
 def search_limit(k: int) -> int:
@@ -45,15 +43,13 @@ class Engine:
     def candidates(self, queries: DataFrame, k: int, mode: str) -> DataFrame:
         """Pool of every query: vector hits and keyword hits, each cut to the search limit before any tag filter."""
         q = queries.withColumn("namespace", clean_name(F.col("namespace")))
-        few = q.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-        small = F.broadcast(q) if few else q
         f = self.fragments.withColumn("namespace", clean_name(F.col("namespace")))
         best = Window.partitionBy("query_id")
         pool = None
         if mode != KEYWORD_ONLY:
-            hits = f.where("embedding is not null").select("id", "namespace", "embedding").join(small.select("query_id", "namespace", F.col("embedding").alias("_q")), "namespace")
-            hits = hits.select("query_id", "id", scalar.cosine(F.col("embedding"), F.col("_q")).alias("cosine"))
-            pool = hits.withColumn("_r", F.row_number().over(best.orderBy(F.col("cosine").desc(), "id"))).where(F.col("_r") <= search_limit(k)).drop("_r")
+            asks = q.where("embedding is not null").select(F.col("query_id").alias("id"), "namespace", "embedding")
+            hits = recall.vector_search(f.where("embedding is not null"), asks, search_limit(k))
+            pool = hits.select("query_id", "id", F.col("score").alias("cosine"))
         if mode != VECTOR_ONLY:
             docs = f.select("id", "namespace", recall.document_tokens(F.col("content"), F.coalesce("tags", F.array().cast("array<string>"))).alias("tokens"))
             words = recall.keyword_scores(docs, q.select("query_id", "namespace", text.keywords(F.col("text")).alias("tokens"))).select("query_id", "id", F.col("score").alias("keyword"))

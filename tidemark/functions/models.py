@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 
 def hash_embedding(text: str | None, width: int = 512) -> np.ndarray:
@@ -45,6 +46,63 @@ def hash_embedder(width: int = 512):
     return embedding_udf(lambda: lambda texts: np.stack([hash_embedding(t, width) for t in texts]) if texts else np.empty((0, width)), width)
 
 
+def hash_embedding_of(width: int):
+    return lambda texts: np.stack([hash_embedding(t, width) for t in texts])
+
+
+def failing_on_length(n: int, width: int):
+    """Stand-in for a remote model: it fails on texts whose length ``n`` divides."""
+
+    def factory():
+        def model(texts: list[str]) -> np.ndarray:
+            if any(len(t) % n == 0 for t in texts):
+                raise ConnectionError("no answer")
+            return np.stack([hash_embedding(t, width) for t in texts])
+
+        return model
+
+    return factory
+
+
+def for_retrieval(factory, prefix: str = "Represent this sentence for searching relevant passages: ", words: int = 512):
+    """A model for questions: every text gets the prefix, and is cut to the model's window of ``words``."""
+
+    def make():
+        model = factory()
+        return lambda texts: model([" ".join((prefix + t).split()[:words]) for t in texts])
+
+    return make
+
+
+def with_fallback(df: DataFrame, text: str, primary: Callable[[], Callable[[list[str]], np.ndarray]], backup: Callable[[], Callable[[list[str]], np.ndarray]], width: int, batch: int = 32) -> DataFrame:
+    """Adds ``embedding`` and its ``source``: ``primary``, or ``fallback`` for texts that the first model fails on.
+
+    A failing batch is tried text by text, so that one text doesn't take others with it.
+    """
+    schema = StructType([*df.schema.fields, StructField("embedding", ArrayType(FloatType())), StructField("source", StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, spare = primary(), backup()
+
+        def one(texts: list[str]) -> list[tuple[np.ndarray, str]]:
+            try:
+                v = np.asarray(model(texts), np.float32)
+            except Exception:
+                if len(texts) > 1:
+                    return [x for t in texts for x in one([t])]
+                return [(np.asarray(spare(texts), np.float32)[0], "fallback")]
+            if v.shape != (len(texts), width):
+                raise ValueError(f"expected vectors of width {width}, got {v.shape}")
+            return [(x, "primary") for x in v]
+
+        for b in batches:
+            texts = [t or "" for t in b[text]]
+            out = [x for lo in range(0, len(texts), batch) for x in one(texts[lo : lo + batch])]
+            yield b.assign(embedding=[x.tolist() for x, _ in out], source=[s for _, s in out])
+
+    return df.mapInPandas(run, schema)
+
+
 def pair_scores(df: DataFrame, query: str, document: str, factory: Callable[[], Callable[[list[str], list[str]], list[float]]], batch: int = 16) -> DataFrame:
     """Adds ``pair_score``, computed in batches; a score that isn't finite fails the query."""
 

@@ -58,6 +58,12 @@ def normalized(s: Column, top: Column) -> Column:
     return F.when(s <= 0, 0.0).when(top <= 0, s).otherwise(F.least(F.lit(1.0), s / top))
 
 
+def protection(hits: Column, last_ms: Column, now_ms: Column) -> Column:
+    """Freshness of the last regret within a day, times a share of three hits."""
+    fresh = 1 - F.least(F.lit(1.0), (now_ms - last_ms) / float(DAY_MS))
+    return fresh * F.greatest(F.lit(0.34), F.least(F.lit(1.0), hits / 3))
+
+
 def page_distance(nodes: Column, current: Column) -> Column:
     """Distance of a page to the current node: 0 if the page holds it, .3 if it holds one with the same first 8 characters, else 1."""
     near = F.exists(nodes, lambda n: (F.length(n) > 8) & (F.length(current) > 8) & (F.substring(n, 1, 8) == F.substring(current, 1, 8)))

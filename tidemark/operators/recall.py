@@ -162,16 +162,13 @@ def _in_blocks(df: DataFrame, group: str, block: int, work, schema: str, *extra:
     rows = rows.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_b")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
     rows = rows.select("id", "embedding", *extra, F.col(group).alias("_g"), F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        for _, g in pd.concat(got).groupby(["_g", "_lo", "_hi"], sort=False):
-            x = np.stack(g["embedding"].to_numpy()).astype(np.float64)
-            norm = np.sqrt((x * x).sum(1))
-            yield work(g, x / np.where(norm > 0, norm, 1)[:, None])
-
-    return rows.repartition("_g", "_lo", "_hi").mapInPandas(run, schema)
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(g["embedding"].to_numpy()).astype(np.float64)
+        norm = np.sqrt((x * x).sum(1))
+        return work(g, x / np.where(norm > 0, norm, 1)[:, None])
+
+    # a task takes one pair of blocks after the other
+    return rows.groupBy("_g", "_lo", "_hi").applyInPandas(run, schema)
 
 
 def nearest_peer(df: DataFrame, group: str = "namespace", block: int = 4096, fresh: str | None = None) -> DataFrame:

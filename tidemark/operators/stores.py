@@ -50,6 +50,35 @@ def newest(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def checkpoint_listing(meta: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Metadata rows, with a bare row for every payload (``task_id, checkpoint_id``) that has none."""
+    bare = payloads.join(meta, ["task_id", "checkpoint_id"], "left_anti")
+    return meta.unionByName(bare, allowMissingColumns=True)
+
+
+def warm_rows(df: DataFrame) -> DataFrame:
+    """Rows for the vector store with ``vector``: ``l2_embedding``, else ``embedding``; rows with neither drop out."""
+    return df.withColumn("vector", F.coalesce("l2_embedding", "embedding")).where("vector is not null")
+
+
+def search_limits(k: Column) -> dict[str, Column]:
+    """Sizes of the vector search, its fallback, the keyword pool and the keyword hits for a recall of ``k``."""
+    vector = F.greatest(F.lit(16), 4 * k)
+    return {"vector_limit": vector, "fallback_limit": F.greatest(vector, 8 * k), "keyword_pool": F.greatest(F.lit(32), 8 * k, F.lit(256)), "keyword_hits": vector}
+
+
+def retries(queue: DataFrame, key: str, succeeds, most: int = 5) -> DataFrame:
+    """Every attempt of the entries of a queue: a failed one comes back with one attempt more, up to ``most``.
+
+    ``succeeds`` makes a condition of the attempt. Adds ``attempt`` and ``outcome``
+    (``recovered``, ``retried``, ``discarded``).
+    """
+    tries = queue.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(most)))).withColumn("_ok", succeeds(F.col("attempt")))
+    first = F.min(F.when(F.col("_ok"), F.col("attempt"))).over(Window.partitionBy(key))
+    tries = tries.withColumn("_first", F.coalesce(first, F.lit(most))).where(F.col("attempt") <= F.col("_first"))
+    return tries.withColumn("outcome", F.when(F.col("_ok"), "recovered").when(F.col("attempt") == most, "discarded").otherwise("retried")).drop("_ok", "_first")
+
+
 def log_lines(lines: DataFrame, schema: str) -> DataFrame:
     """Parsed JSON lines of ``task_id, line_no, line``; blank lines are skipped.
 

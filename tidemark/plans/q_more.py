@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import scalar
+from tidemark.functions import models, scalar
 from tidemark.operators import evaluate, graph, health, learning
 from tidemark.plans import q_evaluate, q_tasks
 from tidemark.plans import views as v
 from tidemark.plans.registry import query
 from tidemark.plans.sqlviews import using
-from tidemark.sources import readers, writers
-from tidemark.storage import shared_dir
+from tidemark.sources import payloads, readers, writers
+from tidemark.sources.tiers import TierStore
+from tidemark.storage import temporary
 
 
-def _path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+_path = temporary
 
 
 @query(using("vec") + "SELECT id, len(embedding) AS width FROM vec WHERE id IN (SELECT fragment_id FROM recall_candidates WHERE tier = 'L3')")
@@ -144,3 +142,36 @@ def h10_alert_rules(spark: SparkSession, d: str) -> DataFrame:
 def h7b_report_verifier(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     return evaluate.rules(q_evaluate._stats(spark, d), {"gate": c("recall") >= 0.5, "shape": c("errors").isNotNull(), "ndcg": c("ndcg") + 1e-9 >= 0.4})
+
+
+@query(using("checkpoints") + "SELECT CASE WHEN checkpoint_id % 11 = 0 THEN 'unknown' WHEN checkpoint_id % 4 = 0 THEN 'json' ELSE 'gzip' END AS format, CASE WHEN checkpoint_id % 11 <> 0 THEN kind END AS body_kind, count(*) AS n, round(sum(CASE WHEN checkpoint_id % 11 <> 0 THEN size END), 2) AS size, count(CASE WHEN checkpoint_id % 11 <> 0 THEN base_id END) AS bases FROM checkpoints GROUP BY 1, 2")
+def s17_checkpoint_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Full and delta payloads written as bytes, most of them packed, and read back by their format."""
+    path = _path(spark, "payloads")
+    c = v.checkpoints(spark, d).withColumn("body", F.to_json(F.struct("kind", "size", "base_id")))
+    packed = payloads.packed(c.select("task_id", "checkpoint_id", "body"))
+    plain = c.select("checkpoint_id", "body")
+    rows = packed.join(plain, "checkpoint_id").select("task_id", "checkpoint_id", F.when(F.col("checkpoint_id") % 11 == 0, F.encode(F.lit("?"), "utf-8")).when(F.col("checkpoint_id") % 4 == 0, F.encode("body", "utf-8")).otherwise(F.col("payload")).alias("payload"))
+    rows.write.parquet(path)
+    body = F.from_json("body", "kind string, size double, base_id bigint")
+    back = payloads.unpacked(spark.read.parquet(path)).withColumn("b", body)
+    return back.groupBy("format", F.col("b.kind").alias("body_kind")).agg(F.count("*").alias("n"), F.round(F.sum("b.size"), 2).alias("size"), F.count("b.base_id").alias("bases"))
+
+
+@query("""SELECT namespace, count(*) AS n, CAST(sum(token_count) AS BIGINT) AS tokens FROM (SELECT o_custkey % 50 AS namespace, o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 2 ELSE 1 END AS token_count FROM orders WHERE o_orderkey % 10 <> 0) GROUP BY 1""")
+def e5_tier_store(spark: SparkSession, d: str) -> DataFrame:
+    """A tier store: rows put, some replaced, some deleted, then its usage."""
+    store = TierStore(spark, _path(spark, "tier"), "id bigint, namespace bigint, token_count bigint")
+    o = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("namespace"), F.lit(1).cast("bigint").alias("token_count"))
+    store.put(o)
+    store.put(o.where("id % 6 = 0").withColumn("token_count", F.lit(2).cast("bigint")))
+    store.delete(o.where("id % 10 = 0"))
+    return store.usage()
+
+
+@query(using("fragments") + "SELECT id, CASE WHEN length(content) % 7 = 0 THEN 'fallback' ELSE 'primary' END AS source, 64 AS width FROM fragments")
+def f_cloud_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of a remote model, and of the local one for the texts that the remote one fails on."""
+    f = v.fragments(spark, d).select("id", "content")
+    out = models.with_fallback(f, "content", models.failing_on_length(7, 64), lambda: models.hash_embedding_of(64), 64)
+    return out.select("id", "source", F.size("embedding").alias("width"))

@@ -22,13 +22,17 @@ def j1_tier_lookup(spark: SparkSession, d: str) -> DataFrame:
     return stores.resolve_tiers(c.select("id").distinct(), tiers)
 
 
-@query(using("candidates", "fragments") + """SELECT candidate_id, coalesce(f.tier, c.tier) AS tier, CASE WHEN f.id IS NOT NULL THEN 'resolved' WHEN c.tier <> 'L3' THEN 'candidate' ELSE 'rejected' END AS origin
-  FROM candidates c LEFT JOIN fragments f ON f.id = c.fragment_id AND f.namespace = c.namespace""")
+@query(using("candidates", "fragments", "vec") + """SELECT candidate_id, CASE WHEN f.id IS NOT NULL AND f.tagged THEN 'resolved' WHEN c.tier <> 'L3' AND candidate_id % 3 <> 0 THEN 'candidate' WHEN w.id IS NOT NULL AND w.tagged THEN 'warm_copy' ELSE 'rejected' END AS origin
+  FROM candidates c LEFT JOIN (SELECT id, namespace, len(list_filter(raw_tags, lambda t: starts_with(t, 'kind:'))) > 0 AS tagged FROM fragments) f ON f.id = c.fragment_id AND f.namespace = c.namespace
+  LEFT JOIN (SELECT v.id, coalesce(contains(w.tags, 'kind:'), false) AS tagged FROM vec v JOIN (SELECT fragment_id, max(tags) AS tags FROM warm_vectors GROUP BY 1) w ON w.fragment_id = v.id) w ON w.id = c.fragment_id""")
 def j2_enrich_cascade(spark: SparkSession, d: str) -> DataFrame:
-    f = v.fragments(spark, d).select(F.col("id").alias("fragment_id"), "namespace", F.col("tier").alias("own_tier"))
-    c = v.candidates(spark, d).join(f, ["fragment_id", "namespace"], "left")
-    origin = F.when(F.col("own_tier").isNotNull(), "resolved").when(F.col("tier") != "L3", "candidate").otherwise("rejected")
-    return c.select("candidate_id", F.coalesce("own_tier", "tier").alias("tier"), origin.alias("origin"))
+    """Where the enriched row of a candidate comes from, its tags checked at every step: the fragment, the candidate itself, the warm copy."""
+    f = v.fragments(spark, d).select(F.col("id").alias("fragment_id"), "namespace", F.exists("tags", lambda t: t.startswith("kind:")).alias("resolved"))
+    w = v.table(spark, d, "warm_vectors").groupBy("fragment_id").agg(F.max("tags").alias("t")).join(v.embeddings(spark, d).select(F.col("id").alias("fragment_id")), "fragment_id")
+    w = w.select("fragment_id", F.coalesce(F.col("t").contains("kind:"), F.lit(False)).alias("warm"))
+    c = v.candidates(spark, d).join(f, ["fragment_id", "namespace"], "left").join(w, "fragment_id", "left")
+    origin = F.when(F.col("resolved"), "resolved").when((F.col("tier") != "L3") & (F.col("candidate_id") % 3 != 0), "candidate").when(F.col("warm"), "warm_copy").otherwise("rejected")
+    return c.select("candidate_id", origin.alias("origin"))
 
 
 @query(using("pool") + """SELECT recall_id, fragment_id, coalesce(s.semantic, 0) AS semantic, coalesce(k.keyword, 0) AS keyword
@@ -120,6 +124,16 @@ def j15_include_exclude(spark: SparkSession, d: str) -> DataFrame:
     return out.join(inc, "n", "left_semi").join(exc, "b", "left_anti").select("p_partkey", "p_name")
 
 
+@query("""WITH n AS (SELECT lower(p_name) AS name, p_size, p_partkey FROM part), inc AS (SELECT DISTINCT name FROM n WHERE p_size = 7 UNION SELECT 'no such part'), exc AS (SELECT DISTINCT name FROM n WHERE p_size = 11 OR p_size = 7 AND p_partkey % 5 = 0)
+SELECT 'overlap' AS error, name FROM inc WHERE name IN (SELECT name FROM exc) UNION ALL SELECT 'missing', name FROM inc WHERE name NOT IN (SELECT name FROM n)""")
+def j15_list_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Names that two lists can't be used with: on both of them, or in no row."""
+    n = v.table(spark, d, "part").withColumn("name", F.lower("p_name"))
+    inc = n.where("p_size = 7").select("name").unionByName(spark.createDataFrame([("no such part",)], "name string")).distinct()
+    exc = n.where("p_size = 11 or p_size = 7 and p_partkey % 5 = 0").select("name")
+    return inc.join(exc, "name", "left_semi").select(F.lit("overlap").alias("error"), "name").unionByName(inc.join(n, "name", "left_anti").select(F.lit("missing").alias("error"), "name"))
+
+
 @query(using("ev") + """, s AS (SELECT *, max(CASE WHEN event_type = 'view' THEN (ts_ms, event_id) END) OVER (PARTITION BY user_id ORDER BY ts_ms, event_id ROWS UNBOUNDED PRECEDING) AS own FROM ev WHERE event_type IN ('view', 'purchase'))
 SELECT own[2] AS session_id, min_by(event_id, (ts_ms, event_id)) AS feedback_id FROM s WHERE event_type = 'purchase' AND own IS NOT NULL AND ts_ms - own[1] <= 1800000 GROUP BY 1""")
 def j17_feedback_join(spark: SparkSession, d: str) -> DataFrame:

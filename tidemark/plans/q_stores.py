@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar, text
 from tidemark.functions.names import clean_name
-from tidemark.operators import recall, stores
+from tidemark.operators import ordering, recall, stores
 from tidemark.plans import views as v
 from tidemark.plans.registry import query
 from tidemark.plans.sqlviews import ASKS, NOW, using
@@ -66,10 +66,13 @@ def s6_namespace_listing(spark: SparkSession, d: str) -> DataFrame:
     return v.fragments(spark, d).select("namespace", "id", F.row_number().over(w).cast("bigint").alias("rank")).where("rank <= 3")
 
 
-@query(using("checkpoints") + "SELECT task_id, checkpoint_id, kind, row_number() OVER (PARTITION BY task_id ORDER BY created_ms DESC NULLS LAST, checkpoint_id) AS place FROM checkpoints")
+@query(using("checkpoints") + "SELECT task_id, checkpoint_id, kind, row_number() OVER (PARTITION BY task_id ORDER BY created_ms NULLS LAST, checkpoint_id) AS place FROM (SELECT task_id, checkpoint_id, CASE WHEN checkpoint_id % 9 <> 0 THEN kind END AS kind, CASE WHEN checkpoint_id % 9 <> 0 THEN created_ms END AS created_ms FROM checkpoints)")
 def s9_checkpoint_listing(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("task_id").orderBy(F.col("created_ms").desc_nulls_last(), "checkpoint_id")
-    return v.checkpoints(spark, d).select("task_id", "checkpoint_id", "kind", F.row_number().over(w).cast("bigint").alias("place"))
+    """Checkpoints by time; a payload without metadata is listed bare, after the others."""
+    c = v.checkpoints(spark, d)
+    listed = stores.checkpoint_listing(c.where("checkpoint_id % 9 <> 0").select("task_id", "checkpoint_id", "kind", "created_ms"), c.select("task_id", "checkpoint_id"))
+    w = Window.partitionBy("task_id").orderBy(F.col("created_ms").asc_nulls_last(), "checkpoint_id")
+    return listed.select("task_id", "checkpoint_id", "kind", F.row_number().over(w).cast("bigint").alias("place"))
 
 
 @query(using("checkpoints") + "SELECT DISTINCT split_part(concat('checkpoints/', task_id, '/', checkpoint_id, '.meta'), '/', 2) AS task FROM checkpoints")
@@ -95,15 +98,14 @@ def s14_alias_coalesce(spark: SparkSession, d: str) -> DataFrame:
     return f.select(F.col("fragment_id").alias("own_id"), F.coalesce(F.nullif(F.trim("namespace"), F.lit("")), "reasoning_chain_id", "fragment_id").alias("owner"), (F.coalesce("content", F.lit("")) == "").alias("empty"))
 
 
-@query(using("pages") + "SELECT page_id, 'EVICTED' AS state, count(*) AS members, row_number() OVER (ORDER BY page_id) AS next_sequence FROM pages GROUP BY 1")
+@query(using("fragments") + """SELECT page_id, 'EVICTED' AS state, count(*) AS members, row_number() OVER (ORDER BY page_id) AS next_sequence FROM (
+  SELECT DISTINCT concat(lower(trim(namespace, ' ')), '-', substr(fragment_id, 1, 1)) AS page_id, fragment_id FROM recall_candidates WHERE fragment_id IS NOT NULL AND trim(coalesce(namespace, ''), ' ') <> '') WHERE fragment_id IN (SELECT id FROM fragments) GROUP BY 1""")
 def s16_page_table_load(spark: SparkSession, d: str) -> DataFrame:
-    p = v.pages(spark, d).groupBy("page_id").agg(F.count("*").alias("members"))
-    # ranges keep the numbering distributed: counts before each range, then a number within it
-    ranged = p.repartitionByRange("page_id").withColumn("part", F.spark_partition_id())
-    before = ranged.groupBy("part").count().withColumn("before", F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    own = F.row_number().over(Window.partitionBy("part").orderBy("page_id"))
-    out = ranged.withColumn("own", own).join(F.broadcast(before), "part")
-    return out.select("page_id", F.lit("EVICTED").alias("state"), "members", (F.col("own") + F.coalesce("before", F.lit(0))).cast("bigint").alias("next_sequence"))
+    """Pages of a snapshot: references to fragments that are gone are dropped, every page starts evicted."""
+    c = v.table(spark, d, "recall_candidates").select(clean_name(F.col("namespace")).alias("namespace"), F.col("fragment_id").alias("id")).where("namespace is not null and id is not null")
+    refs = c.select(F.concat_ws("-", "namespace", F.substring("id", 1, 1)).alias("page_id"), "id").distinct().join(v.fragments(spark, d).select("id"), "id", "left_semi")
+    p = refs.groupBy("page_id").agg(F.count("*").alias("members")).withColumn("all", F.lit(0))
+    return ordering.numbered(p, "all", ["page_id"], rank="next_sequence").select("page_id", F.lit("EVICTED").alias("state"), "members", "next_sequence")
 
 
 @query("SELECT fragment_id AS id, max(last_access_time) AS last_access_ms, max_by(token_count, (last_access_time, epoch_us(ingested_at), coalesce(token_count, -999999))) AS token_count FROM memory_fragments WHERE fragment_id IS NOT NULL GROUP BY 1")
@@ -113,9 +115,12 @@ def k1_upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy(F.col("fragment_id").alias("id")).agg(F.max("last_access_time").alias("last_access_ms"), best.alias("token_count"))
 
 
-@query("SELECT DISTINCT fragment_id AS id FROM warm_vectors WHERE embedding IS NOT NULL AND fragment_id IS NOT NULL")
+@query(using("vec") + "SELECT id, len(embedding) AS width, round(CASE WHEN id < '8' THEN 2 * embedding[1]::DOUBLE ELSE embedding[1]::DOUBLE END, 6) AS first FROM vec")
 def k2_vector_upsert(spark: SparkSession, d: str) -> DataFrame:
-    return v.table(spark, d, "warm_vectors").where("embedding is not null and fragment_id is not null").select(F.col("fragment_id").alias("id")).distinct()
+    """Vectors that go to the warm store: the second model's where there is one, else the first's."""
+    e = v.embeddings(spark, d).withColumn("l2_embedding", F.when(F.col("id") < "8", F.transform("embedding", lambda x: x * 2)))
+    u = stores.warm_rows(e)
+    return u.select("id", F.size("vector").cast("bigint").alias("width"), F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
 
 
 @query(using("fragments") + "SELECT id, namespace FROM fragments WHERE id NOT IN (SELECT fragment_id FROM recall_candidates WHERE fragment_id IS NOT NULL AND candidate_id % 10 = 0)")
@@ -231,3 +236,10 @@ def pred12_branch_membership(spark: SparkSession, d: str) -> DataFrame:
 def pred11_active_tasks(spark: SparkSession, d: str) -> DataFrame:
     o = v.table(spark, d, "orders")
     return o.where(~F.col("o_orderstatus").isin("F") & (F.col("o_orderpriority") != "5-LOW")).select(F.col("o_orderkey").alias("task_id"))
+
+
+@query("SELECT k, greatest(16, 4 * k) AS vector_limit, greatest(16, 4 * k, 8 * k) AS fallback_limit, greatest(32, 8 * k, 256) AS keyword_pool, greatest(16, 4 * k) AS keyword_hits FROM range(1, 101) t(k)")
+def t7_search_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Bounds of the candidate pools of a recall of ``k``."""
+    k = spark.range(1, 101).withColumnRenamed("id", "k")
+    return k.select("k", *(c.alias(n) for n, c in stores.search_limits(F.col("k")).items()))

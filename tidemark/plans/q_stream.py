@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import text
-from tidemark.operators import log
+from tidemark.functions import models
+from tidemark.operators import ingest, log
+from tidemark.operators.stores import retries
 from tidemark.plans import q_tasks
 from tidemark.plans import views as v
+from tidemark.plans.q_text import _PARTS
 from tidemark.plans.registry import ORACLE, query
 from tidemark.plans.sqlviews import using
 from tidemark.streaming import operators as ops
@@ -66,24 +68,39 @@ def x7_checkpoint_trigger_stream(spark: SparkSession, d: str) -> DataFrame:
     return finished(ops.triggers(sliced(w, "seq")))
 
 
-def _ingest(batch: DataFrame) -> DataFrame:
-    ok = batch.where("content is not null and namespace is not null").dropDuplicates(["request_id"])
-    piece = F.posexplode(text.split_text(F.concat_ws("\n\n", text.summary("content"), F.col("content")), 128)).alias("place", "piece")
-    return ok.select("request_id", "namespace", piece).withColumn("key", F.concat_ws(":", "namespace", "request_id", "place"))
+_PIPE = _PARTS + " AS parts, trim(coalesce(namespace, ''), ' ') = '' AS lost FROM store_requests WHERE request_id IS NOT NULL"
+_STATUS = f"""SELECT request_id, any_value(CASE WHEN lost THEN 'FAILED' WHEN len(coalesce(parts, [])) = 0 THEN 'FAILED' ELSE 'COMPLETED' END) AS status, any_value(CASE WHEN lost OR len(coalesce(parts, [])) = 0 THEN 'validate' ELSE 'warm' END) AS stage,
+  any_value(CASE WHEN lost THEN 'no namespace' WHEN len(coalesce(parts, [])) = 0 THEN 'no content' END) AS reason, any_value(CASE WHEN lost THEN 0 ELSE len(coalesce(parts, [])) END)::BIGINT AS pieces FROM (SELECT request_id, {_PIPE}) GROUP BY 1"""
 
 
-@query()
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    return v.table(spark, d, "store_requests").select("request_id", "namespace", "content", "received_at")
+
+
+def _counted(done: DataFrame) -> DataFrame:
+    return done.select("request_id", "status", "stage", "reason", F.coalesce(F.size("pieces"), F.lit(0)).cast("bigint").alias("pieces")).withColumn("pieces", F.greatest(F.col("pieces"), F.lit(0)))
+
+
+@query(_STATUS)
+def l17_ingest_status(spark: SparkSession, d: str) -> DataFrame:
+    """Status of every request after the ingest stages; paragraphs of any length stay whole."""
+    return _counted(ingest.staged(_requests(spark, d), 1_000_000, models.hash_embedder(64)("piece")))
+
+
+@query(_STATUS)
 def x8_ingest_stream(spark: SparkSession, d: str) -> DataFrame:
-    s = sliced(v.table(spark, d, "store_requests").select("request_id", "namespace", "content", "received_at"), "received_at")
-    return finished(s, transform=_ingest).dropDuplicates(["key"])
+    """The ingest stages over a stream; a request repeated in a later batch has the same status."""
+    s = sliced(_requests(spark, d), "received_at")
+    return finished(s, transform=lambda b: _counted(ingest.staged(b, 1_000_000, models.hash_embedder(64)("piece")))).dropDuplicates(["request_id"])
 
 
-@query(using("ev") + "SELECT event_id, k % 7 + 1 AS attempts, CASE WHEN k % 3 = 0 THEN 'recovered' WHEN k % 7 + 1 >= 5 THEN 'discarded' ELSE 'retried' END AS outcome FROM ev WHERE event_type = 'error'")
+@query(using("ev") + """SELECT event_id, a AS attempt, CASE WHEN (event_id + a + k) % 4 = 0 THEN 'recovered' WHEN a = 5 THEN 'discarded' ELSE 'retried' END AS outcome FROM ev, (SELECT unnest(range(1, 6)) AS a)
+  WHERE event_type = 'error' AND a <= coalesce((SELECT min(x) FROM (SELECT unnest(range(1, 6)) AS x) WHERE (event_id + x + k) % 4 = 0), 5)""")
 def x9_dead_letter_stream(spark: SparkSession, d: str) -> DataFrame:
-    from tidemark.operators.stores import retry_outcome
-
+    """Every attempt of the entries of a dead-letter stream; failed ones come back until the fifth."""
     s = sliced(v.events(spark, d).where("event_type = 'error'").select("event_id", "k", "ts_ms"), "ts_ms")
-    return finished(s, transform=lambda b: b.select("event_id", (F.col("k") % 7 + 1).alias("attempts"), retry_outcome(F.col("k") % 3 == 0, F.col("k") % 7).alias("outcome")))
+    retry = lambda b: retries(b, "event_id", lambda n: (F.col("event_id") + n + F.col("k")) % 4 == 0).select("event_id", "attempt", "outcome")
+    return finished(s, transform=retry)
 
 
 @query(using("fragments") + """, c AS (SELECT namespace, max(last_access_ms) AS clock FROM fragments GROUP BY 1)

@@ -106,9 +106,19 @@ def w7_eviction_rank(spark: SparkSession, d: str) -> DataFrame:
     return ordering.numbered(f.select("namespace", "id", "density", "score"), "namespace", ["density", "score", "id"]).select("namespace", "id", "rank")
 
 
-@query(_S + "SELECT namespace, grp, row_number() OVER (PARTITION BY namespace ORDER BY importance > 0.5, density, grp) AS rank FROM groups WHERE loose")
+_GUARD = """, hits AS (SELECT fragment_id, (1 - least(1, ((SELECT max(recalled_ms) FROM candidates) - max(recalled_ms)) / 86400000.0::DOUBLE)) * greatest(0.34::DOUBLE, least(1, count(*) / 3)) AS protection FROM candidates GROUP BY 1),
+guard AS (SELECT namespace, grp, coalesce(max(protection), 0) > 0 AS kept FROM scored LEFT JOIN hits ON fragment_id = id GROUP BY 1, 2) """
+_SG = using("fragments", "candidates").rstrip() + ", " + _SCORED + _GUARD
+
+
+@query(_SG + "SELECT namespace, grp, row_number() OVER (PARTITION BY namespace ORDER BY kept, density, grp) AS rank FROM groups JOIN guard USING (namespace, grp) WHERE loose")
 def w8_regret_order(spark: SparkSession, d: str) -> DataFrame:
-    g = _groups(spark, d).where("loose").select("namespace", "grp", "density", (F.col("importance") > 0.5).alias("kept"))
+    """Groups by density, those with a member protected by recent recalls last."""
+    c = v.candidates(spark, d)
+    hits = c.groupBy(F.col("fragment_id").alias("id")).agg(F.count("*").alias("hits"), F.max("recalled_ms").alias("last")).join(F.broadcast(c.agg(F.max("recalled_ms").alias("now"))))
+    hits = hits.select("id", scalar.protection(F.col("hits"), F.col("last"), F.col("now")).alias("protection"))
+    kept = _scored(spark, d).select("id", "namespace", "grp").join(hits, "id", "left").groupBy("namespace", "grp").agg((F.coalesce(F.max("protection"), F.lit(0.0)) > 0).alias("kept"))
+    g = _groups(spark, d).where("loose").select("namespace", "grp", "density").join(kept, ["namespace", "grp"])
     return ordering.numbered(g, "namespace", ["kept", "density", "grp"]).select("namespace", "grp", "rank")
 
 
@@ -618,13 +628,13 @@ def v4_consumption(spark: SparkSession, d: str) -> DataFrame:
     return load.select("load_id").join(used, "load_id", "left").na.fill("missed", ["outcome"])
 
 
-@query()
+@query(using("pages") + "SELECT page_id, id, place FROM (SELECT *, row_number() OVER w AS place, sum(token_count) OVER (w ROWS UNBOUNDED PRECEDING) AS loaded FROM pages WHERE state = 'EVICTED' WINDOW w AS (PARTITION BY page_id ORDER BY last_access_ms DESC NULLS LAST, id)) WHERE place = 1 OR loaded <= 400")
 def v5_fault_order(spark: SparkSession, d: str) -> DataFrame:
     # the faulting fragment first, then its page companions while there is room
     p = v.pages(spark, d).where("state = 'EVICTED'")
-    w = Window.partitionBy("page_id").orderBy(F.col("last_access_ms").desc(), "id")
+    w = Window.partitionBy("page_id").orderBy(F.col("last_access_ms").desc_nulls_last(), "id")
     o = p.withColumn("place", F.row_number().over(w)).withColumn("loaded", F.sum("token_count").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return o.where("place = 1 or loaded <= 400").select("page_id", "id", "place")
+    return o.where("place = 1 or loaded <= 400").select("page_id", "id", F.col("place").cast("bigint").alias("place"))
 
 
 @query()

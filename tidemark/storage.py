@@ -30,18 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[app]
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """Path of a new folder in the shared one, removed with the intermediate tables."""
+    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return it as read from there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    path = temporary(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 @atexit.register
-def _clear() -> None:
-    for spark, path in _made:
+def clear() -> None:
+    """Remove all intermediate tables; results that still read them must be written before."""
+    while _made:
+        spark, path = _made.pop()
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)

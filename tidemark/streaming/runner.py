@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.storage import shared_dir
+from tidemark.storage import temporary
 
 
 def sliced(df: DataFrame, by: str, slices: int = 6) -> DataFrame:
     """A stream over ``df``, written as files in the order of ``by``, two files a batch."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-stream-{uuid.uuid4().hex}"
+    path = temporary(spark, "stream")
     df.repartitionByRange(slices, by).sortWithinPartitions(by).write.parquet(path)
     # a file source takes files by age; the slices must age in their order
     jvm = spark.sparkContext._jvm
@@ -34,7 +32,7 @@ def finished(stream: DataFrame, mode: str = "append", last_of: list[str] | None
     the result, in ``update`` mode the last version of each key ``last_of``.
     """
     spark: SparkSession = stream.sparkSession
-    base = f"{shared_dir(spark)}/tidemark-sink-{uuid.uuid4().hex}"
+    base = temporary(spark, "sink")
     schemas: list = []
 
     def sink(batch: DataFrame, number: int) -> None:
