@@ -146,7 +146,7 @@ def test_vector_search_in_blocks(spark):
 def test_graphs(spark):
     e = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 1, 3), (2, 1, 2), (2, 2, 1)], "task_id bigint, src bigint, dst bigint")
     n = spark.createDataFrame([(1, k) for k in (1, 2, 3)] + [(2, 1), (2, 2)], "task_id bigint, node bigint")
-    assert [r.task_id for r in graph.cyclic(graph.closure(e)).collect()] == [2]
+    assert [r.task_id for r in graph.cyclic(e).collect()] == [2]
     assert sorted(map(tuple, graph.levels(n, e).collect())) == [(1, 1, 0), (1, 2, 1), (1, 3, 2)]
     assert graph.closure(e.limit(0)).count() == 0
     left, kept = graph.without_nodes(n, e, n.where("node = 2"))
@@ -482,3 +482,16 @@ def test_fallback_embedding(spark):
 def test_failed_attempts_come_back(spark):
     out = stores.retries(spark.createDataFrame([(1,), (2,)], "id int"), "id", lambda n: (F.col("id") == 1) & (n == 3)).collect()
     assert sorted((r.id, r.attempt, r.outcome) for r in out) == [(1, 1, "retried"), (1, 2, "retried"), (1, 3, "recovered"), *[(2, i, "retried") for i in range(1, 5)], (2, 5, "discarded")]
+
+
+def test_reached_equals_the_closure(spark):
+    import random
+
+    r = random.Random(3)
+    rows = sorted({(g, r.randrange(12), r.randrange(12)) for g in range(3) for _ in range(20)})
+    e = spark.createDataFrame(rows, "task_id bigint, src bigint, dst bigint")
+    whole = sorted(map(tuple, graph.closure(e).collect()))
+    starts = e.select("task_id", F.col("src").alias("node"))
+    assert sorted(map(tuple, graph.reached(e, starts).collect())) == whole
+    ends = e.where("task_id = 1").select("task_id", F.col("dst").alias("node"))
+    assert sorted((t, n, s) for t, s, n in map(tuple, graph.reached(e, ends, backwards=True).collect())) == [w for w in whole if w[0] == 1]

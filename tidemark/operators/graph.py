@@ -48,9 +48,36 @@ def closure(edges: DataFrame, most: int = 30) -> DataFrame:
     raise RuntimeError("paths did not settle")
 
 
-def cyclic(paths: DataFrame) -> DataFrame:
-    """Graphs in which some node reaches itself."""
-    return paths.where("src = dst").select(GRAPH).distinct()
+def cyclic(edges: DataFrame) -> DataFrame:
+    """Graphs with a cycle: those that can't be peeled from their sources."""
+    nodes = edges.select(GRAPH, F.col("src").alias("node")).union(edges.select(GRAPH, "dst")).distinct()
+    return nodes.select(GRAPH).distinct().join(levels(nodes, edges).select(GRAPH).distinct(), GRAPH, "left_anti")
+
+
+def reached(edges: DataFrame, starts: DataFrame, backwards: bool = False) -> DataFrame:
+    """``task_id, start, node``: all nodes on paths from each start, or to it; a start itself only on a cycle.
+
+    ``starts`` has ``task_id, node``. Only the asked nodes are followed. One task
+    graph is bounded, and its edges are held while its starts stream by.
+    """
+    a, b = ("dst", "src") if backwards else ("src", "dst")
+    rows = edges.select(GRAPH, F.lit(0).alias("kind"), F.col(a).alias("src"), F.col(b).alias("dst")).unionByName(starts.select(GRAPH, F.lit(1).alias("kind"), F.col("node").alias("src"), F.lit(None).cast("bigint").alias("dst")).distinct())
+
+    def step(task: int, s: dict, g: Rows) -> list[tuple]:
+        out = []
+        for kind, src, dst in zip(g["kind"], g["src"], g["dst"]):
+            if kind == 0:
+                s.setdefault(src, []).append(dst)
+                continue
+            seen, front = set(), [src]
+            while front:
+                fresh = [x for x in s.get(front.pop(), ()) if x not in seen]
+                seen.update(fresh)
+                front += fresh
+            out += [(task, src, n) for n in seen]
+        return out
+
+    return folded(rows, GRAPH, ["kind"], f"{GRAPH} bigint, start bigint, node bigint", dict, step)
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -96,12 +123,13 @@ def within_hops(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return out.where("node <> start").groupBy(GRAPH, "start", "node").agg(F.min("hop").alias("hop"))
 
 
-def valid_edges(wanted: DataFrame, nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
-    """``verdict`` of new edges: UNKNOWN_NODE, DUPLICATE, CYCLE or OK."""
+def valid_edges(wanted: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``verdict`` of new edges: UNKNOWN_NODE, DUPLICATE, CYCLE or OK. Paths are followed from the wanted targets only."""
     n = nodes.select(GRAPH, "node")
     w = wanted.join(n.select(GRAPH, F.col("node").alias("src"), F.lit(True).alias("_s")), [GRAPH, "src"], "left").join(n.select(GRAPH, F.col("node").alias("dst"), F.lit(True).alias("_d")), [GRAPH, "dst"], "left")
     w = w.join(edges.select(GRAPH, "src", "dst", F.lit(True).alias("_dup")), [GRAPH, "src", "dst"], "left")
-    back = paths.select(GRAPH, F.col("src").alias("dst"), F.col("dst").alias("src"), F.lit(True).alias("_back"))
+    paths = reached(edges, wanted.select(GRAPH, F.col("dst").alias("node")))
+    back = paths.select(GRAPH, F.col("start").alias("dst"), F.col("node").alias("src"), F.lit(True).alias("_back"))
     w = w.join(back, [GRAPH, "src", "dst"], "left")
     verdict = F.when(F.col("_s").isNull() | F.col("_d").isNull(), "UNKNOWN_NODE").when(F.col("_dup"), "DUPLICATE").when(F.col("_back") | (F.col("src") == F.col("dst")), "CYCLE").otherwise("OK")
     return w.select(GRAPH, "src", "dst", verdict.alias("verdict"))
@@ -115,9 +143,9 @@ def without_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[
     return left, e
 
 
-def branch_edges(members: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
+def branch_edges(members: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges among branch members and all their ancestors."""
-    up = paths.join(members.select(GRAPH, F.col("node").alias("dst")), [GRAPH, "dst"], "left_semi").select(GRAPH, F.col("src").alias("node"))
+    up = reached(edges, members, backwards=True).select(GRAPH, "node")
     keep = members.select(GRAPH, "node").union(up).distinct()
     e = edges.join(keep.withColumnRenamed("node", "src"), [GRAPH, "src"], "left_semi")
     return e.join(keep.withColumnRenamed("node", "dst"), [GRAPH, "dst"], "left_semi").select(GRAPH, "src", "dst")

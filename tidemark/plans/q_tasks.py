@@ -194,7 +194,7 @@ _CYC = """, ring AS (SELECT task_id, src, dst FROM edges UNION SELECT task_id, 7
 def g2_cycle(spark: SparkSession, d: str) -> DataFrame:
     e = v.edges(spark, d)
     back = e.where("task_id % 4 = 1").select("task_id", F.lit(7).cast("bigint").alias("src"), F.lit(2).cast("bigint").alias("dst")).distinct()
-    return graph.cyclic(graph.closure(e.unionByName(back)))
+    return graph.cyclic(e.unionByName(back))
 
 
 @query(using("edges").rstrip() + ", walk AS (SELECT task_id, node, 0 AS level FROM nodes UNION SELECT w.task_id, e.dst, w.level + 1 FROM walk w JOIN edges e ON e.task_id = w.task_id AND e.src = w.node) SELECT task_id, node, CAST(max(level) AS BIGINT) AS level FROM walk GROUP BY 1, 2")
@@ -204,7 +204,8 @@ def g3_topo_levels(spark: SparkSession, d: str) -> DataFrame:
 
 @query(using("closure") + "SELECT task_id, src, dst FROM closure")
 def g4_reachability(spark: SparkSession, d: str) -> DataFrame:
-    return graph.closure(v.edges(spark, d))
+    e = v.edges(spark, d)
+    return graph.reached(e, e.select("task_id", F.col("src").alias("node"))).select("task_id", F.col("start").alias("src"), F.col("node").alias("dst"))
 
 
 @query(using("closure") + """, want AS (SELECT DISTINCT task_id, node AS src, (node * 7) % 60 + 1 AS dst FROM nodes)
@@ -213,7 +214,7 @@ FROM want w LEFT JOIN nodes n ON n.task_id = w.task_id AND n.node = w.dst LEFT J
 def g5_edge_validation(spark: SparkSession, d: str) -> DataFrame:
     n, e = v.nodes(spark, d), v.edges(spark, d)
     want = n.select("task_id", F.col("node").alias("src"), (F.col("node") * 7 % 60 + 1).alias("dst")).distinct()
-    return graph.valid_edges(want, n, e, graph.closure(e))
+    return graph.valid_edges(want, n, e)
 
 
 @query(using("edges") + "SELECT task_id, node, (SELECT count(*) FROM edges e WHERE e.task_id = n.task_id AND e.dst = n.node) AS n_in, (SELECT count(*) FROM edges e WHERE e.task_id = n.task_id AND e.src = n.node) AS n_out FROM nodes n")
@@ -236,7 +237,7 @@ def g8_k_hop(spark: SparkSession, d: str) -> DataFrame:
 SELECT e.task_id, e.src, e.dst FROM edges e JOIN keep a ON a.task_id = e.task_id AND a.node = e.src JOIN keep b ON b.task_id = e.task_id AND b.node = e.dst""")
 def g9_branch_subgraph(spark: SparkSession, d: str) -> DataFrame:
     e = v.edges(spark, d)
-    return graph.branch_edges(v.nodes(spark, d).where("branch = 1"), e, graph.closure(e))
+    return graph.branch_edges(v.nodes(spark, d).where("branch = 1"), e)
 
 
 _SINK = "NOT EXISTS (SELECT 1 FROM edges e WHERE e.task_id = n.task_id AND e.src = n.node)"
