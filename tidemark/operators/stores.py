@@ -86,10 +86,11 @@ def log_lines(lines: DataFrame, schema: str) -> DataFrame:
     """
     parsed = lines.where(F.trim("line") != "").withColumn("e", F.from_json("line", schema, {"mode": "PERMISSIVE"}))
     bad = F.col("e").isNull() | F.coalesce(F.get_json_object("line", "$"), F.lit("")).eqNullSafe("")
-    last = F.max("line_no").over(Window.partitionBy("task_id"))
-    checked = parsed.withColumn("_bad", bad).withColumn("_last", last)
-    fatal = F.when(F.col("_bad") & (F.col("line_no") < F.col("_last")), F.raise_error(F.concat(F.lit("broken log line in "), "task_id")).cast("boolean")).otherwise(F.col("_bad"))
-    return checked.where(~fatal).select("task_id", "line_no", "e.*")
+    parsed = parsed.withColumn("_bad", bad)
+    # judged for each task by itself, so that no filter on entries runs before it
+    ends = parsed.groupBy("task_id").agg(F.max("line_no").alias("_last"), F.min(F.when(F.col("_bad"), F.col("line_no"))).alias("_first_bad"))
+    fatal = F.when(F.col("_first_bad") < F.col("_last"), F.raise_error(F.concat(F.lit("broken log line in "), "task_id")).cast("boolean")).otherwise(F.lit(False))
+    return parsed.where("not _bad").join(ends.where(~fatal).select("task_id"), "task_id").select("task_id", "line_no", "e.*")
 
 
 def resolve_tiers(ids: DataFrame, tiers: list[DataFrame], key: str = "id") -> DataFrame:

@@ -122,9 +122,13 @@ def h11_signal_catalogue(spark: SparkSession, d: str) -> DataFrame:
     return health.signals(spark).groupBy("area").agg(n("critical").cast("int").alias("critical"), n("warning").cast("int").alias("warning"))
 
 
-_SERIES = """, se AS (SELECT CASE event_type WHEN 'view' THEN 'eviction_regret_high' WHEN 'click' THEN 'recall_latency_p99_high' WHEN 'error' THEN 'baseline_lift_not_sustained' WHEN 'signup' THEN 'paging_drift_high' ELSE 'shadow_lift_regression' END AS code,
-  CAST(user_id AS VARCHAR) AS source, ts_ms, event_id AS n, value / 20 AS value, k AS samples FROM ev),
-al AS (SELECT * FROM (VALUES ('eviction_regret_high', '>', 0.05, 0, 10), ('recall_latency_p99_high', '>', 10.0, 0, 15), ('baseline_lift_not_sustained', '<', 0.9, 0, 30), ('paging_drift_high', '>', 0.5, 20, 20), ('shadow_lift_regression', '<', -0.05, 0, 10)) t(code, sign, lim, least, minutes)),
+_CODES = [a[0] for a in health.ALERTS]
+# The alerts as in the survey, apart from the table that the operator reads.
+_ALERT_SQL = """('eviction_log_coverage_low', '<', 1.0, 0, 5), ('eviction_regret_high', '>', 0.05, 0, 10), ('namespace_isolation_violation', '>', 0.0, 0, 1), ('checkpoint_recovery_success_rate_low', '<', 1.0, 0, 5), ('memory_persistence_success_rate_low', '<', 1.0, 0, 5),
+  ('store_latency_p99_high', '>', 10.0, 0, 15), ('recall_latency_p99_high', '>', 10.0, 0, 15), ('shadow_lift_regression', '<', -0.05, 0, 10), ('baseline_lift_low', '<', 0.20, 0, 10), ('baseline_lift_not_sustained', '<', 0.90, 0, 30), ('prefetch_strategy_degraded', '<', 0.10, 20, 15),
+  ('eviction_regret_mode_high', '>', 0.10, 10, 10), ('paging_drift_high', '>', 0.50, 20, 20)"""
+_SERIES = f""", se AS (SELECT list_extract({_CODES}, CAST(user_id % 13 + 1 AS INTEGER)) AS code, CAST(user_id AS VARCHAR) AS source, ts_ms, event_id AS n, value / 20 - CASE user_id % 13 WHEN 7 THEN 3 ELSE 0 END AS value, k AS samples FROM ev),
+al AS (SELECT * FROM (VALUES {_ALERT_SQL}) t(code, sign, lim, least, minutes)),
 co AS (SELECT se.*, minutes, CASE sign WHEN '<' THEN value < lim::DOUBLE ELSE value > lim::DOUBLE END AND (least = 0 OR samples > least) AS f FROM se JOIN al USING (code)),
 ru AS (SELECT *, count(*) FILTER (NOT f) OVER (PARTITION BY code, source ORDER BY ts_ms, n ROWS UNBOUNDED PRECEDING) AS run FROM co)
 SELECT code, source, min(ts_ms) AS since_ms, max(ts_ms) - min(ts_ms) AS held_ms FROM ru WHERE f GROUP BY code, source, run, minutes HAVING max(ts_ms) - min(ts_ms) >= minutes * 60000"""
@@ -132,10 +136,11 @@ SELECT code, source, min(ts_ms) AS since_ms, max(ts_ms) - min(ts_ms) AS held_ms
 
 @query(using("ev").rstrip() + _SERIES)
 def h10_alert_rules(spark: SparkSession, d: str) -> DataFrame:
+    """All alerts over series of their own."""
     e = v.events(spark, d)
-    t = F.col("event_type")
-    code = F.when(t == "view", "eviction_regret_high").when(t == "click", "recall_latency_p99_high").when(t == "error", "baseline_lift_not_sustained").when(t == "signup", "paging_drift_high").otherwise("shadow_lift_regression")
-    return health.sustained(e.select(code.alias("code"), F.col("user_id").cast("string").alias("source"), "ts_ms", F.col("event_id").alias("n"), (F.col("value") / 20).alias("value"), F.col("k").alias("samples")))
+    code = F.element_at(F.array(*map(F.lit, _CODES)), (F.col("user_id") % 13 + 1).cast("int"))
+    value = F.col("value") / 20 - F.when(F.col("user_id") % 13 == 7, 3).otherwise(0)
+    return health.sustained(e.select(code.alias("code"), F.col("user_id").cast("string").alias("source"), "ts_ms", F.col("event_id").alias("n"), value.alias("value"), F.col("k").alias("samples")))
 
 
 @query(q_evaluate._CM + q_evaluate._STAT + "SELECT 'gate' AS rule, recall >= 0.5 AS passed FROM s UNION ALL SELECT 'shape', errors IS NOT NULL FROM s UNION ALL SELECT 'ndcg', ndcg + 1e-9 >= 0.4 FROM s")

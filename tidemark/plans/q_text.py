@@ -26,13 +26,18 @@ def f_split_sentences(spark: SparkSession, d: str) -> DataFrame:
     return r.select("request_id", F.posexplode(text.split_text(F.col("content"), 64)).alias("place", "piece"))
 
 
-@query()
+_UNITS = r"""(SELECT request_id, list_slice(list_filter(flatten(list_transform(string_split_regex(content, '(\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}])+'), lambda x: string_split(regexp_replace(regexp_replace(regexp_replace(
+  regexp_replace(x, '^\s*[-*\d.)]+\s*', ''), '\s+', ' ', 'g'), '^ | $', '', 'g'), '([。！？.!?])\s+', concat('\1', chr(1)), 'g'), chr(1)))), lambda u: trim(u, ' ') <> ''), 1, 12) AS units FROM store_requests WHERE content IS NOT NULL)"""
+
+
+@query(f"SELECT request_id, place - 1 AS place, units[place] AS unit FROM (SELECT *, unnest(range(1, len(units) + 1)) AS place FROM {_UNITS})")
 def f_extract_units(spark: SparkSession, d: str) -> DataFrame:
     r = v.table(spark, d, "store_requests").where("content is not null")
-    return r.select("request_id", F.posexplode(text.units(F.col("content"))).alias("place", "unit"))
+    return r.select("request_id", F.posexplode(text.units(F.col("content"))).alias("place", "unit")).withColumn("place", F.col("place").cast("bigint"))
 
 
-@query()
+@query(f"""SELECT request_id, CASE WHEN length(whole) <= 1200 THEN whole ELSE regexp_replace(CASE WHEN contains(head, ' ') AND 1200 - position(' ' IN reverse(head)) >= 600 THEN substr(head, 1, 1200 - position(' ' IN reverse(head))) ELSE head END, '^\\s+|\\s+$', '', 'g') END AS summary
+  FROM (SELECT request_id, whole, substr(whole, 1, 1200) AS head FROM (SELECT request_id, array_to_string(units, chr(10)) AS whole FROM {_UNITS}))""")
 def f_summary_truncate(spark: SparkSession, d: str) -> DataFrame:
     return v.table(spark, d, "store_requests").where("content is not null").select("request_id", text.summary(F.col("content")).alias("summary"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.stores import log_lines
+from tidemark.storage import written
 
 FRAGMENT = "id string, namespace string, content string, embedding array<float>, l2_embedding array<float>, token_count int, importance double, last_access_ms bigint, created_at timestamp, tags array<string>, reasoning_chain_id string, pinned_until_ms bigint"
 ENTRY = "sequenceNumber bigint, entryId string, operation string, payload string, timestamp timestamp"
@@ -32,7 +33,9 @@ def action_log(spark: SparkSession, path: str, since: int = 0) -> DataFrame:
 
     A broken last line of a file is skipped, a broken earlier one is an error.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.jsonl?$", 1).alias("task_id"), F.posexplode(F.split("value", r"\n")).alias("line_no", "line"))
+    # files split into blocks; a line's place is that of its block and its number in it
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = written(spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.jsonl?$", 1).alias("task_id"), place.alias("line_no"), F.col("value").alias("line")), "log-lines")
     e = log_lines(lines, ENTRY)
     return e.select("task_id", F.col("sequenceNumber").alias("seq"), F.col("entryId").alias("entry_id"), "operation", F.from_json("payload", "map<string,string>").alias("payload"), F.col("timestamp").alias("ts")).where(F.col("seq") >= since)
 
