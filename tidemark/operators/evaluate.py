@@ -36,7 +36,7 @@ def series_summary(df: DataFrame, keys: list[str], series: list[str]) -> DataFra
     """One row for each key and series of latencies: samples, mean, extremes and nearest-rank percentiles; nulls are left out."""
     each = df.select(*keys, F.explode(F.array(*(F.struct(F.lit(s).alias("series"), F.col(s).cast("double").alias("ms")) for s in series))).alias("x")).select(*keys, "x.series", "x.ms").where("ms is not null")
     disc = lambda q: F.expr(f"percentile_disc({q}) within group (order by ms)")
-    g = each.groupBy(*keys, "series").agg(F.count("*").alias("samples"), F.round(F.avg("ms"), 4).alias("avg_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), disc(0.5).alias("p50_ms"), disc(0.95).alias("p95_ms"), disc(0.99).alias("p99_ms"), F.round(F.expr("percentile(ms, 0.95)"), 4).alias("p95_linear"))
+    g = each.groupBy(*keys, "series").agg(F.count("*").alias("samples"), F.round(F.avg("ms"), 4).alias("avg_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), disc(0.5).alias("p50_ms"), disc(0.95).alias("p95_ms"), disc(0.99).alias("p99_ms"), F.round(F.expr("percentile(ms, 0.95)"), 7).alias("p95_linear"))
     return g
 
 
