@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,9 +68,9 @@ def lift(summary: DataFrame, baseline: str, *values: str) -> DataFrame:
 def paired(m: DataFrame, left: str, right: str) -> DataFrame:
     """Per case, the metrics of two modes side by side."""
     cols = ["recall", "ndcg", "reciprocal_rank", "latency_ms"]
-    a = m.where(F.col("mode") == left).select("case_id", *(F.col(c).alias(f"l_{c}") for c in cols))
-    b = m.where(F.col("mode") == right).select("case_id", *(F.col(c).alias(f"r_{c}") for c in cols))
-    return a.join(b, "case_id")
+    of = lambda mode, c, name: F.max(F.when(F.col("mode") == mode, F.col(c))).alias(name)
+    both = m.where(F.col("mode").isin(left, right)).groupBy("case_id").agg(*(of(left, c, f"l_{c}") for c in cols), *(of(right, c, f"r_{c}") for c in cols), F.countDistinct("mode").alias("_n"))
+    return both.where("_n = 2").drop("_n")
 
 
 def win_tie_loss(pairs: DataFrame) -> DataFrame:
@@ -76,19 +80,26 @@ def win_tie_loss(pairs: DataFrame) -> DataFrame:
         F.round(F.avg(d), 6).alias("recall_delta"), F.round(F.avg(F.col("l_ndcg") - F.col("r_ndcg")), 6).alias("ndcg_delta"), F.round(F.avg(F.col("l_reciprocal_rank") - F.col("r_reciprocal_rank")), 6).alias("mrr_delta"))
 
 
-def bootstrap_interval(values: DataFrame, value: str, key: str, resamples: int = 2000, seed: int = 20260728) -> DataFrame:
+def bootstrap_interval(values: DataFrame, value: str, key: str, resamples: int = 20_000, seed: int = 20260728) -> DataFrame:
     """``mean, low, high``: 95 % interval of the mean over paired resamples.
 
-    Each row gets in each resample a Poisson weight drawn from the hash of
-    seed, resample and key, so the resample is exact in expectation, needs no
-    shuffle of rows, and comes out the same for any partitioning. Weights and
-    sums are combined per task before the shuffle.
+    Each row has in each resample a Poisson weight, drawn from a generator that
+    seed and key start, so a resample needs no shuffle of rows and comes out the
+    same for any partitioning. Every task adds its rows into one weight and one
+    sum for each resample; only these leave it. Rows without key or value drop out.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), "b", F.col(key)), F.lit(1 << 53)) / float(1 << 53)
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    each = values.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("w", weight)
-    means = each.groupBy("b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
+
+    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(resamples), np.zeros(resamples)
+        for b in batches:
+            for h, x in zip(b.column("h").to_pylist(), b.column("x").to_pylist()):
+                w = np.random.Generator(np.random.Philox(key=h & (2**64 - 1))).poisson(1.0, resamples)
+                n += w
+                total += w * x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples, dtype=np.int32)), pa.array(n), pa.array(total)], names=["b", "n", "total"])
+
+    rows = values.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.xxhash64(F.lit(seed), key).alias("h"), F.col(value).cast("double").alias("x"))
+    means = rows.mapInArrow(weighted, "b int, n double, total double").groupBy("b").agg((F.sum("total") / F.sum("n")).alias("m"))
     ci = means.agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
     return values.agg(F.avg(value).alias("mean")).join(F.broadcast(ci)).select(*(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
 

@@ -130,25 +130,28 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     return f.select(F.concat_ws("-", "namespace", F.substring("id", 1, 1)).alias("page_id"), "namespace", "id", "last_access_ms", "token_count", F.when(F.substring("id", 1, 1).isin("0", "1", "2", "3", "4"), "RESIDENT").otherwise("EVICTED").alias("state"))
 
 
-def case_results(spark: SparkSession, d: str) -> DataFrame:
-    """``case_id, mode, rank, fragment_id, relevant`` of the first ten of every recall under each mode."""
-    p = pool(spark, d)
+def _ranked_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks of every candidate of a recall under each mode, and the recall's relevant ones; one shuffle by recall serves all."""
+    p = pool(spark, d).withColumn("n_expected", F.sum(F.col("relevant").cast("bigint")).over(Window.partitionBy("recall_id")))
     kw, sem = F.coalesce("keyword", F.lit(0.0)), F.col("semantic")
     by = {"KEYWORD_ONLY": kw, "VECTOR_ONLY": sem, "VECTOR_RERANK": 0.8 * sem + 0.2 * F.col("importance"), "HYBRID": sem + kw, "HYBRID_RERANK": 0.6 * sem + 0.1 * kw + 0.3 * F.col("importance")}
     scores = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.round(by[m], 9).alias("score")) for m in MODES))).alias("m")
-    r = p.select(F.col("recall_id").alias("case_id"), "fragment_id", "relevant", scores).select("case_id", "fragment_id", "relevant", "m.mode", "m.score")
+    r = p.select(F.col("recall_id").alias("case_id"), "fragment_id", "relevant", "n_expected", scores).select("case_id", "fragment_id", "relevant", "n_expected", "m.mode", "m.score")
     w = Window.partitionBy("case_id", "mode").orderBy(F.col("score").desc(), "fragment_id")
     return r.withColumn("rank", F.row_number().over(w).cast("bigint")).where("rank <= 10")
 
 
+def case_results(spark: SparkSession, d: str) -> DataFrame:
+    """``case_id, mode, rank, fragment_id, relevant, score`` of the first ten of every recall under each mode."""
+    return _ranked_modes(spark, d).drop("n_expected")
+
+
 def case_modes(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
     """One row per case and mode: counts for the metrics, latency, category, error flag."""
-    r = case_results(spark, d)
-    want = pool(spark, d).groupBy(F.col("recall_id").alias("case_id")).agg(F.sum(F.col("relevant").cast("bigint")).alias("n_expected"))
+    r = _ranked_modes(spark, d)
     hit = F.col("relevant") & (F.col("rank") <= k)
     m = r.groupBy("case_id", "mode").agg(
         F.sum(hit.cast("bigint")).alias("matched"), F.min(F.when(hit, F.col("rank"))).alias("first_rank"),
-        F.coalesce(F.sum(F.when(hit, 1 / F.log2(F.col("rank") + 1))), F.lit(0.0)).alias("dcg"), F.count("*").alias("n_returned"))
-    m = m.join(want, "case_id")
+        F.coalesce(F.sum(F.when(hit, 1 / F.log2(F.col("rank") + 1))), F.lit(0.0)).alias("dcg"), F.count("*").alias("n_returned"), F.max("n_expected").alias("n_expected"))
     mode_no = F.array_position(F.array(*map(F.lit, MODES)), F.col("mode"))
     return m.withColumn("latency_ms", (F.col("case_id") * 37 + mode_no * 113) % 500).withColumn("category", F.concat(F.lit("cat"), F.col("case_id") % 6)).withColumn("failed", F.col("case_id") % 97 == 0)
