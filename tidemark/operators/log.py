@@ -162,6 +162,39 @@ def apply_delta(base: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:
     return both.withColumn("_r", F.row_number().over(w)).where("_r = 1 and not deleted").drop("_r", "_o", "deleted")
 
 
+def graph_delta(touches: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a stretch of a log changes in a graph: nodes (``alive`` at its end, ``cut`` if deleted in it) and edges left at its end.
+
+    ``touches`` has ``task_id, node, seq, alive`` and ``links`` ``task_id, src, dst, seq``.
+    """
+    n = touches.groupBy("task_id", "node").agg(F.max_by("alive", "seq").alias("alive"), F.max(F.when(~F.col("alive"), F.col("seq"))).alias("gone"))
+    gone = n.where("gone is not null").select("task_id", "node", "gone")
+    e = links.groupBy("task_id", "src", "dst").agg(F.max("seq").alias("seq"))
+    for side in ("src", "dst"):
+        e = e.join(gone.select("task_id", F.col("node").alias(side), F.col("gone").alias(f"_{side}")), ["task_id", side], "left")
+    kept = e.where(F.col("seq") > F.greatest(F.coalesce("_src", F.lit(0)), F.coalesce("_dst", F.lit(0)))).select("task_id", "src", "dst")
+    return n.select("task_id", "node", "alive", F.col("gone").isNotNull().alias("cut")), kept
+
+
+def apply_graph_deltas(deltas: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after a base and its deltas, oldest first.
+
+    The last delta that has a node decides on it. A deletion takes along the edges
+    that earlier deltas put at the node, even if the node has come back.
+    """
+    nodes = edges = None
+    for depth, (n, e) in enumerate(deltas):
+        n, e = n.withColumn("depth", F.lit(depth)), e.withColumn("depth", F.lit(depth))
+        nodes, edges = (n, e) if nodes is None else (nodes.unionByName(n), edges.unionByName(e))
+    last = nodes.groupBy("task_id", "node").agg(F.max_by("alive", "depth").alias("alive"), F.max(F.when(F.col("cut"), F.col("depth"))).alias("at"))
+    cuts = last.where("at is not null").select("task_id", "node", "at")
+    left = edges.groupBy("task_id", "src", "dst").agg(F.max("depth").alias("depth"))
+    for side in ("src", "dst"):
+        left = left.join(cuts.select("task_id", F.col("node").alias(side), F.col("at").alias(f"_{side}")), ["task_id", side], "left")
+    left = left.where(F.col("depth") >= F.greatest(F.coalesce("_src", F.lit(0)), F.coalesce("_dst", F.lit(0)))).select("task_id", "src", "dst")
+    return last.where("alive").select("task_id", "node"), left
+
+
 def triggers(log: DataFrame, every: int = 50, wait_ms: int = 60_000) -> DataFrame:
     """``task_id, seq, checkpoint_no``: entries at which a checkpoint is due.
 

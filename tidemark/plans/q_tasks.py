@@ -392,14 +392,6 @@ def l10_delta_build(spark: SparkSession, d: str) -> DataFrame:
     return new.join(old, ["task_id", "k"], "left").na.fill(False, ["known"])
 
 
-@query(using("log") + ", a AS (SELECT task_id, k, max_by(value, seq) AS v FROM log WHERE seq <= 30 GROUP BY 1, 2), b AS (SELECT task_id, k, max_by(value, seq) AS v, max_by(operation, seq) = 'FAIL_TOOL_EXECUTION' AS gone FROM log WHERE seq > 30 GROUP BY 1, 2) SELECT task_id, k, coalesce(b.v, a.v) AS value FROM a FULL JOIN b USING (task_id, k) WHERE NOT coalesce(gone, false)")
-def l11_delta_apply(spark: SparkSession, d: str) -> DataFrame:
-    w = _wal(spark, d)
-    base = log.last_by(w.where("seq <= 30"), ["task_id", "k"], "value")
-    delta = log.last_by(w.where("seq > 30"), ["task_id", "k"], "value", "operation").select("task_id", "k", "value", (F.col("operation") == "FAIL_TOOL_EXECUTION").alias("deleted"))
-    return log.apply_delta(base, delta, ["task_id", "k"])
-
-
 _CHAIN = ", chain AS (SELECT checkpoint_id AS id, checkpoint_id AS now_at, base_id, 0 AS depth FROM checkpoints UNION ALL SELECT c.id, p.checkpoint_id, p.base_id, c.depth + 1 FROM chain c JOIN checkpoints p ON p.checkpoint_id = c.base_id), root AS (SELECT id AS checkpoint_id, max_by(now_at, depth) AS root_id, CAST(max(depth) AS BIGINT) AS depth FROM chain GROUP BY 1) "
 
 
@@ -512,6 +504,32 @@ state AS (SELECT b.*, CASE st.s WHEN 'RECOVERING' THEN 'RUNNING' ELSE coalesce(s
 _STATE = ["task_id", "applied", "last_seq", "status", "finalization", "context", "tools", "calls", "nodes", "edges", "conversations", "error", "error_seq"]
 
 
+@query(using("log") + ", a AS (SELECT task_id, k, max_by(value, seq) AS v FROM log WHERE seq <= 30 GROUP BY 1, 2), b AS (SELECT task_id, k, max_by(value, seq) AS v, max_by(operation, seq) = 'FAIL_TOOL_EXECUTION' AS gone FROM log WHERE seq > 30 GROUP BY 1, 2) SELECT task_id, k, coalesce(b.v, a.v) AS value FROM a FULL JOIN b USING (task_id, k) WHERE NOT coalesce(gone, false)")
+def l11_context_apply(spark: SparkSession, d: str) -> DataFrame:
+    w = _wal(spark, d)
+    base = log.last_by(w.where("seq <= 30"), ["task_id", "k"], "value")
+    delta = log.last_by(w.where("seq > 30"), ["task_id", "k"], "value", "operation").select("task_id", "k", "value", (F.col("operation") == "FAIL_TOOL_EXECUTION").alias("deleted"))
+    return log.apply_delta(base, delta, ["task_id", "k"])
+
+
+_GRAPH_END = """, t AS (SELECT task_id, node, max_by(alive, seq) AS alive, max(seq) FILTER (NOT alive) AS gone FROM touch GROUP BY 1, 2),
+l AS (SELECT task_id, s, d, max(seq) AS seq FROM (SELECT task_id, seq, CASE op WHEN 'ADD_EDGE' THEN concat('n', k % 3) ELSE concat('n', k % 4 - 1) END AS s, CASE op WHEN 'ADD_EDGE' THEN concat('n', k % 3 + 1) ELSE concat('n', k % 4) END AS d FROM o WHERE op = 'ADD_EDGE' OR op = 'APPEND_NODE' AND k % 3 = 0 AND k % 4 > 0) GROUP BY 1, 2, 3)
+SELECT task_id, node AS a, NULL::VARCHAR AS b FROM t WHERE alive UNION ALL
+SELECT l.task_id, s, d FROM l LEFT JOIN t x ON x.task_id = l.task_id AND x.node = s LEFT JOIN t y ON y.task_id = l.task_id AND y.node = d WHERE l.seq > greatest(coalesce(x.gone, 0), coalesce(y.gone, 0))"""
+
+
+@query(using("log").rstrip() + _REPLAY_LOG + _GRAPH_END)
+def l11_delta_apply(spark: SparkSession, d: str) -> DataFrame:
+    """Graphs from a base and two deltas, each built from its stretch of the log: nodes (``a``) and edges (``a, b``)."""
+    p = log.first_of_each_entry(_payload(spark, d))
+    at, op = (lambda k: F.col("payload")[k]), F.col("operation")
+    touches = p.where(op.isin("APPEND_NODE", "DELETE_NODE")).select("task_id", "seq", at("nodeId").alias("node"), (op == "APPEND_NODE").alias("alive"))
+    links = p.where((op == "ADD_EDGE") | ((op == "APPEND_NODE") & at("targetNodeId").isNotNull())).select(
+        "task_id", "seq", F.when(op == "ADD_EDGE", at("sourceNodeId")).otherwise(at("targetNodeId")).alias("src"), F.when(op == "ADD_EDGE", at("targetNodeId")).otherwise(at("nodeId")).alias("dst"))
+    nodes, edges = log.apply_graph_deltas([log.graph_delta(touches.where(part), links.where(part)) for part in ("seq <= 20", "seq > 20 and seq <= 40", "seq > 40")])
+    return nodes.select("task_id", F.col("node").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(edges.select("task_id", F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
 @query(using("log").rstrip() + _REPLAY_LOG + "SELECT task_id, nodes, edges FROM state")
 def l7_nodes_edges(spark: SparkSession, d: str) -> DataFrame:
     """Nodes and edges after the whole log: appended, completed, deleted with their edges."""
