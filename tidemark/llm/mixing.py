@@ -41,10 +41,12 @@ def mix_plan(sizes: DataFrame, targets: DataFrame) -> tuple[DataFrame, dict[str,
     want = {r.source: {"share": float(r.share), "repeats": max(int(r.repeats or 0), 0)} for r in _bounded_targets(targets)}
     bits = LEVEL_BITS * LEVELS
     rows = sizes.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)))
-    first = rows.groupBy("source", F.shiftright("h", bits - LEVEL_BITS).alias("b")).agg(F.sum("n_tokens").alias("t"))
+    # the target sources were counted when they were read
+    names = spark.createDataFrame([(s, True) for s in want], "source string, named boolean")
+    rows = rows.join(F.broadcast(names), "source", "left")
+    first = rows.groupBy("source", "named", F.shiftright("h", bits - LEVEL_BITS).alias("b")).agg(F.sum("n_tokens").alias("t"))
     # sources not wanted only count towards the total
-    named = F.col("source").isin(list(want)) if want else F.lit(False)
-    level = first.groupBy(F.when(named, F.col("source")).alias("source"), F.when(named, F.col("b")).alias("b")).agg(F.sum("t").alias("t")).collect()
+    level = first.groupBy(F.when(F.col("named"), F.col("source")).alias("source"), F.when(F.col("named"), F.col("b")).alias("b")).agg(F.sum("t").alias("t")).collect()
     total = sum(r.t or 0 for r in level)
     cells: dict[str, dict[int, int]] = {s: {} for s in want}
     for r in level:
@@ -56,7 +58,7 @@ def mix_plan(sizes: DataFrame, targets: DataFrame) -> tuple[DataFrame, dict[str,
         w["whole"] = int(min(w["repeats"], w["budget"] // w["available"])) if w["available"] else 0
         w["left"] = w["budget"] - w["whole"] * w["available"] if w["whole"] < w["repeats"] else 0.0
         w["below"], w["prefix"], w["open"] = 0, 0, w["left"] > 0 and w["available"] > 0
-    wanted = rows.where(named)
+    wanted = rows.where("named").drop("named")
     for k in range(LEVELS):
         shift = bits - LEVEL_BITS * (k + 1)
         if k:
