@@ -495,3 +495,17 @@ def test_reached_equals_the_closure(spark):
     assert sorted(map(tuple, graph.reached(e, starts).collect())) == whole
     ends = e.where("task_id = 1").select("task_id", F.col("dst").alias("node"))
     assert sorted((t, n, s) for t, s, n in map(tuple, graph.reached(e, ends, backwards=True).collect())) == [w for w in whole if w[0] == 1]
+
+
+def test_shadow_arms_learn(spark):
+    rows = [("s", i, i, 0, 0.0, 3, 1.0) for i in range(200)]
+    r = learning.exp3(spark.createDataFrame(rows, "scenario string, n bigint, ts_ms bigint, arm bigint, reward double, shadow_arm bigint, shadow_reward double"), 4).first()
+    assert r.best_arm == 3 and r.recalls == 200
+
+
+def test_lookahead_pages(spark):
+    e = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 4)], "task_id bigint, src bigint, dst bigint")
+    p = spark.createDataFrame([(1, 2, 7, "EVICTED", 1), (1, 3, 8, "RESIDENT", 9), (1, 3, 9, "EVICTED", 5), (1, 4, 10, "EVICTED", 9)], "task_id bigint, node bigint, page bigint, state string, access_count bigint")
+    s = spark.createDataFrame([(1, 1)], "task_id bigint, node bigint")
+    assert [r.page for r in graph.lookahead_pages(s, e, p, 2, 1).collect()] == [9]
+    assert sorted(r.page for r in graph.lookahead_pages(s, e, p, 2, 3).collect()) == [7, 9]

@@ -123,6 +123,17 @@ def within_hops(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return out.where("node <> start").groupBy(GRAPH, "start", "node").agg(F.min("hop").alias("hop"))
 
 
+def lookahead_pages(starts: DataFrame, edges: DataFrame, pages: DataFrame, hops: int, most: int) -> DataFrame:
+    """``task_id, start, page``: the ``most`` used pages of nodes within ``hops`` of each start that are neither loaded nor loading.
+
+    ``pages`` has ``task_id, node, page, state, access_count``.
+    """
+    free = pages.where("state not in ('RESIDENT', 'FAULTING')").select(GRAPH, "node", "page", "access_count")
+    near = within_hops(starts, edges, hops).join(free, [GRAPH, "node"]).select(GRAPH, "start", "page", "access_count").distinct()
+    w = Window.partitionBy(GRAPH, "start").orderBy(F.col("access_count").desc(), "page")
+    return near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).select(GRAPH, "start", "page")
+
+
 def valid_edges(wanted: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``verdict`` of new edges: UNKNOWN_NODE, DUPLICATE, CYCLE or OK. Paths are followed from the wanted targets only."""
     n = nodes.select(GRAPH, "node")

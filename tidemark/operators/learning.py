@@ -58,18 +58,27 @@ def exp3(pulls: DataFrame, n_arms: int, rate: float = 0.5, warm: int = 100) -> D
 
     Exploration stays at .30 for the first ``warm`` pulls, then shrinks by 3 %
     a pull to .05, and grows by 10 % up to .30 after 40 pulls without a better
-    mean reward. A scenario's state is one vector of arm weights.
+    mean reward. With ``shadow_arm`` and ``shadow_reward``, the shadow arm of a pull
+    learns as well. A scenario's state is one vector of arm weights.
     """
+    shadowed = {"shadow_arm", "shadow_reward"} <= set(pulls.columns)
 
     def start() -> dict:
         return {"w": np.ones(n_arms), "eps": 0.3, "best": -np.inf, "still": 0, "mean": 0.0, "n": 0}
 
+    def learn(s: dict, arm: int | None, reward: float | None) -> None:
+        if arm is None or not 0 <= arm < n_arms or reward is None:
+            return
+        w = s["w"]
+        p = (1 - s["eps"]) * w[arm] / w.sum() + s["eps"] / n_arms
+        w[arm] *= np.exp(rate / np.sqrt(s["n"] + 1) * (reward / p) / n_arms)
+        w /= w.max()
+
     def step(_: str, s: dict, g: Rows) -> None:
-        for arm, reward in zip(g["arm"], g["reward"]):
-            w = s["w"]
-            p = (1 - s["eps"]) * w[arm] / w.sum() + s["eps"] / n_arms
-            w[arm] *= np.exp(rate / np.sqrt(s["n"] + 1) * (reward / p) / n_arms)
-            w /= w.max()
+        none = [None] * len(g)
+        for arm, reward, shadow, its in zip(g["arm"], g["reward"], g["shadow_arm"] if shadowed else none, g["shadow_reward"] if shadowed else none):
+            learn(s, arm, reward)
+            learn(s, shadow, its)
             s["n"] += 1
             s["mean"] += (reward - s["mean"]) / s["n"]
             better = s["mean"] > s["best"] + 1e-12

@@ -110,10 +110,11 @@ def x10_pin_sweep_stream(spark: SparkSession, d: str) -> DataFrame:
     return finished(ops.pin_sweeps(sliced(f, "ts_ms")))
 
 
-@query(using("ev", "nodes") + "SELECT event_id, n.task_id, n.node FROM ev JOIN nodes n ON n.task_id = ev.user_id % 40 AND n.node = ev.k % 50 + 1 WHERE event_type = 'purchase'")
+@query(using("ev", "lookahead") + "SELECT event_id, l.task_id, l.page FROM ev JOIN lookahead l ON l.task_id = ev.user_id % 40 AND l.start = ev.k % 50 + 1 WHERE event_type = 'purchase'")
 def x11_dag_change_stream(spark: SparkSession, d: str) -> DataFrame:
-    s = sliced(v.events(spark, d).where("event_type = 'purchase'").select("event_id", "ts_ms", (F.col("user_id") % 40).alias("task_id"), (F.col("k") % 50 + 1).cast("bigint").alias("node")), "ts_ms")
-    return finished(s.join(v.nodes(spark, d).select("task_id", "node"), ["task_id", "node"]).select("event_id", "task_id", "node"))
+    """Pages to load at every change of a task's current node."""
+    s = sliced(v.events(spark, d).where("event_type = 'purchase'").select("event_id", "ts_ms", (F.col("user_id") % 40).alias("task_id"), (F.col("k") % 50 + 1).cast("bigint").alias("start")), "ts_ms")
+    return finished(s.join(q_tasks._lookahead(spark, d), ["task_id", "start"]).select("event_id", "task_id", "page"))
 
 
 _WINDOW = "SELECT epoch_ms(w) AS start_ms, event_type, count(*) AS n, round(sum(value), 4) AS total FROM ({0}) GROUP BY 1, 2"

@@ -572,7 +572,7 @@ def b2_exp3_distribution(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def b3_exp3_fold(spark: SparkSession, d: str) -> DataFrame:
     e = v.events(spark, d)
-    pulls = e.select(F.col("event_type").alias("scenario"), F.col("event_id").alias("n"), "ts_ms", (F.col("k") % 36).alias("arm"), F.least(F.lit(1.0), F.col("value") / 100).alias("reward"))
+    pulls = e.select(F.col("event_type").alias("scenario"), F.col("event_id").alias("n"), "ts_ms", (F.col("k") % 36).alias("arm"), F.least(F.lit(1.0), F.col("value") / 100).alias("reward"), ((F.col("k") + 7) % 36).alias("shadow_arm"), F.least(F.lit(1.0), F.col("value") / 120).alias("shadow_reward"))
     return learning.exp3(pulls, 36)
 
 
@@ -610,13 +610,14 @@ def b9_prefetch_budget(spark: SparkSession, d: str) -> DataFrame:
 # prefetch
 
 
-@query(using("edges") + """, hop AS (SELECT task_id, start, node, min(hop) AS hop FROM (SELECT task_id, src AS start, dst AS node, 1 AS hop FROM edges UNION ALL SELECT a.task_id, a.src, b.dst, 2 FROM edges a JOIN edges b ON a.task_id = b.task_id AND a.dst = b.src) GROUP BY 1, 2, 3)
-SELECT task_id, start, node FROM (SELECT h.*, row_number() OVER (PARTITION BY h.task_id, start ORDER BY n.executed_at DESC NULLS LAST, h.node) AS r FROM hop h JOIN nodes n USING (task_id, node) WHERE n.branch <> 0) WHERE r <= 3""")
+def _lookahead(spark: SparkSession, d: str) -> DataFrame:
+    return graph.lookahead_pages(v.nodes(spark, d), v.edges(spark, d), v.node_pages(spark, d), hops=2, most=3)
+
+
+@query(using("lookahead") + "SELECT task_id, start, page FROM lookahead")
 def v1_dag_prefetch(spark: SparkSession, d: str) -> DataFrame:
-    n = v.nodes(spark, d)
-    h = graph.within_hops(n, v.edges(spark, d), 2).join(n.where("branch <> 0").select("task_id", "node", "executed_at"), ["task_id", "node"])
-    w = Window.partitionBy("task_id", "start").orderBy(F.col("executed_at").desc_nulls_last(), "node")
-    return h.withColumn("r", F.row_number().over(w)).where("r <= 3").select("task_id", "start", "node")
+    """Pages to load for every current node: of the nodes within two hops, not loaded yet, the most used three."""
+    return _lookahead(spark, d)
 
 
 _CENT = """, cen AS (SELECT namespace, page_id, list(m ORDER BY pos) AS e FROM (SELECT namespace, page_id, pos, avg(x) AS m FROM (SELECT namespace, page_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(128)) AS pos FROM pages JOIN vec USING (id)) GROUP BY 1, 2, 3) GROUP BY 1, 2) """
@@ -634,9 +635,12 @@ def v2_semantic_prefetch(spark: SparkSession, d: str) -> DataFrame:
     return s.select("page_id", "other", F.row_number().over(w).cast("bigint").alias("rank")).where("rank <= 3")
 
 
-@query(using("nodes") + "SELECT task_id, branch, min(node) AS node FROM nodes GROUP BY 1, 2")
+@query(using("node_pages", "nodes") + "SELECT b.task_id, branch, source, min(page) AS page FROM (SELECT task_id, branch, min(node) AS source FROM nodes GROUP BY 1, 2) b JOIN node_pages p ON p.task_id = b.task_id AND p.node = b.source WHERE p.state = 'EVICTED' GROUP BY 1, 2, 3")
 def v3_branch_prefetch(spark: SparkSession, d: str) -> DataFrame:
-    return v.nodes(spark, d).groupBy("task_id", "branch").agg(F.min("node").alias("node"))
+    """One page of the source node of every new branch, if some isn't loaded."""
+    b = v.nodes(spark, d).groupBy("task_id", "branch").agg(F.min("node").alias("source"))
+    p = v.node_pages(spark, d).where("state not in ('RESIDENT', 'FAULTING')").select("task_id", F.col("node").alias("source"), "page")
+    return b.join(p, ["task_id", "source"]).groupBy("task_id", "branch", "source").agg(F.min("page").alias("page"))
 
 
 @query(using("ev") + "SELECT l.event_id AS load_id, CASE WHEN count(a.event_id) > 0 THEN 'consumed' ELSE 'missed' END AS outcome FROM ev l LEFT JOIN ev a ON a.user_id = l.user_id AND a.event_type = 'view' AND a.ts_ms BETWEEN l.ts_ms AND l.ts_ms + 120000 WHERE l.event_type = 'signup' GROUP BY 1")

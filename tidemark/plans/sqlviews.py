@@ -36,6 +36,10 @@ DEFINITIONS: dict[str, tuple[list[str], str]] = {
     "wal": (["log"], "SELECT * FROM log UNION ALL SELECT * FROM log WHERE CAST(entry_id AS BIGINT) % 10 = 0"),
     "nodes": ([], "SELECT p_partkey // 50 AS task_id, p_partkey % 50 + 1 AS node, p_name AS content, CASE WHEN p_size % 3 <> 0 THEN CAST(p_size AS BIGINT) END AS executed_at, CAST(p_size % 4 AS BIGINT) AS branch FROM part"),
     "edges": (["nodes"], "SELECT DISTINCT a.task_id, a.node AS src, b.node AS dst FROM nodes a JOIN nodes b ON a.task_id = b.task_id AND b.node IN (2 * a.node, 2 * a.node + 1, a.node + 3)"),
+    "node_pages": (["nodes"], """SELECT task_id, node, page, CASE (task_id * 7 + page) % 4 WHEN 0 THEN 'RESIDENT' WHEN 1 THEN 'FAULTING' ELSE 'EVICTED' END AS state, (task_id * 31 + page * 17) % 100 AS access_count
+        FROM (SELECT task_id, node, unnest(CASE WHEN node % 5 = 0 THEN [node // 4, node // 4 + 1] ELSE [node // 4] END) AS page FROM nodes)"""),
+    "lookahead": (["edges", "node_pages"], """SELECT task_id, start, page FROM (SELECT *, row_number() OVER (PARTITION BY task_id, start ORDER BY access_count DESC, page) AS r FROM (SELECT DISTINCT h.task_id, h.start, p.page, p.access_count FROM (
+        SELECT task_id, src AS start, dst AS node FROM edges UNION SELECT a.task_id, a.src, b.dst FROM edges a JOIN edges b ON a.task_id = b.task_id AND a.dst = b.src) h JOIN node_pages p USING (task_id, node) WHERE p.state = 'EVICTED' AND h.node <> h.start)) WHERE r <= 3"""),
     "closure": (["edges"], "SELECT task_id, src, dst FROM edges UNION SELECT c.task_id, c.src, e.dst FROM closure c JOIN edges e ON e.task_id = c.task_id AND e.src = c.dst"),
     "checkpoints": ([], """SELECT task_id, n AS checkpoint_id, created_ms, size, kind, CASE WHEN kind = 'DELTA' THEN lag(n) OVER (PARTITION BY task_id ORDER BY created_ms, n) END AS base_id FROM (
         SELECT o_custkey AS task_id, o_orderkey AS n, epoch_us(o_orderdate) // 1000 AS created_ms, o_totalprice AS size,

@@ -114,6 +114,15 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return e.where("dst <= 50").distinct().join(n.withColumnRenamed("node", "dst"), ["task_id", "dst"], "left_semi").select("task_id", "src", "dst")
 
 
+def node_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of task nodes (``task_id, node, page, state, access_count``); every fifth node lies on two."""
+    n = nodes(spark, d).select("task_id", "node")
+    own = F.floor(F.col("node") / 4)
+    p = n.withColumn("page", F.explode(F.when(F.col("node") % 5 == 0, F.array(own, own + 1)).otherwise(F.array(own))))
+    turn = (F.col("task_id") * 7 + F.col("page")) % 4
+    return p.withColumn("state", F.when(turn == 0, "RESIDENT").when(turn == 1, "FAULTING").otherwise("EVICTED")).withColumn("access_count", (F.col("task_id") * 31 + F.col("page") * 17) % 100)
+
+
 def checkpoints(spark: SparkSession, d: str) -> DataFrame:
     """Checkpoint chain of one task per customer over the orders."""
     o = table(spark, d, "orders")
