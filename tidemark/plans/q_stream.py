@@ -29,7 +29,14 @@ def x1_regret_stream(spark: SparkSession, d: str) -> DataFrame:
     return finished(ops.regrets(ev, rc, "user_id").select("evict_id", "recall_id"))
 
 
-@query()
+_ONCE = """, r AS (SELECT user_id, event_id, ts_ms, event_type = 'view' AS opens, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms, event_id) AS i FROM ev WHERE event_type IN ('view', 'purchase')),
+f AS (SELECT user_id, i, CASE WHEN opens THEN [{'t': ts_ms, 'n': event_id}] ELSE [] END AS live, NULL::BIGINT AS session_id, NULL::BIGINT AS feedback_id FROM r WHERE i = 1
+  UNION ALL SELECT user_id, i, CASE WHEN opens THEN list_append(alive, {'t': ts_ms, 'n': event_id}) ELSE list_slice(alive, 2, len(alive)) END, CASE WHEN NOT opens AND len(alive) > 0 THEN alive[1].n END, CASE WHEN NOT opens AND len(alive) > 0 THEN event_id END
+  FROM (SELECT r.*, list_filter(f.live, lambda x: r.ts_ms - x.t <= 1800000) AS alive FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i + 1))
+SELECT CAST(user_id AS VARCHAR) AS key, session_id, feedback_id FROM f WHERE session_id IS NOT NULL"""
+
+
+@query(using("ev").rstrip() + _ONCE)
 def x2_session_stream(spark: SparkSession, d: str) -> DataFrame:
     e = v.events(spark, d).where("event_type in ('view', 'purchase')")
     kind = F.when(F.col("event_type") == "view", "open").otherwise("use")

@@ -155,17 +155,30 @@ def f_hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     return v.fragments(spark, d).select("id", models.hash_embedder(64)("content").alias("embedding"))
 
 
-@query()
+_OVERLAP = r""", r AS (SELECT p.recall_id, p.candidate_id, rank, list_distinct(regexp_extract_all(lower(f.content), '[\p{L}\p{N}_]+')) AS words FROM (SELECT *, row_number() OVER (PARTITION BY recall_id ORDER BY semantic DESC, candidate_id) AS rank FROM pool) p
+  JOIN fragments f ON f.id = p.fragment_id), q AS (SELECT recall_id, words AS asked FROM r WHERE rank = 1)
+SELECT recall_id, candidate_id, rank, row_number() OVER (PARTITION BY recall_id ORDER BY CASE WHEN len(asked) = 0 THEN 0 ELSE len(list_intersect(asked, words)) / len(asked) END DESC, rank) AS reranked FROM r JOIN q USING (recall_id) WHERE rank <= 40"""
+
+
+@query(using("pool", "fragments").rstrip() + _OVERLAP)
 def w6_cross_encoder(spark: SparkSession, d: str) -> DataFrame:
     p = recall.ranked(v.pool(spark, d), "recall_id", F.col("semantic"), "candidate_id")
     c = v.fragments(spark, d).select(F.col("id").alias("fragment_id"), "content")
     p = p.join(c, "fragment_id")
     top = p.where("rank = 1").select("recall_id", F.col("content").alias("question"))
     out = models.rerank(p.join(top, "recall_id"), "recall_id", "rank", "question", "content", models.overlap_scorer)
-    return out.select("recall_id", "candidate_id", "rank", "reranked")
+    return out.select("recall_id", "candidate_id", "rank", F.col("reranked").cast("bigint").alias("reranked"))
 
 
-@query()
+# 5 words of the question, 2 of the header and 3 of the task stand in every prompt; a block has 2 more than its content
+_PACK = """, b AS (SELECT recall_id, 2 + f.token_count AS n, row_number() OVER (PARTITION BY recall_id ORDER BY rank) AS i FROM (SELECT *, row_number() OVER (PARTITION BY recall_id ORDER BY semantic DESC, candidate_id) AS rank FROM pool) p
+  JOIN fragments f ON f.id = p.fragment_id WHERE rank <= 20 AND trim(f.content, ' ') <> ''),
+p AS (SELECT recall_id, i, CASE WHEN 10 + n <= 200 THEN 10 + n ELSE 10 END AS used, (10 + n <= 200)::INT AS inc, (10 + n > 200)::INT AS om FROM b WHERE i = 1
+  UNION ALL SELECT b.recall_id, b.i, CASE WHEN p.used + n <= 200 THEN p.used + n ELSE p.used END, inc + (p.used + n <= 200)::INT, om + (p.used + n > 200)::INT FROM p JOIN b ON b.recall_id = p.recall_id AND b.i = p.i + 1)
+SELECT recall_id, CAST(max_by(used, i) + CASE WHEN max(inc) = 0 THEN 1 ELSE 0 END AS BIGINT) AS prompt_tokens, max(inc) AS included, max(om) AS omitted, true AS kept_task FROM p GROUP BY 1"""
+
+
+@query(using("pool", "fragments").rstrip() + _PACK)
 def t4_prompt_pack(spark: SparkSession, d: str) -> DataFrame:
     p = recall.ranked(v.pool(spark, d), "recall_id", F.col("semantic"), "candidate_id").where("rank <= 20")
     p = p.join(v.fragments(spark, d).select(F.col("id").alias("fragment_id"), "content"), "fragment_id")
