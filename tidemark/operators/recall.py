@@ -162,13 +162,31 @@ def _in_blocks(df: DataFrame, group: str, block: int, work, schema: str, *extra:
     rows = rows.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_b")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
     rows = rows.select("id", "embedding", *extra, F.col(group).alias("_g"), F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(g["embedding"].to_numpy()).astype(np.float64)
-        norm = np.sqrt((x * x).sum(1))
-        return work(g, x / np.where(norm > 0, norm, 1)[:, None])
+    def done(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, g in pd.concat(parts).groupby(["_g", "_lo", "_hi"], sort=False):
+            x = np.stack(g["embedding"].to_numpy()).astype(np.float64)
+            norm = np.sqrt((x * x).sum(1))
+            yield work(g, x / np.where(norm > 0, norm, 1)[:, None])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pairs of blocks come one after the other; a task holds one, and the batch it ends in."""
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            g, lo, hi = (b[c].to_numpy() for c in ("_g", "_lo", "_hi"))
+            at = int(np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])[-1])
+            if at:
+                yield from done([*held, b.iloc[:at]])
+                held = []
+            elif held and (g[0], lo[0], hi[0]) != tuple(held[-1][["_g", "_lo", "_hi"]].iloc[0]):
+                yield from done(held)
+                held = []
+            held.append(b.iloc[at:])
+        if held:
+            yield from done(held)
 
-    # a task takes one pair of blocks after the other
-    return rows.groupBy("_g", "_lo", "_hi").applyInPandas(run, schema)
+    return rows.repartition("_g", "_lo", "_hi").sortWithinPartitions("_g", "_lo", "_hi").mapInPandas(run, schema)
 
 
 def nearest_peer(df: DataFrame, group: str = "namespace", block: int = 4096, fresh: str | None = None) -> DataFrame:
