@@ -61,6 +61,20 @@ def test_fragments_change_nothing(spark, monkeypatch, grams):
     assert found(spark, rows) == brute(rows)
 
 
+def test_fragments_form_few_other_pairs(spark, monkeypatch):
+    """Texts of common phrases in other choices are no pairs, however many fragments their group has."""
+    r = random.Random(5)
+    phrases = [[f"p{i}w{k}" for k in range(6)] for i in range(40)]
+    rows = [(f"f{i:03d}", "n", " ".join(sum(r.sample(phrases, 8), [])), "", i) for i in range(120)]
+    rows += [(f"g{i}", "n", rows[i][2] + f" more {i}", "", i) for i in range(10)]
+    monkeypatch.setattr(nd, "FRAGMENT_GRAMS", 500)
+    table = nd.gram_table(spark.createDataFrame(rows, SCHEMA), "fragment_id", "namespace", "content")
+    cut = nd.with_fragments(table)
+    assert cut.first().frags > 8
+    pairs = nd.partial_overlaps(cut, *nd.global_order(table), 0.6).select("a", "b").distinct().count()
+    assert 10 <= len(brute(rows)) <= pairs <= 3 * len(brute(rows))
+
+
 @pytest.mark.parametrize("t", [0.3, 0.8, 1.0])
 def test_other_thresholds(spark, monkeypatch, t):
     rows = texts(160, 4)

@@ -3,8 +3,9 @@
 The n-grams of all texts get one global order, rarest first. The order is cut
 into consecutive ranges of equal load, the vertical fragments, as many as the
 size of a group asks for. Each fragment joins the segments of the group's sets
-that lie in its range, by the n-grams of their prefixes, and counts the partial
-overlaps; these are summed for each pair, and the sum decides.
+that lie in its range, by the n-grams of their prefixes, and forms the pairs that the
+sketches of the whole sets allow. Pairs are decided by the sum of their partial
+overlaps, or by their whole sets where some fragment does not know them.
 
 A text's terms are the runs of a-z and 0-9 and the single Han characters of
 its lower-cased form; its set holds the distinct ordered pairs of adjacent
@@ -41,6 +42,8 @@ SMALL_GROUP = 2_000
 FRAGMENT_GRAMS = 1_000_000
 #: N-grams that a task joins at once, unless one fragment has more.
 BATCH_GRAMS = 1_000_000
+#: Bits of the sketch that a segment carries of its set: twice the n-grams, a power of two, within these.
+SKETCH_BITS = 64, 1024
 _EPS = 1e-9
 _terms: dict[str, int] = {}
 
@@ -153,14 +156,63 @@ def needed(a, b, t: float):
     return np.ceil(t / (1 + t) * (a + b) - _EPS)
 
 
-def _joined(gid: np.ndarray, n: np.ndarray, head: np.ndarray, grams: np.ndarray, sizes: np.ndarray, t: float) -> tuple[np.ndarray, ...]:
+def _sketches(grams: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> pa.Array:
+    """Bits of the hashed n-grams of each set that is wanted; the others have an empty sketch."""
+    least, most = SKETCH_BITS
+    width = np.clip(1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64), least, most)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    on = np.zeros((len(sizes), most), bool)
+    # the low bits order the n-grams, so that others are taken
+    on[row, (grams >> np.uint64(24)).astype(np.int64) & (width[row] - 1)] = True
+    size = np.where(wanted, width // 8, 0)
+    raw = np.packbits(on, axis=1, bitorder="little")[np.arange(most // 8) < size[:, None]]
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+
+
+class _Bound:
+    """Upper bounds of the overlaps of sets, from their sketches.
+
+    A bit that one of two sketches has comes from an n-gram that only one of the
+    sets has, so their difference has at least as many. A wide sketch is folded
+    to the width of the other. A set without sketch bounds nothing.
+    """
+
+    def __init__(self, column: pa.Array, n: np.ndarray) -> None:
+        at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        words = np.frombuffer(column.buffers()[2] or b"", "<u8")
+        self.n, self.width = n, np.diff(at) // 8
+        self.own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in sorted(set(self.width.tolist()) - {0}):
+            place, parts, count = np.full(len(n), -1, np.int64), [], 0
+            for wide in sorted(x for x in set(self.width.tolist()) if x >= w):
+                rows = np.flatnonzero(self.width == wide)
+                bits = words[_spread(at[rows] // 8, np.full(len(rows), wide))].reshape(len(rows), wide // w, w)
+                place[rows] = count + np.arange(len(rows))
+                count += len(rows)
+                parts.append(np.bitwise_or.reduce(bits, axis=1))
+            self.own[w] = place, np.concatenate(parts)
+
+    def most(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), np.inf)
+        width = np.minimum(self.width[x], self.width[y])
+        for w, (place, bits) in self.own.items():
+            at = np.flatnonzero(width == w)
+            for lo in range(0, len(at), 500_000):
+                k = at[lo : lo + 500_000]
+                differ = np.bitwise_count(bits[place[x[k]]] ^ bits[place[y[k]]]).sum(1, dtype=np.int64)
+                out[k] = (self.n[x[k]] + self.n[y[k]] - differ) // 2
+        return out
+
+
+def _joined(gid: np.ndarray, n: np.ndarray, head: np.ndarray, grams: np.ndarray, sizes: np.ndarray, t: float, bound: _Bound) -> tuple[np.ndarray, ...]:
     """Row pairs of equal ``gid`` with their overlap in the fragment.
 
     A row is a segment: ``sizes`` n-grams of a set of ``n``, after ``head`` others
     in the order. Two segments are a pair if they share an n-gram in the
     prefixes that their sets need at the threshold, and if the overlap, with the
     shorter head and the shorter tail, could reach it; for that, they share one
-    in the prefixes of the segments as well. The sizes of the sets must allow it.
+    in the prefixes of the segments as well. The sizes of the sets and their
+    sketches must allow it.
     """
     row = np.repeat(np.arange(len(sizes)), sizes)
     starts = np.cumsum(sizes) - sizes
@@ -188,6 +240,8 @@ def _joined(gid: np.ndarray, n: np.ndarray, head: np.ndarray, grams: np.ndarray,
         ok = (gid[x] == gid[y]) & (x != y) & (u <= size[at] - least) & (w <= size[at + lag] - least)
         ok &= (u - head[x] <= sizes[x] - asked) & (w - head[y] <= sizes[y] - asked)
         x, y = x[ok].astype(np.int64), y[ok].astype(np.int64)
+        ok = bound.most(x, y) >= least[ok]
+        x, y = x[ok], y[ok]
         some.append(np.minimum(x, y) * total + np.maximum(x, y))
         held += len(x)
         if held > 4_000_000:
@@ -241,7 +295,8 @@ def partial_overlaps(table: DataFrame, rank: np.ndarray, load: np.ndarray, t: fl
     The order is cut into ranges of equal load, as many as the group has
     fragments. A fragment holds the segments of a group in one range and joins
     them with each other: ``common`` n-grams of segments of ``sa`` and ``sb``.
-    ``table`` has ``frags``.
+    Segments after the prefix that the threshold asks for form no pair and stay
+    away. ``table`` has ``frags``.
     """
     spark = table.sparkSession
     wide = spark.sparkContext.broadcast((rank, load))
@@ -252,12 +307,15 @@ def partial_overlaps(table: DataFrame, rank: np.ndarray, load: np.ndarray, t: fl
             if not b.num_rows:
                 continue
             own, part, head, edge, grams = _segments(b, rank, load)
+            sizes = b.column("n").to_numpy().astype(np.int64)
+            near = np.flatnonzero(head <= (sizes - np.ceil(t * sizes - _EPS))[own])
             raw = np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH])
             seg = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((edge * WIDTH).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
-            take = pa.array(own)
+            sketch = _sketches(grams, sizes, b.column("frags").to_numpy() > 1)
+            take = pa.array(own[near])
             yield pa.RecordBatch.from_arrays(
-                [b.column("grp").take(take), pa.array(part.astype(np.int32)), b.column("frags").take(take), b.column("cls").take(take), b.column("n").take(take), pa.array(head.astype(np.int32)), seg],
-                names=["grp", "part", "frags", "cls", "n", "head", "grams"],
+                [b.column("grp").take(take), pa.array(part[near].astype(np.int32)), *(b.column(c).take(take) for c in ("frags", "cls", "n")), pa.array(head[near].astype(np.int32)), sketch.take(take), seg.take(pa.array(near))],
+                names=["grp", "part", "frags", "cls", "n", "head", "sketch", "grams"],
             )
 
     def match(got: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +328,7 @@ def partial_overlaps(table: DataFrame, rank: np.ndarray, load: np.ndarray, t: fl
         gid = gid[one]
         grams, sizes = _unpack(tb.column("grams").combine_chunks())
         n, head, frags, part = (tb.column(c).to_numpy().astype(np.int64) for c in ("n", "head", "frags", "part"))
-        x, y, common = _joined(gid, n, head, grams, sizes, t)
+        x, y, common = _joined(gid, n, head, grams, sizes, t, _Bound(tb.column("sketch").combine_chunks(), n))
         cls = tb.column("cls").combine_chunks()
         for lo in range(0, len(x), 100_000):
             u, w = x[lo : lo + 100_000], y[lo : lo + 100_000]
@@ -311,7 +369,7 @@ def partial_overlaps(table: DataFrame, rank: np.ndarray, load: np.ndarray, t: fl
 
     names = ["a", "b", "na", "nb", "frags", "part", "common", "sa", "sb"]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(float(table.agg(F.sum("n")).first()[0] or 0) / 1e6))
-    cuts = table.select("grp", "cls", "n", "grams", "frags").mapInArrow(cut, "grp string, part int, frags int, cls binary, n int, head int, grams binary")
+    cuts = table.select("grp", "cls", "n", "grams", "frags").mapInArrow(cut, "grp string, part int, frags int, cls binary, n int, head int, sketch binary, grams binary")
     return cuts.repartition(tasks, "grp", "part").sortWithinPartitions("grp", "part").mapInArrow(join, "a binary, b binary, " + ", ".join(f"{c} int" for c in names[2:]))
 
 
@@ -334,39 +392,41 @@ def overlaps(table: DataFrame, partial: DataFrame, rank: np.ndarray, load: np.nd
 
     A similar pair is formed in the fragment of its first common n-gram at least.
     The sum over the fragments that formed a pair, with the shorter of the sets'
-    other parts, bounds its overlap. Pairs that can still reach the threshold are
-    asked for in their other fragments, and these counts are added.
+    other parts, bounds its overlap. Pairs that can still reach the threshold
+    and that some fragment did not form are counted over their whole sets.
     """
     spark = table.sparkSession
     least = F.ceil(t / (1 + t) * (F.col("na") + F.col("nb")) - _EPS)
     share = (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("similarity")
     one = partial.where("frags = 1").select("a", "b", share)
-    sums = partial.where("frags > 1").groupBy("a", "b", "na", "nb", "frags").agg(F.collect_set("part").alias("parts"), *(F.sum(c).alias(c) for c in ("common", "sa", "sb")))
+    sums = partial.where("frags > 1").groupBy("a", "b", "na", "nb", "frags").agg(F.count("*").alias("formed"), *(F.sum(c).alias(c) for c in ("common", "sa", "sb")))
     can = F.col("common") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb")) >= least
-    pairs = written(sums.where(can).select("a", "b", "na", "nb", "common", F.array_except(F.sequence(F.lit(0), F.col("frags") - 1), "parts").alias("rest")), "open-pairs")
-    asked = pairs.where(F.size("rest") > 0).select("a", "b", "na", "nb", F.explode("rest").alias("part"))
-    wide = spark.sparkContext.broadcast((rank, load, np.unpackbits(_class_filter(asked.select("a", "b"))).astype(bool)))
+    pairs = written(sums.where(can).select("a", "b", "na", "nb", "common", (F.col("formed") < F.col("frags")).alias("open")), "open-pairs")
+    asked = pairs.where("open").select("a", "b", "na", "nb")
+    wide = spark.sparkContext.broadcast(np.unpackbits(_class_filter(asked.select("a", "b"))).astype(bool))
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, load, on = wide.value
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = wide.value
         for b in batches:
             cls = b.column("cls")
-            if not len(cls):
-                continue
-            k = np.frombuffer(b"".join(x[:8] for x in cls.to_pylist()), "<u8") & np.uint64(len(on) - 1)
-            b = b.take(pa.array(np.flatnonzero(on[k])))
-            if not b.num_rows:
-                continue
-            own, part, _, edge, grams = _segments(b, rank, load)
-            seg = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(grams.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("cls").take(pa.array(own)), pa.array(part.astype(np.int32)), seg], names=["cls", "part", "seg"])
-
-    seg = table.where("frags > 1").select("cls", "grams", "frags").mapInArrow(segments, "cls binary, part int, seg array<bigint>")
-    seg = seg.dropDuplicates(["cls", "part"])
-    left, right = seg.select(F.col("cls").alias("a"), "part", F.col("seg").alias("sa")), seg.select(F.col("cls").alias("b"), "part", F.col("seg").alias("sb"))
-    # keyed by class and fragment throughout, so that the segments shuffle once
-    more = asked.join(left, ["a", "part"]).join(right, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("bigint").alias("common"))
-    total = pairs.select("a", "b", "na", "nb", "common").unionByName(more).groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+            if len(cls):
+                k = np.frombuffer(b"".join(x[:8] for x in cls.to_pylist()), "<u8") & np.uint64(len(on) - 1)
+                yield b.take(pa.array(np.flatnonzero(on[k])))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                # the row above the 48 bits of the n-gram
+                x, y = (g | (np.repeat(np.arange(b.num_rows), n).astype(np.uint64) << np.uint64(8 * WIDTH)) for g, n in (_unpack(b.column(c)) for c in ("ga", "gb")))
+                both = np.intersect1d(x, y, assume_unique=True) >> np.uint64(8 * WIDTH)
+                common = np.bincount(both.astype(np.int64), minlength=b.num_rows)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "na", "nb")), pa.array(common)], names=["a", "b", "na", "nb", "common"])
+
+    sets = table.where("frags > 1").select("cls", "grams").mapInArrow(partners, "cls binary, grams binary").dropDuplicates(["cls"])
+    left, right = sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb"))
+    more = asked.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ga", "gb").mapInArrow(counted, "a binary, b binary, na int, nb int, common bigint")
+    total = pairs.where("not open").select("a", "b", "na", "nb", "common").unionByName(more)
     return one.unionByName(total.select("a", "b", share)).where(F.col("similarity") >= t - _EPS)
 
 
