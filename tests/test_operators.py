@@ -68,6 +68,27 @@ def test_keyword_search(spark):
     assert [x.id for x in r] == ["t"] and r[0].matched == 2 and abs(r[0].score - (2 * math.log(3) + 0.5)) < 1e-9
 
 
+@pytest.mark.parametrize("block", [4096, 70, 7])
+def test_keyword_search_blocks_change_nothing(spark, block):
+    """Every common term is counted, whatever the blocks; only rows by query and document leave their tasks."""
+    import random
+    from collections import Counter
+
+    r = random.Random(3)
+    rows = [(f"d{i:03d}", "large" if i < 150 else f"p{i % 20}" if i % 9 else None, sorted({f"t{int(r.paretovariate(0.7)) % 90}" for _ in range(r.randint(0, 12))})) for i in range(260)]
+    docs = spark.createDataFrame(rows, "id string, namespace string, tokens array<string>")
+    asks = [(f"q{i}", r.choice(["large", "p3", "p4", "none", None]), [*{f"t{r.randint(0, 30)}" for _ in range(r.randint(0, 9))}, "nowhere"]) for i in range(40)]
+    q = spark.createDataFrame(asks, "query_id string, namespace string, tokens array<string>")
+    n = Counter(g for _, g, _ in rows)
+    df = Counter((g, t) for _, g, ts in rows for t in ts)
+    want = {(a, i): (len(both), sum(math.log(1 + n[g] / df[g, t]) for t in both) + len(both) / len(ts)) for a, g, ts in asks if g for i, h, us in rows if h == g and (both := set(ts) & set(us))}
+    out = recall.keyword_scores(docs, q, block=block)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_g") and "hashpartitioning(query_id#" not in plan.split("MapInArrow")[0]
+    got = {(x.query_id, x.id): (x.matched, x.score) for x in out.collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
 def test_texts(spark):
     r = one(spark, p=text.split_text(F.lit("First paragraph.\n\nSecond paragraph.\n\nThird paragraph.")), s=text.packed(F.array(*map(F.lit, ["a b.", "c d.", "e f g h i j."])), 4), u=text.units(F.lit("- one. Two!\n2) three\n\n  ")), z=text.word_count(F.lit(" \n")))
     assert len(r.p) == 3 and r.s == ["a b. c d.", "e f g h i j."] and r.u == ["one.", "Two!", "three"] and r.z == 0
