@@ -87,6 +87,7 @@ def test_keyword_search_blocks_change_nothing(spark, block):
     assert plan.count("Exchange hashpartitioning(_g") and "hashpartitioning(query_id#" not in plan.split("MapInArrow")[0]
     got = {(x.query_id, x.id): (x.matched, x.score) for x in out.collect()}
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    assert {x.query_id: x.hits for x in recall.keyword_hits(docs, q, block=block).collect()} == Counter(a for a, _ in want)
 
 
 def test_texts(spark):
