@@ -90,6 +90,16 @@ def test_keyword_search_blocks_change_nothing(spark, block):
     assert {x.query_id: x.hits for x in recall.keyword_hits(docs, q, block=block).collect()} == Counter(a for a, _ in want)
 
 
+def test_edge_validation_broadcasts_nothing(spark):
+    nodes = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1), (2, 2)], "task_id bigint, node bigint")
+    edges = spark.createDataFrame([(1, 1, 2), (1, 2, 3)], "task_id bigint, src bigint, dst bigint")
+    want = [(1, 1, 2, "DUPLICATE"), (1, 3, 1, "CYCLE"), (1, 2, 2, "CYCLE"), (1, 1, 3, "OK"), (1, 1, 9, "UNKNOWN_NODE"), (2, 2, 1, "OK"), (3, 1, 2, "UNKNOWN_NODE"), (1, 1, None, "UNKNOWN_NODE"), (None, 1, 2, "UNKNOWN_NODE")]
+    out = graph.valid_edges(spark.createDataFrame([w[:3] for w in want], "task_id bigint, src bigint, dst bigint"), nodes, edges)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "BroadcastExchange" not in plan
+
+
 def test_texts(spark):
     r = one(spark, p=text.split_text(F.lit("First paragraph.\n\nSecond paragraph.\n\nThird paragraph.")), s=text.packed(F.array(*map(F.lit, ["a b.", "c d.", "e f g h i j."])), 4), u=text.units(F.lit("- one. Two!\n2) three\n\n  ")), z=text.word_count(F.lit(" \n")))
     assert len(r.p) == 3 and r.s == ["a b. c d.", "e f g h i j."] and r.u == ["one.", "Two!", "three"] and r.z == 0

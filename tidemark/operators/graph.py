@@ -135,15 +135,46 @@ def lookahead_pages(starts: DataFrame, edges: DataFrame, pages: DataFrame, hops:
 
 
 def valid_edges(wanted: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``verdict`` of new edges: UNKNOWN_NODE, DUPLICATE, CYCLE or OK. Paths are followed from the wanted targets only."""
-    n = nodes.select(GRAPH, "node")
-    w = wanted.join(n.select(GRAPH, F.col("node").alias("src"), F.lit(True).alias("_s")), [GRAPH, "src"], "left").join(n.select(GRAPH, F.col("node").alias("dst"), F.lit(True).alias("_d")), [GRAPH, "dst"], "left")
-    w = w.join(edges.select(GRAPH, "src", "dst", F.lit(True).alias("_dup")), [GRAPH, "src", "dst"], "left")
-    paths = reached(edges, wanted.select(GRAPH, F.col("dst").alias("node")))
-    back = paths.select(GRAPH, F.col("start").alias("dst"), F.col("node").alias("src"), F.lit(True).alias("_back"))
-    w = w.join(back, [GRAPH, "src", "dst"], "left")
-    verdict = F.when(F.col("_s").isNull() | F.col("_d").isNull(), "UNKNOWN_NODE").when(F.col("_dup"), "DUPLICATE").when(F.col("_back") | (F.col("src") == F.col("dst")), "CYCLE").otherwise("OK")
-    return w.select(GRAPH, "src", "dst", verdict.alias("verdict"))
+    """``verdict`` of new edges: UNKNOWN_NODE, DUPLICATE, CYCLE or OK. Paths are followed from the wanted targets only.
+
+    One task graph is bounded; its nodes and edges are held while its wanted edges
+    stream by, so that nothing is joined or broadcast.
+    """
+    none = F.lit(None).cast("bigint").alias("dst")
+    rows = nodes.select(GRAPH, F.lit(0).alias("kind"), F.col("node").cast("bigint").alias("src"), none)
+    rows = rows.unionByName(edges.select(GRAPH, F.lit(1).alias("kind"), "src", "dst")).unionByName(wanted.select(GRAPH, F.lit(2).alias("kind"), "src", "dst"))
+
+    def start() -> dict:
+        return {"nodes": set(), "after": {}, "reached": {}}
+
+    def reach(s: dict, node: int) -> set:
+        seen = s["reached"].get(node)
+        if seen is None:
+            seen, front = set(), [node]
+            while front:
+                fresh = [x for x in s["after"].get(front.pop(), ()) if x not in seen]
+                seen.update(fresh)
+                front += fresh
+            s["reached"][node] = seen
+        return seen
+
+    def step(task: int, s: dict, g: Rows) -> list[tuple]:
+        out = []
+        for kind, src, dst in zip(g["kind"], g["src"], g["dst"]):
+            if kind == 0:
+                s["nodes"].add(src)
+            elif kind == 1:
+                s["after"].setdefault(src, set()).add(dst)
+            elif src is None or dst is None or src not in s["nodes"] or dst not in s["nodes"]:
+                out.append((task, src, dst, "UNKNOWN_NODE"))
+            elif dst in s["after"].get(src, ()):
+                out.append((task, src, dst, "DUPLICATE"))
+            else:
+                out.append((task, src, dst, "CYCLE" if src == dst or src in reach(s, dst) else "OK"))
+        return out
+
+    found = folded(rows, GRAPH, ["kind"], f"{GRAPH} bigint, src bigint, dst bigint, verdict string", start, step)
+    return found.unionByName(wanted.where(F.col(GRAPH).isNull()).select(GRAPH, "src", "dst", F.lit("UNKNOWN_NODE").alias("verdict")))
 
 
 def without_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
